@@ -8,7 +8,7 @@ from stormrail.plans.ingest import build_features
 
 WEATHER = ["prec", "gust", "vis", "n", "prec_3h", "prec_6h"]
 
-ING1_SQL = with_roles(f"""
+ING1_BODY = (f"""
 select d.station, d.time, d.train_type, d.train_count, {sql_r6('d.delay')} as delay,
   {sql_r6('d.total_delay')} as total_delay,
   {", ".join(f"{sql_r6(f'coalesce(cast(ws.{c} as double), -99.0)')} as {c}" for c in WEATHER)},
@@ -21,6 +21,7 @@ join (select station, time, prec, gust, vis, n,
   using (station, time)
 left join (select station, date_trunc('hour', time) as time, count(*) as flashcount from r_strikes group by all) f
   using (station, time)""")
+ING1_SQL = with_roles(ING1_BODY)
 
 
 def features(spark, sf):

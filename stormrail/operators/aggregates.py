@@ -137,7 +137,7 @@ def class_distribution(df: DataFrame, label: str = "class") -> DataFrame:
     """Count and percentage per class (the share uses a global total over the
     tiny per-class result)."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).cast("long").alias("count"))
-    tot = F.sum("count").over(Window.partitionBy())
+    tot = df.agg(F.count(F.lit(1))).scalar()
     return g.withColumn("share", F.col("count") * 100.0 / tot)
 
 
@@ -165,7 +165,7 @@ def fixed_histogram(df: DataFrame, value: str, lo: float = 0.0, hi: float = 10.0
     spark = df.sparkSession
     all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     j = all_bins.join(counts, "bin", "left").fillna(0, ["count"])
-    n = F.sum("count").over(Window.partitionBy())
+    n = inside.agg(F.count(F.lit(1))).scalar()
     return j.select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"),
                     F.col("count").cast("long").alias("count"),
                     (F.col("count") / (n * F.lit(width))).alias("density"))
@@ -248,8 +248,9 @@ def adjacency(edges: DataFrame, src: str = "src", dst: str = "dst",
 def class_weights(df: DataFrame, label: str = "class") -> DataFrame:
     """Balanced weights n / (k * count_c)."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy()
-    return g.select(label, (F.sum("count").over(w) / (F.count(F.lit(1)).over(w) * F.col("count"))).alias("weight"))
+    n = df.agg(F.count(F.lit(1))).scalar()
+    k = df.agg(F.count_distinct(label)).scalar()
+    return g.select(label, (n / (k * F.col("count"))).alias("weight"))
 
 
 def class_feature_stats(df: DataFrame, cols: Sequence[str], label: str = "class") -> DataFrame:
