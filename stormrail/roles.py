@@ -3,6 +3,9 @@
 The engine's operators work on rail/weather tables (stations, hourly delays,
 hourly observations, lightning strikes, reason codes). The test data are
 TPC-H-like tables, so each role is a deterministic Spark derivation of them;
+measures are made exactly representable in binary (integers or k/2^n) so
+that sums do not depend on the summation order and both engines agree to the
+last bit;
 its DuckDB twin (``ROLE_SQL``) is used by the oracle queries. Both sides
 compute the same thing; every role grows with the input tables.
 """
@@ -51,7 +54,7 @@ def delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.groupBy("station", "time", "train_type").agg(
         F.count(F.lit(1)).cast("long").alias("train_count"),
         F.sum("l_quantity").alias("delay"),
-        (F.sum("l_extendedprice") / F.lit(1000.0)).alias("total_delay"),
+        (F.sum(F.floor("l_extendedprice")) / F.lit(1024.0)).alias("total_delay"),
     )
 
 
@@ -61,7 +64,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.groupBy(_station_of("user_id").alias("station"), hour_floor("ts").alias("time")).agg(
         F.avg(F.when(F.col("event_type") == "view", F.lit(-1.0))
                .when(F.col("event_type") == "error", F.lit(None).cast("double"))
-               .otherwise(F.col("value") / 100)).alias("prec"),
+               .otherwise(F.floor(F.col("value") * 4) / 256.0)).alias("prec"),
         F.max("value").alias("gust"),
         F.min(F.when(F.col("event_type") == "click", F.col("value"))).alias("vis"),
         F.count(F.lit(1)).cast("long").alias("n"),
@@ -95,8 +98,8 @@ def binary_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
-        (F.col("l_discount") * 10).alias("proba"),
-        ((F.col("l_discount") * 10) >= 0.5).cast("int").alias("pred"),
+        (F.floor(F.col("l_discount") * 100 + 0.5) / 16.0).alias("proba"),
+        ((F.floor(F.col("l_discount") * 100 + 0.5) / 16.0) >= 0.5).cast("int").alias("pred"),
         F.year("l_shipdate").cast("int").alias("period"),
         F.col("l_shipdate").alias("time"),
     )
@@ -137,11 +140,11 @@ ROLE_SQL = {
         timestamp '2024-01-01' + to_hours(cast(l_orderkey % 720 as bigint)) as time,
         case l_returnflag when 'R' then 'K' when 'A' then 'L' else 'T' end as train_type,
         cast(count(*) as bigint) as train_count, sum(l_quantity) as delay,
-        sum(l_extendedprice) / 1000.0 as total_delay
+        sum(floor(l_extendedprice)) / 1024.0 as total_delay
         from lineitem group by all""",
     "r_obs": """select 'S' || (user_id % 20) as station, date_trunc('hour', ts) as time,
         avg(case when event_type = 'view' then -1.0 when event_type = 'error' then null
-                 else value / 100 end) as prec,
+                 else floor(value * 4) / 256.0 end) as prec,
         max(value) as gust, min(case when event_type = 'click' then value end) as vis,
         cast(count(*) as bigint) as n
         from events group by all""",
@@ -152,8 +155,8 @@ ROLE_SQL = {
     "r_codes": """select l_orderkey as key, l_returnflag as code, cast(l_linenumber as bigint) as count
         from lineitem""",
     "r_binary": """select l_orderkey as key, l_linenumber as line,
-        cast(l_returnflag = 'R' as integer) as y, l_discount * 10 as proba,
-        cast(l_discount * 10 >= 0.5 as integer) as pred,
+        cast(l_returnflag = 'R' as integer) as y, floor(l_discount * 100 + 0.5) / 16.0 as proba,
+        cast(floor(l_discount * 100 + 0.5) / 16.0 >= 0.5 as integer) as pred,
         cast(year(l_shipdate) as integer) as period, l_shipdate as time from lineitem""",
     "r_reg": """select d.station, d.time, d.train_type, s.lat, s.lon, d.delay as y,
         cast(d.train_count * 25 as double) as y_pred
