@@ -17,6 +17,8 @@ from stormrail.functions.constants import (
     NO_RAIN, PROBA_THRESHOLDS, TRAIN_TYPE_CODES,
 )
 
+DEG2RAD = 0.017453292519943295
+
 __all__ = [
     "c", "hour_floor", "class_by_limits", "threshold_class", "binary_class",
     "three_way", "avg_delay", "no_rain_to_zero", "negative_to_zero",
@@ -122,7 +124,7 @@ def from_sentinel(x) -> Column:
 # FN10 ------------------------------------------------------------------------
 def equirect_km(lat1, lon1, lat2, lon2) -> Column:
     """Equirectangular approximation of the distance in km."""
-    la1, lo1, la2, lo2 = (F.radians(c(v)) for v in (lat1, lon1, lat2, lon2))
+    la1, lo1, la2, lo2 = (c(v) * F.lit(DEG2RAD) for v in (lat1, lon1, lat2, lon2))
     x = (lo2 - lo1) * F.cos((la1 + la2) / 2)
     y = la2 - la1
     return F.lit(EARTH_RADIUS_KM) * F.sqrt(x * x + y * y)

@@ -130,10 +130,17 @@ def lookup_with_rejects(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -
 
 # JOIN12 ------------------------------------------------------------------------
 def predictions_by_station(pred: DataFrame, places: DataFrame, place: str = "place", name: str = "station",
-                           fields: Sequence[str] = ("time", "lat", "lon", "value", "origintime")) -> DataFrame:
-    """Group predictions by station name, nested and sorted by time."""
+                           fields: Sequence[str] = ("time", "lat", "lon", "value", "origintime"),
+                           day: str | None = "time") -> DataFrame:
+    """Predictions grouped by station name, nested and sorted by time.
+
+    The nested list is built per (station, day of ``day``) so that a list
+    never holds more than one day of a station (a whole-history list per
+    station would be an unbounded group). ``day=None`` nests per station.
+    """
     j = pred.join(places.select(place, name), place)
-    return j.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("predictions"))
+    keys = [name] + ([F.to_date(day).alias("day")] if day else [])
+    return j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("predictions"))
 
 
 # JOIN13 ------------------------------------------------------------------------
@@ -160,9 +167,10 @@ def nearest_within(points: DataFrame, sites: DataFrame, n: int = NEAREST_OBS_STA
               .withColumn("_cy", F.floor(F.col("_plat") / cell_lat)) \
               .withColumn("_cx", F.floor(F.col("_plon") / cell_lon))
     offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    s = sites.select(F.col(sid).alias("_sid"), F.col(lat).alias("_slat"), F.col(lon).alias("_slon")) \
-             .withColumn("_cy", F.floor(F.col("_slat") / cell_lat) + F.explode(offs))
-    s = s.withColumn("_cx", F.floor(F.col("_slon") / cell_lon) + F.explode(offs))
+    s = sites.select(F.col(sid).alias("_sid"), F.col(lat).alias("_slat"), F.col(lon).alias("_slon"),
+                     F.explode(offs).alias("_dy")).select("*", F.explode(offs).alias("_dx"))
+    s = s.withColumn("_cy", F.floor(F.col("_slat") / cell_lat) + F.col("_dy")) \
+         .withColumn("_cx", F.floor(F.col("_slon") / cell_lon) + F.col("_dx")).drop("_dy", "_dx")
     j = p.join(s, ["_cy", "_cx"]).withColumn("dist_km", haversine_km("_plat", "_plon", "_slat", "_slon")) \
          .where(F.col("dist_km") <= max_km)
     w = Window.partitionBy("_pid").orderBy("dist_km", "_sid")

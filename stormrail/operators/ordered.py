@@ -52,6 +52,7 @@ def bucketed_window(
     range_before_s: int | None = None,
     range_after_s: int | None = None,
     bucket_days: int = DEFAULT_BUCKET_DAYS,
+    bucket_expr: Column | None = None,
 ) -> DataFrame:
     """Add the columns returned by ``compute(window_spec)`` to ``df``.
 
@@ -63,6 +64,9 @@ def bucketed_window(
     spec is then ordered by whole epoch seconds, so use
     ``spec.rangeBetween(-seconds, 0)``).
     The result equals ``Window.partitionBy(*keys).orderBy(*order)``.
+
+    ``bucket_expr`` replaces the time bucket by any expression that is
+    non-decreasing in ``order`` (ROWS frames only), e.g. a latitude band.
     """
     keys = list(keys)
     order = list(order)
@@ -70,7 +74,9 @@ def bucketed_window(
     cols = df.columns
     b = "_sr_bucket"
     use_range = range_before_s is not None or range_after_s is not None
-    base = df.withColumn(b, _bucket(ts, bucket_days))
+    if bucket_expr is not None and use_range:
+        raise ValueError("bucket_expr only supports ROWS frames")
+    base = df.withColumn(b, bucket_expr if bucket_expr is not None else _bucket(ts, bucket_days))
     if use_range:
         # RANGE frames are expressed on whole epoch seconds of the time column
         base = base.withColumn("_sr_sec", epoch_seconds_ntz(ts))
@@ -82,6 +88,9 @@ def bucketed_window(
     base = base.select("*", *[v.alias(k) for k, v in out_local.items()])
     names = list(out_local)
     if use_range:
+        span = max(int(range_before_s or 0), int(range_after_s or 0))
+        if span > bucket_days * 86400:
+            raise ValueError("range frame wider than a bucket")
         rb = int(range_before_s or 0)
         ra = int(range_after_s or 0)
         sec = epoch_seconds_ntz(ts)
