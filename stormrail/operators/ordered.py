@@ -11,7 +11,8 @@ Two building blocks used by the time-series, split and curve operators:
     spread over as many tasks as it has buckets. Only rows whose frame crosses
     a bucket edge (the first ``k_before`` / last ``k_after`` rows of each
     bucket, or the rows within the range of an edge) are recomputed exactly in
-    a second pass over *edge rows only*: at most ``2k`` rows per bucket, so
+    a second pass over *edge rows only*: at most ``2(k_before + k_after)``
+    rows per bucket, so
     that pass is bounded by the number of buckets (time span), not by the
     data volume.
 
@@ -72,16 +73,16 @@ def bucketed_window(
     order = list(order)
     ts = order[0]
     cols = df.columns
-    b = "_sr_bucket"
+    b = "_bw_bucket"
     use_range = range_before_s is not None or range_after_s is not None
     if bucket_expr is not None and use_range:
         raise ValueError("bucket_expr only supports ROWS frames")
     base = df.withColumn(b, bucket_expr if bucket_expr is not None else _bucket(ts, bucket_days))
     if use_range:
         # RANGE frames are expressed on whole epoch seconds of the time column
-        base = base.withColumn("_sr_sec", epoch_seconds_ntz(ts))
-        order = ["_sr_sec"] + order[1:]
-        cols = cols + ["_sr_sec"]
+        base = base.withColumn("_bw_sec", epoch_seconds_ntz(ts))
+        order = ["_bw_sec"] + order[1:]
+        cols = cols + ["_bw_sec"]
     local = Window.partitionBy(*keys, b).orderBy(*order)
     whole = Window.partitionBy(*keys, b)
     out_local = compute(local)
@@ -97,25 +98,26 @@ def bucketed_window(
         start = F.col(b) * (bucket_days * 86400)
         end = start + bucket_days * 86400
         needs_fix = (sec < start + rb) | (sec >= end - ra)
-        # context: rows that any fixed row's range can reach
-        is_edge = (sec < start + max(rb, ra)) | (sec >= end - max(rb, ra))
-        base = base.withColumn("_sr_fix", needs_fix).withColumn("_sr_edge", is_edge)
+        # context: every row that the frame of a fixed row can reach
+        is_edge = (sec < start + rb + ra) | (sec >= end - rb - ra)
+        base = base.withColumn("_bw_fix", needs_fix).withColumn("_bw_edge", is_edge)
     else:
-        kmax = max(k_before, k_after)
+        # a fixed row's frame reaches k_before + k_after rows into the bucket
+        kmax = k_before + k_after
         rn = F.row_number().over(local)
         cnt = F.count(F.lit(1)).over(whole)
-        base = base.withColumn("_sr_rn", rn).withColumn("_sr_n", cnt)
-        base = base.withColumn("_sr_fix", (F.col("_sr_rn") <= k_before)
-                               | (F.col("_sr_n") - F.col("_sr_rn") < k_after)) \
-                   .withColumn("_sr_edge", (F.col("_sr_rn") <= kmax) | (F.col("_sr_n") - F.col("_sr_rn") < kmax))
-    inner = base.where(~F.col("_sr_fix")).select(*cols, *names)
-    edge = base.where(F.col("_sr_edge")).select(*cols, "_sr_fix")
+        base = base.withColumn("_bw_rn", rn).withColumn("_bw_n", cnt)
+        base = base.withColumn("_bw_fix", (F.col("_bw_rn") <= k_before)
+                               | (F.col("_bw_n") - F.col("_bw_rn") < k_after)) \
+                   .withColumn("_bw_edge", (F.col("_bw_rn") <= kmax) | (F.col("_bw_n") - F.col("_bw_rn") < kmax))
+    inner = base.where(~F.col("_bw_fix")).select(*cols, *names)
+    edge = base.where(F.col("_bw_edge")).select(*cols, "_bw_fix")
     wide = Window.partitionBy(*keys).orderBy(*order)
     out_edge = compute(wide)
     fixed = edge.select("*", *[v.alias(k) for k, v in out_edge.items()]) \
-                .where(F.col("_sr_fix")).select(*cols, *names)
+                .where(F.col("_bw_fix")).select(*cols, *names)
     out = inner.unionByName(fixed)
-    return out.drop("_sr_sec") if use_range else out
+    return out.drop("_bw_sec") if use_range else out
 
 
 def prefix_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
@@ -123,9 +125,13 @@ def prefix_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
     """Running (inclusive) sums of ``sums`` in the total order ``order``.
 
     ``order`` must be unique per row. Rows are range-partitioned on the
-    order, summed inside each range, then shifted by the totals of all
-    earlier ranges (a table with one row per partition, broadcast).
+    order and summed inside each range (one window pass that also yields the
+    range's total). Range bounds come from sampling, so the partitioned rows
+    are checkpointed once into the shared checkpoint folder: the totals
+    (one row per partition, broadcast) and the rows they are added to then
+    come from the same partitioning, also after a lost executor.
     """
+    from stormrail.session import cut_lineage
     spark = df.sparkSession
     if n_parts is None:
         n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -133,18 +139,21 @@ def prefix_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
     if descending:
         ocols = [o.desc() for o in ocols]
     names = list(sums)
-    pid = "_sr_pid"
-    ranged = df.select("*", *[v.alias(f"_sr_v_{k}") for k, v in sums.items()]) \
+    pid = "_ps_pid"
+    ranged = df.select("*", *[v.alias(f"_ps_v_{k}") for k, v in sums.items()]) \
                .repartitionByRange(n_parts, *ocols).withColumn(pid, F.spark_partition_id())
     w_local = Window.partitionBy(pid).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(f"_sr_v_{k}").over(w_local).alias(f"_sr_l_{k}") for k in names])
-    totals = ranged.groupBy(pid).agg(*[F.sum(f"_sr_v_{k}").alias(f"_sr_t_{k}") for k in names])
+    w_all = Window.partitionBy(pid)
+    local = ranged.select("*", *[F.sum(f"_ps_v_{k}").over(w_local).alias(f"_ps_l_{k}") for k in names],
+                          *[F.sum(f"_ps_v_{k}").over(w_all).alias(f"_ps_t_{k}") for k in names])
+    local = cut_lineage(local)
+    totals = local.groupBy(pid).agg(*[F.first(f"_ps_t_{k}").alias(f"_ps_t_{k}") for k in names])
     w_off = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: the window below runs over at most n_parts rows
-    offsets = totals.select(pid, *[F.coalesce(F.sum(f"_sr_t_{k}").over(w_off), F.lit(0)).alias(f"_sr_o_{k}")
+    offsets = totals.select(pid, *[F.coalesce(F.sum(f"_ps_t_{k}").over(w_off), F.lit(0)).alias(f"_ps_o_{k}")
                                    for k in names])
     joined = local.join(F.broadcast(offsets), pid)
-    return joined.select(*df.columns, *[(F.col(f"_sr_l_{k}") + F.col(f"_sr_o_{k}")).alias(k) for k in names])
+    return joined.select(*df.columns, *[(F.col(f"_ps_l_{k}") + F.col(f"_ps_o_{k}")).alias(k) for k in names])
 
 
 def global_row_number(df: DataFrame, order: Sequence, name: str = "row_no",
