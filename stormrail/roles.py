@@ -186,4 +186,8 @@ def with_roles(sql: str, *extra_ctes: tuple[str, str]) -> str:
     ctes += [f"{n} as ({body})" for n, body in extra_ctes]
     if not ctes:
         return sql
+    body = sql.lstrip()
+    if body[:5].lower() == "with ":
+        # the query has its own WITH list: continue it after the role CTEs
+        return "with " + ",\n".join(ctes) + ",\n" + body[5:]
     return "with " + ",\n".join(ctes) + "\n" + sql
