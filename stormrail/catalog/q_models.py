@@ -1 +1,245 @@
-"""Registered queries."""
+"""Registered queries: feature transforms, models and predictions (FTR*, MOD*, PRED*, NET1, MET14-16)."""
+
+from pyspark.sql import functions as F
+
+from stormrail.catalog import query
+from stormrail.catalog.q_plans import features
+from stormrail.catalog.util import R, r6, sql_r6, with_roles
+from stormrail.operators import models as MD
+from stormrail.operators.sampling import holdout, time_folds
+
+KEYS = ["station", "time", "train_type"]
+FEATS = ["train_count", "prec", "gust", "vis", "n", "prec_3h", "prec_6h", "flashcount"]
+
+
+def _data(spark, sf):
+    f = features(spark, sf).withColumn("label", (F.col("delay") > 50).cast("int"))
+    return holdout(f, KEYS, 30)
+
+
+def _train_test(spark, sf):
+    d = _data(spark, sf)
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+
+
+_SC = ["gust", "prec", "flashcount"]
+
+
+@query("ftr1_scale", with_roles(", ".join(
+    [f"select station, time, train_type"] +
+    [f"{sql_r6(f'({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1)', 4)} as {c}" for c in _SC])
+    + " from (" + __import__("stormrail.catalog.q_plans", fromlist=["ING1_BODY"]).ING1_BODY + ")"))
+def ftr1_scale(spark, sf):
+    f = features(spark, sf)
+    st = MD.fit_standard_scaler(f, _SC)
+    out = MD.apply_standard_scaler(f, st, _SC)
+    return out.select(*KEYS, *[r6(c, 4).alias(c) for c in _SC])
+
+
+@query("ftr1_inverse", with_roles(", ".join(
+    ["select station, time, train_type"] + [f"0.0 as {c}_roundtrip_error" for c in _SC])
+    + " from (" + __import__("stormrail.catalog.q_plans", fromlist=["ING1_BODY"]).ING1_BODY + ")"))
+def ftr1_inverse(spark, sf):
+    f = features(spark, sf)
+    st = MD.fit_standard_scaler(f, _SC)
+    back = MD.apply_standard_scaler(MD.apply_standard_scaler(f, st, _SC), st, _SC, inverse=True)
+    j = back.select(*KEYS, *[F.col(c).alias(f"b_{c}") for c in _SC]).join(f.select(*KEYS, *_SC), KEYS)
+    return j.select(*KEYS, *[r6(F.col(f"b_{c}") - F.col(c)).alias(f"{c}_roundtrip_error") for c in _SC])
+
+
+@query("ftr2_minmax", with_roles(", ".join(
+    ["select vec_id"] + [f"{sql_r6(f'case when max(f{i}) over () <> min(f{i}) over () then -1 + (f{i} - min(f{i}) over ()) * 2 / (max(f{i}) over () - min(f{i}) over ()) else 0 end')} as f{i}" for i in range(4)])
+    + " from r_vec"))
+def ftr2_minmax(spark, sf):
+    v = R.vectors(spark, sf)
+    cols = [f"f{i}" for i in range(4)]
+    out = MD.apply_minmax(v, MD.fit_minmax(v, cols), cols)
+    return out.select("vec_id", *[r6(c).alias(c) for c in cols])
+
+
+_V8 = [f"f{i}" for i in range(8)]
+
+
+@query("ftr3_pca_whiten")
+def ftr3_pca_whiten(spark, sf):
+    v = R.vectors(spark, sf)
+    model, means, eig = MD.fit_pca(v, _V8, 3)
+    out = MD.apply_pca(v, model, means, _V8, eig, whiten=True, keep=["vec_id"])
+    return out.select("vec_id", *[F.col("pc")[i].alias(f"pc{i}") for i in range(3)])
+
+
+@query("met14_explained_variance")
+def met14_explained_variance(spark, sf):
+    v = R.vectors(spark, sf)
+    model, _, eig = MD.fit_pca(v, _V8, 4)
+    ratios = model.explainedVariance.toArray().tolist()
+    return spark.createDataFrame([(i, float(r), float(e)) for i, (r, e) in enumerate(zip(ratios, eig))],
+                                 "component int, ratio double, eigenvalue double")
+
+
+@query("met17_pca_reconstruction")
+def met17_pca_reconstruction(spark, sf):
+    from stormrail.operators.metrics import reconstruction_error
+    v = R.vectors(spark, sf)
+    model, means, _ = MD.fit_pca(v, _V8, 3)
+    rec = MD.reconstruct_pca(v, model, means, _V8, keep=["vec_id", "label"])
+    return rec.select("vec_id", "label", reconstruction_error(F.col("x"), F.col("x_hat")).alias("err")) \
+              .withColumn("above_5", F.col("err") > 5)
+
+
+def _predict(spark, sf, kind, label, **params):
+    train, test = _train_test(spark, sf)
+    m = MD.fit_model(train, FEATS, label, kind, **params)
+    return m.transform(test).select(*KEYS, F.col(label).alias("y"), "prediction")
+
+
+@query("mod1_rf_regressor")
+def mod1_rf_regressor(spark, sf):
+    return _predict(spark, sf, "rf_regressor", "delay", numTrees=20, maxDepth=6, seed=7)
+
+
+@query("mod1_rf_classifier")
+def mod1_rf_classifier(spark, sf):
+    return _predict(spark, sf, "rf_classifier", "label", numTrees=20, maxDepth=6, seed=7)
+
+
+@query("mod2_gbt_regressor")
+def mod2_gbt_regressor(spark, sf):
+    return _predict(spark, sf, "gbt_regressor", "delay", maxIter=10, maxDepth=4, seed=7)
+
+
+@query("mod2_gbt_classifier")
+def mod2_gbt_classifier(spark, sf):
+    return _predict(spark, sf, "gbt_classifier", "label", maxIter=10, maxDepth=4, seed=7)
+
+
+@query("mod3_linear_elastic")
+def mod3_linear_elastic(spark, sf):
+    return _predict(spark, sf, "linear", "delay", regParam=0.1, elasticNetParam=0.5)
+
+
+@query("mod5_linear_svc")
+def mod5_linear_svc(spark, sf):
+    return _predict(spark, sf, "linear_svc", "label", maxIter=20, regParam=0.01)
+
+
+@query("mod6_mixture")
+def mod6_mixture(spark, sf):
+    v = R.vectors(spark, sf)
+    m = MD.fit_model(v, _V8, "label", "gmm", k=4, seed=7, maxIter=20)
+    return m.transform(v).select("vec_id", "prediction")
+
+
+def _gnb_sql():
+    fs = [f"f{i}" for i in range(8)]
+    eps = "1e-9 * greatest(" + ", ".join(f"(select var_pop({f}) from r_vec)" for f in fs) + ")"
+    stats = ("select label, count(*) / (select count(*) from r_vec) as prior, "
+             + ", ".join(f"avg({f}) as m_{f}, var_pop({f}) + {eps} as v_{f}" for f in fs) + " from r_vec group by label")
+    ll = "ln(s.prior)" + "".join(f" - 0.5 * ln(2 * pi() * s.v_{f}) - pow(r.{f} - s.m_{f}, 2) / (2 * s.v_{f})" for f in fs)
+    return with_roles(f"""
+select vec_id, pred from (select r.vec_id, s.label as pred, row_number() over (partition by r.vec_id order by {ll} desc, s.label) as rn
+  from r_vec r, st s) where rn = 1""", ("st", stats))
+
+
+@query("mod4_gnb", _gnb_sql())
+def mod4_gnb(spark, sf):
+    v = R.vectors(spark, sf)
+    st = MD.gaussian_nb_fit(v, _V8, "label")
+    return MD.gaussian_nb_predict(v, st, _V8, "label", ["vec_id"]).select("vec_id", "pred")
+
+
+@query("mod7_random_search")
+def mod7_random_search(spark, sf):
+    d = _data(spark, sf)
+    folds = time_folds(d, ["time", "station", "train_type"], 3)
+    res = MD.random_search(folds, FEATS, "delay", "rf_regressor",
+                           {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=folds, n_iter=2, seed=7)
+    return spark.createDataFrame(res)
+
+
+@query("ftr4_select_important")
+def ftr4_select_important(spark, sf):
+    train, _ = _train_test(spark, sf)
+    m = MD.fit_model(train, FEATS, "delay", "rf_regressor", numTrees=10, maxDepth=5, seed=7)
+    keep = MD.select_important(m, FEATS)
+    imp = MD.feature_importances(m, FEATS)
+    imp["selected"] = imp["feature"].isin(keep)
+    return spark.createDataFrame(imp)
+
+
+@query("ftr5_feature_subsets")
+def ftr5_feature_subsets(spark, sf):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    train, test = _train_test(spark, sf)
+    ev = RegressionEvaluator(labelCol="delay", predictionCol="prediction", metricName="rmse")
+    rows = []
+    for name, cols in {"counts": ["train_count"], "weather": ["prec", "gust", "vis", "prec_3h"], "all": FEATS}.items():
+        m = MD.fit_model(train, cols, "delay", "linear", regParam=0.1)
+        rows.append((name, ",".join(cols), float(ev.evaluate(m.transform(test)))))
+    return spark.createDataFrame(rows, "subset string, features string, rmse double")
+
+
+@query("met16_learning_curve")
+def met16_learning_curve(spark, sf):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from stormrail.operators.sampling import hash_percent
+    train, test = _train_test(spark, sf)
+    ev = RegressionEvaluator(labelCol="delay", predictionCol="prediction", metricName="rmse")
+    rows = []
+    for pct in (20, 40, 60, 80, 100):
+        part = train.where(hash_percent(KEYS, 11) < pct)
+        m = MD.fit_model(part, FEATS, "delay", "linear", regParam=0.1)
+        rows.append((pct, float(ev.evaluate(m.transform(part))), float(ev.evaluate(m.transform(test)))))
+    return spark.createDataFrame(rows, "train_percent int, train_rmse double, test_rmse double")
+
+
+@query("mod8_per_station_linear", with_roles(f"""
+select station, {sql_r6('regr_intercept(y, train_count)', 4)} as intercept, {sql_r6('regr_slope(y, train_count)', 4)} as slope,
+  count(*) as n from (select d.station, d.delay as y, cast(d.train_count as double) as train_count from r_delays d) group by station"""))
+def mod8_per_station_linear(spark, sf):
+    d = R.delays(spark, sf)
+    coefs = MD.per_group_linear(d, "station", ["train_count"], "delay")
+    return coefs.select("station", r6(F.col("coef")[0], 4).alias("intercept"), r6(F.col("coef")[1], 4).alias("slope"), "n")
+
+
+@query("mod8_predict_fallback")
+def mod8_predict_fallback(spark, sf):
+    d = R.delays(spark, sf)
+    coefs = MD.per_group_linear(d, "station", ["train_count"], "delay", min_rows=1700)
+    overall = MD.per_group_linear(d.withColumn("_all", F.lit("all")), "_all", ["train_count"], "delay")
+    return MD.predict_per_group(d, coefs, "station", ["train_count"], fallback=overall).select(*KEYS, "prediction")
+
+
+@query("mod9_flagged_regressor")
+def mod9_flagged_regressor(spark, sf):
+    train, test = _train_test(spark, sf)
+    clf = MD.fit_model(train, FEATS, "label", "rf_classifier", numTrees=10, maxDepth=5, seed=7)
+    scored = clf.transform(train)
+    from pyspark.ml.functions import vector_to_array
+    scored = scored.withColumn("p1", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    reg = MD.fit_model(MD.flagged_rows(scored, "p1", 0.1), FEATS, "delay", "rf_regressor", numTrees=10, maxDepth=5, seed=7)
+    return reg.transform(test).select(*KEYS, "prediction")
+
+
+@query("pred1_dual", with_roles(f"""
+select station, time, train_type, {sql_r6('case when least(1.0, y_pred / 1000.0) >= 0.1 then y_pred else 0.0 end')} as dual
+from r_reg"""))
+def pred1_dual(spark, sf):
+    r = R.regression_eval(spark, sf).withColumn("p", F.least(F.lit(1.0), F.col("y_pred") / 1000.0))
+    return r.select(*KEYS, r6(MD.dual_prediction("p", "y_pred", 0.1)).alias("dual"))
+
+
+@query("pred2_dual_all", with_roles(f"""
+select station, time, train_type, {sql_r6('y_pred')} as y_pred, cast(least(1.0, y_pred / 1000.0) >= 0.1 as integer) as class
+from r_reg"""))
+def pred2_dual_all(spark, sf):
+    r = R.regression_eval(spark, sf).withColumn("p", F.least(F.lit(1.0), F.col("y_pred") / 1000.0))
+    return r.select(*KEYS, r6("y_pred").alias("y_pred"), (F.col("p") >= 0.1).cast("int").alias("class"))
+
+
+@query("net1_network_lasso")
+def net1_network_lasso(spark, sf):
+    f = features(spark, sf).select("station", "time", "train_type", "delay", "gust", "prec", "train_count")
+    coefs = MD.network_lasso(f, ["gust", "prec", "train_count"], "delay", "station", R.edges(spark, sf),
+                             ["time", "station", "train_type"], batch_size=50, num_iter=50, lam=1.0)
+    return coefs.select("batch", F.concat_ws(",", F.transform("coef", lambda x: F.round(x, 4).cast("string"))).alias("coef"), "n")
