@@ -110,12 +110,18 @@ def bucketed_window(
         base = base.withColumn("_bw_fix", (F.col("_bw_rn") <= k_before)
                                | (F.col("_bw_n") - F.col("_bw_rn") < k_after)) \
                    .withColumn("_bw_edge", (F.col("_bw_rn") <= kmax) | (F.col("_bw_n") - F.col("_bw_rn") < kmax))
+    # Both branches read the same columns of ``base`` (the fixed branch
+    # refers to the local values too), so their plans below the filters are
+    # identical and Spark shuffles the input of the local window only once
+    # (the exchange is reused).
     inner = base.where(~F.col("_bw_fix")).select(*cols, *names)
-    edge = base.where(F.col("_bw_edge")).select(*cols, "_bw_fix")
+    edge = base.where(F.col("_bw_edge")).select(*cols, *names, "_bw_fix")
     wide = Window.partitionBy(*keys).orderBy(*order)
     out_edge = compute(wide)
-    fixed = edge.select("*", *[v.alias(k) for k, v in out_edge.items()]) \
-                .where(F.col("_bw_fix")).select(*cols, *names)
+    fixed = edge.select(*cols, "_bw_fix", *names, *[v.alias(f"_bw_w_{k}") for k, v in out_edge.items()]) \
+                .where(F.col("_bw_fix")) \
+                .select(*cols, *[F.when(F.col("_bw_fix"), F.col(f"_bw_w_{k}")).otherwise(F.col(k)).alias(k)
+                                 for k in names])
     out = inner.unionByName(fixed)
     return out.drop("_bw_sec") if use_range else out
 
