@@ -10,13 +10,18 @@ from stormrail.roles import read_table, with_roles  # noqa: F401
 
 
 def r6(x, places: int = 6) -> Column:
-    """Round a double for comparison; ``+ 0.0`` turns -0.0 into 0.0."""
+    """Round a double for comparison as floor(x * 10^p + 0.5) / 10^p: the
+    same IEEE operations in Spark and in the SQL oracle give bit-identical
+    results (``round`` differs between engines on values such as
+    67.0921875, whose shortest decimal form ends in 5)."""
     col = F.col(x) if isinstance(x, str) else x
-    return F.round(col.cast("double"), places) + F.lit(0.0)
+    scale = float(10 ** places)
+    return (F.floor(col.cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)) + F.lit(0.0)
 
 
 def sql_r6(expr: str, places: int = 6) -> str:
-    return f"(round(cast({expr} as double), {places}) + 0.0)"
+    scale = f"{float(10 ** places)!r}"
+    return f"(floor(cast({expr} as double) * {scale} + 0.5) / {scale} + 0.0)"
 
 
 def rounded(df: DataFrame, cols, places: int = 6) -> DataFrame:
