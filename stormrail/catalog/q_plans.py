@@ -33,3 +33,128 @@ def ing1_features(spark, sf):
     f = features(spark, sf)
     return f.select("station", "time", "train_type", "train_count", r6("delay").alias("delay"),
                     r6("total_delay").alias("total_delay"), *[r6(c).alias(c) for c in WEATHER], "flashcount")
+
+
+from stormrail.operators.sets import concat_all, difference, union_times  # noqa: E402
+from stormrail.plans.heatmap import heatmap_long, heatmap_wide  # noqa: E402
+
+_HEAT_SQL = f"""
+with l1 as (select station, time, avg(y) as m, min(lat) as lat from r_reg {{where}} group by station, time),
+mm as (select min(m) as lo, max(m) as hi from l1),
+l2 as (select station, cast({{part}}(time) as integer) as {{by}}, avg(m) as mean from l1 group by all),
+o as (select station, row_number() over (order by lat, t, station) as "order" from
+      (select station, min(lat) as lat, min(time) as t from l1 group by station))
+select l2.station, l2.{{by}}, {sql_r6('mean')} as mean,
+  {sql_r6('case when hi - lo <> 0 then 255 * (mean - lo) / (hi - lo) end')} as scaled, cast(o."order" as bigint) as "order"
+from l2 join o using (station), mm"""
+
+
+@query("heat1_long", with_roles(_HEAT_SQL.format(where="", part="dayofyear", by="dayofyear")))
+def heat1_long(spark, sf):
+    h = heatmap_long(R.regression_eval(spark, sf).withColumnRenamed("y", "delay"))
+    return h.select("station", "dayofyear", r6("mean").alias("mean"), r6("scaled").alias("scaled"),
+                    F.col("order").cast("long").alias("order"))
+
+
+@query("heat1_passenger_hour", with_roles(_HEAT_SQL.format(where="where train_type in ('K', 'L')", part="hour", by="hour")))
+def heat1_passenger_hour(spark, sf):
+    h = heatmap_long(R.regression_eval(spark, sf).withColumnRenamed("y", "delay"), by="hour", train_types=["K", "L"])
+    return h.select("station", "hour", r6("mean").alias("mean"), r6("scaled").alias("scaled"),
+                    F.col("order").cast("long").alias("order"))
+
+
+@query("heat1_wide")
+def heat1_wide(spark, sf):
+    st = [r[0] for r in R.stations(spark, sf).orderBy("lat").select("station").collect()]  # station dimension
+    h = heatmap_long(R.regression_eval(spark, sf).withColumnRenamed("y", "delay"))
+    return heatmap_wide(h, st)
+
+
+@query("set1_union_by_name", with_roles("""
+select station, time, 'delay' as source, cast(null as double) as gust from r_delays
+union all select station, time, null as source, gust from r_obs"""))
+def set1_union_by_name(spark, sf):
+    d = R.delays(spark, sf).select("station", "time", F.lit("delay").alias("source"))
+    o = R.observations(spark, sf).select("station", "time", "gust")
+    return concat_all([d, o])
+
+
+@query("set2_union_times", with_roles("""select time from r_delays union select time from r_obs"""))
+def set2_union_times(spark, sf):
+    return union_times([R.delays(spark, sf), R.observations(spark, sf)])
+
+
+@query("set3_difference", with_roles("""
+select station, time, train_type from r_delays d where not exists
+  (select 1 from r_obs o where o.station = d.station and o.time = d.time)"""))
+def set3_difference(spark, sf):
+    return difference(R.delays(spark, sf).select("station", "time", "train_type"), R.observations(spark, sf),
+                      ["station", "time"])
+
+
+@query("set4_all_stations", with_roles(f"""
+select station, count(*) as n, {sql_r6('avg(y)')} as mean_y from r_reg group by station"""))
+def set4_all_stations(spark, sf):
+    r = R.regression_eval(spark, sf)
+    return r.groupBy("station").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("y")).alias("mean_y"))
+
+
+@query("srt1_order_by", with_roles("""select station, time, train_type from r_delays order by station, time, train_type"""))
+def srt1_order_by(spark, sf):
+    return R.delays(spark, sf).select("station", "time", "train_type").orderBy("station", "time", "train_type")
+
+
+@query("prj4_local_to_utc", """
+select l_orderkey, l_linenumber,
+  cast(timezone('UTC', case when timezone('Europe/Helsinki', t - interval 1 hour) = loc then t - interval 1 hour else t end)
+       as timestamp) as utc
+from (select l_orderkey, l_linenumber, loc, timezone('Europe/Helsinki', loc) as t
+      from (select *, l_shipdate + to_hours(l_linenumber) as loc from lineitem))""")
+def prj4_local_to_utc(spark, sf):
+    from stormrail.functions.scalar import local_to_utc
+    li = R.read_table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber",
+                     local_to_utc(F.timestamp_add("HOUR", F.col("l_linenumber"), F.col("l_shipdate")),
+                                  "Europe/Helsinki").alias("utc"))
+
+
+def _forecast_inputs(spark, sf):
+    from stormrail.operators.models import per_group_linear
+    st = R.stations(spark, sf)
+    places = st.select(F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("place"),
+                       "station_name", "station")
+    hist = features(spark, sf).join(st.select("station", "station_name"), "station")
+    coefs = per_group_linear(hist, "station_name", ["prec_3h", "gust"], "delay")
+    fc = R.observations(spark, sf).join(places, "station").select("place", "time", "prec", "gust")
+    return fc, coefs, places
+
+
+@query("pred3_forecast_scoring")
+def pred3_forecast_scoring(spark, sf):
+    from stormrail.plans.forecast import nest_predictions, score_forecasts
+    fc, coefs, places = _forecast_inputs(spark, sf)
+    scored = score_forecasts(fc, coefs, places, ["prec_3h", "gust"])
+    nested = nest_predictions(scored, places)
+    return nested.select("station_name", F.col("day").cast("string").alias("day"), F.size("predictions").alias("n"))
+
+
+@query("snk9_insert_new", with_roles("""
+select station, time, cast(time + interval 6 hours as timestamp) as analysistime from r_obs where day(time) >= 10
+except select station, time, cast(time + interval 6 hours as timestamp) from r_obs where day(time) < 20"""))
+def snk9_insert_new(spark, sf):
+    from stormrail.plans.forecast import rows_to_insert
+    o = R.observations(spark, sf).select("station", "time",
+                                         F.timestamp_add("HOUR", F.lit(6), F.col("time")).alias("analysistime"))
+    new = o.where(F.dayofmonth("time") >= 10)
+    stored = o.where(F.dayofmonth("time") < 20)
+    return rows_to_insert(new, stored, ["station", "time", "analysistime"])
+
+
+@query("snk10_retention", with_roles("""
+select station, time, analysistime from (select station, time, cast(time + interval 6 hours as timestamp) as analysistime from r_obs)
+where not (analysistime < timestamp '2024-01-15' and time < timestamp '2024-01-15')"""))
+def snk10_retention(spark, sf):
+    from stormrail.plans.forecast import retention
+    o = R.observations(spark, sf).select("station", "time",
+                                         F.timestamp_add("HOUR", F.lit(6), F.col("time")).alias("analysistime"))
+    return retention(o, "2024-01-15 00:00:00")

@@ -27,7 +27,7 @@ __all__ = [
     "iso_hour", "strip_chars", "dash_to_underscore", "split_list",
     "epoch_to_ts", "trunc_int", "proba_to_class", "pad_array", "parse_time",
     "null_count", "soft_threshold", "tanimoto", "argmax", "train_type_code",
-    "shift", "month_of", "dayofyear_of", "hour_of", "date_of", "event_hour",
+    "shift", "month_of", "dayofyear_of", "hour_of", "date_of", "event_hour", "local_to_utc",
 ]
 
 
@@ -278,3 +278,12 @@ def train_type_code(x) -> Column:
 
 def shift(x, k: float = -1) -> Column:
     return c(x) + F.lit(k)
+
+
+# PRJ4 -------------------------------------------------------------------------
+def local_to_utc(ts, zone: str = "Europe/Helsinki") -> Column:
+    """Wall-clock time in ``zone`` -> UTC wall clock (TIMESTAMP_NTZ). The
+    zone is a parameter (the raw files were requested in local time). A
+    wall-clock time that occurs twice (the autumn DST hour) resolves to the
+    earlier instant."""
+    return F.to_utc_timestamp(c(ts).cast("string"), zone).cast("string").cast("timestamp_ntz")
