@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from stormrail.catalog import (  # noqa: F401
         q_scalar, q_filters, q_windows, q_aggregates, q_joins, q_sequences,
-        q_sampling, q_metrics, q_models, q_plans,
+        q_sampling, q_metrics, q_models, q_plans, q_io,
     )

@@ -1 +1 @@
-"""stormrail.sources."""
+"""Readers (SRC*) and writers (SNK*)."""
