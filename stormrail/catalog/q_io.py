@@ -276,3 +276,21 @@ def snk17_model_roundtrip(spark, sf):
     missing = SK.load_model(path + "-missing")
     out = loaded.transform(d).select("station", "time", "train_type", "prediction")
     return out.withColumn("missing_model_is_none", F.lit(missing is None))
+
+
+@query("str1_stream_hourly_count", with_roles("""
+select station, date_trunc('hour', time) as time, count(*) as count from r_strikes group by all"""))
+def str1_stream_hourly_count(spark, sf):
+    from stormrail.streaming.strikes import run_hourly_counts
+    s = R.strikes(spark, sf).select("station", "time")
+    src = SK.scratch_path(spark, "strike-stream")
+    # land the strikes as files in time order: one file per 5-day slice
+    day = F.datediff(F.to_date("time"), F.lit("1970-01-01").cast("date"))
+    s = s.withColumn("_slice", F.floor(day / 5))
+    slices = [r[0] for r in s.select("_slice").distinct().orderBy("_slice").collect()]  # one row per slice
+    for k in slices:
+        s.where(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(src)
+    out = SK.scratch_path(spark, "strike-stream-out")
+    ckpt = SK.scratch_path(spark, "strike-stream-ckpt")
+    schema = s.drop("_slice").schema
+    return run_hourly_counts(spark, src, schema, out, ckpt)

@@ -1 +1 @@
-"""stormrail.streaming."""
+"""Structured Streaming form of the strike roll-up (STR1)."""
