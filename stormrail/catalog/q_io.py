@@ -13,7 +13,8 @@ from stormrail.catalog.util import R, r6, read_table, sql_r6, with_roles
 from stormrail.sources import readers as RD
 from stormrail.sources import sinks as SK
 
-_TYPE = F.when(F.col("l_returnflag") == "R", "K").when(F.col("l_returnflag") == "A", "L").otherwise("T")
+def _type():
+    return F.when(F.col("l_returnflag") == "R", "K").when(F.col("l_returnflag") == "A", "L").otherwise("T")
 _TYPE_SQL = "case l_returnflag when 'R' then 'K' when 'A' then 'L' else 'T' end"
 
 
@@ -35,7 +36,7 @@ def src3_delays_csv(spark, sf):
     rows = li.select(F.to_date("l_shipdate").cast("string").alias("date"), F.col("l_linenumber").alias("start_hour"),
                      F.concat(F.lit("S"), (F.col("l_partkey") % 20).cast("string")).alias("src"),
                      F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("dst"),
-                     _TYPE.alias("train_type"), F.col("l_quantity").alias("sum_delay"), F.lit(0.0).alias("sum_ahead"),
+                     _type().alias("train_type"), F.col("l_quantity").alias("sum_delay"), F.lit(0.0).alias("sum_ahead"),
                      (F.floor("l_extendedprice") / 1024.0).alias("add_delay"), F.lit(0.0).alias("add_ahead"),
                      F.lit(1).cast("long").alias("train_count"))
     path = SK.scratch_path(spark, "delays")

@@ -31,6 +31,7 @@ def _impute_sql(feats):
 
 @query("impu1_nearest", _impute_sql(["prec", "vis"]))
 def impu1_nearest(spark, sf):
+    # the station role has at most 20 rows by construction
     o = R.observations(spark, sf).join(F.broadcast(R.stations(spark, sf).select("station", "lat", "lon")), "station")
     o = o.select("station", "time", "lat", "lon", "prec", "vis", "gust")
     out = impute_nearest(o, ["prec", "vis"])

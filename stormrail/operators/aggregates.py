@@ -184,6 +184,7 @@ def feature_histograms(df: DataFrame, cols: Sequence[str], bins: int = 50,
     sets = F.array_compact(F.array(F.lit("A"), F.when(F.col("_sr_sub"), F.lit(subset_name))))
     long = long.select("feature", "value", F.explode(sets).alias("set"))
     rng = long.groupBy("set", "feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    # one row per (set, feature): bounded by the feature list
     j = long.join(F.broadcast(rng), ["set", "feature"])
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.when(width == 0, F.lit(0)).otherwise(

@@ -49,6 +49,7 @@ def stations_in(df: DataFrame, stations, station: str = "station") -> DataFrame:
     stations = list(stations)
     if len(stations) <= IN_LIST_MAX:
         return df.where(F.col(station).isin(stations))
+    # the list was passed in by the caller: its size is known here
     s = df.sparkSession.createDataFrame([(x,) for x in stations], [station])
     return df.join(F.broadcast(s), station, "left_semi")
 

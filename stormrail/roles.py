@@ -110,6 +110,7 @@ def regression_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the station's latitude."""
     d = delays(spark, sf_dir)
     st = stations(spark, sf_dir).select("station", "lat", "lon")
+    # the station role has at most N_STATIONS rows by construction
     return d.join(F.broadcast(st), "station").select(
         "station", "time", "train_type", "lat", "lon",
         F.col("delay").alias("y"), (F.col("train_count") * 25).cast("double").alias("y_pred"))
