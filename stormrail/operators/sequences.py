@@ -134,8 +134,10 @@ def time_step_batches(df: DataFrame, features: Sequence[str], label: str, strate
         rows = rows.where(F.col("_sr_size") >= bs)
     order = sample_order if sample_order is not None else F.xxhash64(F.col(station), F.col(time).cast("string"))
     if strategy in ("sample", "drop"):
-        w = Window.partitionBy(time).orderBy(order, station)
-        rows = rows.withColumn("_sr_pick", F.row_number().over(w)).where(F.col("_sr_pick") <= bs)
+        # rank inside each time step without a per-time-step window
+        from stormrail.operators.sampling import rank_within
+        rows = rank_within(rows.withColumn("_sr_ord", order), [time], ["_sr_ord", station], "_sr_pick") \
+            .where(F.col("_sr_pick") <= bs).drop("_sr_ord")
     item = F.struct(F.col(station).alias("station"),
                     F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
                     F.col(label).cast("double").alias("y"))
