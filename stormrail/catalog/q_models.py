@@ -202,12 +202,19 @@ def mod8_per_station_linear(spark, sf):
     return coefs.select("station", r6(F.col("coef")[0], 4).alias("intercept"), r6(F.col("coef")[1], 4).alias("slope"), "n")
 
 
-@query("mod8_predict_fallback")
+@query("mod8_predict_fallback", with_roles(f"""
+with st as (select station, regr_intercept(delay, train_count) as a, regr_slope(delay, train_count) as b
+            from r_delays group by station having count(*) >= 1700),
+al as (select regr_intercept(delay, train_count) as a, regr_slope(delay, train_count) as b from r_delays)
+select d.station, d.time, d.train_type,
+  {sql_r6('case when st.a is null then al.a + al.b * d.train_count else st.a + st.b * d.train_count end', 3)} as prediction
+from r_delays d left join st using (station), al"""))
 def mod8_predict_fallback(spark, sf):
     d = R.delays(spark, sf)
     coefs = MD.per_group_linear(d, "station", ["train_count"], "delay", min_rows=1700)
     overall = MD.per_group_linear(d.withColumn("_all", F.lit("all")), "_all", ["train_count"], "delay")
-    return MD.predict_per_group(d, coefs, "station", ["train_count"], fallback=overall).select(*KEYS, "prediction")
+    p = MD.predict_per_group(d, coefs, "station", ["train_count"], fallback=overall)
+    return p.select(*KEYS, r6("prediction", 3).alias("prediction"))
 
 
 @query("mod9_flagged_regressor")

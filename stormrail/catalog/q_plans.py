@@ -63,11 +63,18 @@ def heat1_passenger_hour(spark, sf):
                     F.col("order").cast("long").alias("order"))
 
 
-@query("heat1_wide")
+_WIDE_STATIONS = [f"S{k}" for k in range(20)]  # the station role's codes
+
+
+@query("heat1_wide", with_roles("""
+select dayofyear, """ + ", ".join(f'"{s}"' for s in _WIDE_STATIONS) + """ from (
+  pivot (select station, dayofyear, scaled from h) on station in (""" + ", ".join(f"'{s}'" for s in _WIDE_STATIONS) + """)
+  using first(scaled) group by dayofyear)""", ("h", _HEAT_SQL.format(where="", part="dayofyear", by="dayofyear")
+                                                .replace("with l1 as", "select * from (with l1 as") + ")")))
 def heat1_wide(spark, sf):
-    st = [r[0] for r in R.stations(spark, sf).orderBy("lat").select("station").collect()]  # station dimension
     h = heatmap_long(R.regression_eval(spark, sf).withColumnRenamed("y", "delay"))
-    return heatmap_wide(h, st)
+    h = h.withColumn("scaled", r6("scaled"))
+    return heatmap_wide(h, _WIDE_STATIONS)
 
 
 @query("set1_union_by_name", with_roles("""

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from stormrail.functions.constants import CLIMATOLOGY_RMSE_SUM
 from stormrail.operators.ordered import prefix_sums
-from stormrail.session import bounded_broadcast
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -138,7 +137,8 @@ def roc_points(df: DataFrame, y: str = "y", score: str = "proba", groups: Sequen
         # one row per group
         starts = tot.select(*groups, "P", "N", F.coalesce(F.sum("P").over(w), F.lit(0)).alias("_sp"),
                             F.coalesce(F.sum("N").over(w), F.lit(0)).alias("_sn"))
-        cum = cum.join(bounded_broadcast(starts, 1_000_000), groups) \
+        # one row per group; AQE broadcasts it from its runtime size
+        cum = cum.join(starts, groups) \
                  .withColumn("tp", F.col("tp") - F.col("_sp")).withColumn("fp", F.col("fp") - F.col("_sn")) \
                  .drop("_sp", "_sn", "_sr_ns")
     else:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormrail.operators.ordered import global_row_number
-from stormrail.session import bounded_broadcast
 
 
 def hash_order(keys: Sequence, seed: int = 42) -> Column:
@@ -39,8 +38,10 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence, name: str
     # one row per group: the running total over groups is small
     w = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*groups, F.coalesce(F.sum("_sr_cnt").over(w), F.lit(0)).alias("_sr_start"))
-    # one row per group: broadcast when the group count is proven small
-    j = g.join(bounded_broadcast(starts, 1_000_000), groups)
+    # One row per group. No count job to prove its size (that would compute
+    # the aggregate twice): AQE sees the materialised size of this side at
+    # run time and broadcasts it when small, else keeps the shuffle join.
+    j = g.join(starts, groups)
     return j.withColumn(name, F.col("_sr_pos") - F.col("_sr_start")).drop("_sr_pos", "_sr_start")
 
 

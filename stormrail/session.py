@@ -75,6 +75,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     never scans more than ``max_rows + 1`` rows per partition. Above the bound
     the frame is returned unchanged and Spark plans a shuffle join (AQE may
     still switch to a broadcast from runtime statistics).
+
+    Use it for dimensions read from files; for small sides that are
+    aggregates of the big input, prefer a plain join and let AQE decide from
+    the materialised stage size (the count here would compute the aggregate
+    one extra time).
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
