@@ -76,30 +76,32 @@ def interval_counts(rows: DataFrame, events: DataFrame, station: str = "station"
     lookup is an unbounded-following frame, computed per (station, bucket) and
     fixed up across bucket edges by carrying each bucket's first row time.
     """
-    ev = events.select(F.col(station).alias("_st"), F.col(time).alias("_t")) \
-               .withColumn("_is_row", F.lit(0))
-    r_keys = rows.select(F.col(station).alias("_st"), F.col(time).alias("_t")).distinct() \
-                 .withColumn("_is_row", F.lit(1))
+    # only the first of several rows with the same (station, time) gets the
+    # count; the row keys for the stream come from the same ranked rows, so
+    # both uses share one shuffle of ``rows``
+    ranked = rows.withColumn("_sr_first", F.row_number().over(
+        Window.partitionBy(station, time).orderBy(*(tiebreak or [time]))) == 1)
+    r_keys = ranked.where(F.col("_sr_first")).select(F.col(station).alias("_st"), F.col(time).alias("_t")) \
+                   .withColumn("_is_row", F.lit(1))
+    ev = events.select(F.col(station).alias("_st"), F.col(time).alias("_t")).withColumn("_is_row", F.lit(0))
     both = ev.unionByName(r_keys)
     # next row time at or after each event: events sort before rows at equal
     # time so that the frame of an event includes a row of the same time
     b = F.floor(F.datediff(F.to_date("_t"), F.lit("1970-01-01").cast("date")) / 28)
     both = both.withColumn("_b", b)
-    w = Window.partitionBy("_st", "_b").orderBy("_t", "_is_row") \
-              .rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_next", F.min(F.when(F.col("_is_row") == 1, F.col("_t"))).over(w))
-    # events whose bucket has no later row: take the first row time of a later bucket
-    firsts = r_keys.withColumn("_b", b).groupBy("_st", "_b").agg(F.min("_t").alias("_first"))
+    row_t = F.when(F.col("_is_row") == 1, F.col("_t"))
+    w = Window.partitionBy("_st", "_b").orderBy("_t", "_is_row").rowsBetween(0, Window.unboundedFollowing)
+    both = both.withColumn("_next", F.min(row_t).over(w)) \
+               .withColumn("_first", F.min(row_t).over(Window.partitionBy("_st", "_b")))
+    # events whose bucket has no later row take the first row time of a later
+    # bucket: one row per (station, bucket), bounded by the time span
+    firsts = both.groupBy("_st", "_b").agg(F.min("_first").alias("_first"))
     wb = Window.partitionBy("_st").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    # one row per (station, bucket): bounded by the time span
     firsts = firsts.withColumn("_later", F.min("_first").over(wb)).select("_st", "_b", "_later")
     evs = both.where(F.col("_is_row") == 0).join(firsts, ["_st", "_b"], "left") \
               .select("_st", F.coalesce("_next", "_later").alias("_target")) \
               .where(F.col("_target").isNotNull())
     counts = evs.groupBy("_st", "_target").agg(F.count(F.lit(1)).cast("long").alias(out))
-    # only the first of several rows with the same (station, time) gets the count
-    ranked = rows.withColumn("_sr_first", F.row_number().over(
-        Window.partitionBy(station, time).orderBy(*(tiebreak or [time]))) == 1)
     j = ranked.join(counts.withColumnRenamed("_st", station).withColumnRenamed("_target", time),
                     [station, time], "left")
     return j.withColumn(out, F.when(F.col("_sr_first"), F.coalesce(F.col(out), F.lit(0)))

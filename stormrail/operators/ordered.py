@@ -83,25 +83,25 @@ def bucketed_window(
         base = base.withColumn("_bw_sec", epoch_seconds_ntz(ts))
         order = ["_bw_sec"] + order[1:]
         cols = cols + ["_bw_sec"]
-    local = Window.partitionBy(*keys, b).orderBy(*order)
-    whole = Window.partitionBy(*keys, b)
-    out_local = compute(local)
-    base = base.select("*", *[v.alias(k) for k, v in out_local.items()])
-    names = list(out_local)
     if use_range:
         span = max(int(range_before_s or 0), int(range_after_s or 0))
         if span > bucket_days * 86400:
             raise ValueError("range frame wider than a bucket")
         rb = int(range_before_s or 0)
         ra = int(range_after_s or 0)
-        sec = epoch_seconds_ntz(ts)
+        sec = F.col("_bw_sec")
         start = F.col(b) * (bucket_days * 86400)
         end = start + bucket_days * 86400
-        needs_fix = (sec < start + rb) | (sec >= end - ra)
-        # context: every row that the frame of a fixed row can reach
-        is_edge = (sec < start + rb + ra) | (sec >= end - rb - ra)
-        base = base.withColumn("_bw_fix", needs_fix).withColumn("_bw_edge", is_edge)
-    else:
+        # flags are plain columns below the window: no predicate on the
+        # partition columns is inferred and pushed into one branch only
+        base = base.withColumn("_bw_fix", (sec < start + rb) | (sec >= end - ra)) \
+                   .withColumn("_bw_edge", (sec < start + rb + ra) | (sec >= end - rb - ra))
+    local = Window.partitionBy(*keys, b).orderBy(*order)
+    whole = Window.partitionBy(*keys, b)
+    out_local = compute(local)
+    base = base.select("*", *[v.alias(k) for k, v in out_local.items()])
+    names = list(out_local)
+    if not use_range:
         # a fixed row's frame reaches k_before + k_after rows into the bucket
         kmax = k_before + k_after
         rn = F.row_number().over(local)
