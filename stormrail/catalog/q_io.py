@@ -91,10 +91,10 @@ _FC = ["time", "place", "gust", "n", "origintime"]
 select time, station as place, gust, cast(n as double) as n, time - interval 6 hours as origintime from r_obs"""))
 def src7_forecast_text(spark, sf):
     o = R.observations(spark, sf)
-    epoch = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).cast("string")
-    rows = o.select(epoch("time").alias("time"), F.col("station").alias("place"), F.col("gust").cast("string").alias("gust"),
-                    F.col("n").cast("string").alias("n"),
-                    (F.unix_seconds(F.col("time").cast("timestamp")) - 6 * 3600).cast("string").alias("origintime"))
+    from stormrail.operators.ordered import epoch_seconds_ntz
+    rows = o.select(epoch_seconds_ntz("time").cast("string").alias("time"), F.col("station").alias("place"),
+                    F.col("gust").cast("string").alias("gust"), F.col("n").cast("string").alias("n"),
+                    (epoch_seconds_ntz("time") - 6 * 3600).cast("string").alias("origintime"))
     path = SK.scratch_path(spark, "forecast")
     rows.write.mode("overwrite").option("sep", ";").csv(path)
     return RD.read_forecast_text(spark, path, _FC, sep=";")

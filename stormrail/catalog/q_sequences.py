@@ -29,7 +29,10 @@ select l_suppkey, cast(count(distinct period) as bigint) as n_periods from (
 def win7_session_window(spark, sf):
     # batch session windows have the same boundary: a gap equal to the limit stays together
     s = _series(spark, sf)
-    g = s.groupBy("l_suppkey", F.session_window(F.col("d").cast("timestamp"), "2592001 seconds").alias("w")).count()
+    from stormrail.operators.ordered import epoch_seconds_ntz
+    # the wall-clock time as an instant (zone-free), so DST never bends the gap
+    t = F.timestamp_seconds(epoch_seconds_ntz("d"))
+    g = s.groupBy("l_suppkey", F.session_window(t, "2592001 seconds").alias("w")).count()
     return g.groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("long").alias("n_periods"))
 
 

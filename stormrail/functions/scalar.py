@@ -27,7 +27,7 @@ __all__ = [
     "iso_hour", "strip_chars", "dash_to_underscore", "split_list",
     "epoch_to_ts", "trunc_int", "proba_to_class", "pad_array", "parse_time",
     "null_count", "soft_threshold", "tanimoto", "argmax", "train_type_code",
-    "shift", "month_of", "dayofyear_of", "hour_of", "date_of", "event_hour", "local_to_utc",
+    "shift", "month_of", "dayofyear_of", "hour_of", "date_of", "event_hour", "local_to_utc", "parse_ntz",
 ]
 
 
@@ -171,10 +171,19 @@ def iso_hour(ts) -> Column:
 def event_hour(date_col, hour_col, add_hours: int = 1) -> Column:
     """PRJ3: parse date + start hour into a NTZ timestamp, plus ``add_hours``
     (the delay of an hour is labelled at the end of that hour)."""
-    ts = F.try_to_timestamp(date_hour_key(date_col, hour_col), F.lit("yyyy-MM-dd'T'H")).cast("timestamp_ntz")
+    d = F.try_to_date(c(date_col).cast("string"), "yyyy-MM-dd")
+    ts = F.try_make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), c(hour_col).cast("int"),
+                                  F.lit(0), F.lit(0))
     return F.timestamp_add("HOUR", F.lit(add_hours), ts)
 
 
+def parse_ntz(x, fmt: str) -> Column:
+    """Parse text to TIMESTAMP_NTZ on the wall clock (no session zone);
+    text that does not parse becomes NULL (also under ANSI mode)."""
+    v = c(x).cast("string")
+    return F.when(F.try_to_timestamp(v, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(v, F.lit(fmt)))
+
+
 # FN14 / FN15 -----------------------------------------------------------------
 def strip_chars(x, chars: str = '"') -> Column:
     import re
@@ -233,7 +242,7 @@ def pad_array(arr, n: int, value: float = MISSING) -> Column:
 # FN21 ------------------------------------------------------------------------
 def parse_time(x, fmt: str = "yyyy-MM-dd") -> Column:
     """Parse a date/time option; NULL on error."""
-    return F.try_to_timestamp(c(x), F.lit(fmt)).cast("timestamp_ntz")
+    return parse_ntz(x, fmt)
 
 
 # FN22 ------------------------------------------------------------------------
@@ -286,4 +295,4 @@ def local_to_utc(ts, zone: str = "Europe/Helsinki") -> Column:
     zone is a parameter (the raw files were requested in local time). A
     wall-clock time that occurs twice (the autumn DST hour) resolves to the
     earlier instant."""
-    return F.to_utc_timestamp(c(ts).cast("string"), zone).cast("string").cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), c(ts).cast("timestamp_ntz"))

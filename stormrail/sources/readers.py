@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormrail import schemas
-from stormrail.functions.scalar import event_hour, local_to_utc, strip_chars, text_to_double
+from stormrail.functions.scalar import event_hour, local_to_utc, parse_ntz, strip_chars, text_to_double
 from stormrail.operators.ordered import global_row_number
 
 
@@ -55,14 +55,14 @@ def read_observation_text(spark: SparkSession, path: str, names: Sequence[str],
     """Observation text: all fields as strings, then measures to double
     (missing spellings -> NULL) and the time parsed."""
     raw = spark.read.schema(schemas.all_strings(names)).option("sep", sep).csv(path)
-    return raw.select(*[F.try_to_timestamp(F.col(n), F.lit(time_format)).cast("timestamp_ntz").alias(n)
+    return raw.select(*[parse_ntz(n, time_format).alias(n)
                         if n == "time" else (F.col(n) if n in keys else text_to_double(n).alias(n))
                         for n in names])
 
 
 def read_strike_text(spark: SparkSession, path: str, time_format: str = "yyyy-MM-dd'T'HH:mm:ss") -> DataFrame:
     raw = spark.read.schema(schemas.STRIKE_TEXT).csv(path)
-    return raw.select(F.try_to_timestamp("time", F.lit(time_format)).cast("timestamp_ntz").alias("time"),
+    return raw.select(parse_ntz("time", time_format).alias("time"),
                       text_to_double("peakcurrent").alias("peakcurrent"), "trainstation")
 
 

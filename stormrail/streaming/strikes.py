@@ -1,7 +1,8 @@
 """STR1: hourly strike counts per station over a stream of landed files.
 
-``readStream`` (one file per trigger, oldest first) -> watermark on the
-strike time -> tumbling one-hour windows per station -> ``update`` output.
+``readStream`` (one file per trigger, oldest first) -> the strike's hour
+(tumbling one-hour windows) as the event-time column with a watermark ->
+count per station and hour -> ``update`` output.
 Each micro-batch appends its updated window counts with the batch id to a
 result folder (``foreachBatch``); the current count of a window is the one
 from the latest batch. State older than the watermark is dropped, so the
@@ -18,9 +19,12 @@ from pyspark.sql.types import StructType
 
 def hourly_counts_stream(stream: DataFrame, station: str = "station", time: str = "time",
                          watermark: str = "1 hour") -> DataFrame:
-    ts = F.col(time).cast("timestamp")
-    return stream.withColumn("_ts", ts).withWatermark("_ts", watermark) \
-                 .groupBy(F.col(station), F.window("_ts", "1 hour").alias("w")) \
+    """The hour is cut on the wall clock of the TIMESTAMP_NTZ strike time
+    (zone-free); the watermark column is that hour as a TIMESTAMP."""
+    from stormrail.functions.scalar import hour_floor
+    h = hour_floor(time).cast("timestamp")
+    return stream.withColumn("_hour", h).withWatermark("_hour", watermark) \
+                 .groupBy(F.col(station), F.col("_hour")) \
                  .agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -32,7 +36,7 @@ def run_hourly_counts(spark: SparkSession, source: str, schema: StructType, out:
     agg = hourly_counts_stream(stream, station, time, watermark)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.select(station, F.col("w.start").cast("timestamp_ntz").alias(time), "count",
+        batch.select(station, F.col("_hour").cast("timestamp_ntz").alias(time), "count",
                      F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(out)
 
     q = agg.writeStream.outputMode("update").foreachBatch(sink) \

@@ -35,3 +35,21 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert [f.name for f in df.schema.fields] == ["station", "class", "count", "mean_avg_delay"]
+
+
+ZONE_SENSITIVE = ["prj3_event_hour", "prj4_local_to_utc", "src3_delays_csv", "src7_forecast_text",
+                  "win7_session_window", "agg1_hourly_count", "win5_running_mean", "fn21_parse_time"]
+
+
+@pytest.mark.parametrize("name", ZONE_SENSITIVE)
+def test_session_zone_independent(spark, con, name):
+    """Results must not depend on the session time zone (the driver's
+    session may not be UTC): rerun under a zone with DST."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        sp = E.queries()[name](spark, SF).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    ok, msg = compare(sp, con.sql(E.oracle_sql()[name]).df())
+    assert ok, msg
