@@ -227,7 +227,18 @@ def station_union(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataF
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """One row per key: the first in the stated order (``dropDuplicates``
-    alone would keep an arbitrary row)."""
+    alone would keep an arbitrary row).
+
+    With ascending column names as the order this is ``min(struct(order,
+    rest))`` per key: a partially-aggregatable aggregate (a hot key is
+    reduced map-side) and deterministic also on ties. Other orders fall back
+    to a ``row_number`` window.
+    """
+    keys = list(keys)
+    if all(isinstance(o, str) for o in order):
+        rest = [c for c in df.columns if c not in keys and c not in order]
+        g = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_sr_first"))
+        return g.select(*keys, *[F.col(f"_sr_first.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_sr_rn", F.row_number().over(w)).where(F.col("_sr_rn") == 1).drop("_sr_rn")
 
