@@ -76,3 +76,26 @@ def test_global_row_number_any_partitioning(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     got = global_row_number(df, ["k"], "rn", n_parts=5).collect()
     assert all(r.rn == r.k + 1 for r in got)
+
+
+def test_bucketed_rows_with_hour_buckets(spark):
+    df = _series(spark, n=300, seed=3)
+    def compute(w):
+        return {"s2": F.sum("prec").over(w.rowsBetween(-2, 0)), "lag": F.lag("prec").over(w)}
+    got = bucketed_window(df, ["station"], ["time"], compute, k_before=2, bucket_seconds=7200)
+    w = Window.partitionBy("station").orderBy("time")
+    exp = df.select("*", *[v.alias(k) for k, v in compute(w).items()])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_bucketed_plan_partitions_by_key_and_bucket(spark):
+    df = _series(spark, n=50)
+    out = bucketed_window(df, ["station"], ["time"], lambda w: {"s": F.sum("prec").over(w.rowsBetween(-1, 0))},
+                          k_before=1)
+    import io
+    from contextlib import redirect_stdout
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        out.explain()
+    plan = buf.getvalue()
+    assert "hashpartitioning(station" in plan and "_bw_bucket" in plan
