@@ -7,7 +7,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormrail.functions.constants import SERVING_ROWS_PER_FILE
@@ -78,11 +78,14 @@ def append_stations(df: DataFrame, path: str) -> None:
 
 
 def append_counted(df: DataFrame, path: str) -> int:
-    """Append all rows (no off-by-one) and return how many were written,
-    measured during the write itself (``observe``)."""
-    obs = Observation("appended")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
-    return int(obs.get["rows"])
+    """Append all rows (no off-by-one) as one batch folder ``batch=<id>``
+    and return how many were written, counted from that folder's Parquet
+    metadata (no second pass over the input). ``observe`` is not used: in
+    Spark 4.1 it leaves a non-serialisable manager on the session that
+    breaks later ML fits."""
+    sub = f"{path.rstrip('/')}/batch={uuid.uuid4().hex}"
+    df.write.mode("append").parquet(sub)
+    return int(df.sparkSession.read.parquet(sub).count())
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
