@@ -252,9 +252,21 @@ def agg22_class_stats(spark, sf):
     return g.select("label", "feature", r6("mean").alias("mean"), r6("var").alias("var"), "n")
 
 
-@query("agg23_describe")
+def _describe_sql():
+    parts = []
+    for c in ("delay", "total_delay"):
+        for n, e in (("count", f"cast(count({c}) as double)"), ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"),
+                     ("min", f"cast(min({c}) as double)"), ("25%", f"quantile_cont({c}, 0.25)"),
+                     ("50%", f"quantile_cont({c}, 0.5)"), ("75%", f"quantile_cont({c}, 0.75)"),
+                     ("max", f"cast(max({c}) as double)")):
+            parts.append(f"select '{c}' as \"column\", '{n}' as stat, {sql_r6(e)} as value from r_delays")
+    return with_roles("\nunion all ".join(parts))
+
+
+@query("agg23_describe", _describe_sql())
 def agg23_describe(spark, sf):
-    return A.describe(R.delays(spark, sf), ["delay", "total_delay"])
+    d = A.describe(R.delays(spark, sf), ["delay", "total_delay"])
+    return d.select("column", "stat", r6("value").alias("value"))
 
 
 @query("agg24_share_below", with_roles(f"""

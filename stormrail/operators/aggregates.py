@@ -275,7 +275,20 @@ def class_feature_stats(df: DataFrame, cols: Sequence[str], label: str = "class"
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    """count, mean, sample std, min, exact 25/50/75 % (linear interpolation)
+    and max per column, long form (column, stat, value); one aggregation
+    pass for all columns (``summary()`` would use approximate quantiles)."""
+    aggs = []
+    for c in cols:
+        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        aggs += [F.count(c).cast("double").alias(f"{c}|count"), F.avg(c).alias(f"{c}|mean"),
+                 F.stddev_samp(c).alias(f"{c}|std"), F.min(c).cast("double").alias(f"{c}|min"),
+                 q[0].alias(f"{c}|25%"), q[1].alias(f"{c}|50%"), q[2].alias(f"{c}|75%"),
+                 F.max(c).cast("double").alias(f"{c}|max")]
+    wide = df.agg(*aggs)
+    items = [F.struct(F.lit(n.split("|")[0]).alias("column"), F.lit(n.split("|")[1]).alias("stat"),
+                      F.col(f"`{n}`").alias("value")) for n in wide.columns]
+    return wide.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
 
 
 def share_below(df: DataFrame, value: str, limits: Sequence[float] = (10, 5, 3, 1)) -> DataFrame:
