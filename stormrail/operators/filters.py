@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormrail.functions.constants import MISSING, SUMMER_MONTHS, WINTER_MONTHS
-from stormrail.functions.scalar import c
 from stormrail.operators.ordered import epoch_seconds_ntz
 from stormrail.session import bounded_broadcast
 

@@ -126,7 +126,6 @@ def roc_points(df: DataFrame, y: str = "y", score: str = "proba", groups: Sequen
     groups = list(groups)
     t = _score_table(df, y, score, groups)
     if groups:
-        from stormrail.operators.sampling import rank_within  # noqa: F401
         # running sums per group: global running sums in (groups, -score)
         # order minus the totals of earlier groups
         t2 = t.withColumn("_sr_ns", -F.col("score"))
@@ -168,12 +167,10 @@ def auc_ap(df: DataFrame, y: str = "y", score: str = "proba", groups: Sequence[s
 def one_vs_rest_auc(df: DataFrame, y: str, probas: str) -> DataFrame:
     """MET10: AUC per class of a multi-class probability array (class i =
     position i) and the macro mean as class -1."""
-    k = df.select(F.max(F.size(probas))).scalar()
     ex = df.select(F.posexplode(probas).alias("cls", "score"), F.col(y).alias("_y"))
     ex = ex.withColumn("_bin", (F.col("_y") == F.col("cls")).cast("int"))
     per = auc_ap(ex, "_bin", "score", ["cls"]).select(F.col("cls").cast("int").alias("cls"), "auc")
     macro = per.agg(F.lit(-1).alias("cls"), F.avg("auc").alias("auc"))
-    _ = k
     return per.unionByName(macro)
 
 

@@ -322,7 +322,6 @@ def network_lasso(df: DataFrame, cols: Sequence[str], label: str, station: str,
     """Fit per batch of ``batch_size`` consecutive rows (in ``order``), rows
     linked when their stations are linked; returns one row per batch with
     its coefficient vector, plus the averaged model as batch -1."""
-    from stormrail.session import bounded_broadcast  # noqa: F401
     n_edges = edges.limit(max_edges + 1).count()
     if n_edges > max_edges:
         raise ValueError("station graph larger than the broadcast bound")
@@ -331,7 +330,6 @@ def network_lasso(df: DataFrame, cols: Sequence[str], label: str, station: str,
     numbered = global_row_number(df.select(station, label, *cols, *[o for o in order if o not in (station,)]),
                                  order, "_rn")
     numbered = numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / batch_size).cast("long"))
-    d = len(cols)
     schema = "batch long, coef array<double>, n long"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -349,5 +347,4 @@ def network_lasso(df: DataFrame, cols: Sequence[str], label: str, station: str,
     avg = mean.agg(F.lit(-1).cast("long").alias("batch"),
                    F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("coef"),
                    F.lit(None).cast("long").alias("n"))
-    _ = d
     return per_batch.unionByName(avg)
