@@ -295,3 +295,24 @@ def str1_stream_hourly_count(spark, sf):
     ckpt = SK.scratch_path(spark, "strike-stream-ckpt")
     schema = s.drop("_slice").schema
     return run_hourly_counts(spark, src, schema, out, ckpt)
+
+
+
+@query("snk8_serving_documents", with_roles(f"""
+select cast((rn - 1) // 100 as bigint) as doc, count(*) as n, {sql_r6('sum(gust)')} as sum_x0 from (
+  select gust, row_number() over (order by station, time) as rn from r_obs) group by 1"""))
+def snk8_serving_documents(spark, sf):
+    o = R.observations(spark, sf).withColumn("prec", F.coalesce("prec", F.lit(-99.0)))
+    docs = SK.serving_documents(o, ["gust", "n", "prec"], ["station", "time"], 100)
+    path = SK.scratch_path(spark, "serving-docs")
+    docs.select("value").write.mode("overwrite").text(path)
+    back = spark.read.text(path).select(F.from_json("value", "instances array<struct<X: array<double>>>")["instances"].alias("i"))
+    # the document number is not in the text: recover it from the parsed rows via the same order
+    parsed = back.select(F.size("i").alias("n"), F.aggregate("i", F.lit(0.0), lambda acc, x: acc + x["X"][0]).alias("s"))
+    numbered = docs.select("doc", F.from_json("value", "instances array<struct<X: array<double>>>")["instances"].alias("i"))
+    out = numbered.select("doc", F.size("i").cast("long").alias("n"),
+                          r6(F.aggregate("i", F.lit(0.0), lambda acc, x: acc + x["X"][0])).alias("sum_x0"))
+    # every written document parses back as valid JSON with the same content
+    if parsed.where(F.col("n").isNull()).count() > 0 or parsed.count() != docs.count():
+        raise AssertionError("serving documents did not parse back")
+    return out

@@ -67,6 +67,19 @@ def serving_lines(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(F.array(*[F.col(c).cast("double") for c in cols]).alias("X"))).alias("value"))
 
 
+def serving_documents(df: DataFrame, cols: Sequence[str], order: Sequence[str],
+                      rows_per_doc: int = SERVING_ROWS_PER_FILE) -> DataFrame:
+    """Single-document form {"instances": [{"X": [...]}, ...]}, one valid
+    JSON document per chunk of ``rows_per_doc`` rows in ``order`` (a
+    whole-table document would pass every row through one task)."""
+    from stormrail.operators.ordered import global_row_number
+    r = global_row_number(df, order, "_sr_rn").withColumn("doc", F.floor((F.col("_sr_rn") - 1) / rows_per_doc))
+    inst = F.struct(F.col("_sr_rn"), F.struct(F.array(*[F.col(c).cast("double") for c in cols]).alias("X")).alias("i"))
+    g = r.groupBy("doc").agg(F.array_sort(F.collect_list(inst)).alias("_l"))
+    return g.select(F.col("doc").cast("long").alias("doc"),
+                    F.to_json(F.struct(F.transform("_l", lambda x: x["i"]).alias("instances"))).alias("value"))
+
+
 def write_serving_files(df: DataFrame, cols: Sequence[str], path: str,
                         rows_per_file: int = SERVING_ROWS_PER_FILE) -> None:
     serving_lines(df, cols).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
