@@ -316,3 +316,50 @@ def snk8_serving_documents(spark, sf):
     if parsed.where(F.col("n").isNull()).count() > 0 or parsed.count() != docs.count():
         raise AssertionError("serving documents did not parse back")
     return out
+
+
+
+@query("src2_stations_by_name", with_roles("select station_name, station, lat, lon from r_stations"))
+def src2_stations_by_name(spark, sf):
+    path = SK.scratch_path(spark, "stations-by-name")
+    st = R.stations(spark, sf)
+    SK.write_json(st.select(F.col("station").alias("stationShortCode"), F.col("station_name").alias("stationName"),
+                            F.col("lat").alias("latitude"), F.col("lon").alias("longitude")), path)
+    return RD.read_stations(spark, path, key="name")
+
+
+@query("src9_parameters", """
+select 'max(value:' || event_type || ')' as param, 'max_' || event_type as name
+from (select distinct event_type from events)""")
+def src9_parameters(spark, sf):
+    ev = read_table(spark, sf, "events").select("event_type").distinct()
+    lines = ev.select(F.concat(F.lit("max(value:"), "event_type", F.lit(");max_"), "event_type").alias("value"))
+    header = spark.createDataFrame([("time;time",), ("place;place",)], "value string")
+    path = SK.scratch_path(spark, "params")
+    header.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+    params, names = RD.read_parameters(spark, path, drop=0)  # a few lines: driver lists
+    kept = [(p, n) for p, n in zip(params, names) if p not in ("time", "place")]
+    return spark.createDataFrame(kept, "param string, name string")
+
+
+@query("snk3_append_table", with_roles(f"""select station, time, train_type, {sql_r6('delay')} as delay from r_delays"""))
+def snk3_append_table(spark, sf):
+    import uuid
+    name = f"stormrail_app_{uuid.uuid4().hex[:12]}"
+    d = R.delays(spark, sf).select("station", "time", "train_type", "delay")
+    path = SK.scratch_path(spark, "append-table")
+    d.where(F.col("train_type") == "K").write.mode("overwrite").option("path", path).saveAsTable(name)
+    d.where(F.col("train_type") != "K").write.mode("append").option("path", path).saveAsTable(name)
+    n = RD.scan_table(spark, name).count()
+    SK.drop_table(spark, name)
+    rows = spark.read.parquet(path).select("station", "time", "train_type", r6("delay").alias("delay"))
+    if rows.count() != n:
+        raise AssertionError("appended table and its files disagree")
+    return rows
+
+
+@query("prj7_prj9_tag_drop", with_roles("""select station, time, 'S-all' as source, gust from r_obs"""))
+def prj7_prj9_tag_drop(spark, sf):
+    from stormrail.operators.filters import add_tag
+    o = add_tag(R.observations(spark, sf), "S-all", "source")
+    return o.drop("prec", "vis", "n")

@@ -64,7 +64,8 @@ def common_times(obs: DataFrame, labels: DataFrame, time: str = "time") -> tuple
 
 # JOIN7 ------------------------------------------------------------------------
 def interval_counts(rows: DataFrame, events: DataFrame, station: str = "station", time: str = "time",
-                    out: str = "flashcount", tiebreak: Sequence[str] = ()) -> DataFrame:
+                    out: str = "flashcount", tiebreak: Sequence[str] = (),
+                    bucket_seconds: int = 28 * 86400) -> DataFrame:
     """Each event counts for the first row of its station with time >= the
     event's time; a row's value is the number of events in (previous row
     time, row time]. Equal row times: only the first such row gets the count.
@@ -87,7 +88,10 @@ def interval_counts(rows: DataFrame, events: DataFrame, station: str = "station"
     both = ev.unionByName(r_keys)
     # next row time at or after each event: events sort before rows at equal
     # time so that the frame of an event includes a row of the same time
-    b = F.floor(F.datediff(F.to_date("_t"), F.lit("1970-01-01").cast("date")) / 28)
+    from stormrail.operators.ordered import epoch_seconds_ntz
+    # time buckets bound the work per (station, bucket); a station with
+    # dense events takes a smaller ``bucket_seconds``
+    b = F.floor(epoch_seconds_ntz("_t") / F.lit(bucket_seconds))
     both = both.withColumn("_b", b)
     row_t = F.when(F.col("_is_row") == 1, F.col("_t"))
     w = Window.partitionBy("_st", "_b").orderBy("_t", "_is_row").rowsBetween(0, Window.unboundedFollowing)
