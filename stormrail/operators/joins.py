@@ -70,6 +70,8 @@ def interval_counts(rows: DataFrame, events: DataFrame, station: str = "station"
     event's time; a row's value is the number of events in (previous row
     time, row time]. Equal row times: only the first such row gets the count.
     Events after a station's last row are dropped; no events -> 0.
+    With ``tiebreak``, (station, time, tiebreak) must be unique. Rows with a
+    NULL station or time are dropped.
 
     Plan: union rows and events into one time-ordered stream per station and
     attach each event to the next row with ``min(row time) over (following)``
@@ -80,8 +82,20 @@ def interval_counts(rows: DataFrame, events: DataFrame, station: str = "station"
     # only the first of several rows with the same (station, time) gets the
     # count; the row keys for the stream come from the same ranked rows, so
     # both uses share one shuffle of ``rows``
-    ranked = rows.withColumn("_sr_first", F.row_number().over(
-        Window.partitionBy(station, time).orderBy(*(tiebreak or [time]))) == 1)
+    # rows without a station or time cannot sit on a series; filtering them
+    # here (instead of letting the optimizer infer it in one branch only)
+    # keeps both uses of ``rows`` identical, so they share one shuffle
+    rows = rows.where(F.col(station).isNotNull() & F.col(time).isNotNull())
+    if tiebreak:
+        # (station, time, tiebreak) is unique: the first row is the one with
+        # the smallest tiebreak; a min over the group (instead of
+        # row_number() == 1, which the optimizer turns into a group limit)
+        # lets both uses below share one shuffle of ``rows``
+        tb = F.struct(*tiebreak)
+        ranked = rows.withColumn("_sr_first", tb == F.min(tb).over(Window.partitionBy(station, time)))
+    else:
+        ranked = rows.withColumn("_sr_first", F.row_number().over(
+            Window.partitionBy(station, time).orderBy(time)) == 1)
     r_keys = ranked.where(F.col("_sr_first")).select(F.col(station).alias("_st"), F.col(time).alias("_t")) \
                    .withColumn("_is_row", F.lit(1))
     ev = events.select(F.col(station).alias("_st"), F.col(time).alias("_t")).withColumn("_is_row", F.lit(0))
