@@ -195,11 +195,13 @@ def scan_features(df: DataFrame, start=None, end=None, cols: Sequence[str] | Non
                   code_keys: Sequence[str] = ("train_type", "station", "time"),
                   codes_excluded: Sequence[str] | None = None,
                   codes_included: Sequence[str] | None = None, label: str | None = None,
+                  distinct_fact: bool = False,
                   order: Sequence[str] | None = None, limit: int | None = None,
                   offset: int = 0, time: str = "time", station: str = "station") -> DataFrame:
     """The feature-table read with every option of the generated SQL:
     projection, [start, end), station list, winter months, equality
-    predicates, reason-code join and filters, order, page."""
+    predicates, reason-code join and filters, order, page. The code join
+    fans out (one row per matching code) unless ``distinct_fact``."""
     out = df
     if start is not None and end is not None:
         out = time_range(out, start, end, time)
@@ -220,8 +222,12 @@ def scan_features(df: DataFrame, start=None, end=None, cols: Sequence[str] | Non
         else:
             out = codes_include(out, codes_included)
     if cols:
-        extra = ["code"] if codes is not None and "code" not in cols else []
+        extra = ["code"] if codes is not None and "code" not in cols and not distinct_fact else []
         out = out.select(*cols, *extra)
+    if codes is not None and distinct_fact:
+        # a fact row kept through several codes appears once (T5 option)
+        fact_cols = [c for c in (cols or df.columns) if c in df.columns]
+        out = out.select(*fact_cols).distinct()
     if order:
         out = out.orderBy(*order)
         if offset:

@@ -22,9 +22,11 @@ def _order(time: str, tiebreak: Sequence[str]) -> list[str]:
 def precip_sums(df: DataFrame, value: str = "prec", station: str = "station", time: str = "time",
                 sizes: Sequence[int] = (3, 6), names: Sequence[str] | None = None,
                 tiebreak: Sequence[str] = (), nan_poisons: bool = True,
-                bucket_days: int = 28) -> DataFrame:
+                bucket_days: int = 28, by: str = "rows") -> DataFrame:
     """WIN1 / WIN2: sum of the current and the previous ``n-1`` rows per
     station (rows, not hours: gaps stretch the frame, as in the ingest job).
+    ``by="time"`` sums the last ``n`` hours instead (RANGE frame), so gaps
+    shorten the frame.
 
     NULLs are skipped by the sum; with ``nan_poisons`` a NaN anywhere in the
     frame makes the sum NULL (the ingest job's NaN text poisons the frame).
@@ -36,17 +38,18 @@ def precip_sums(df: DataFrame, value: str = "prec", station: str = "station", ti
     def compute(w):
         out = {}
         for n, name in zip(sizes, names):
-            fr = w.rowsBetween(-(n - 1), 0)
+            fr = w.rangeBetween(-(n - 1) * 3600, 0) if by == "time" else w.rowsBetween(-(n - 1), 0)
             v = F.col(value)
             s = F.sum(F.when(~F.isnan(v), v)).over(fr)
             if nan_poisons:
                 bad = F.max(F.isnan(v).cast("int")).over(fr)
                 s = F.when(F.coalesce(bad, F.lit(0)) == 1, F.lit(None).cast("double")).otherwise(s)
-            else:
-                s = F.sum(F.when(~F.isnan(v), v)).over(fr)
             out[name] = s
         return out
 
+    if by == "time":
+        return bucketed_window(df, [station], [time], compute, range_before_s=kmax * 3600,
+                               bucket_days=bucket_days)
     return bucketed_window(df, [station], _order(time, tiebreak), compute, k_before=kmax,
                            bucket_days=bucket_days)
 

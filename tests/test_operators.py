@@ -87,3 +87,14 @@ def test_binary_metrics_zero_division(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "y int, pred int")
     r = M.binary_metrics(df).first()
     assert (r.precision, r.recall, r.f1, r.accuracy) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_scan_features_distinct_fact(spark):
+    from stormrail.operators.filters import scan_features
+    fact = spark.createDataFrame([(1, "K", "S", ts(0)), (2, "K", "S", ts(1))],
+                                 "key int, train_type string, station string, time timestamp_ntz")
+    codes = spark.createDataFrame([(1, "A"), (1, "B"), (1, "R"), (2, "R")], "key int, code string")
+    fan = scan_features(fact, codes=codes, code_keys=["key"], codes_excluded=["R"], cols=["key"])
+    assert sorted(r.key for r in fan.collect()) == [1, 1]
+    once = scan_features(fact, codes=codes, code_keys=["key"], codes_excluded=["R"], cols=["key"], distinct_fact=True)
+    assert [r.key for r in once.collect()] == [1]

@@ -99,3 +99,13 @@ def test_bucketed_plan_partitions_by_key_and_bucket(spark):
         out.explain()
     plan = buf.getvalue()
     assert "hashpartitioning(station" in plan and "_bw_bucket" in plan
+
+
+def test_precip_sums_by_time_range(spark):
+    hours = [0, 1, 2, 5, 6]
+    df = spark.createDataFrame([("S", dt.datetime(2024, 1, 1, h), 1.0) for h in hours],
+                               "station string, time timestamp_ntz, prec double")
+    rows = {r.time.hour: r.p3 for r in W.precip_sums(df, "prec", sizes=(3,), names=["p3"]).collect()}
+    hrs = {r.time.hour: r.p3 for r in W.precip_sums(df, "prec", sizes=(3,), names=["p3"], by="time").collect()}
+    assert rows == {0: 1.0, 1: 2.0, 2: 3.0, 5: 3.0, 6: 3.0}
+    assert hrs == {0: 1.0, 1: 2.0, 2: 3.0, 5: 1.0, 6: 2.0}
