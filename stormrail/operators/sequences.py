@@ -42,24 +42,42 @@ def gap_periods(df: DataFrame, key: str = "station", time: str = "time",
     """WIN7: number the periods of each series; a new period starts where the
     step to the previous row exceeds the gap (a step equal to the gap stays
     in the period). ``gap_seconds='mode'`` uses each series' most frequent
-    step (WIN8)."""
-    s = _step_seconds(df, key, time, tiebreak)
+    step (WIN8).
+
+    Plan: rows are shuffled once by (series, time bucket). The previous row
+    of a bucket's first row is the last row of the previous non-empty bucket:
+    a table with one row per (series, bucket), joined in before the window.
+    The lag, the gap flags and the running count then run in that one
+    partitioning, and each bucket's count offset comes from the totals of
+    earlier buckets (again one row per bucket).
+    """
+    bcol = F.floor(F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")) / _BUCKET_DAYS).cast("long")
+    base = df.withColumn("_sr_b", bcol)
+    last = base.groupBy(key, "_sr_b").agg(F.max(time).alias("_sr_last"))
+    w_b = Window.partitionBy(key).orderBy("_sr_b")
+    # one row per (series, bucket): bounded by the time span
+    prev_last = last.select(key, "_sr_b", F.lag("_sr_last").over(w_b).alias("_sr_prev_last"))
+    j = base.join(prev_last, [key, "_sr_b"])
+    w = Window.partitionBy(key, "_sr_b").orderBy(time, *tiebreak)
+    prev = F.coalesce(F.lag(time).over(w), F.col("_sr_prev_last"))
+    j = j.withColumn("_sr_step", epoch_seconds_ntz(time) - epoch_seconds_ntz(prev))
     if gap_seconds == "mode":
-        s = s.join(most_frequent_step(df, key, time, tiebreak), key, "left")
-        gap = F.col("gap")
+        steps = j.where(F.col("_sr_step").isNotNull()).groupBy(key, "_sr_step").agg(F.count(F.lit(1)).alias("_n"))
+        # one row per series
+        mode = steps.groupBy(key).agg(F.max_by("_sr_step", F.struct(F.col("_n"), -F.col("_sr_step"))).alias("_sr_gap"))
+        j = j.join(mode, key, "left")
+        gap = F.col("_sr_gap")
     else:
         gap = F.lit(int(gap_seconds))
-    s = s.withColumn("_sr_flag", F.coalesce(F.col("_sr_step") > gap, F.lit(False)).cast("long"))
-    s = s.withColumn("_sr_b", F.floor(F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")) / _BUCKET_DAYS))
-    w_local = Window.partitionBy(key, "_sr_b").orderBy(time, *tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_sr_local", F.sum("_sr_flag").over(w_local))
-    per_bucket = s.groupBy(key, "_sr_b").agg(F.sum("_sr_flag").alias("_sr_tot"))
-    # one row per (series, bucket): the running total over buckets is small
-    w_b = Window.partitionBy(key).orderBy("_sr_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(key, "_sr_b", F.coalesce(F.sum("_sr_tot").over(w_b), F.lit(0)).alias("_sr_off"))
-    j = s.join(offsets, [key, "_sr_b"])
-    drop = ["_sr_step", "_sr_flag", "_sr_b", "_sr_local", "_sr_off"] + (["gap"] if gap_seconds == "mode" else [])
-    return j.withColumn(out, (F.col("_sr_local") + F.col("_sr_off")).cast("long")).drop(*drop)
+    j = j.withColumn("_sr_flag", F.coalesce(F.col("_sr_step") > gap, F.lit(False)).cast("long"))
+    w_run = w.rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("_sr_local", F.sum("_sr_flag").over(w_run))
+    per_bucket = j.groupBy(key, "_sr_b").agg(F.sum("_sr_flag").alias("_sr_tot"))
+    w_off = Window.partitionBy(key).orderBy("_sr_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(key, "_sr_b", F.coalesce(F.sum("_sr_tot").over(w_off), F.lit(0)).alias("_sr_off"))
+    res = j.join(offsets, [key, "_sr_b"])
+    return res.withColumn(out, (F.col("_sr_local") + F.col("_sr_off")).cast("long")) \
+              .select(*df.columns, out)
 
 
 def time_steps(df: DataFrame, time: str = "time", n_timesteps: int = 24) -> DataFrame:
