@@ -49,9 +49,21 @@ def regression_aggs(y: str = "y", yhat: str = "y_pred", climatology: float | Non
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "y_pred", groups: Sequence = (),
                        climatology: float | None = CLIMATOLOGY_RMSE_SUM) -> DataFrame:
     """n, RMSE, MAE, R^2 (1 - SSE / (n * var_pop(y))), median absolute error
-    and the skill score against a constant climatology forecast."""
-    aggs = regression_aggs(y, yhat, climatology)
-    return df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
+    and the skill score against a constant climatology forecast. The median
+    is a distributed exact quantile (``exact_quantiles``): a group's errors
+    are never held in one task."""
+    from stormrail.operators.sampling import exact_quantiles
+    groups = list(groups)
+    aggs = regression_aggs(y, yhat, climatology, median=False)
+    main = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
+    err = df.select(*groups, F.abs(F.col(yhat) - F.col(y)).alias("_ae"))
+    med = exact_quantiles(err, "_ae", [0.5], groups, prefix="_m").withColumnRenamed("_m_0_5", "median_ae")
+    if groups:
+        out = main.join(med, groups, "left")
+    else:
+        out = main.select("*", med.select("median_ae").scalar().alias("median_ae"))
+    cols = ["n", "rmse", "mae", "r2", "median_ae"] + (["skill"] if climatology is not None else [])
+    return out.select(*groups, *cols)
 
 
 def skill_constant_rmse(rmse: Column, reference_rmse: float = CLIMATOLOGY_RMSE_SUM) -> Column:

@@ -133,3 +133,42 @@ def enough_rows(df: DataFrame, n: int, key: str = "station") -> DataFrame:
     """Only keys with at least ``n`` rows (counts joined back, one row per key)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_sr_cnt")).where(F.col("_sr_cnt") >= n)
     return df.join(counts.select(key), key, "left_semi")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
+                    prefix: str = "q") -> DataFrame:
+    """Exact quantiles with linear interpolation (as pandas / ``percentile``)
+    per group, without holding a group's values in one task: rows get their
+    rank inside the group from a distributed prefix sum in (group, value)
+    order; only the two ranks around each quantile position are kept (at
+    most 2 x len(probs) rows per group) and interpolated. Output columns
+    ``<prefix>_<p>`` with p's digits (0.5 -> q_0_5)."""
+    groups = list(groups)
+    d = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    if groups:
+        ranked = rank_within(d, groups, ["_v"], "_rk")
+        counts = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = ranked.join(counts, groups)
+    else:
+        n = d.agg(F.count(F.lit(1))).scalar()
+        ranked = global_row_number(d, ["_v"], "_rk").withColumn("_n", n)
+    names = []
+    picks = []
+    for p in probs:
+        name = f"{prefix}_{str(p).replace('.', '_')}"
+        names.append(name)
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+        picks.append((name, pos, lo, hi))
+    keep = None
+    for _, _, lo, hi in picks:
+        cond = (F.col("_rk") == lo) | (F.col("_rk") == hi)
+        keep = cond if keep is None else keep | cond
+    near = ranked.where(keep)
+    aggs = []
+    for name, pos, lo, hi in picks:
+        v_lo = F.max(F.when(F.col("_rk") == lo, F.col("_v")))
+        v_hi = F.max(F.when(F.col("_rk") == hi, F.col("_v")))
+        frac = F.first(pos - F.floor(pos))
+        aggs.append((v_lo + frac * (v_hi - v_lo)).alias(name))
+    return near.groupBy(*groups).agg(*aggs) if groups else near.agg(*aggs)

@@ -24,13 +24,28 @@ def station_evaluation(pred: DataFrame, station: str = "station", time: str = "t
                        climatology: float = CLIMATOLOGY_RMSE_SUM, tiebreak: Sequence[str] = ()) -> DataFrame:
     """Per station x period (periods split where the time step exceeds the
     gap), per station, per period and overall: n, RMSE, MAE, R^2, median AE,
-    skill. ``station``/``period`` are 'all' / -1 on the summary rows."""
+    skill. ``station``/``period`` are 'all' / -1 on the summary rows.
+
+    The moment-type metrics come from one ``GROUPING SETS`` aggregation; the
+    medians from a distributed exact quantile over the rows tagged with each
+    of their four grouping-set keys (no group's errors held in one task)."""
+    from stormrail.operators.sampling import exact_quantiles
     p = gap_periods(pred, station, time, gap_seconds, tiebreak=tiebreak)
     g = p.groupingSets([[station, "period"], [station], ["period"], []], station, "period") \
-         .agg(*regression_aggs(y, yhat, climatology))
-    return g.select(F.coalesce(F.col(station), F.lit("all")).alias(station),
-                    F.coalesce(F.col("period"), F.lit(-1)).cast("long").alias("period"),
-                    "n", "rmse", "mae", "r2", "median_ae", "skill")
+         .agg(*regression_aggs(y, yhat, climatology, median=False))
+    g = g.select(F.coalesce(F.col(station), F.lit("all")).alias(station),
+                 F.coalesce(F.col("period"), F.lit(-1)).cast("long").alias("period"),
+                 "n", "rmse", "mae", "r2", "skill")
+    st, pe = F.col(station), F.col("period").cast("long")
+    keys = F.array(F.struct(st.alias("s"), pe.alias("p")), F.struct(st.alias("s"), F.lit(-1).cast("long").alias("p")),
+                   F.struct(F.lit("all").alias("s"), pe.alias("p")),
+                   F.struct(F.lit("all").alias("s"), F.lit(-1).cast("long").alias("p")))
+    tagged = p.select(F.explode(keys).alias("k"), F.abs(F.col(yhat) - F.col(y)).alias("_ae")) \
+              .select(F.col("k.s").alias(station), F.col("k.p").alias("period"), "_ae")
+    med = exact_quantiles(tagged, "_ae", [0.5], [station, "period"], prefix="_m") \
+        .withColumnRenamed("_m_0_5", "median_ae")
+    out = g.join(med, [station, "period"], "left")
+    return out.select(station, "period", "n", "rmse", "mae", "r2", "median_ae", "skill")
 
 
 def classification_evaluation(pred: DataFrame, period: str = "period", y: str = "y", p: str = "pred") -> DataFrame:
@@ -44,7 +59,10 @@ def band_evaluation(pred: DataFrame, station: str = "station", time: str = "time
                     y: str = "y", yhat: str = "y_pred") -> DataFrame:
     """FRAC1: per station RMSE / median AE / R^2 of the prediction and of the
     band's 0.1 and 0.9 quantiles (joined back by time and latitude band),
-    plus the overall row."""
+    plus the overall row. Band quantiles are per (time, band) groups (at
+    most one row per station and train type); the medians of the errors use
+    the distributed exact quantile."""
+    from stormrail.operators.sampling import exact_quantiles
     b = pred.withColumn("band", lat_band(lat))
     q = b.groupBy(time, "band").agg(F.percentile(yhat, F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
     j = b.join(q, [time, "band"])
@@ -53,12 +71,22 @@ def band_evaluation(pred: DataFrame, station: str = "station", time: str = "time
     for col in (yhat, "q_low", "q_high"):
         e = F.col(col) - F.col(y)
         tag = "pred" if col == yhat else col
-        aggs += [F.sqrt(F.avg(e * e)).alias(f"rmse_{tag}"),
-                 F.percentile(F.abs(e), F.lit(0.5)).alias(f"median_ae_{tag}")]
+        aggs.append(F.sqrt(F.avg(e * e)).alias(f"rmse_{tag}"))
     aggs.append((F.lit(1.0) - F.when(F.var_pop(y) > 0, F.sum(F.pow(F.col(yhat) - F.col(y), 2))
                                      / (F.count(y) * F.var_pop(y)))).alias("r2"))
     g = j.groupingSets([[station], []], station).agg(F.count(F.lit(1)).cast("long").alias("n"), *aggs)
-    return g.withColumn(station, F.coalesce(F.col(station), F.lit("all")))
+    g = g.withColumn(station, F.coalesce(F.col(station), F.lit("all")))
+    errs = F.array(*[F.struct(F.lit("pred" if c == yhat else c).alias("m"), F.abs(F.col(c) - F.col(y)).alias("ae"))
+                     for c in (yhat, "q_low", "q_high")])
+    keys = F.array(F.col(station), F.lit("all"))
+    tagged = j.select(F.explode(keys).alias("_s"), errs.alias("_errs")).select("_s", F.explode("_errs").alias("_e"))
+    tagged = tagged.select(F.col("_s").alias(station), F.col("_e.m").alias("_metric"), F.col("_e.ae").alias("_ae"))
+    med = exact_quantiles(tagged, "_ae", [0.5], [station, "_metric"], prefix="_m")
+    wide = med.groupBy(station).pivot("_metric", ["pred", "q_low", "q_high"]).agg(F.first("_m_0_5"))
+    wide = wide.select(station, *[F.col(m).alias(f"median_ae_{m}") for m in ("pred", "q_low", "q_high")])
+    out = g.join(wide, station, "left")
+    return out.select(station, "n", "rmse_pred", "median_ae_pred", "rmse_q_low", "median_ae_q_low",
+                      "rmse_q_high", "median_ae_q_high", "r2")
 
 
 def metrics_by_name(pred: DataFrame, name: str = "name", y: str = "y", yhat: str = "y_pred") -> DataFrame:

@@ -98,3 +98,16 @@ def test_scan_features_distinct_fact(spark):
     assert sorted(r.key for r in fan.collect()) == [1, 1]
     once = scan_features(fact, codes=codes, code_keys=["key"], codes_excluded=["R"], cols=["key"], distinct_fact=True)
     assert [r.key for r in once.collect()] == [1]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    rows = [("a", v) for v in (5.0, 1.0, 1.0, 3.0, 10.0, 7.0)] + [("b", 4.0)] + [("c", v) for v in (2.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q_0_1, r.q_0_5, r.q_0_9) for r in SM.exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"]).collect()}
+    for g in "abc":
+        vals = [v for k, v in rows if k == g]
+        exp = tuple(float(np.quantile(vals, p)) for p in (0.1, 0.5, 0.9))
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], exp)), (g, got[g], exp)
+    overall = SM.exact_quantiles(df, "v", [0.5]).first()[0]
+    assert abs(overall - float(np.quantile([v for _, v in rows], 0.5))) < 1e-12
