@@ -276,19 +276,29 @@ def class_feature_stats(df: DataFrame, cols: Sequence[str], label: str = "class"
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, exact 25/50/75 % (linear interpolation)
-    and max per column, long form (column, stat, value); one aggregation
-    pass for all columns (``summary()`` would use approximate quantiles)."""
+    and max per column, long form (column, stat, value). Moments come from
+    one aggregation pass; the quartiles from the distributed exact quantile
+    (a whole-table ``percentile`` would merge every distinct value in one
+    task; ``summary()`` would be approximate)."""
+    from stormrail.operators.sampling import exact_quantiles
     aggs = []
     for c in cols:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [F.count(c).cast("double").alias(f"{c}|count"), F.avg(c).alias(f"{c}|mean"),
                  F.stddev_samp(c).alias(f"{c}|std"), F.min(c).cast("double").alias(f"{c}|min"),
-                 q[0].alias(f"{c}|25%"), q[1].alias(f"{c}|50%"), q[2].alias(f"{c}|75%"),
                  F.max(c).cast("double").alias(f"{c}|max")]
     wide = df.agg(*aggs)
     items = [F.struct(F.lit(n.split("|")[0]).alias("column"), F.lit(n.split("|")[1]).alias("stat"),
                       F.col(f"`{n}`").alias("value")) for n in wide.columns]
-    return wide.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+    moments = wide.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
+                                         for c in cols])).alias("kv")).select("kv.*")
+    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["column"], prefix="q")
+    quart = q.select("column", F.explode(F.array(
+        F.struct(F.lit("25%").alias("stat"), F.col("q_0_25").alias("value")),
+        F.struct(F.lit("50%").alias("stat"), F.col("q_0_5").alias("value")),
+        F.struct(F.lit("75%").alias("stat"), F.col("q_0_75").alias("value")))).alias("kv")) \
+        .select("column", "kv.stat", "kv.value")
+    return moments.unionByName(quart)
 
 
 def share_below(df: DataFrame, value: str, limits: Sequence[float] = (10, 5, 3, 1)) -> DataFrame:
