@@ -30,7 +30,10 @@ def _zero_div(a: Column, b: Column) -> Column:
 
 # MET1 / MET2 / MET3 / MET4 ----------------------------------------------------------
 def regression_aggs(y: str = "y", yhat: str = "y_pred", climatology: float | None = None,
-                    median: bool = True) -> list[Column]:
+                    median: bool = False) -> list[Column]:
+    """Aggregate expressions for the regression metrics. ``median=True`` adds
+    a ``percentile`` median (fine for groups of bounded size; use
+    ``exact_quantiles`` otherwise, as ``regression_metrics`` does)."""
     e = F.col(yhat) - F.col(y)
     n = F.count(F.col(y))
     sse = F.sum(e * e)
