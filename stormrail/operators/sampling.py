@@ -135,16 +135,12 @@ def enough_rows(df: DataFrame, n: int, key: str = "station") -> DataFrame:
     return df.join(counts.select(key), key, "left_semi")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                    prefix: str = "q") -> DataFrame:
-    """Exact quantiles with linear interpolation (as pandas / ``percentile``)
-    per group, without holding a group's values in one task: rows get their
-    rank inside the group from a distributed prefix sum in (group, value)
-    order; only the two ranks around each quantile position are kept (at
-    most 2 x len(probs) rows per group) and interpolated. Output columns
-    ``<prefix>_<p>`` with p's digits (0.5 -> q_0_5)."""
-    groups = list(groups)
-    d = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+IN_TASK_VALUES = 2_000_000
+MAX_LARGE_GROUPS = 1_000_000
+
+
+def _rank_quantiles(d: DataFrame, probs: Sequence[float], groups: list, names: list) -> DataFrame:
+    """Rank-based exact quantiles (see ``exact_quantiles``) on column _v."""
     if groups:
         ranked = rank_within(d, groups, ["_v"], "_rk")
         counts = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
@@ -152,16 +148,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     else:
         n = d.agg(F.count(F.lit(1))).scalar()
         ranked = global_row_number(d, ["_v"], "_rk").withColumn("_n", n)
-    names = []
     picks = []
-    for p in probs:
-        name = f"{prefix}_{str(p).replace('.', '_')}"
-        names.append(name)
+    keep = None
+    for name, p in zip(names, probs):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
         picks.append((name, pos, lo, hi))
-    keep = None
-    for _, _, lo, hi in picks:
         cond = (F.col("_rk") == lo) | (F.col("_rk") == hi)
         keep = cond if keep is None else keep | cond
     near = ranked.where(keep)
@@ -169,6 +161,41 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: S
     for name, pos, lo, hi in picks:
         v_lo = F.max(F.when(F.col("_rk") == lo, F.col("_v")))
         v_hi = F.max(F.when(F.col("_rk") == hi, F.col("_v")))
-        frac = F.first(pos - F.floor(pos))
-        aggs.append((v_lo + frac * (v_hi - v_lo)).alias(name))
+        aggs.append((v_lo + F.first(pos - F.floor(pos)) * (v_hi - v_lo)).alias(name))
     return near.groupBy(*groups).agg(*aggs) if groups else near.agg(*aggs)
+
+
+def _percentile_quantiles(d: DataFrame, probs: Sequence[float], groups: list, names: list) -> DataFrame:
+    q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+    g = d.groupBy(*groups).agg(q.alias("_q")) if groups else d.agg(q.alias("_q"))
+    return g.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
+                    prefix: str = "q", in_task_values: int = IN_TASK_VALUES) -> DataFrame:
+    """Exact quantiles with linear interpolation (as pandas / ``percentile``)
+    per group, never holding more than ``in_task_values`` values of a group
+    in one task. Groups up to that size use ``percentile`` (one aggregation).
+    Larger groups, found by a cheap count and passed as a size-checked
+    broadcast list, get their rows ranked inside the group by a distributed
+    prefix sum in (group, value) order. Only the two ranks around each
+    quantile position are kept (at most 2 x len(probs) rows per group) and
+    interpolated. Output columns ``<prefix>_<p>`` (0.5 -> q_0_5)."""
+    groups = list(groups)
+    names = [f"{prefix}_{str(p).replace('.', '_')}" for p in probs]
+    d = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    if not groups:
+        n = d.count()
+        return (_percentile_quantiles if n <= in_task_values else _rank_quantiles)(d, probs, groups, names)
+    counts = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    large = counts.where(F.col("_n") > in_task_values).select(*groups)
+    n_large = large.limit(MAX_LARGE_GROUPS + 1).count()
+    if n_large == 0:
+        return _percentile_quantiles(d, probs, groups, names)
+    if n_large > MAX_LARGE_GROUPS:
+        return _rank_quantiles(d, probs, groups, names)
+    # at most MAX_LARGE_GROUPS keys: a proven bound for the broadcast
+    big = F.broadcast(large)
+    small_part = _percentile_quantiles(d.join(big, groups, "left_anti"), probs, groups, names)
+    large_part = _rank_quantiles(d.join(big, groups, "left_semi"), probs, groups, names)
+    return small_part.unionByName(large_part)
