@@ -30,7 +30,11 @@ def station_evaluation(pred: DataFrame, station: str = "station", time: str = "t
     medians from a distributed exact quantile over the rows tagged with each
     of their four grouping-set keys (no group's errors held in one task)."""
     from stormrail.operators.sampling import exact_quantiles
+    from stormrail.session import cut_lineage
     p = gap_periods(pred, station, time, gap_seconds, tiebreak=tiebreak)
+    # three passes read the periods (moments, group sizes, medians): cut the
+    # lineage once, keeping only the four columns they need
+    p = cut_lineage(p.select(station, "period", y, yhat))
     g = p.groupingSets([[station, "period"], [station], ["period"], []], station, "period") \
          .agg(*regression_aggs(y, yhat, climatology, median=False))
     g = g.select(F.coalesce(F.col(station), F.lit("all")).alias(station),
