@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormrail.session import ensure_checkpoint_dir
@@ -55,3 +55,19 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
             total += int(n)
         if first < batch.num_rows:
             yield batch.slice(first)
+
+
+def numbered(df: DataFrame, order: list, number: str, name: str = "numbered") -> DataFrame:
+    """``df``, written, with the position of each row (from 0) in the order of the given columns.
+
+    One range shuffle; positions inside a partition come from the row counter of its task, and the only table that
+    is summed in one place has a row for each partition.
+    """
+    part, at = f"__part_{number}", f"__at_{number}"
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), name)
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(part).alias("p"), F.coalesce(before, F.lit(0)).alias("start"))
+    return rows.join(starts, F.col(part) == F.col("p")).withColumn(number, F.col("start") + F.col(at)).drop(
+        part, at, "p", "start")

@@ -70,18 +70,20 @@ def _arrays(sets: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n, node, sketch): size of the shingle set, a number for the set, and its ``K`` smallest hashes."""
+    """(doc, mark, n, node, sketch): a hash of the text, the size of its shingle set, a number for the set, and its
+    ``K`` smallest hashes."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = shingle_sets(words_of(batch.column("text")), SHINGLE)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_set_hash(s) for s in sets], pa.int64()), _arrays([s[:K] for s in sets])],
-                names=["doc", "n", "node", "sketch"])
+                names=["doc", "mark", "n", "node", "sketch"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, n long, node long, sketch array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("mark"),
+                       F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc long, mark long, n long, node long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -201,7 +203,7 @@ def _work_left(lists: DataFrame) -> float:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n, component, kept), one row for each row of ``docs``.
+    """(doc, mark, n, component, kept), one row for each row of ``docs``; ``mark`` is a hash of the text.
 
     ``component`` is the smallest id among the documents that a chain of links reaches, the document itself included;
     ``kept`` is true for that document. Texts that are null, empty or blank have no shingles (n = 0) and stand alone.
@@ -228,7 +230,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = reps.join(best, "root").select("node", "component")
     blank = F.col("n") == 0
     component = F.when(blank, F.col("doc")).otherwise(F.coalesce("component", "doc"))
-    out = rows.select("doc", "n", "node").join(label, "node", "left")
-    return out.select("doc", "n", component.alias("component"),
+    out = rows.select("doc", "mark", "n", "node").join(label, "node", "left")
+    return out.select("doc", "mark", "n", component.alias("component"),
                       F.coalesce(F.col("doc") == component, F.col("doc").isNull() & component.isNull())
                       .alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep; all columns as they are. Rows that repeat
+    both id and text are one document, and stay or go together."""
+    gone = written(near_duplicates(docs, id_col, text_col).filter("not kept").select(
+        F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct(), "gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__mark"))
+    return docs.join(gone, same, "left_anti")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormrail.llm import near_dup
-from stormrail.llm.common import table
+from stormrail.llm import (
+    decontaminate, fingerprint, line_dedup, main_text, mixing, near_dup, pii, quality, secrets, spans, warc,
+)
+from stormrail.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +30,82 @@ def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
                         F.col("component").alias("component_id"), "kept")
+
+
+@query("op1_source_mix")
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op2_warc_chunks")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest",
+                                         "record_type", "refers_to", "url", "whole")
+
+
+@query("op3_personal_data")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return spans.report(found, pii.KINDS).withColumnRenamed("doc", "doc_id")
+
+
+# Lines over ten distinct sources or more, removed where they are at most half of a document's characters.
+_OP5 = """
+with line as (
+  select doc_id, text, source, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+spread as (
+  select line from line where trim(line, ' ') <> '' group by line having count(distinct source) >= 10),
+part as (
+  select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as nth,
+         unnest(string_split(text, chr(10))) as line from documents where text is not null),
+judged as (
+  select p.doc_id, p.text, p.nth, p.line, s.line is not null as hit, trim(p.line, ' ') <> '' as inked
+  from part p left join spread s on p.line = s.line),
+doc as (
+  select doc_id, text, count(*) as n_lines,
+         coalesce(sum(length(line)) filter (hit), 0) <= 0.5 * coalesce(sum(length(line)) filter (inked), 0) as clear,
+         count(*) filter (hit) as n_hit, string_agg(line, chr(10) order by nth) filter (not hit) as kept
+  from judged group by doc_id, text)
+select doc_id, n_lines, case when clear then n_hit else 0 end as n_removed,
+       md5(case when clear and n_hit > 0 then coalesce(kept, '') else text end) as text_md5
+from doc"""
+
+
+@query("op5_line_spread", _OP5)
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("lines").alias("n_lines"), F.col("removed").alias("n_removed"),
+                        F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("op6_main_text")
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).withColumnRenamed("page", "page_id")
+
+
+@query("op7_imatch")
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query("op8_decontaminate")
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score",
+                        F.col("end").alias("end_word"))
+
+
+@query("op9_quality")
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(F.col("doc").alias("doc_id"), "held_out", "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_secrets")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.report(secrets.secrets(table(spark, sf_dir, "documents")), secrets.KINDS).withColumnRenamed("doc", "doc_id")

@@ -28,6 +28,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between bare words: all ASCII characters other than letters and digits.
+_BARE = np.ones(256, dtype=bool)
+_BARE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 with np.errstate(over="ignore"):
     _CODE = mix(_BYTES * _BASE + _U(1))
     #: Odd multipliers for the words of a shingle.
@@ -80,14 +83,15 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, lower: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; ``lower``: A-Z count as a-z."""
+def words_of(texts: pa.Array, lower: bool = True, bare: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; ``lower``: A-Z count as a-z; ``bare``: words without ASCII
+    punctuation, which parts them like blanks."""
     buf, offsets = text_buffer(texts)
     n = len(buf)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return Words(buf, offsets, none, none, none.astype(np.uint64), np.zeros(len(offsets), dtype=np.int64))
-    word = ~_BLANK[buf]
+    word = ~(_BARE if bare else _BLANK)[buf]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(n, dtype=bool)
