@@ -27,15 +27,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
     Lost executors cost only the tasks that ran on them, and the size of the files tells Catalyst whether the
-    table is small enough to be sent to every task.
+    table is small enough to be sent to every task. ``slim``: rows of a few numbers, whose last step runs in two
+    tasks for each core of the cluster rather than in one for each shuffle partition.
     """
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    (df.coalesce(2 * spark.sparkContext.defaultParallelism) if slim else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def uniform(*cols) -> F.Column:

@@ -22,6 +22,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a != b").distinct()
 
 
+def _is_settled(links: DataFrame) -> bool:
+    """Whether the links are trees of depth one: each node has one link, and no link ends in a node that has one."""
+    ends = links.groupBy("a").agg(F.count("*").alias("n"), F.lit(0).alias("m")).union(
+        links.groupBy("b").agg(F.lit(0), F.lit(1)))
+    worst = ends.groupBy("a").agg((F.sum("n") + F.sum("m")).alias("x")).agg(F.max("x")).first()[0]
+    return worst is None or worst < 2
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns ``a`` and ``b``): ``root`` is the smallest node that it is
     connected with.
@@ -30,13 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     the longest chain. A node with a great many neighbours takes part in plain equi-joins and partial aggregates
     only. Nulls and self links are left out; an empty table gives an empty result.
     """
-    now = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                  .distinct(), "links")
-    seen = None
+    now = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        now = written(_star(_star(now, True), False), "links")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").union(
+        now = written(_star(_star(now, True), False), "links", slim=True)
+        if _is_settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = state

@@ -95,19 +95,25 @@ def tokens(page: str) -> list[Token]:
             continue
         closing, attributes = (m[2] or m[5]) == "/", m[4] or m[7] or ""
         breaks = name in BLOCK
+        aside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if closing:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if k >= 0:
+                aside = stack[k][1]
                 del stack[k:]
-        elif breaks and name != "br" and stack:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
-            if k >= 0 and stack[k][0] == "p":
-                del stack[k:]
-        aside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        out.append(Token(f"tag:{'/' if closing else ''}{name}", 0, "", aside, content and name != "article", breaks))
-        if not closing and name not in VOID and not attributes.endswith("/"):
+        else:
+            if breaks and name != "br" and stack:
+                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
+                if k >= 0 and stack[k][0] == "p":
+                    del stack[k:]
+                    aside = stack[-1][1] if stack else False
             inside = any(s[0] in ("article", "main") for s in stack)
-            stack.append((name, aside or _is_aside(name, attributes, inside), content or name == "article"))
+            aside = aside or _is_aside(name, attributes, inside)
+            if name not in VOID and not attributes.endswith("/"):
+                stack.append((name, aside, content or name == "article"))
+        # tags of elements that are no content count together, so a list in a menu says nothing of lists elsewhere
+        kind = "tag:aside" if aside else f"tag:{'/' if closing else ''}{name}"
+        out.append(Token(kind, 0, "", aside, content and name != "article", breaks))
     text(page[at:])
     return out
 

@@ -44,6 +44,8 @@ GENERATE = 24
 #: Leaders of a list in each round of stars, and the most rounds before what is left is compared pair by pair.
 LEADERS = 4
 ROUNDS = 6
+#: Pairs that comparing all of them may take for each row of the lists without another round of stars.
+FEW = 100
 #: A value is hot when more nodes than this retain it.
 HOT = 50
 #: A pair whose union sketch estimates less than this is dropped before the exact comparison.
@@ -115,7 +117,7 @@ class _Confirm:
         """(node, members) of the wanted nodes at least."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
-        wanted = written(wanted.join(self.nodes.select("node", "rep"), "node"), "wanted")
+        wanted = written(wanted.join(self.nodes.select("node", "rep"), "node"), "wanted", slim=True)
         new = written(full_sets(self.docs, wanted, self.id_col, self.text_col).dropDuplicates(["node"]), "sets")
         self.sets = new if self.sets is None else self.sets.union(new)
         return self.sets
@@ -126,7 +128,7 @@ class _Confirm:
                 .join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b"))
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
         likely = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= LEAST_ESTIMATE * F.size(union)
-        near = written(both.filter(likely).select("a", "b", "na", "nb"), "pairs")
+        near = written(both.filter(likely).select("a", "b", "na", "nb"), "pairs", slim=True)
         sets = self.sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         joined = (near.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
                   .join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b"))
@@ -146,7 +148,7 @@ def _lists(nodes: DataFrame, confirm: _Confirm) -> DataFrame:
     shared = written(shared.join(heat, "node", "left").withColumn("n_hot", F.coalesce("n_hot", F.lit(0))), "shared")
     grade = F.expr("if(2 * n_hot > size, 51 + int(49 * n_hot / size), 0)").alias("heat")
     rare = shared.filter(f"not hot and pos < {GENERATE} + n_hot").select("value", "node", "n", grade)
-    mostly = written(shared.filter("2 * n_hot > size").select("node", "n", grade).distinct(), "mostly")
+    mostly = written(shared.filter("2 * n_hot > size").select("node", "n", grade).distinct(), "mostly", slim=True)
     whole = mostly.join(confirm.sets_of(mostly.select("node")), "node")
     own = whole.select("node", "n", "heat", F.explode("members").alias("value"))
     ranked = own.join(own.groupBy("value").agg(F.count("*").alias("count")), "value").groupBy("node", "n", "heat").agg(
@@ -185,11 +187,9 @@ def _leaders(lists: DataFrame, turn: int) -> DataFrame:
             .select("value", F.explode(picked).alias("row")).select("value", "row.*"))
 
 
-def _mixed(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the lists whose nodes belong to more than one cluster, with the cluster of each."""
-    rows = lists.drop("root")
-    rows = rows.withColumn("root", F.col("node")) if roots is None else (
-        rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    rows = lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     many = rows.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     return rows.join(many.select("value"), "value")
 
@@ -214,15 +214,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(rows.filter("n > 0").groupBy("node", "n").agg(
         F.min("doc").alias("rep"), F.min_by("sketch", "doc").alias("sketch")).filter("rep is not null"), "nodes")
     confirm = _Confirm(nodes, docs, id_col, text_col)
-    lists, links, roots, left = written(_lists(nodes, confirm), "lists"), None, None, float("inf")
+    lists = written(_lists(nodes, confirm).withColumn("root", F.col("node")), "lists", slim=True)
+    links, roots, left = None, None, float("inf")
     for turn in range(ROUNDS + 1):
-        lists = written(_mixed(lists, roots), "lists")
+        if turn:
+            lists = written(_mixed(lists, roots), "lists", slim=True)
         was, left = left, _work_left(lists)
-        last = turn > 0 and left < LEADERS or turn == ROUNDS or left > 0.9 * was
-        pairs = _candidates(lists, lists.filter("true") if last else _leaders(lists, turn))
-        found = written(confirm(written(pairs, "candidates")), "links")
+        last = turn > 0 and (left < FEW or left > 0.5 * was or turn == ROUNDS)
+        pairs = _candidates(lists, lists if last else _leaders(lists, turn))
+        found = written(confirm(written(pairs, "candidates", slim=True)), "links", slim=True)
         links = found if links is None else links.union(found)
-        roots = written(components(links), "roots")
+        roots = written(components(links), "roots", slim=True)
         if last:
             break
     reps = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
