@@ -19,6 +19,8 @@ from stormrail.llm.common import WORD, numbered, uniform, written
 WEIGHTS = (5, 2, 1)
 #: A source, and so a document, is taken this many times at most.
 MOST = 3
+#: Documents of each class of sizes (powers of two) that may fill the words left at the cut.
+FILL = 8
 #: Bins of the rank at each of two levels.
 BINS = 1 << 10
 
@@ -76,8 +78,8 @@ def pareto_sample(rows: DataFrame, budget: DataFrame) -> DataFrame:
     ``cut`` (all if null) and those whose rank is in ``extra``.
 
     ``budget`` (group, due) says how many words are due. Documents are taken in rank order while they fit. The words
-    that are left, less than the next document has, are filled with the first documents in rank of each class of
-    sizes, large ones first, each if it still fits.
+    that are left, less than the next document has, are filled with ``FILL`` documents at most of each class of
+    sizes (the first in rank of as many parts of it), large ones first, each if it still fits.
     """
     def of(frame: DataFrame, cuts: DataFrame) -> DataFrame:
         c = cuts.select(F.col("group").alias("g"), F.col("cut").alias("at"))
@@ -91,7 +93,7 @@ def pareto_sample(rows: DataFrame, budget: DataFrame) -> DataFrame:
     cut = _cut(inside, F.col("rank"), two.drop("cut"), "cut3")
     after = of(rows, cut).filter("rank >= at and size > 0")
     best = after.groupBy("group", F.floor(F.log2("size")).alias("class"),
-                         F.pmod(F.xxhash64("rank"), F.lit(2)).alias("half")).agg(
+                         F.pmod(F.xxhash64("rank"), F.lit(FILL)).alias("part")).agg(
         F.min(F.struct("rank", "size")).alias("first"))
     lists = best.groupBy("group").agg(F.array_sort(F.collect_list(
         F.struct((-F.col("first.size")).alias("order"), F.col("first.rank").alias("rank")))).alias("list"))
