@@ -4,8 +4,8 @@ Test items are short and few beside the corpus. They are dealt into blocks of a
 sent to all tasks and compared with every document where it lies, so documents are never shuffled.
 
 1. n-grams of ``SEED`` bare words (lower-case, without ASCII punctuation) of the items are counted over the corpus.
-   Of each item those up to its median count are its seeds: common phrases go, while an item that leaked into a great
-   many documents keeps its seeds, for all of its n-grams are frequent then. An item of fewer words is too short to tell
+   Of each item those up to ``COMMON`` times its median count are its seeds: common phrases go, while an item that
+   leaked into a great many documents keeps its seeds, for all of its n-grams are frequent then. An item of fewer words is too short to tell
    a copy from chance and matches nothing.
 2. A document that holds a seed is aligned with its item around the seed: word by word, with a gain for equal words and
    a loss for changed, missing and extra ones. Paraphrased and edited copies score high, chance hits low.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from stormrail.llm.common import slices
 from stormrail.llm.words import Words, shingles, words_of
 
-#: Words of a seed.
-SEED = 4
+#: Words of a seed, and how many times the item's median count makes an n-gram too common for one.
+SEED, COMMON = 3, 4
 #: Gain of an equal word, loss of a changed word, loss of a missing or extra word.
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Least share of the full score of an item that makes a document contaminated.
@@ -132,7 +132,8 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[list]:
 
 
 def rare_seeds(docs: DataFrame, rows: list, text_col: str) -> np.ndarray:
-    """Hashes of those n-grams of each item whose number of documents is not above the item's median."""
+    """Hashes of those n-grams of each item whose number of documents is at most ``COMMON`` times the item's median
+   ."""
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches):
@@ -158,7 +159,8 @@ def rare_seeds(docs: DataFrame, rows: list, text_col: str) -> np.ndarray:
     for seed, where in enumerate(block.postings):
         for item, _ in where:
             of_item[item].append(seed)
-    keep = {s for seeds in of_item.values() for s in seeds if count[s] <= np.median(count[seeds])}
+    keep = {s for seeds in of_item.values() for s in seeds
+            if count[s] <= COMMON * np.median(np.maximum(1, count[seeds]))}
     return block.seeds[sorted(keep)]
 
 

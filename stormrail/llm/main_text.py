@@ -22,8 +22,11 @@ from stormrail.llm.common import slices
 
 #: Labelled pages that the weights are learned from at most: those with the smallest hashes of their addresses.
 LABELLED_PAGES = 2000
-#: Least gain of a word of content, least loss of a tag and of a word of an element that is no content.
-WORD_GAIN, TAG_LOSS, ASIDE_LOSS = 0.2, 0.05, 0.5
+#: Least gain of a word of content, and the gain of one in a place that no labelled page has.
+WORD_GAIN, NEW_WORD_GAIN = 0.2, 1.0
+#: Least and largest loss of a tag, of a word of an element that is no content. The largest keeps a box in the middle of
+#: an article from parting it.
+TAG_LOSS, ASIDE_LOSS = (0.05, 1.0), (0.5, 1.0)
 
 # Fixed lists of HTML: elements whose text is no text, elements without an end, elements that begin a new block,
 # elements that hold no article text.
@@ -119,15 +122,14 @@ def tokens(page: str) -> list[Token]:
 
 
 def weight_of(kind: str, learned: dict[str, float]) -> float:
-    """Weight of a token of class ``kind``; classes never seen have the least weight of their sort."""
+    """Weight of a token of class ``kind``: what was learned, within the bounds of its sort."""
     w = learned.get(kind)
-    if kind.startswith("tag:"):
-        return min(-TAG_LOSS, w if w is not None else -10 * TAG_LOSS)
-    if kind == "word:aside":
-        return min(-ASIDE_LOSS, w if w is not None else -ASIDE_LOSS)
+    if kind.startswith("tag:") or kind == "word:aside":
+        least, most = TAG_LOSS if kind.startswith("tag:") else ASIDE_LOSS
+        return -min(most, max(least, -w)) if w is not None else -least
     if kind.endswith(":a"):
         return w if w is not None else WORD_GAIN
-    return max(WORD_GAIN, w if w is not None else WORD_GAIN)
+    return max(WORD_GAIN, w) if w is not None else NEW_WORD_GAIN
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:

@@ -32,19 +32,17 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 _CHUNK = "record string, chunk long, chunks long, bytes binary, running string, total long"
 
 
-def chunk_bytes(payload: memoryview, most: int) -> list[memoryview]:
-    """Pieces of at most ``most`` bytes, one at least, none of which holds the separator of the archive."""
-    out, at, sign = [], 0, SEPARATOR.encode()
-    raw = payload.obj if isinstance(payload.obj, bytes) and len(payload.obj) == len(payload) else bytes(payload)
-    found = raw.find(sign)
-    while at < len(raw) or not out:
-        end = min(at + most, len(raw))
-        if 0 <= found < at:
-            found = raw.find(sign, at)
-        if at <= found and found + len(sign) <= end:
-            end = found + len(sign) // 2
-        out.append(payload[at:end])
-        at = end
+def chunk_bytes(payload: bytes, most: int) -> list[bytes]:
+    """Pieces of at most ``most`` bytes, one at least, such that no record that holds one shows the separator of the
+    archive, neither inside the piece nor where it meets the blank lines around it."""
+    out, at, sign, blank = [], 0, SEPARATOR.encode(), b"\r\n\r\n"
+    while at < len(payload) or not out:
+        piece = payload[at:at + most]
+        found = (blank + piece + blank).find(sign)
+        if found >= 0:  # cut within it
+            piece = piece[:found + len(sign) // 2 - len(blank)]
+        out.append(piece)
+        at += len(piece)
     return out
 
 
@@ -58,10 +56,10 @@ def chunks(records: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
             for record, payload in zip(batch.column("record").to_pylist(), batch.column("payload")):
                 raw = payload.as_py() or b""
                 digest = hashlib.sha1()
-                pieces = chunk_bytes(memoryview(raw), most)
+                pieces = chunk_bytes(raw, most)
                 for k, piece in enumerate(pieces):
                     digest.update(piece)
-                    for name, value in zip(cols, (record, k, len(pieces), bytes(piece), digest.hexdigest(), len(raw))):
+                    for name, value in zip(cols, (record, k, len(pieces), piece, digest.hexdigest(), len(raw))):
                         cols[name].append(value)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds)], names=list(cols))

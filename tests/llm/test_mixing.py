@@ -46,7 +46,7 @@ def test_targets_and_taken(make_docs, seed):
         assert r.taken == r.copies * r.size <= 3 * r.size
         taken[r.source] += r.taken
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max(2, 0.005 * want[s]), s
+        assert abs(taken[s] - want[s]) <= max(101, 0.005 * want[s]), s  # half of the largest document at most
     again = mixing.mix(make_docs(rows, parts=7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
