@@ -66,8 +66,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = (hit.groupBy("doc").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("hit"), F.col("n"))).alias("gone"),
                                   F.collect_set(F.when(F.col("hit"), F.col("key"))).alias("keys"))
            .filter(F.col("gone") <= MOST_REMOVED * F.col("all")).select(F.col("doc").alias("__doc"), "keys"))
+    # a sort-merge join at every size: the table of removals grows with the corpus, so it is never sent to all tasks
     joined = docs.withColumn("__mark", mark).join(
-        written(own, "removals").withColumnRenamed("keys", "__keys"), F.col("__mark") == F.col("__doc"), "left")
+        written(own, "removals").withColumnRenamed("keys", "__keys").hint("merge"),
+        F.col("__mark") == F.col("__doc"), "left")
     every = _lines(F.col(text_col))
     kept = F.filter(every, lambda x: _blank(x) | ~F.array_contains(F.col("__keys"), _hash(x)))
     joined = joined.withColumn("__kept", F.when(F.col("__keys").isNotNull(), kept))
