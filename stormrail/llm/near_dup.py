@@ -103,7 +103,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 names=["node", "members"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return rows.join(wanted, "rep").select("node", "text").mapInArrow(run, "node long, members array<long>")
+    # a sort-merge join at every size: the wanted nodes grow with the corpus
+    return rows.join(wanted.hint("merge"), "rep").select("node", "text").mapInArrow(
+        run, "node long, members array<long>")
 
 
 class _Confirm:
@@ -128,7 +130,7 @@ class _Confirm:
                 .join(sk.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b"))
         union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
         likely = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= LEAST_ESTIMATE * F.size(union)
-        near = written(both.filter(likely).select("a", "b", "na", "nb"), "pairs", slim=True)
+        near = written(both.filter(likely).select("a", "b", "na", "nb"), "pairs")
         sets = self.sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct())
         joined = (near.join(sets.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
                   .join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b"))
@@ -222,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         was, left = left, _work_left(lists)
         last = turn > 0 and (left < FEW or left > 0.5 * was or turn == ROUNDS)
         pairs = _candidates(lists, lists if last else _leaders(lists, turn))
-        found = written(confirm(written(pairs, "candidates", slim=True)), "links", slim=True)
+        found = written(confirm(written(pairs, "candidates", slim=True)), "links")
         links = found if links is None else links.union(found)
         roots = written(components(links), "roots", slim=True)
         if last:
