@@ -43,6 +43,12 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": assign, "access": access, "hex": matches(text, HEX)}
 
 
+def _pairs(run: Column) -> Column:
+    """Neighbouring characters of a run: array of (a, b)."""
+    chars = F.split(run, "")
+    return F.arrays_zip(F.slice(chars, 1, F.length(run) - 1).alias("a"), F.slice(chars, 2, F.length(run) - 1).alias("b"))
+
+
 @dataclass
 class Ratio:
     """Log-likelihood ratios of character pairs, row by row of ``ALPHABET``, and the threshold for each character."""
@@ -53,9 +59,9 @@ class Ratio:
     def score(self, run: Column) -> Column:
         """Mean log-likelihood ratio of a run: above 0 rather random, below rather ordinary."""
         table = F.split(F.lit(",".join(f"{x:.6f}" for x in self.table)), ",").cast("array<double>")
-        place = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, 1))
-        total = F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda a, i: a + F.coalesce(
-            F.get(table, (place(i) - 1) * len(ALPHABET) + place(i + 1) - 1), F.lit(0.0)))
+        place = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+        ratios = F.transform(_pairs(run), lambda p: F.get(table, place(p["a"]) * len(ALPHABET) + place(p["b"])))
+        total = F.aggregate(ratios, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
         return total / (F.length(run) - 1)
 
 
@@ -67,9 +73,8 @@ def train(runs: DataFrame) -> Ratio | None:
              for c in (True, False)]
     sample = written(parts[0].union(parts[1]).withColumn("test", F.pmod(F.xxhash64("run", F.lit(1)), F.lit(4)) == 0),
                      "runs")
-    pairs = sample.filter("not test").select("random", "run", F.explode(
-        F.sequence(F.lit(1), F.length("run") - 1)).alias("i")).select(
-        "random", F.expr("substring(run, i, 1)").alias("a"), F.expr("substring(run, i + 1, 1)").alias("b"))
+    pairs = sample.filter("not test").select("random", F.explode(_pairs(F.col("run"))).alias("p")).select(
+        "random", "p.a", "p.b")
     counts = {(r.random, r.a, r.b): r["count"] for r in pairs.groupBy("random", "a", "b").count().collect()}
     if len({c for c, _, _ in counts}) < 2:
         return None

@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, context: int = 0) -> Column:
     """All leftmost non-overlapping matches of ``pattern`` in ``text`` (null: none), in order, as an array of
-    (start, end, match); positions count code points from 0, ``end`` is exclusive.
+    (start, end, match, before, after); positions count code points from 0, ``end`` is exclusive. ``before`` and
+    ``after`` are up to ``context`` code points beside the match, as far as the neighbouring matches.
 
-    The text between the matches, from a split by the same pattern, gives their positions.
+    The text between the matches, from a split by the same pattern, gives their positions, so no part of the text is
+    looked up by its position.
     """
     text = F.coalesce(text, F.lit(""))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    none = F.lit([]).cast("array<struct<start:int,end:int,match:string>>")
-    pairs = F.arrays_zip(found.alias("match"), F.slice(gaps, 1, F.size(found)).alias("gap"))
+    none = F.lit([]).cast("array<struct<start:int,end:int,match:string,before:string,after:string>>")
+    parts = F.arrays_zip(found.alias("match"), F.slice(gaps, 1, F.size(found)).alias("gap"),
+                         F.slice(gaps, 2, F.size(found)).alias("next"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
+        span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"),
+                        F.right(x["gap"], F.lit(context)).alias("before"),
+                        F.left(x["next"], F.lit(context)).alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, first, step)["out"]).otherwise(none)
+    return F.when(F.size(found) > 0, F.aggregate(parts, first, step)["out"]).otherwise(none)
 
 
 def as_spans(found: Column, kind: str, order: int) -> Column:
