@@ -18,7 +18,7 @@ _REG_COLS = ["rmse", "mae", "r2", "median_ae"]
 
 
 def _reg(df, groups, skill=True):
-    g = M.regression_metrics(df, "y", "y_pred", groups, climatology=6.0112 if skill else None)
+    g = M.regression_metrics(df, "y", "y_pred", groups, climatology=6.0112 if skill else None, median=True)
     cols = _REG_COLS + (["skill"] if skill else [])
     return g.select(*groups, "n", *[r6(c).alias(c) for c in cols])
 

@@ -1,4 +1,4 @@
-"""Registered queries: feature transforms, models and predictions (FTR*, MOD*, PRED*, NET1, MET14-16)."""
+"""Registered queries: feature transforms, models and predictions (FTR*, MOD*, PRED*, MET14-16)."""
 
 from pyspark.sql import functions as F
 
@@ -242,11 +242,3 @@ from r_reg"""))
 def pred2_dual_all(spark, sf):
     r = R.regression_eval(spark, sf).withColumn("p", F.least(F.lit(1.0), F.col("y_pred") / 1000.0))
     return r.select(*KEYS, r6("y_pred").alias("y_pred"), (F.col("p") >= 0.1).cast("int").alias("class"))
-
-
-@query("net1_network_lasso")
-def net1_network_lasso(spark, sf):
-    f = features(spark, sf).select("station", "time", "train_type", "delay", "gust", "prec", "train_count")
-    coefs = MD.network_lasso(f, ["gust", "prec", "train_count"], "delay", "station", R.edges(spark, sf),
-                             ["time", "station", "train_type"], batch_size=50, num_iter=50, lam=1.0)
-    return coefs.select("batch", F.concat_ws(",", F.transform("coef", lambda x: F.round(x, 4).cast("string"))).alias("coef"), "n")

@@ -41,3 +41,6 @@ NEAREST_OBS_STATIONS = 5
 NEAREST_OBS_MAX_KM = 100.0
 STRIKE_RADIUS_KM = 30.0
 SERVING_ROWS_PER_FILE = 100
+
+# Aggregates that a parameter's name can begin with.
+AGG_PREFIXES = ("min", "max", "mean", "sum", "median")

@@ -247,7 +247,7 @@ def parse_time(x, fmt: str = "yyyy-MM-dd") -> Column:
 
 # FN22 ------------------------------------------------------------------------
 def null_count(cols: Sequence) -> Column:
-    """Number of NULL (or NaN for doubles) values among ``cols`` in the row."""
+    """Number of NULL values among ``cols`` in the row."""
     parts = [F.when(c(x).isNull(), 1).otherwise(0) for x in cols]
     out = parts[0]
     for p in parts[1:]:
@@ -267,10 +267,10 @@ def _dot(x: Column, y: Column) -> Column:
 
 
 def tanimoto(x, y) -> Column:
-    """x.y / (x.x + y.y - x.y) over two numeric arrays of equal length."""
+    """x.y / (x.x + y.y - x.y) over two numeric arrays of equal length; NULL for two zero vectors."""
     xv, yv = c(x), c(y)
     xy = _dot(xv, yv)
-    return xy / (_dot(xv, xv) + _dot(yv, yv) - xy)
+    return F.try_divide(xy, _dot(xv, xv) + _dot(yv, yv) - xy)
 
 
 def argmax(arr) -> Column:

@@ -16,12 +16,6 @@ from pyspark.sql import functions as F
 
 from stormrail.functions.constants import MISSING, SUMMER_MONTHS, WINTER_MONTHS
 from stormrail.operators.ordered import epoch_seconds_ntz
-from stormrail.session import bounded_broadcast
-
-# Station lists longer than this are applied as a broadcast semi join
-# instead of an IN list.
-IN_LIST_MAX = 500
-
 
 def _ts(x) -> Column:
     if isinstance(x, Column):
@@ -41,16 +35,11 @@ def time_range(df: DataFrame, start, end, time: str = "time") -> DataFrame:
 
 # FLT2 -------------------------------------------------------------------------
 def stations_in(df: DataFrame, stations, station: str = "station") -> DataFrame:
-    """Station IN list; a DataFrame or a long list becomes a semi join."""
+    """Rows of the given stations: a list becomes an IN predicate (which reaches the scan), a DataFrame a semi join
+    that AQE plans from its size."""
     if isinstance(stations, DataFrame):
-        s = stations.select(F.col(stations.columns[0]).alias(station)).distinct()
-        return df.join(bounded_broadcast(s, 1_000_000), station, "left_semi")
-    stations = list(stations)
-    if len(stations) <= IN_LIST_MAX:
-        return df.where(F.col(station).isin(stations))
-    # the list was passed in by the caller: its size is known here
-    s = df.sparkSession.createDataFrame([(x,) for x in stations], [station])
-    return df.join(F.broadcast(s), station, "left_semi")
+        return df.join(stations.select(F.col(stations.columns[0]).alias(station)).distinct(), station, "left_semi")
+    return df.where(F.col(station).isin(list(stations)))
 
 
 # FLT3 / FLT16 -----------------------------------------------------------------

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from stormrail.functions.constants import NEAREST_OBS_MAX_KM, NEAREST_OBS_STATIONS
 from stormrail.functions.scalar import haversine_km
-from stormrail.session import bounded_broadcast
-
-# Dimension tables (stations, codes) are broadcast only below this many rows.
-DIM_MAX_ROWS = 1_000_000
 
 
 # JOIN1 ------------------------------------------------------------------------
@@ -130,9 +126,9 @@ def interval_counts(rows: DataFrame, events: DataFrame, station: str = "station"
 def ids_to_names(df: DataFrame, dim: DataFrame, id_col: str, dim_id: str, dim_name: str,
                  out: str = "name", default: str = "unkown") -> DataFrame:
     """Lookup with a default for unmatched ids (the reference's spelling of
-    the default is kept: ``unkown``). The dimension is small (stations)."""
+    the default is kept: ``unkown``). AQE broadcasts a small dimension."""
     d = dim.select(F.col(dim_id).alias("_sr_id"), F.col(dim_name).alias(out)).dropDuplicates(["_sr_id"])
-    j = df.join(bounded_broadcast(d, DIM_MAX_ROWS), df[id_col] == F.col("_sr_id"), "left").drop("_sr_id")
+    j = df.join(d, df[id_col] == F.col("_sr_id"), "left").drop("_sr_id")
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
@@ -140,9 +136,9 @@ def names_to_codes(df: DataFrame, dim: DataFrame, name_col: str, dim_name: str,
                    out: str = "code") -> DataFrame:
     """Lookup that fails on an unmatched name (``raise_error``)."""
     d = dim.select(F.col(dim_name).alias("_sr_name"), F.col(dim_code).alias(out)).dropDuplicates(["_sr_name"])
-    j = df.join(bounded_broadcast(d, DIM_MAX_ROWS), df[name_col] == F.col("_sr_name"), "left").drop("_sr_name")
+    j = df.join(d, df[name_col] == F.col("_sr_name"), "left").drop("_sr_name")
     return j.withColumn(out, F.when(F.col(out).isNull(),
-                                    F.raise_error(F.concat(F.lit("Id for name not found: "), F.col(name_col).cast("string"))))
+                                    F.raise_error(F.concat(F.lit("No code for "), F.col(name_col).cast("string"))))
                         .otherwise(F.col(out)))
 
 

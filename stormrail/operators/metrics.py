@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormrail.functions.constants import CLIMATOLOGY_RMSE_SUM
@@ -29,43 +29,39 @@ def _zero_div(a: Column, b: Column) -> Column:
 
 
 # MET1 / MET2 / MET3 / MET4 ----------------------------------------------------------
-def regression_aggs(y: str = "y", yhat: str = "y_pred", climatology: float | None = None,
-                    median: bool = False) -> list[Column]:
-    """Aggregate expressions for the regression metrics. ``median=True`` adds
-    a ``percentile`` median (fine for groups of bounded size; use
-    ``exact_quantiles`` otherwise, as ``regression_metrics`` does)."""
-    e = F.col(yhat) - F.col(y)
-    n = F.count(F.col(y))
+def regression_aggs(y: str = "y", yhat: str = "y_pred", climatology: float | None = None) -> list[Column]:
+    """Aggregate expressions for the regression metrics. Rows without a label or without a prediction count in none
+    of them."""
+    both = F.col(y).isNotNull() & F.col(yhat).isNotNull()
+    yy, e = F.when(both, F.col(y)), F.col(yhat) - F.col(y)
+    n = F.count(e)
     sse = F.sum(e * e)
     out = [n.cast("long").alias("n"),
            F.sqrt(F.avg(e * e)).alias("rmse"),
            F.avg(F.abs(e)).alias("mae"),
-           (F.lit(1.0) - _div(sse, n * F.var_pop(y))).alias("r2")]
-    if median:
-        out.append(F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"))
+           (F.lit(1.0) - _div(sse, n * F.var_pop(yy))).alias("r2")]
     if climatology is not None:
         out.append((F.lit(1.0) - _div(F.sqrt(F.avg(e * e)),
-                                      F.sqrt(F.avg(F.pow(F.col(y) - F.lit(climatology), 2))))).alias("skill"))
+                                      F.sqrt(F.avg(F.pow(yy - F.lit(climatology), 2))))).alias("skill"))
     return out
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "y_pred", groups: Sequence = (),
-                       climatology: float | None = CLIMATOLOGY_RMSE_SUM) -> DataFrame:
-    """n, RMSE, MAE, R^2 (1 - SSE / (n * var_pop(y))), median absolute error
-    and the skill score against a constant climatology forecast. The median
-    is a distributed exact quantile (``exact_quantiles``): a group's errors
-    are never held in one task."""
-    from stormrail.operators.sampling import exact_quantiles
+                       climatology: float | None = CLIMATOLOGY_RMSE_SUM, median: bool = False) -> DataFrame:
+    """n, RMSE, MAE, R^2 (1 - SSE / (n * var_pop(y))), the skill score against a constant climatology forecast and,
+    with ``median``, the median absolute error: a distributed exact quantile (``exact_quantiles``), so a group's
+    errors are never held in one task."""
+    from stormrail.operators.sampling import exact_quantiles, null_safe_join
     groups = list(groups)
-    aggs = regression_aggs(y, yhat, climatology, median=False)
-    main = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
-    err = df.select(*groups, F.abs(F.col(yhat) - F.col(y)).alias("_ae"))
-    med = exact_quantiles(err, "_ae", [0.5], groups, prefix="_m").withColumnRenamed("_m_0_5", "median_ae")
-    if groups:
-        out = main.join(med, groups, "left")
-    else:
-        out = main.select("*", med.select("median_ae").scalar().alias("median_ae"))
-    cols = ["n", "rmse", "mae", "r2", "median_ae"] + (["skill"] if climatology is not None else [])
+    aggs = regression_aggs(y, yhat, climatology)
+    out = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)
+    cols = ["n", "rmse", "mae", "r2"] + (["skill"] if climatology is not None else [])
+    if median:
+        err = df.select(*groups, F.abs(F.col(yhat) - F.col(y)).alias("_ae"))
+        med = exact_quantiles(err, "_ae", [0.5], groups, prefix="_m").withColumnRenamed("_m_0_5", "median_ae")
+        out = null_safe_join(out, med, groups, "left") if groups else (
+            out.select("*", med.select("median_ae").scalar().alias("median_ae")))
+        cols.insert(4, "median_ae")
     return out.select(*groups, *cols)
 
 
@@ -78,7 +74,9 @@ def skill_constant_rmse(rmse: Column, reference_rmse: float = CLIMATOLOGY_RMSE_S
 def binary_metrics(df: DataFrame, y: str = "y", pred: str = "pred", groups: Sequence = (),
                    beta: float = 2.0) -> DataFrame:
     """Accuracy, precision, recall, F1, F-beta and predicted-positive share
-    for a 0/1 label (zero denominators give 0)."""
+    for a 0/1 label (zero denominators give 0). Rows without a label or
+    without a prediction count in none of them."""
+    df = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
     yy, pp = F.col(y) == 1, F.col(pred) == 1
     tp = F.sum((yy & pp).cast("long"))
     fp = F.sum((~yy & pp).cast("long"))
@@ -99,38 +97,61 @@ def binary_metrics(df: DataFrame, y: str = "y", pred: str = "pred", groups: Sequ
 
 
 def confusion(df: DataFrame, y: str = "y", pred: str = "pred", groups: Sequence = ()) -> DataFrame:
-    """MET7: counts per (y, pred) and the share of the y row."""
+    """MET7: counts per (y, pred) and the share of the y row, summed over the counts (a few rows for each class)."""
     g = df.groupBy(*groups, y, pred).agg(F.count(F.lit(1)).cast("long").alias("count"))
-    tot = df.groupBy(*groups, y).agg(F.count(F.lit(1)).alias("_sr_row"))
-    return g.join(tot, [*groups, y]).withColumn("share", F.col("count") / F.col("_sr_row")).drop("_sr_row")
+    return g.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*groups, y)))
+
+
+def confusion_table(df: DataFrame, classes: Sequence, y: str = "y", pred: str = "pred") -> DataFrame:
+    """MET7 as a table: one row for each true class, one column for each predicted one."""
+    return df.groupBy(y).pivot(pred, list(classes)).agg(F.count(F.lit(1))).fillna(0)
+
+
+def _class_counts(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """(cls, tp, support, npred) for every class seen as label or prediction, from the (y, pred) counts alone."""
+    pairs = df.where(F.col(y).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(y).alias("_y"), F.col(pred).alias(
+        "_p")).agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("_y") == F.col("_p"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct(F.col("_y").alias("cls"), hit.cast("long").alias("tp"), F.col("n").alias("support"),
+                             zero.alias("npred")),
+                    F.struct(F.col("_p").alias("cls"), zero.alias("tp"), zero.alias("support"),
+                             F.col("n").alias("npred")))
+    return pairs.select(F.explode(sides).alias("s")).select("s.*").groupBy("cls").agg(
+        F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("npred").alias("npred"))
+
+
+def micro_average(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
+    """Micro-averaged precision, recall and F1: sums of hits, predictions and labels over the classes."""
+    c = _class_counts(df, y, pred).agg(*[F.sum(x).cast("double").alias(x) for x in ("tp", "support", "npred")])
+    p, r = _zero_div(F.col("tp"), F.col("npred")), _zero_div(F.col("tp"), F.col("support"))
+    return c.select(p.alias("precision"), r.alias("recall"), _zero_div(2 * p * r, p + r).alias("f1"))
 
 
 def per_class_report(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """MET6: precision, recall, F1 and support per class, plus rows
     'macro avg' and 'weighted avg' (class as string)."""
-    tp = df.where(F.col(y) == F.col(pred)).groupBy(F.col(y).alias("cls")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = df.groupBy(F.col(y).alias("cls")).agg(F.count(F.lit(1)).alias("support"))
-    npred = df.groupBy(F.col(pred).alias("cls")).agg(F.count(F.lit(1)).alias("npred"))
-    # classes seen as label or prediction: one row per class
-    classes = sup.select("cls").union(npred.select("cls")).distinct()
-    r = classes.join(tp, "cls", "left").join(sup, "cls", "left").join(npred, "cls", "left").fillna(0)
+    r = _class_counts(df, y, pred)
     r = r.withColumn("precision", _zero_div(F.col("tp"), F.col("npred").cast("double"))) \
          .withColumn("recall", _zero_div(F.col("tp"), F.col("support").cast("double")))
     r = r.withColumn("f1", _zero_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    per = r.select(F.col("cls").cast("string").alias("cls"), "precision", "recall", "f1",
-                   F.col("support").cast("long").alias("support"))
-    macro = r.agg(F.lit("macro avg").alias("cls"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                  F.avg("f1").alias("f1"), F.sum("support").cast("long").alias("support"))
-    wsum = F.sum("support")
-    weighted = r.agg(F.lit("weighted avg").alias("cls"),
-                     (F.sum(F.col("precision") * F.col("support")) / wsum).alias("precision"),
-                     (F.sum(F.col("recall") * F.col("support")) / wsum).alias("recall"),
-                     (F.sum(F.col("f1") * F.col("support")) / wsum).alias("f1"), wsum.cast("long").alias("support"))
-    return per.unionByName(macro).unionByName(weighted)
+    # each class row counts for itself and for both averages: one pass over a few rows
+    names = F.array(F.col("cls").cast("string"), F.lit("macro avg"), F.lit("weighted avg"))
+    each = r.select(F.explode(names).alias("name"), "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
+    total = F.sum("support")
+
+    def mean(x):
+        weighted = F.sum(F.col(x) * F.col("support")) / total
+        return F.when(F.col("name") == "weighted avg", F.when(total != 0, weighted)).otherwise(F.avg(x)).alias(x)
+
+    return each.groupBy("name").agg(mean("precision"), mean("recall"), mean("f1"), total.alias("support")
+                                    ).withColumnRenamed("name", "cls")
 
 
 # MET8 / MET9 / MET10 ----------------------------------------------------------------
 def _score_table(df: DataFrame, y: str, score: str, groups: Sequence[str]) -> DataFrame:
+    """Counts per distinct score; rows without a label or a score count in no curve."""
+    df = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     return df.groupBy(*groups, F.col(score).alias("score")).agg(
         F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
 
@@ -145,15 +166,12 @@ def roc_points(df: DataFrame, y: str = "y", score: str = "proba", groups: Sequen
         # order minus the totals of earlier groups
         t2 = t.withColumn("_sr_ns", -F.col("score"))
         cum = prefix_sums(t2, [*groups, "_sr_ns"], {"tp": F.col("pos"), "fp": F.col("neg")})
-        tot = t.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-        from pyspark.sql import Window
-        w = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
-        # one row per group
-        starts = tot.select(*groups, "P", "N", F.coalesce(F.sum("P").over(w), F.lit(0)).alias("_sp"),
-                            F.coalesce(F.sum("N").over(w), F.lit(0)).alias("_sn"))
-        # one row per group; AQE broadcasts it from its runtime size
-        cum = cum.join(starts, groups) \
-                 .withColumn("tp", F.col("tp") - F.col("_sp")).withColumn("fp", F.col("fp") - F.col("_sn")) \
+        from stormrail.operators.sampling import null_safe_join
+        starts = cum.groupBy(*groups).agg(
+            F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+            F.min(F.col("tp") - F.col("pos")).alias("_sp"), F.min(F.col("fp") - F.col("neg")).alias("_sn"))
+        cum = null_safe_join(cum, starts, groups)
+        cum = cum.withColumn("tp", F.col("tp") - F.col("_sp")).withColumn("fp", F.col("fp") - F.col("_sn")) \
                  .drop("_sp", "_sn", "_sr_ns")
     else:
         cum = prefix_sums(t, ["score"], {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)

@@ -1,15 +1,13 @@
-"""Feature transforms and model fitting (FTR*, MOD*, PRED*, NET1).
+"""Feature transforms and model fitting (FTR*, MOD*, PRED*).
 
-- Scalers and Gaussian naive Bayes are plain aggregates (one small stats
-  table) applied with scalar subqueries / a broadcast class table.
+- Scalers and Gaussian naive Bayes are plain aggregates: one small row or one
+  array of classes, which the rows are scored with in a projection.
 - Forests, boosted trees, linear models, linear SVC, mixtures and PCA are
   Spark ML estimators on an assembled vector.
-- Per-station linear models are solved from per-station normal equations
-  (X'X, X'y summed with partial aggregation), so a hot station is never
-  collected into one task; only the k x k systems (one row per station) are
-  solved in Python.
-- The network lasso runs per bounded batch of consecutive rows in
-  ``applyInPandas`` and the batch coefficients are averaged.
+- Per-station linear models are solved from per-station covariances (partial
+  aggregation of centred sums), so a hot station is never collected into one
+  task; only the k x k systems (one row per station) are solved in numpy, all
+  of a batch at once.
 """
 
 from __future__ import annotations
@@ -23,11 +21,9 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from stormrail.operators.ordered import global_row_number
-
 
 # FTR1 -------------------------------------------------------------------------
 def fit_standard_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -42,13 +38,15 @@ def fit_standard_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def apply_standard_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], inverse: bool = False) -> DataFrame:
-    """(x - mean) / std, or x * std + mean; stats enter as scalar subqueries."""
-    out = df
-    for c in cols:
-        m = stats.select(f"mean_{c}").scalar()
-        s = stats.select(f"std_{c}").scalar()
-        out = out.withColumn(c, F.col(c) * s + m if inverse else (F.col(c) - m) / s)
-    return out
+    """(x - mean) / std, or x * std + mean. The stats, one row of two numbers for each column, are taken as literals,
+    so the input of the fit is read once."""
+    s = stats.first()
+
+    def scaled(c):
+        m, d = (F.lit(s[f"{k}_{c}"]).cast("double") for k in ("mean", "std"))
+        return F.col(c) * d + m if inverse else (F.col(c) - m) / d
+
+    return df.withColumns({c: scaled(c) for c in cols})
 
 
 # FTR2 -------------------------------------------------------------------------
@@ -58,14 +56,13 @@ def fit_minmax(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def apply_minmax(df: DataFrame, stats: DataFrame, cols: Sequence[str], lo: float = -1.0, hi: float = 1.0) -> DataFrame:
     """Scale to [lo, hi]; a constant column maps to the middle."""
-    out = df
-    for c in cols:
-        mn = stats.select(f"min_{c}").scalar()
-        mx = stats.select(f"max_{c}").scalar()
-        rng = mx - mn
-        out = out.withColumn(c, F.when(rng != 0, F.lit(lo) + (F.col(c) - mn) * (hi - lo) / rng)
-                             .otherwise(F.lit((lo + hi) / 2)))
-    return out
+    s = stats.first()  # one row
+
+    def scaled(c):
+        mn, mx = (F.lit(s[f"{k}_{c}"]).cast("double") for k in ("min", "max"))
+        return F.when(mx != mn, F.lit(lo) + (F.col(c) - mn) * (hi - lo) / (mx - mn)).otherwise(F.lit((lo + hi) / 2))
+
+    return df.withColumns({c: scaled(c) for c in cols})
 
 
 # helpers ----------------------------------------------------------------------
@@ -74,12 +71,12 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
 
 
 # FTR3 / MET14 -----------------------------------------------------------------
-def fit_pca(df: DataFrame, cols: Sequence[str], k: int, whiten: bool = False):
+def fit_pca(df: DataFrame, cols: Sequence[str], k: int):
     """Centred PCA (ML PCA does not centre the rows it projects). Returns
     (model, means, eigenvalues) where eigenvalues are those of the sample
     covariance (explained variance ratio x total variance)."""
-    means = df.agg(*[F.avg(c).alias(c) for c in cols])
-    centred = df.select(*[(F.col(c) - means.select(c).scalar()).alias(c) for c in cols])
+    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    centred = df.select(*[(F.col(c) - F.lit(means[c])).alias(c) for c in cols])
     vec = assemble(centred, cols)
     model = PCA(k=k, inputCol="features", outputCol="pca").fit(vec)
     total_var = df.agg(sum(F.var_samp(c) for c in cols)).first()[0]  # one number
@@ -87,9 +84,9 @@ def fit_pca(df: DataFrame, cols: Sequence[str], k: int, whiten: bool = False):
     return model, means, eig
 
 
-def apply_pca(df: DataFrame, model, means: DataFrame, cols: Sequence[str], eig: Sequence[float] | None = None,
+def apply_pca(df: DataFrame, model, means: Row, cols: Sequence[str], eig: Sequence[float] | None = None,
               whiten: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    centred = df.select(*keep, *[(F.col(c) - means.select(c).scalar()).alias(c) for c in cols])
+    centred = df.select(*keep, *[(F.col(c) - F.lit(means[c])).alias(c) for c in cols])
     out = model.transform(assemble(centred, cols)).withColumn("pc", vector_to_array("pca"))
     if whiten and eig:
         scale = F.array(*[F.lit(1.0 / np.sqrt(e)) if e > 0 else F.lit(0.0) for e in eig])
@@ -97,12 +94,12 @@ def apply_pca(df: DataFrame, model, means: DataFrame, cols: Sequence[str], eig:
     return out.select(*keep, "pc")
 
 
-def reconstruct_pca(df: DataFrame, model, means: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def reconstruct_pca(df: DataFrame, model, means: Row, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """x_hat = mean + P P'(x - mean); returns x and x_hat arrays (MET17)."""
     pcs = model.pc.toArray()  # d x k, small
     proj = pcs @ pcs.T
-    centred = [(F.col(c) - means.select(c).scalar()) for c in cols]
-    x_hat = [sum(F.lit(float(proj[i, j])) * centred[j] for j in range(len(cols))) + means.select(cols[i]).scalar()
+    centred = [F.col(c) - F.lit(means[c]) for c in cols]
+    x_hat = [sum(F.lit(float(proj[i, j])) * centred[j] for j in range(len(cols))) + F.lit(means[cols[i]])
              for i in range(len(cols))]
     return df.select(*keep, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.array(*x_hat).alias("x_hat"))
 
@@ -152,39 +149,42 @@ def slice_features(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> D
 # MOD4 -------------------------------------------------------------------------
 def gaussian_nb_fit(df: DataFrame, cols: Sequence[str], label: str, var_smoothing: float = 1e-9) -> DataFrame:
     """Class statistics: prior (unsmoothed), mean and variance per class x
-    feature; variances get ``var_smoothing * max feature variance`` added."""
+    feature; variances get ``var_smoothing * max feature variance`` added. A
+    variance that is 0 all the same (every feature constant) counts as 1, so
+    scores stay defined."""
     long = df.select(label, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("kv"))
-    eps = df.agg(F.greatest(*[F.var_pop(c) for c in cols]) if len(cols) > 1 else F.var_pop(cols[0])).scalar() \
-        * F.lit(var_smoothing)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    st = long.groupBy(label, "kv.feature").agg(F.avg("kv.v").alias("mean"), F.var_pop("kv.v").alias("var"),
+    whole = df.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    eps = var_smoothing * max([whole[f"v{i}"] or 0.0 for i in range(len(cols))], default=0.0)
+    st = long.groupBy(label, "kv.feature").agg(F.avg("kv.v").alias("mean"), (F.var_pop("kv.v") + eps).alias("var"),
                                                F.count(F.lit(1)).alias("n_c"))
-    return st.select(label, "feature", "mean", (F.col("var") + eps).alias("var"), (F.col("n_c") / n).alias("prior"))
+    return st.select(label, "feature", "mean", F.when(F.col("var") > 0, F.col("var")).otherwise(1.0).alias("var"),
+                     (F.col("n_c") / F.lit(max(1, whole["n"]))).alias("prior"))
 
 
 def gaussian_nb_predict(df: DataFrame, stats: DataFrame, cols: Sequence[str], label: str,
-                        keys: Sequence[str], out: str = "pred", max_classes: int = 1000) -> DataFrame:
-    """Joint log-likelihood per class and the argmax (ties -> smaller
-    class). The class table (classes x features, size-checked) is read once
-    on the driver and becomes literal expressions: scoring is a projection,
-    no join and no shuffle."""
-    n_rows = stats.limit(max_classes * len(cols) + 1).count()
-    if n_rows > max_classes * len(cols):
-        raise ValueError("too many classes for a literal class table")
-    table: dict = {}
-    for r in stats.collect():  # bounded above
-        table.setdefault(r[label], {"prior": r["prior"]})[r["feature"]] = (r["mean"], r["var"])
-    scores = []
-    for cls in sorted(table):
-        t = table[cls]
-        ll = F.lit(float(np.log(t["prior"])))
-        for c in cols:
-            m, v = t[c]
-            ll = ll - F.lit(0.5 * float(np.log(2 * np.pi * v))) - F.pow(F.col(c) - F.lit(float(m)), 2) / F.lit(2.0 * v)
-        scores.append(F.struct(ll.alias("ll"), F.lit(-cls).alias("neg_cls"), F.lit(cls).alias("cls")))
-    best = F.array_max(F.array(*scores))
-    return df.select(*keys, best["cls"].alias(out), best["ll"].alias("log_likelihood"))
+                        keys: Sequence[str], out: str = "pred") -> DataFrame:
+    """The class of the largest joint log-likelihood (ties -> smaller class),
+    that log-likelihood and the class's probability. The class table is one
+    array, a scalar subquery: scoring is a projection, no join and no
+    shuffle, for any number of classes."""
+    per = stats.groupBy(F.col(label).alias("cls")).agg(
+        F.first("prior").alias("prior"),
+        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "var")))).alias("f"))
+    table = per.agg(F.collect_list(F.struct("cls", "prior", F.array(*[F.col("f")[c] for c in cols]).alias("f")))).scalar()
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+
+    def score(c):
+        terms = F.zip_with("_x", c["f"], lambda v, s: F.lit(0.5) * F.log(F.lit(2 * np.pi) * s["var"])
+                           + F.pow(v - s["mean"], F.lit(2)) / (F.lit(2.0) * s["var"]))
+        ll = F.aggregate(terms, F.log(c["prior"]), lambda acc, t: acc - t)
+        return F.struct(ll.alias("ll"), (-c["cls"]).alias("neg_cls"), c["cls"].alias("cls"))
+
+    whole = df.select(*keys, x.alias("_x"), table.alias("_t"))
+    scored = whole.select(*keys, F.transform("_t", score).alias("_nb")).withColumn("_best", F.array_max("_nb"))
+    total = F.aggregate("_nb", F.lit(0.0), lambda acc, s: acc + F.exp(s["ll"] - F.col("_best.ll")))
+    return scored.select(*keys, F.col("_best.cls").alias(out), F.col("_best.ll").alias("log_likelihood"),
+                         (F.lit(1.0) / total).alias("probability"))
 
 
 # MOD7 -------------------------------------------------------------------------
@@ -218,36 +218,31 @@ def random_search(df: DataFrame, cols: Sequence[str], label: str, kind: str, gri
 # MOD8 -------------------------------------------------------------------------
 def per_group_linear(df: DataFrame, group: str, cols: Sequence[str], label: str, ridge: float = 0.0,
                      min_rows: int = 2) -> DataFrame:
-    """Least squares y ~ 1 + x per group from summed normal equations.
-    Returns (group, coef array [intercept, b1..bk], n)."""
-    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in cols]
-    k = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(xs[i] * xs[j]).alias(f"xx_{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(xs[i] * F.col(label)).alias(f"xy_{i}") for i in range(k)]
-    st = df.groupBy(group).agg(*aggs).where(F.col("n") >= min_rows)
-
-    schema = f"{group} string, coef array<double>, n long"
+    """Least squares y ~ 1 + x per group from its covariances, which stay exact for values far from 0. Rows with a
+    NULL feature or label are left out, groups of fewer than ``min_rows`` have no model, and a constant feature gets
+    the coefficient 0. Returns (group, coef array [intercept, b1..bk], n)."""
+    k = len(cols)
+    xs = [F.col(c).cast("double") for c in cols]
+    y = F.col(label).cast("double")
+    known = df.where(F.col(label).isNotNull())
+    for c in cols:
+        known = known.where(F.col(c).isNotNull())
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("my"), F.array(*[F.avg(x) for x in xs]).alias("mx"),
+            F.array(*[F.covar_pop(a, b) for a in xs for b in xs]).alias("xx"),
+            F.array(*[F.covar_pop(x, y) for x in xs]).alias("xy")]
+    st = known.groupBy(F.col(group).cast("string").alias(group)).agg(*aggs).where(F.col("n") >= min_rows)
 
     def solve(batches):
         for pdf in batches:
-            yield _solve_rows(pdf)
-
-    def _solve_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            a = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    a[i, j] = a[j, i] = r[f"xx_{i}_{j}"]
-            a += ridge * np.eye(k)
-            b = np.array([r[f"xy_{i}"] for i in range(k)])
-            coef = np.linalg.lstsq(a, b, rcond=None)[0]
-            out.append((str(r[group]), coef.tolist(), int(r["n"])))
-        return pd.DataFrame(out, columns=[group, "coef", "n"])
+            if not len(pdf):
+                continue
+            xx = np.stack(pdf["xx"].to_list()).reshape(-1, k, k) + ridge * np.eye(k) / pdf["n"].to_numpy()[:, None, None]
+            b = np.einsum("gij,gj->gi", np.linalg.pinv(xx), np.stack(pdf["xy"].to_list()))
+            b0 = pdf["my"].to_numpy() - (b * np.stack(pdf["mx"].to_list())).sum(axis=1)
+            yield pd.DataFrame({group: pdf[group], "coef": list(np.column_stack([b0, b])), "n": pdf["n"]})
 
     # one row per group: the solve step handles small k x k systems only
-    return st.withColumn(group, F.col(group).cast("string")).mapInPandas(solve, schema)
+    return st.mapInPandas(solve, f"{group} string, coef array<double>, n long")
 
 
 def predict_per_group(df: DataFrame, coefs: DataFrame, group: str, cols: Sequence[str],
@@ -279,72 +274,3 @@ def dual_prediction(proba: Column | str, yhat: Column | str, limit: float = 0.5)
     p = F.col(proba) if isinstance(proba, str) else proba
     y = F.col(yhat) if isinstance(yhat, str) else yhat
     return F.when(p >= limit, y).otherwise(F.lit(0.0))
-
-
-# NET1 -------------------------------------------------------------------------
-def _network_lasso_batch(x: np.ndarray, y: np.ndarray, adj: np.ndarray, lam: float, num_iter: int) -> np.ndarray:
-    """Primal-dual iterations for min sum_i (y_i - x_i.w_i)^2 + lam * sum_edges ||w_i - w_j||;
-    returns the mean node weight vector of the iteration average."""
-    n, d = x.shape
-    iu, ju = np.nonzero(np.triu(adj, 1))
-    m = len(iu)
-    w = np.zeros((n, d))
-    u = np.zeros((m, d))
-    deg = np.zeros(n)
-    np.add.at(deg, iu, 1.0)
-    np.add.at(deg, ju, 1.0)
-    tau = 1.0 / np.maximum(deg, 1.0)
-    sigma = 0.5
-    xx = np.sum(x * x, axis=1)
-    avg = np.zeros((n, d))
-    for it in range(num_iter):
-        div = np.zeros((n, d))
-        np.add.at(div, iu, u)
-        np.add.at(div, ju, -u)
-        v = w - tau[:, None] * div
-        # prox of tau * (y - x.w)^2
-        r = y - np.sum(x * v, axis=1)
-        w_new = v + x * (2 * tau * r / (1 + 2 * tau * xx))[:, None]
-        w_bar = 2 * w_new - w
-        w = w_new
-        u = u + sigma * (w_bar[iu] - w_bar[ju])
-        norms = np.linalg.norm(u, axis=1)
-        lim = lam * adj[iu, ju]
-        scale = np.where(norms > lim, lim / np.maximum(norms, 1e-12), 1.0)
-        u = u * scale[:, None]
-        avg = (avg * it + w) / (it + 1)
-    return avg.mean(axis=0)
-
-
-def network_lasso(df: DataFrame, cols: Sequence[str], label: str, station: str, edges: DataFrame,
-                  order: Sequence[str], batch_size: int = 50, num_iter: int = 200, lam: float = 1.0,
-                  max_edges: int = 1_000_000) -> DataFrame:
-    """Fit per batch of ``batch_size`` consecutive rows (in ``order``), rows
-    linked when their stations are linked; returns one row per batch with
-    its coefficient vector, plus the averaged model as batch -1."""
-    n_edges = edges.limit(max_edges + 1).count()
-    if n_edges > max_edges:
-        raise ValueError("station graph larger than the broadcast bound")
-    pairs = {(r[0], r[1]) for r in edges.select(edges.columns[0], edges.columns[1]).collect()}
-    pairs |= {(b, a) for a, b in pairs}
-    numbered = global_row_number(df.select(station, label, *cols, *[o for o in order if o not in (station,)]),
-                                 order, "_rn")
-    numbered = numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / batch_size).cast("long"))
-    schema = "batch long, coef array<double>, n long"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        x = pdf[list(cols)].to_numpy(dtype=float)
-        y = pdf[label].to_numpy(dtype=float)
-        st = pdf[station].tolist()
-        adj = np.array([[1.0 if (a, b) in pairs and i != j else 0.0 for j, b in enumerate(st)]
-                        for i, a in enumerate(st)])
-        coef = _network_lasso_batch(x, y, adj, lam, num_iter)
-        return pd.DataFrame({"batch": [int(pdf["batch"].iloc[0])], "coef": [coef.tolist()], "n": [len(pdf)]})
-
-    per_batch = numbered.groupBy("batch").applyInPandas(fit, schema)
-    mean = per_batch.select(F.posexplode("coef").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v"))
-    avg = mean.agg(F.lit(-1).cast("long").alias("batch"),
-                   F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("coef"),
-                   F.lit(None).cast("long").alias("n"))
-    return per_batch.unionByName(avg)

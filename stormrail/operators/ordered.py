@@ -18,8 +18,8 @@ Two building blocks used by the time-series, split and curve operators:
 
 ``prefix_sums``
     Global running sums in a total order without a single-partition window:
-    range-partition, sum locally, add the (tiny, partition-count sized,
-    broadcast) offsets of earlier partitions.
+    range-partition, sum locally, add the offsets of earlier partitions (one
+    row for each partition).
 """
 
 from __future__ import annotations
@@ -131,43 +131,65 @@ def bucketed_window(
     return out.drop("_bw_sec") if use_range else out
 
 
-def prefix_sums(df: DataFrame, order: Sequence, sums: dict[str, Column],
-                n_parts: int | None = None, descending: bool = False) -> DataFrame:
-    """Running (inclusive) sums of ``sums`` in the total order ``order``.
+def _ranged(df: DataFrame, order: Sequence[Column], pid: str) -> DataFrame:
+    """Rows sorted over all partitions, with the number of their partition: one range shuffle. AQE sets the number of
+    partitions from the size of the shuffle."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(pid, F.spark_partition_id())
 
-    ``order`` must be unique per row. Rows are range-partitioned on the
-    order and summed inside each range (one window pass that also yields the
-    range's total). Range bounds come from sampling, so the partitioned rows
-    are checkpointed once into the shared checkpoint folder: the totals
-    (one row per partition, broadcast) and the rows they are added to then
-    come from the same partitioning, also after a lost executor.
+
+def _offsets(rows: DataFrame, pid: str, totals: dict[str, Column]) -> DataFrame:
+    """(pid, offsets): for each partition the totals of those before it. One row for each partition, so the window
+    runs over a few thousand rows at most."""
+    sums = rows.groupBy(pid).agg(*[t.alias(k) for k, t in totals.items()])
+    w = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(F.col(pid).alias("_ps_p"), *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_ps_o_{k}")
+                                                    for k in totals])
+
+
+def prefix_sums(df: DataFrame, order: Sequence, sums: dict[str, Column], descending: bool = False) -> DataFrame:
+    """Running (inclusive) sums of the numeric columns ``sums`` in the total order ``order``, unique per row.
+
+    Rows are shuffled once, by range, and sorted; running sums inside a partition are carried from batch to batch as
+    the sorted rows stream by, and the totals of earlier partitions are added. Range bounds come from sampling, so
+    the sorted rows are checkpointed once: totals and rows then come from the same partitioning, also after a lost
+    executor. Null values count as 0.
     """
+    import numpy as np
+    import pyarrow as pa
+
     from stormrail.session import cut_lineage
-    spark = df.sparkSession
-    if n_parts is None:
-        n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ocols = [F.col(o) if isinstance(o, str) else o for o in order]
     if descending:
         ocols = [o.desc() for o in ocols]
-    names = list(sums)
-    pid = "_ps_pid"
-    ranged = df.select("*", *[v.alias(f"_ps_v_{k}") for k, v in sums.items()]) \
-               .repartitionByRange(n_parts, *ocols).withColumn(pid, F.spark_partition_id())
-    w_local = Window.partitionBy(pid).orderBy(*ocols).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(pid)
-    local = ranged.select("*", *[F.sum(f"_ps_v_{k}").over(w_local).alias(f"_ps_l_{k}") for k in names],
-                          *[F.sum(f"_ps_v_{k}").over(w_all).alias(f"_ps_t_{k}") for k in names])
-    local = cut_lineage(local)
-    totals = local.groupBy(pid).agg(*[F.first(f"_ps_t_{k}").alias(f"_ps_t_{k}") for k in names])
-    w_off = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: the window below runs over at most n_parts rows
-    offsets = totals.select(pid, *[F.coalesce(F.sum(f"_ps_t_{k}").over(w_off), F.lit(0)).alias(f"_ps_o_{k}")
-                                   for k in names])
-    joined = local.join(F.broadcast(offsets), pid)
+    names, pid = list(sums), "_ps_pid"
+    rows = _ranged(df.select("*", *[F.coalesce(v, F.lit(0)).alias(f"_ps_l_{k}") for k, v in sums.items()]), ocols, pid)
+    at = [rows.columns.index(f"_ps_l_{k}") for k in names]
+
+    def running(batches):
+        carried = [0] * len(at)
+        for batch in batches:
+            columns = list(batch.columns)
+            for j, i in enumerate(at):
+                x = np.cumsum(columns[i].to_numpy(zero_copy_only=False)) + carried[j]
+                carried[j] = x[-1] if len(x) else carried[j]
+                columns[i] = pa.array(x, columns[i].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    # the value itself stays beside its running sum, so a partition's total does not depend on the order of rows
+    rows = rows.select("*", *[F.col(f"_ps_l_{k}").alias(f"_ps_v_{k}") for k in names])
+    local = cut_lineage(rows.mapInArrow(running, rows.schema))
+    offsets = _offsets(local, pid, {k: F.sum(f"_ps_v_{k}") for k in names})
+    joined = local.join(offsets, F.col(pid) == F.col("_ps_p"))
     return joined.select(*df.columns, *[(F.col(f"_ps_l_{k}") + F.col(f"_ps_o_{k}")).alias(k) for k in names])
 
 
-def global_row_number(df: DataFrame, order: Sequence, name: str = "row_no",
-                      n_parts: int | None = None) -> DataFrame:
-    """1-based position of each row in the total order ``order``."""
-    return prefix_sums(df, order, {name: F.lit(1).cast("long")}, n_parts=n_parts)
+def global_row_number(df: DataFrame, order: Sequence, name: str = "row_no") -> DataFrame:
+    """1-based position of each row in the total order ``order``: one range shuffle, the counter of the sorting task,
+    and the row counts of earlier partitions."""
+    from stormrail.session import cut_lineage
+    ocols = [F.col(o) if isinstance(o, str) else o for o in order]
+    pid, at = "_ps_pid", "_ps_at"
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = cut_lineage(_ranged(df, ocols, pid).withColumn(at, in_task))
+    joined = rows.join(_offsets(rows, pid, {"n": F.count(F.lit(1))}), F.col(pid) == F.col("_ps_p"))
+    return joined.select(*df.columns, (F.col(at) + F.col("_ps_o_n")).alias(name))

@@ -1,11 +1,11 @@
 """Sampling, balancing and splits (SMP*, SPL*, LIM3, BAL1 pieces).
 
 Random choices are made repeatable with a hash of the row key and a seed
-(the same rows are picked whatever the partitioning). Ranks inside groups
-(classes, time steps) never use ``Window.partitionBy(group)``: there may be
-only four classes, so one class would be one task. Instead the rows get a
-global position in (group, hash) order through a distributed prefix sum and
-the group's start position (one row per group) is subtracted.
+(the same rows are picked whatever the partitioning). Drawing the first n
+rows of each class in hash order needs no sort: rows are counted by class and
+leading hash digits, which tells the bin that holds the n-th row; lower bins
+are kept whole and only that bin is ranked. Null groups are groups like any
+other.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormrail.operators.ordered import global_row_number
+from stormrail.operators.ordered import global_row_number, prefix_sums
 
 
 def hash_order(keys: Sequence, seed: int = 42) -> Column:
@@ -29,68 +29,108 @@ def hash_percent(keys: Sequence, seed: int = 42) -> Column:
     return (F.conv(F.substring(hash_order(keys, seed), 1, 8), 16, 10).cast("long") % 100).cast("int")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``groups``, nulls equal to nulls; the right side's group columns go."""
+    if not groups:
+        raise ValueError("no group columns to join on")
+    r = right.select(*[F.col(g).alias(f"_ns_{g}") for g in groups], *[x for x in right.columns if x not in groups])
+    on = None
+    for g in groups:
+        same = F.col(g).eqNullSafe(F.col(f"_ns_{g}"))
+        on = same if on is None else on & same
+    return left.join(r, on, how).drop(*[f"_ns_{g}" for g in groups])
+
+
 def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence, name: str = "rank") -> DataFrame:
     """1-based rank of each row inside its group in ``order`` (unique within
-    the group), computed without a per-group window."""
+    the group), computed without a per-group window: the position in (group,
+    order) less the first position of the group."""
     groups = list(groups)
     g = global_row_number(df, [*groups, *order], "_sr_pos")
-    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_sr_cnt"))
-    # one row per group: the running total over groups is small
-    w = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*groups, F.coalesce(F.sum("_sr_cnt").over(w), F.lit(0)).alias("_sr_start"))
-    # One row per group. No count job to prove its size (that would compute
-    # the aggregate twice): AQE sees the materialised size of this side at
-    # run time and broadcasts it when small, else keeps the shuffle join.
-    j = g.join(starts, groups)
+    starts = g.groupBy(*groups).agg((F.min("_sr_pos") - 1).alias("_sr_start"))
+    j = null_safe_join(g, starts, groups)
     return j.withColumn(name, F.col("_sr_pos") - F.col("_sr_start")).drop("_sr_pos", "_sr_start")
 
 
+#: Leading hash digits that a bin stands for: 65 536 bins for each class.
+BIN_DIGITS = 4
+
+
+def _marked_by_hash(df: DataFrame, keys: Sequence[str], quota: DataFrame, groups: Sequence[str], seed: int) -> DataFrame:
+    """``df`` with ``_sr_take``: whether a row is among the first ``quota`` (groups..., _sr_n) rows of its group in
+    hash order. Groups without a quota are taken not at all. The input is read twice, for the counts and for the
+    rows; only the rows of one bin for each group are ranked."""
+    groups = list(groups)
+    one = [F.lit(0).alias("_sr_all")] if not groups else []
+    by = groups or ["_sr_all"]
+    h = df.select("*", *one, hash_order(keys, seed).alias("_sr_h"))
+    h = h.withColumn("_sr_bin", F.substring("_sr_h", 1, BIN_DIGITS))
+    bins = h.groupBy(*by, "_sr_bin").agg(F.count(F.lit(1)).alias("_sr_c"))
+    run = bins.withColumn("_sr_cum", F.sum("_sr_c").over(
+        Window.partitionBy(*by).orderBy("_sr_bin").rowsBetween(Window.unboundedPreceding, 0)))
+    over = null_safe_join(run, quota, by).where("_sr_cum > _sr_n").groupBy(*by).agg(
+        F.min_by(F.struct(F.col("_sr_bin").alias("bin"), (F.col("_sr_n") - F.col("_sr_cum") + F.col("_sr_c"))
+                          .alias("rest")), "_sr_bin").alias("_sr_cut"))
+    cuts = null_safe_join(quota, over, by, "left").select(*by, "_sr_cut", F.lit(True).alias("_sr_has"))
+    rows = null_safe_join(h, cuts, by, "left")
+    # rows of the cut bin have the same group, so this window holds one bin of a group and no more
+    edge = F.col("_sr_bin") == F.col("_sr_cut.bin")
+    inside = rows.where(edge).withColumn("_sr_rank", F.row_number().over(
+        Window.partitionBy(*by, "_sr_bin").orderBy("_sr_h", *keys)))
+    inside = inside.withColumn("_sr_take", F.col("_sr_rank") <= F.col("_sr_cut.rest"))
+    outside = rows.where(~F.coalesce(edge, F.lit(False))).withColumn("_sr_take", F.col("_sr_has").isNotNull() & (
+        F.col("_sr_cut").isNull() | (F.col("_sr_bin") < F.col("_sr_cut.bin"))))
+    cols = [*df.columns, "_sr_take"]
+    return inside.select(*cols).union(outside.select(*cols))
+
+
+def _sample(df: DataFrame, keys: Sequence[str], quota: DataFrame, groups: Sequence[str], seed: int) -> DataFrame:
+    return _marked_by_hash(df, keys, quota, groups, seed).where("_sr_take").drop("_sr_take")
+
+
+def _one_quota(df: DataFrame, n: int) -> DataFrame:
+    return df.sparkSession.range(1).select(F.lit(0).alias("_sr_all"), F.lit(n).cast("long").alias("_sr_n"))
+
+
 # SMP1 / SMP6 ------------------------------------------------------------------
 def exact_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all when fewer), picked by hash order."""
-    h = df.withColumn("_sr_h", hash_order(keys, seed))
-    r = global_row_number(h, ["_sr_h", *keys], "_sr_pos")
-    return r.where(F.col("_sr_pos") <= n).drop("_sr_h", "_sr_pos")
+    return _sample(df, keys, _one_quota(df, n), [], seed)
 
 
 def pick_out(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(n picked rows, the remaining rows)."""
-    h = df.withColumn("_sr_h", hash_order(keys, seed))
-    r = global_row_number(h, ["_sr_h", *keys], "_sr_pos")
-    picked = r.where(F.col("_sr_pos") <= n).drop("_sr_h", "_sr_pos")
-    rest = r.where(F.col("_sr_pos") > n).drop("_sr_h", "_sr_pos")
-    return picked, rest
+    r = _marked_by_hash(df, keys, _one_quota(df, n), [], seed)
+    return r.where("_sr_take").drop("_sr_take"), r.where(~F.col("_sr_take")).drop("_sr_take")
 
 
 # SMP2 -------------------------------------------------------------------------
 def downsample_to_smallest(df: DataFrame, keys: Sequence[str], label: str = "class",
                            seed: int = 42) -> DataFrame:
-    """Every class cut to the size of the smallest class (classes present)."""
-    m = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
-    h = df.withColumn("_sr_h", hash_order(keys, seed))
-    r = rank_within(h, [label], ["_sr_h", *keys], "_sr_rank")
-    return r.where(F.col("_sr_rank") <= m).drop("_sr_h", "_sr_rank")
+    """Every class (a NULL label is one) cut to the size of the smallest."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    least = F.min("n").over(Window.partitionBy(F.lit(0)))  # one row for each class
+    return _sample(df, keys, sizes.select(label, least.alias("_sr_n")), [label], seed)
 
 
 # SMP3 -------------------------------------------------------------------------
 def ratio_downsample(df: DataFrame, keys: Sequence[str], ratio: float, label: str = "class",
                      neg_class: int = 0, pos_class: int = 1, n_samples: int | None = None,
                      seed: int = 42) -> DataFrame:
-    """Keep ``ratio`` negatives per positive: c = smallest class (capped by
-    n_samples / (ratio + 1)); negatives = min(ratio * c, negatives present);
-    when negatives run short, positives shrink to negatives / ratio."""
-    counts = {r[label]: r["n"] for r in
-              df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
-    count = min(counts.values())
-    if n_samples is not None:
-        count = int(min(count, n_samples / (ratio + 1)))
-    count0 = int(min(ratio * count, counts.get(neg_class, 0)))
-    if count0 / ratio < count:
-        count = int(count0 / ratio)
-    h = df.where(F.col(label).isin(neg_class, pos_class)).withColumn("_sr_h", hash_order(keys, seed))
-    r = rank_within(h, [label], ["_sr_h", *keys], "_sr_rank")
-    keep = F.when(F.col(label) == neg_class, F.col("_sr_rank") <= count0).otherwise(F.col("_sr_rank") <= count)
-    return r.where(keep).drop("_sr_h", "_sr_rank")
+    """``ratio`` negatives for each positive, other classes dropped. The base number of positives is the size of the
+    smallest class, and no more than fits ``n_samples`` rows; if there are too few negatives for it, it shrinks to
+    what they allow. No rows give no rows."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    facts = sizes.agg(F.min("n").alias("least"),
+                      F.coalesce(F.sum(F.when(F.col(label) == neg_class, F.col("n"))), F.lit(0)).alias("negatives"))
+    room = F.col("least") if n_samples is None else F.floor(F.least("least", F.lit(n_samples / (ratio + 1))))
+    quotas = facts.select("negatives", room.alias("base")).select(
+        F.floor(F.least(F.lit(ratio) * F.col("base"), F.col("negatives"))).alias("neg"), "base").select(
+        "neg", F.least("base", F.floor(F.col("neg") / F.lit(ratio))).alias("pos"))
+    kind = df.schema[label].dataType
+    each = F.array(*[F.struct(F.lit(c).cast(kind).alias(label), F.col(q).cast("long").alias("_sr_n"))
+                     for c, q in ((neg_class, "neg"), (pos_class, "pos"))])
+    return _sample(df, keys, quotas.select(F.explode(each).alias("q")).select("q.*"), [label], seed)
 
 
 # SPL1 -------------------------------------------------------------------------
@@ -114,17 +154,18 @@ def ordered_holdout(df: DataFrame, order: Sequence[str], test_size: float = 0.3)
 def time_folds(df: DataFrame, order: Sequence[str], n_splits: int = 5) -> DataFrame:
     """Expanding time folds: with s = n // (n_splits + 1), fold k (1..n_splits)
     tests rows n-(n_splits+1-k)*s+1 .. n-(n_splits-k)*s (1-based, in order)
-    and trains on all rows before. Adds ``test_fold`` (NULL when the row is
+    and is fitted on all rows before. Adds ``test_fold`` (NULL when the row is
     never tested) and ``first_train_fold`` (NULL when never trained on)."""
     n = df.agg(F.count(F.lit(1))).scalar()
     s = F.floor(n / F.lit(n_splits + 1))
     r = global_row_number(df, order, "_sr_pos")
     start0 = n - F.lit(n_splits) * s  # first test row of fold 1 is start0 + 1
-    k_test = F.floor((F.col("_sr_pos") - start0 - 1) / s) + 1
-    test_fold = F.when((F.col("_sr_pos") > start0) & (s > 0), k_test.cast("int"))
-    # row p trains fold k when p <= start0 + (k-1)*s  ->  k >= (p - start0)/s + 1
-    k_train = F.greatest(F.lit(1), F.ceil((F.col("_sr_pos") - start0) / s) + 1)
-    first_train = F.when((k_train <= n_splits) & (s > 0), k_train.cast("int"))
+    k_test = F.floor(F.try_divide(F.col("_sr_pos") - start0 - 1, s)) + 1  # fewer rows than folds: NULL
+    test_fold = F.when(F.col("_sr_pos") > start0, k_test.cast("int"))
+    # row p is fitted in fold k when p <= start0 + (k-1)*s  ->  k >= (p - start0)/s + 1
+    ahead = F.ceil(F.try_divide(F.col("_sr_pos") - start0, s)) + 1
+    k_train = F.when(ahead.isNotNull(), F.greatest(F.lit(1), ahead))
+    first_train = F.when(k_train <= n_splits, k_train.cast("int"))
     return r.withColumn("test_fold", test_fold).withColumn("first_train_fold", first_train).drop("_sr_pos")
 
 
@@ -135,67 +176,30 @@ def enough_rows(df: DataFrame, n: int, key: str = "station") -> DataFrame:
     return df.join(counts.select(key), key, "left_semi")
 
 
-IN_TASK_VALUES = 2_000_000
-MAX_LARGE_GROUPS = 1_000_000
-
-
-def _rank_quantiles(d: DataFrame, probs: Sequence[float], groups: list, names: list) -> DataFrame:
-    """Rank-based exact quantiles (see ``exact_quantiles``) on column _v."""
-    if groups:
-        ranked = rank_within(d, groups, ["_v"], "_rk")
-        counts = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.join(counts, groups)
-    else:
-        n = d.agg(F.count(F.lit(1))).scalar()
-        ranked = global_row_number(d, ["_v"], "_rk").withColumn("_n", n)
-    picks = []
-    keep = None
-    for name, p in zip(names, probs):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        picks.append((name, pos, lo, hi))
-        cond = (F.col("_rk") == lo) | (F.col("_rk") == hi)
-        keep = cond if keep is None else keep | cond
-    near = ranked.where(keep)
-    aggs = []
-    for name, pos, lo, hi in picks:
-        v_lo = F.max(F.when(F.col("_rk") == lo, F.col("_v")))
-        v_hi = F.max(F.when(F.col("_rk") == hi, F.col("_v")))
-        aggs.append((v_lo + F.first(pos - F.floor(pos)) * (v_hi - v_lo)).alias(name))
-    return near.groupBy(*groups).agg(*aggs) if groups else near.agg(*aggs)
-
-
-def _percentile_quantiles(d: DataFrame, probs: Sequence[float], groups: list, names: list) -> DataFrame:
-    q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-    g = d.groupBy(*groups).agg(q.alias("_q")) if groups else d.agg(q.alias("_q"))
-    return g.select(*groups, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
-
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (),
-                    prefix: str = "q", in_task_values: int = IN_TASK_VALUES) -> DataFrame:
-    """Exact quantiles with linear interpolation (as pandas / ``percentile``)
-    per group, never holding more than ``in_task_values`` values of a group
-    in one task. Groups up to that size use ``percentile`` (one aggregation).
-    Larger groups, found by a cheap count and passed as a size-checked
-    broadcast list, get their rows ranked inside the group by a distributed
-    prefix sum in (group, value) order. Only the two ranks around each
-    quantile position are kept (at most 2 x len(probs) rows per group) and
-    interpolated. Output columns ``<prefix>_<p>`` (0.5 -> q_0_5)."""
+                    prefix: str = "q") -> DataFrame:
+    """Exact quantiles with linear interpolation (as pandas / ``percentile``) per group; a NULL group is a group, NULL
+    values do not count. One plan for groups of any size: equal values are counted together first, running counts in
+    (group, value) order give the ranks that a value covers, and only the values at the two ranks beside each
+    quantile are kept. Neither a group nor a frequent value is ever held in one task. Output columns
+    ``<prefix>_<p>`` (0.5 -> q_0_5); without groups an empty input gives NULLs."""
     groups = list(groups)
-    names = [f"{prefix}_{str(p).replace('.', '_')}" for p in probs]
-    d = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    if not groups:
-        n = d.count()
-        return (_percentile_quantiles if n <= in_task_values else _rank_quantiles)(d, probs, groups, names)
-    counts = d.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    large = counts.where(F.col("_n") > in_task_values).select(*groups)
-    n_large = large.limit(MAX_LARGE_GROUPS + 1).count()
-    if n_large == 0:
-        return _percentile_quantiles(d, probs, groups, names)
-    if n_large > MAX_LARGE_GROUPS:
-        return _rank_quantiles(d, probs, groups, names)
-    # at most MAX_LARGE_GROUPS keys: a proven bound for the broadcast
-    big = F.broadcast(large)
-    small_part = _percentile_quantiles(d.join(big, groups, "left_anti"), probs, groups, names)
-    large_part = _rank_quantiles(d.join(big, groups, "left_semi"), probs, groups, names)
-    return small_part.unionByName(large_part)
+    by = groups or ["_q_all"]
+    d = df.where(F.col(value).isNotNull()).select(*(groups or [F.lit(0).alias("_q_all")]),
+                                                  F.col(value).cast("double").alias("_v"))
+    counts = d.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = prefix_sums(counts, [*by, "_v"], {"_cum": F.col("_c")})
+    ends = run.groupBy(*by).agg(F.min(F.col("_cum") - F.col("_c")).alias("_start"), F.max("_cum").alias("_end"))
+    r = null_safe_join(run, ends, by).select(*by, "_v", (F.col("_cum") - F.col("_start")).alias("_hi"),
+                                         (F.col("_cum") - F.col("_c") - F.col("_start")).alias("_lo"),
+                                         (F.col("_end") - F.col("_start")).alias("_n"))
+    keep, aggs = F.lit(False), []
+    for p in probs:
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        below, above = ((F.col("_lo") <= x) & (x < F.col("_hi")) for x in (F.floor(pos), F.ceil(pos)))
+        keep = keep | below | above
+        lower, upper = F.max(F.when(below, F.col("_v"))), F.max(F.when(above, F.col("_v")))
+        aggs.append((lower + F.max(pos - F.floor(pos)) * (upper - lower)).alias(
+            f"{prefix}_{str(p).replace('.', '_')}"))
+    near = r.where(keep)
+    return near.groupBy(*groups).agg(*aggs) if groups else near.agg(*aggs)

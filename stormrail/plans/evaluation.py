@@ -36,7 +36,7 @@ def station_evaluation(pred: DataFrame, station: str = "station", time: str = "t
     # lineage once, keeping only the four columns they need
     p = cut_lineage(p.select(station, "period", y, yhat))
     g = p.groupingSets([[station, "period"], [station], ["period"], []], station, "period") \
-         .agg(*regression_aggs(y, yhat, climatology, median=False))
+         .agg(*regression_aggs(y, yhat, climatology))
     g = g.select(F.coalesce(F.col(station), F.lit("all")).alias(station),
                  F.coalesce(F.col("period"), F.lit(-1)).cast("long").alias("period"),
                  "n", "rmse", "mae", "r2", "skill")
@@ -95,4 +95,4 @@ def band_evaluation(pred: DataFrame, station: str = "station", time: str = "time
 
 def metrics_by_name(pred: DataFrame, name: str = "name", y: str = "y", yhat: str = "y_pred") -> DataFrame:
     """AGG25: prediction sets kept as rows with a name column; metrics per name."""
-    return regression_metrics(pred, y, yhat, [name], climatology=None)
+    return regression_metrics(pred, y, yhat, [name], climatology=None, median=True)

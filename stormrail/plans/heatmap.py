@@ -22,7 +22,7 @@ def heatmap_long(df: DataFrame, value: str = "delay", station: str = "station",
                  lat: str = "lat", by: str = "dayofyear", train_types: Sequence[str] | None = None,
                  train_type: str = "train_type") -> DataFrame:
     """Long heat map. ``train_types`` filters by letter (e.g. K, L for
-    passenger trains)."""
+    passenger services)."""
     d = df if train_types is None else df.where(F.col(train_type).isin(*train_types))
     lvl1 = d.groupBy(station, time).agg(F.avg(value).alias("_m"), F.min(lat).alias(lat))
     lo, hi = lvl1.agg(F.min("_m")).scalar(), lvl1.agg(F.max("_m")).scalar()

@@ -1,13 +1,12 @@
-"""Session helpers: building a session, checkpoint directory, lineage cuts and
-size-checked broadcasts."""
+"""Session helpers: building a session, checkpoint directory and lineage cuts."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes, splits
 # skewed shuffle partitions and coalesces small ones.
@@ -46,8 +45,8 @@ def build_session(master: str | None = None, app: str = "stormrail",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is only read here.
-    Only when it is unset (local tests) a fresh scratch folder is chosen.
+    On a cluster that setting points at shared storage and is only read here; without it this raises. Only a local
+    master (tests), where one machine is all there is, gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="stormrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -66,20 +67,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executors, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The proof is a bounded count (``limit(max_rows + 1)``), so the check itself
-    never scans more than ``max_rows + 1`` rows per partition. Above the bound
-    the frame is returned unchanged and Spark plans a shuffle join (AQE may
-    still switch to a broadcast from runtime statistics).
-
-    Use it for dimensions read from files; for small sides that are
-    aggregates of the big input, prefer a plain join and let AQE decide from
-    the materialised stage size (the count here would compute the aggregate
-    one extra time).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -40,10 +40,20 @@ def read_delays_csv(spark: SparkSession, path: str, skip_header: bool = False, z
 # SRC4 -------------------------------------------------------------------------
 def read_delimited(spark: SparkSession, path: str, names: Sequence[str], sep: str = ";", skip_rows: int = 1,
                    skip_cols: int = 0, remove: str = '"', cast: str = "double") -> DataFrame:
-    """Delimited text with ``skip_rows`` header lines (0 or 1) and the first
-    ``skip_cols`` columns dropped, ``remove`` characters stripped, values cast."""
-    raw = spark.read.option("sep", sep).option("header", skip_rows >= 1).schema(
-        schemas.all_strings([f"_c{i}" for i in range(skip_cols + len(names))])).csv(path)
+    """Delimited text without the first ``skip_rows`` lines of each file and the first ``skip_cols`` columns,
+    ``remove`` characters stripped, values cast. One header line is the reader's own; for more, lines are numbered by
+    their place in the file (rows of one split come in order, and a header lies in a file's first split)."""
+    schema = schemas.all_strings([f"_c{i}" for i in range(skip_cols + len(names))])
+    if skip_rows <= 1:
+        raw = spark.read.option("sep", sep).option("header", skip_rows == 1).schema(schema).csv(path)
+    else:
+        lines = spark.read.text(path).select(
+            "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+            F.monotonically_increasing_id().alias("at"))
+        heads = lines.where(F.col("b") == 0).groupBy("f").agg(F.min("at").alias("first"))
+        body = lines.join(heads, "f").where((F.col("b") != 0) | (F.col("at") >= F.col("first") + skip_rows))
+        ddl = ", ".join(f"{c.name} string" for c in schema)
+        raw = body.where(F.trim("value") != "").select(F.from_csv("value", ddl, {"sep": sep}).alias("r")).select("r.*")
     cols = raw.columns[skip_cols:]
     return raw.select(*[strip_chars(c, remove).try_cast(cast).alias(n) for c, n in zip(cols, names)])
 

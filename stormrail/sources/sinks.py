@@ -124,12 +124,17 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    """A saved ``PipelineModel``; None when nothing is stored there."""
+    """A saved ``PipelineModel``; None when nothing is stored there. Any other failure is raised."""
+    from pyspark.errors import AnalysisException
     from pyspark.ml import PipelineModel
+    from pyspark.sql import SparkSession
     try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - a missing model is a normal state
-        return None
+        SparkSession.getActiveSession().read.format("binaryFile").load(f"{path}/metadata").limit(1)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return PipelineModel.load(path)
 
 
 def local_path(path: str) -> str:

@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from scripts.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"mod7_random_search", "met16_learning_curve", "ftr5_feature_subsets", "net1_network_lasso"}
+SLOW = {"mod7_random_search", "met16_learning_curve", "ftr5_feature_subsets"}
 
 
 @pytest.fixture(scope="module")
