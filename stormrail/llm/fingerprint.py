@@ -65,7 +65,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SHARE,
                                           pa.array([docs_seen], pa.int64())], names=["term", "n", "docs"])
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long, docs long")
-    counts = written(parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
+    counts = written(parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+                     .filter("n > 1 or term is null"), "terms")
     total = counts.agg(F.sum("docs")).first()[0] or 0
     band = counts.filter((F.col("n") >= max(2, int(np.ceil(least * total)))) & (F.col("n") <= max(2, most * total)))
     return np.sort(np.array([r.term for r in band.filter("term is not null").select("term").collect()],
@@ -125,6 +126,34 @@ def _mark(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(3), id_col, F.lit(5), text_col)
 
 
+_RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+           "near_next double")
+
+
+def _edited(text: str, following: str) -> str:
+    cut = len(text) // 4
+    return text[:len(text) - cut] + following[:cut]
+
+
+def _prints(texts: list[str], band: np.ndarray) -> list[str]:
+    return [fingerprint(x, band) for x in _terms(words_of(pa.array(texts, pa.string()), bare=True))]
+
+
+def _rows(ids: list[pa.Array], names: list[str], texts: list[str], own: list[str], after: list[str],
+          after_own: list[str], band: np.ndarray) -> pa.RecordBatch:
+    """Results for ``texts`` with fingerprints ``own``, each followed by a text that begins with ``after`` and has the
+    fingerprint ``after_own``."""
+    edited = [_edited(t, p) for t, p in zip(texts, after)]
+    new = _prints(edited, band)
+    return pa.RecordBatch.from_arrays(
+        [*ids, pa.array([len(t) for t in texts], pa.int64()),
+         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+         pa.array(own, pa.string()), pa.array(new, pa.string()),
+         pa.array([likeness(a, b) for a, b in zip(own, new)], pa.float64()),
+         pa.array([likeness(a, b) for a, b in zip(own, after_own)], pa.float64())],
+        names=[*names, *[c.split()[0] for c in _RESULT.split(", ")]])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of ``docs``.
 
@@ -132,44 +161,51 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     beginning of the next document in ascending id, or all it has; after the last document comes the first. Rows that
     repeat id and text are one document in that order and get equal results. A null text is an empty one; a null id
     comes last. A single document is its own next. Other columns are not read.
+
+    Tables are mostly stored in the order of their ids, so each row is first taken together with the row that is
+    stored behind it, where the texts lie. The order of the ids, a table of three numbers for each document, tells
+    which of these pairs are right; for the others the texts are joined with their true successors.
     """
     band = lexicon(docs, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(band)
     order = written(_following(docs, id_col, text_col), "following")
 
-    def run(batches):
-        band = sent.value
+    def along(batches):
+        band, held = sent.value, None  # held: the last row so far, which still lacks its successor
         for batch in slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            starts = [p or "" for p in batch.column("start").to_pylist()]
-            edited = [t[:len(t) - len(t) // 4] + p for t, p in zip(texts, starts)]
-            own, new = ([fingerprint(x, band) for x in _terms(words_of(pa.array(ts, pa.string()), bare=True))]
-                        for ts in (texts, edited))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("mark"), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                 pa.array(own, pa.string()), pa.array(new, pa.string()),
-                 pa.array([likeness(a, b) for a, b in zip(own, new)], pa.float64())],
-                names=["doc", "mark", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
-
-    def compare(batches):
-        for batch in batches:
-            pairs = zip(batch.column("fingerprint").to_pylist(), batch.column("next").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([likeness(a, b) for a, b in pairs],
-                                                                            pa.float64())],
-                                             names=[*batch.schema.names[:-1], "near_next"])
+            own, ids, marks = _prints(texts, band), batch.column("doc"), batch.column("mark").to_pylist()
+            if held is not None:
+                ids = pa.concat_arrays([held[0], ids])
+                marks, texts, own = [held[1], *marks], [held[2], *texts], [held[3], *own]
+            held = ids.slice(len(ids) - 1), marks[-1], texts[-1], own[-1]
+            if len(marks) > 1:
+                yield _rows([ids.slice(0, len(ids) - 1), pa.array(marks[:-1], pa.int64()), pa.array(marks[1:], pa.int64())],
+                            ["doc", "mark", "behind"], texts[:-1], own[:-1], texts[1:], own[1:], band)
+        if held is not None:
+            yield _rows([held[0], pa.array([held[1]], pa.int64()), pa.nulls(1, pa.int64())], ["doc", "mark", "behind"],
+                        [held[2]], [held[3]], [""], ["-"], band)
+
+    def again(batches):
+        band = sent.value
+        for batch in slices(batches, "text"):
+            texts, starts = ([t or "" for t in batch.column(c).to_pylist()] for c in ("text", "start"))
+            yield _rows([batch.column("doc")], ["doc"], texts, _prints(texts, band), starts,
+                        batch.column("next").to_pylist(), band)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), _mark(id_col, text_col).alias("mark"), F.col(text_col).alias("text"))
-    asked = order.select(F.col("next_mark").alias("mark"), F.col("mark").alias("to"),
-                         F.floor(F.col("n") / 4).cast("int").alias("need"))
+    stored = written(rows.mapInArrow(along, f"doc {kind}, mark long, behind long, {_RESULT}"), "fingerprints")
+    # of repeated rows all are right or none
+    open_ = stored.select("mark", "behind").join(order, "mark").filter("not (behind <=> next_mark)").select(
+        "mark", "next_mark", F.floor(F.col("n") / 4).cast("int").alias("need")).distinct()
+    open_ = written(open_, "unsettled", slim=True)
+    asked = open_.select(F.col("next_mark").alias("mark"), F.col("mark").alias("to"), "need")
     starts = (rows.join(asked, "mark").select("to", F.expr("substring(text, 1, need)").alias("start"))
-              .groupBy("to").agg(F.first("start").alias("start")).withColumnRenamed("to", "mark"))
-    marked = written(rows.join(starts, "mark", "left").select("doc", "mark", "text", "start").mapInArrow(
-        run, f"doc {kind}, mark long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-             "near_edited double"), "fingerprints")
-    following = (marked.select(F.col("mark").alias("next_mark"), F.col("fingerprint").alias("next"))
-                 .join(order.select("mark", "next_mark"), "next_mark").groupBy("mark").agg(F.first("next").alias("next")))
-    out = marked.join(following, "mark").drop("mark")
-    return out.mapInArrow(compare, f"doc {kind}, n_chars long, edited_sha256 string, fingerprint string, "
-                                   "edited_fingerprint string, near_edited double, near_next double")
+              .groupBy("to").agg(F.first("start").alias("start")))
+    prints = (stored.select("mark", "fingerprint").join(asked.select("mark", "to"), "mark")
+              .groupBy(F.col("to").alias("of")).agg(F.first("fingerprint").alias("next")))
+    behind = written(starts.join(prints, F.col("to") == F.col("of")).select(F.col("to").alias("mark"), "start", "next"),
+                     "successors")
+    rest = rows.join(behind, "mark").select("doc", "text", "start", "next").mapInArrow(again, f"doc {kind}, {_RESULT}")
+    return stored.join(open_.select("mark"), "mark", "left_anti").drop("mark", "behind").unionByName(rest)
