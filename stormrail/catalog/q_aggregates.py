@@ -60,13 +60,13 @@ _ROLL = ["max_value", "min_value", "mean_value", "sum_value", "sdev_value", "med
 
 
 @query("agg5_hourly_rollup", f"""
-select 'S' || (user_id % 20) as station, date_trunc('hour', ts - interval 1 microsecond) + interval 1 hour as time,
+select 'S' || user_id as station, date_trunc('hour', ts - interval 1 microsecond) + interval 1 hour as time,
   {sql_r6('max(value)')} as max_value, {sql_r6('min(value)')} as min_value, {sql_r6('avg(value)')} as mean_value,
   {sql_r6('sum(value)')} as sum_value, {sql_r6('stddev_pop(value)')} as sdev_value, {sql_r6('median(value)')} as median_value
 from (select user_id, ts, floor(value * 4) / 4.0 as value from events) group by all""")
 def agg5_hourly_rollup(spark, sf):
     e = read_table(spark, sf, "events")
-    e = e.select(F.concat(F.lit("S"), (F.col("user_id") % 20).cast("string")).alias("station"),
+    e = e.select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("station"),
                  F.col("ts").alias("time"), *[(F.floor(F.col("value") * 4) / 4.0).alias(c) for c in _ROLL])
     g = A.hourly_rollup(e, _ROLL)
     return g.select("station", "time", *[r6(c).alias(c) for c in _ROLL])
@@ -245,10 +245,10 @@ def agg21_class_weights(spark, sf):
 
 @query("agg22_class_stats", with_roles(f"""
 select label, feature, {sql_r6('avg(value)')} as mean, {sql_r6('var_pop(value)')} as var, count(value) as n
-from (unpivot r_vec on f0, f1, f2, f3, f4, f5, f6, f7 into name feature value value) group by all"""))
+from (unpivot r_vec on {", ".join(f"f{i}" for i in range(64))} into name feature value value) group by all"""))
 def agg22_class_stats(spark, sf):
     v = R.vectors(spark, sf)
-    g = A.class_feature_stats(v, [f"f{i}" for i in range(8)], "label")
+    g = A.class_feature_stats(v, [f"f{i}" for i in range(64)], "label")
     return g.select("label", "feature", r6("mean").alias("mean"), r6("var").alias("var"), "n")
 
 

@@ -28,14 +28,14 @@ def src1_stations_json(spark, sf):
 
 
 @query("src3_delays_csv", f"""
-select cast(l_shipdate as date) + to_hours(l_linenumber + 1) as time, 'S' || (l_suppkey % 20) as station,
+select cast(l_shipdate as date) + to_hours(l_linenumber + 1) as time, 'S' || l_suppkey as station,
   {_TYPE_SQL} as train_type, cast(1 as bigint) as train_count, floor(l_extendedprice) / 1024.0 as total_delay,
   l_quantity as delay from lineitem""")
 def src3_delays_csv(spark, sf):
     li = read_table(spark, sf, "lineitem")
     rows = li.select(F.to_date("l_shipdate").cast("string").alias("date"), F.col("l_linenumber").alias("start_hour"),
-                     F.concat(F.lit("S"), (F.col("l_partkey") % 20).cast("string")).alias("src"),
-                     F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("dst"),
+                     F.concat(F.lit("S"), F.expr("l_partkey div 20").cast("string")).alias("src"),
+                     F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst"),
                      _type().alias("train_type"), F.col("l_quantity").alias("sum_delay"), F.lit(0.0).alias("sum_ahead"),
                      (F.floor("l_extendedprice") / 1024.0).alias("add_delay"), F.lit(0.0).alias("add_ahead"),
                      F.lit(1).cast("long").alias("train_count"))
@@ -129,7 +129,7 @@ def src14_adjacency_list(spark, sf):
 select distinct cast(substr(src, 2) as bigint) as i, cast(substr(dst, 2) as bigint) as j from r_edges"""))
 def src15_adjacency_matrix(spark, sf):
     e = R.edges(spark, sf).select(F.substring("src", 2, 9).cast("int").alias("i"), F.substring("dst", 2, 9).cast("int").alias("j"))
-    n = 20
+    n = (e.agg(F.max(F.greatest("i", "j"))).first()[0] or 0) + 1  # stations are numbered from 0
     rows = e.groupBy("i").agg(F.collect_set("j").alias("js"))
     full = spark.range(n).select(F.col("id").cast("int").alias("i")).join(rows, "i", "left")
     line = F.concat_ws(",", F.transform(F.sequence(F.lit(0), F.lit(n - 1)),

@@ -130,15 +130,16 @@ def met9_ap(spark, sf):
 
 
 @query("met10_ovr_auc", with_roles(f"""
-with e as (select cls - 1 as cls, [f0, f1, f2, f3][cls] as score, cast(label % 4 = cls - 1 as integer) as y
-           from r_vec, range(1, 5) t(cls)),
+with e as (select cls - 1 as cls, [{', '.join(f'f{i}' for i in range(64))}][cls] as score, cast(label % 64 = cls - 1 as integer) as y
+           from r_vec, range(1, 65) t(cls)),
 s as (select cls, score, sum(cast(y = 1 as bigint)) as pos, sum(cast(y <> 1 as bigint)) as neg from e group by cls, score),
 c as (select *, sum(pos) over (partition by cls order by score desc rows unbounded preceding) as tp,
         sum(pos) over (partition by cls) as P, sum(neg) over (partition by cls) as N from s),
-a as (select cls, sum(neg * (2 * tp - pos) / 2.0) / (min(P) * min(N)) as auc from c group by cls)
+a as (select cls, case when min(P) * min(N) <> 0 then sum(neg * (2 * tp - pos) / 2.0) / (min(P) * min(N)) end as auc from c group by cls)
 select cast(cls as integer) as cls, {sql_r6('auc')} as auc from a union all select -1, {sql_r6('avg(auc)')} from a"""))
 def met10_ovr_auc(spark, sf):
-    v = R.vectors(spark, sf).select((F.col("label") % 4).alias("y"), F.array("f0", "f1", "f2", "f3").alias("p"))
+    v = R.vectors(spark, sf).select((F.col("label") % 64).alias("y"),
+                                     F.array(*[f"f{i}" for i in range(64)]).alias("p"))
     a = M.one_vs_rest_auc(v, "y", "p")
     return a.select("cls", r6("auc").alias("auc"))
 
@@ -152,11 +153,11 @@ def met12_line(spark, sf):
 
 
 @query("met17_reconstruction", with_roles(f"""
-select vec_id, {sql_r6('(pow(f0 - f4, 2) + pow(f1 - f5, 2) + pow(f2 - f6, 2) + pow(f3 - f7, 2)) / 4')} as err from r_vec"""))
+select vec_id, {sql_r6('(' + ' + '.join(f'pow(f{i} - f{i + 32}, 2)' for i in range(32)) + ') / 32')} as err from r_vec"""))
 def met17_reconstruction(spark, sf):
     v = R.vectors(spark, sf)
-    x = F.array("f0", "f1", "f2", "f3")
-    xh = F.array("f4", "f5", "f6", "f7")
+    x = F.array(*[f"f{i}" for i in range(32)])
+    xh = F.array(*[f"f{i}" for i in range(32, 64)])
     return v.select("vec_id", r6(M.reconstruction_error(x, xh)).alias("err"))
 
 

@@ -48,30 +48,30 @@ def ftr1_inverse(spark, sf):
 
 
 @query("ftr2_minmax", with_roles(", ".join(
-    ["select vec_id"] + [f"{sql_r6(f'case when max(f{i}) over () <> min(f{i}) over () then -1 + (f{i} - min(f{i}) over ()) * 2 / (max(f{i}) over () - min(f{i}) over ()) else 0 end')} as f{i}" for i in range(4)])
+    ["select vec_id"] + [f"{sql_r6(f'case when max(f{i}) over () <> min(f{i}) over () then -1 + (f{i} - min(f{i}) over ()) * 2 / (max(f{i}) over () - min(f{i}) over ()) else 0 end')} as f{i}" for i in range(64)])
     + " from r_vec"))
 def ftr2_minmax(spark, sf):
     v = R.vectors(spark, sf)
-    cols = [f"f{i}" for i in range(4)]
+    cols = [f"f{i}" for i in range(64)]
     out = MD.apply_minmax(v, MD.fit_minmax(v, cols), cols)
     return out.select("vec_id", *[r6(c).alias(c) for c in cols])
 
 
-_V8 = [f"f{i}" for i in range(8)]
+_VEC = [f"f{i}" for i in range(64)]
 
 
 @query("ftr3_pca_whiten")
 def ftr3_pca_whiten(spark, sf):
     v = R.vectors(spark, sf)
-    model, means, eig = MD.fit_pca(v, _V8, 3)
-    out = MD.apply_pca(v, model, means, _V8, eig, whiten=True, keep=["vec_id"])
+    model, means, eig = MD.fit_pca(v, _VEC, 3)
+    out = MD.apply_pca(v, model, means, _VEC, eig, whiten=True, keep=["vec_id"])
     return out.select("vec_id", *[F.col("pc")[i].alias(f"pc{i}") for i in range(3)])
 
 
 @query("met14_explained_variance")
 def met14_explained_variance(spark, sf):
     v = R.vectors(spark, sf)
-    model, _, eig = MD.fit_pca(v, _V8, 4)
+    model, _, eig = MD.fit_pca(v, _VEC, 4)
     ratios = model.explainedVariance.toArray().tolist()
     return spark.createDataFrame([(i, float(r), float(e)) for i, (r, e) in enumerate(zip(ratios, eig))],
                                  "component int, ratio double, eigenvalue double")
@@ -81,8 +81,8 @@ def met14_explained_variance(spark, sf):
 def met17_pca_reconstruction(spark, sf):
     from stormrail.operators.metrics import reconstruction_error
     v = R.vectors(spark, sf)
-    model, means, _ = MD.fit_pca(v, _V8, 3)
-    rec = MD.reconstruct_pca(v, model, means, _V8, keep=["vec_id", "label"])
+    model, means, _ = MD.fit_pca(v, _VEC, 3)
+    rec = MD.reconstruct_pca(v, model, means, _VEC, keep=["vec_id", "label"])
     return rec.select("vec_id", "label", reconstruction_error(F.col("x"), F.col("x_hat")).alias("err")) \
               .withColumn("above_5", F.col("err") > 5)
 
@@ -126,26 +126,27 @@ def mod5_linear_svc(spark, sf):
 @query("mod6_mixture")
 def mod6_mixture(spark, sf):
     v = R.vectors(spark, sf)
-    m = MD.fit_model(v, _V8, "label", "gmm", k=4, seed=7, maxIter=20)
+    m = MD.fit_model(v, _VEC, "label", "gmm", k=4, seed=7, maxIter=20)
     return m.transform(v).select("vec_id", "prediction")
 
 
 def _gnb_sql():
-    fs = [f"f{i}" for i in range(8)]
-    eps = "1e-9 * greatest(" + ", ".join(f"(select var_pop({f}) from r_vec)" for f in fs) + ")"
-    stats = ("select label, count(*) / (select count(*) from r_vec) as prior, "
-             + ", ".join(f"avg({f}) as m_{f}, var_pop({f}) + {eps} as v_{f}" for f in fs) + " from r_vec group by label")
-    ll = "ln(s.prior)" + "".join(f" - 0.5 * ln(2 * pi() * s.v_{f}) - pow(r.{f} - s.m_{f}, 2) / (2 * s.v_{f})" for f in fs)
+    each = lambda form: "[" + ", ".join(form.format(f=f) for f in _VEC) + "]"
+    eps = "select 1e-9 * greatest(" + ", ".join(f"var_pop({f})" for f in _VEC) + ") as eps from r_vec"
+    stats = (f"select label, count(*) / (select count(*) from r_vec) as prior, {each('avg({f})')} as m, "
+             f"{each('var_pop({f}) + any_value(eps)')} as v from r_vec, e group by label")
+    ll = ("ln(s.prior) - list_sum(list_transform(range(1, 65), "
+          "lambda i: 0.5 * ln(2 * pi() * s.v[i]) + pow(r.x[i] - s.m[i], 2) / (2 * s.v[i])))")
     return with_roles(f"""
 select vec_id, pred from (select r.vec_id, s.label as pred, row_number() over (partition by r.vec_id order by {ll} desc, s.label) as rn
-  from r_vec r, st s) where rn = 1""", ("st", stats))
+  from (select vec_id, {each('{f}')} as x from r_vec) r, st s) where rn = 1""", ("e", eps), ("st", stats))
 
 
 @query("mod4_gnb", _gnb_sql())
 def mod4_gnb(spark, sf):
     v = R.vectors(spark, sf)
-    st = MD.gaussian_nb_fit(v, _V8, "label")
-    return MD.gaussian_nb_predict(v, st, _V8, "label", ["vec_id"]).select("vec_id", "pred")
+    st = MD.gaussian_nb_fit(v, _VEC, "label")
+    return MD.gaussian_nb_predict(v, st, _VEC, "label", ["vec_id"]).select("vec_id", "pred")
 
 
 @query("mod7_random_search")

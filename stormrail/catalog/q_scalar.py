@@ -227,33 +227,36 @@ def fn23_json(spark, sf):
                     F.from_json("props", "k long")["k"].cast("double").alias("k"))
 
 
-@query("fn24_soft_threshold", with_roles(f"""
-select vec_id, {sql_r6('sign(f0) * greatest(abs(f0) - 0.05, 0)')} as st from r_vec"""))
+_DIMENSIONS = range(64)
+
+
+@query("fn24_soft_threshold", with_roles("select vec_id, " + ", ".join(
+    sql_r6(f"sign(f{i}) * greatest(abs(f{i}) - 0.05, 0)") + f" as f{i}" for i in _DIMENSIONS) + " from r_vec"))
 def fn24_soft_threshold(spark, sf):
     v = R.vectors(spark, sf)
-    return v.select("vec_id", r6(S.soft_threshold("f0", 0.05)).alias("st"))
+    return v.select("vec_id", *[r6(S.soft_threshold(f"f{i}", 0.05)).alias(f"f{i}") for i in _DIMENSIONS])
 
 
-_XY = "(f0*f4 + f1*f5 + f2*f6 + f3*f7)"
-_XX = "(f0*f0 + f1*f1 + f2*f2 + f3*f3)"
-_YY = "(f4*f4 + f5*f5 + f6*f6 + f7*f7)"
+_XY = "(" + " + ".join(f"f{i}*f{i + 32}" for i in range(32)) + ")"
+_XX = "(" + " + ".join(f"f{i}*f{i}" for i in range(32)) + ")"
+_YY = "(" + " + ".join(f"f{i}*f{i}" for i in range(32, 64)) + ")"
 
 
 @query("fn25_tanimoto", with_roles(f"""
-select vec_id, {sql_r6(f'{_XY} / ({_XX} + {_YY} - {_XY})')} as sim from r_vec"""))
+select vec_id, {sql_r6(f'{_XY} / nullif({_XX} + {_YY} - {_XY}, 0)')} as sim from r_vec"""))
 def fn25_tanimoto(spark, sf):
     v = R.vectors(spark, sf)
-    x = F.array(*[F.col(f"f{i}") for i in range(4)])
-    y = F.array(*[F.col(f"f{i}") for i in range(4, 8)])
+    x = F.array(*[F.col(f"f{i}") for i in range(32)])
+    y = F.array(*[F.col(f"f{i}") for i in range(32, 64)])
     return v.select("vec_id", r6(S.tanimoto(x, y)).alias("sim"))
 
 
-@query("fn26_argmax", with_roles("""
+@query("fn26_argmax", with_roles(f"""
 select vec_id, cast(list_position(l, list_max(l)) - 1 as integer) as arg
-from (select vec_id, [f0, f1, f2, f3, f4, f5, f6, f7] as l from r_vec)"""))
+from (select vec_id, [{", ".join(f"f{i}" for i in _DIMENSIONS)}] as l from r_vec)"""))
 def fn26_argmax(spark, sf):
     v = R.vectors(spark, sf)
-    return v.select("vec_id", S.argmax(F.array(*[F.col(f"f{i}") for i in range(8)])).alias("arg"))
+    return v.select("vec_id", S.argmax(F.array(*[F.col(f"f{i}") for i in _DIMENSIONS])).alias("arg"))
 
 
 @query("prj3_event_hour", """

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from stormrail.functions.scalar import hour_floor
 
-N_STATIONS = 20
+#: Hours of the month that the events cover; the hour of a delay falls into it, so both sides meet. The number of
+#: stations grows with the tables: each supplier and each user is one.
 HOURS_IN_GRID = 720
 
 
@@ -26,16 +27,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _station_of(key_col: str):
-    return F.concat(F.lit("S"), (F.col(key_col) % N_STATIONS).cast("string"))
+    return F.concat(F.lit("S"), F.col(key_col).cast("string"))
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station dimension (station, station_name, lat, lon) from ``supplier``."""
-    s = read_table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % N_STATIONS).alias("k")).distinct()
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).distinct()
     return s.select(
         F.concat(F.lit("S"), F.col("k").cast("string")).alias("station"),
         F.concat(F.lit("Station "), F.col("k").cast("string")).alias("station_name"),
-        F.expr("cast(59.5 + 0.5 * k as double)").alias("lat"),
+        F.expr("59.5D + 0.5D * (k % 20) + (k div 20) % 512 / 1024.0D").alias("lat"),
         F.expr("cast(21.0 + ((k * 7) % 10) * 0.6 as double)").alias("lon"),
     )
 
@@ -110,13 +111,12 @@ def regression_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the station's latitude."""
     d = delays(spark, sf_dir)
     st = stations(spark, sf_dir).select("station", "lat", "lon")
-    # the station role has at most N_STATIONS rows by construction
-    return d.join(F.broadcast(st), "station").select(
+    return d.join(st, "station").select(
         "station", "time", "train_type", "lat", "lon",
         F.col("delay").alias("y"), (F.col("train_count") * 25).cast("double").alias("y_pred"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, k: int = 64) -> DataFrame:
     """Embeddings as (vec_id, label, f0..f{k-1}) doubles."""
     e = read_table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.col("label").cast("int").alias("label"),
@@ -126,30 +126,30 @@ def vectors(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station graph edges (src, dst), distinct, from lineitem supplier/part pairs."""
     li = read_table(spark, sf_dir, "lineitem")
-    return li.select(_station_of("l_suppkey").alias("src"), _station_of("l_partkey").alias("dst")).distinct()
+    return li.select(_station_of("l_suppkey").alias("src"), F.concat(F.lit("S"), F.expr("l_partkey div 20").cast("string")).alias("dst")).distinct()
 
 
 # ---------------------------------------------------------------------------
 # DuckDB twins of the roles, used as CTEs by the oracle SQL.
 ROLE_SQL = {
-    "r_stations": """select distinct 'S' || (s_suppkey % 20) as station,
-        'Station ' || (s_suppkey % 20) as station_name,
-        cast(59.5 + 0.5 * (s_suppkey % 20) as double) as lat,
-        cast(21.0 + (((s_suppkey % 20) * 7) % 10) * 0.6 as double) as lon
+    "r_stations": """select distinct 'S' || s_suppkey as station,
+        'Station ' || s_suppkey as station_name,
+        cast(59.5 + 0.5 * (s_suppkey % 20) + (s_suppkey // 20) % 512 / 1024.0 as double) as lat,
+        cast(21.0 + ((s_suppkey * 7) % 10) * 0.6 as double) as lon
         from supplier""",
-    "r_delays": """select 'S' || (l_suppkey % 20) as station,
+    "r_delays": """select 'S' || l_suppkey as station,
         timestamp '2024-01-01' + to_hours(cast(l_orderkey % 720 as bigint)) as time,
         case l_returnflag when 'R' then 'K' when 'A' then 'L' else 'T' end as train_type,
         cast(count(*) as bigint) as train_count, sum(l_quantity) as delay,
         sum(floor(l_extendedprice)) / 1024.0 as total_delay
         from lineitem group by all""",
-    "r_obs": """select 'S' || (user_id % 20) as station, date_trunc('hour', ts) as time,
+    "r_obs": """select 'S' || user_id as station, date_trunc('hour', ts) as time,
         avg(case when event_type = 'view' then -1.0 when event_type = 'error' then null
                  else floor(value * 4) / 256.0 end) as prec,
         max(value) as gust, min(case when event_type = 'click' then value end) as vis,
         cast(count(*) as bigint) as n
         from events group by all""",
-    "r_strikes": """select 'S' || (user_id % 20) as station, ts as time, value as peak
+    "r_strikes": """select 'S' || user_id as station, ts as time, value as peak
         from events where event_type = 'error'""",
     "r_code_facts": """select o_orderkey as key, o_orderdate as time, o_orderstatus as train_type,
         o_totalprice as delay from orders""",
@@ -163,8 +163,8 @@ ROLE_SQL = {
         cast(d.train_count * 25 as double) as y_pred
         from r_delays d join r_stations s using (station)""",
     "r_vec": """select vec_id, cast(label as integer) as label, """ + ", ".join(
-        f"cast(embedding[{i + 1}] as double) as f{i}" for i in range(8)) + " from embeddings",
-    "r_edges": """select distinct 'S' || (l_suppkey % 20) as src, 'S' || (l_partkey % 20) as dst
+        f"cast(embedding[{i + 1}] as double) as f{i}" for i in range(64)) + " from embeddings",
+    "r_edges": """select distinct 'S' || l_suppkey as src, 'S' || (l_partkey // 20) as dst
         from lineitem""",
 }
 

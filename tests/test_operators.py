@@ -117,10 +117,10 @@ def test_exact_quantiles_large_group_path(spark):
     import numpy as np
     rows = [("hot", float(v % 97) / 7.0) for v in range(500)] + [("cold", v) for v in (1.0, 2.0, 4.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: (r.q_0_25, r.q_0_5) for r in SM.exact_quantiles(df, "v", [0.25, 0.5], ["g"], in_task_values=100).collect()}
+    got = {r.g: (r.q_0_25, r.q_0_5) for r in SM.exact_quantiles(df, "v", [0.25, 0.5], ["g"]).collect()}
     for g in ("hot", "cold"):
         vals = [v for k, v in rows if k == g]
         exp = (float(np.quantile(vals, 0.25)), float(np.quantile(vals, 0.5)))
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], exp)), (g, got[g], exp)
-    whole = SM.exact_quantiles(df, "v", [0.5], in_task_values=10).first()[0]
+    whole = SM.exact_quantiles(df, "v", [0.5]).first()[0]
     assert abs(whole - float(np.quantile([v for _, v in rows], 0.5))) < 1e-12
