@@ -5,8 +5,8 @@ few texts only. Several random subsets of it each give one hash of a document's
 whose terms an edit leaves alone keeps its hash, so the share of equal hashes tells how alike two texts are.
 
 A subset should hold one or two terms of a document, however long it is, so subsets are nested: at level l each keeps one
-in 2**l terms of the lexicon, and a fingerprint has the two levels that suit its number of terms. Documents of similar
-size have a level in common.
+in 2**l terms of the lexicon, and a fingerprint has the three levels that suit its number of terms. Documents whose
+numbers of terms are within a factor of four have a level in common.
 
 The lower end of the band is a share of the documents, so the lexicon has at most (mean distinct terms of a document) /
 (that share) terms: its size does not grow with the corpus, and it is sent to every task.
@@ -86,7 +86,7 @@ def fingerprint(terms: np.ndarray, band: np.ndarray) -> str:
         draws = mix(terms[None, :] ^ _SEEDS[:, None])
         marks = mix(draws + np.uint64(0x5851F42D4C957F2D))
     out = []
-    for k in (level, level + 1):
+    for k in (level, level + 1, level + 2):
         kept = (draws >> np.uint64(64 - k)) == 0 if k else np.ones(draws.shape, dtype=bool)
         sums = np.where(kept, marks, np.uint64(0)).sum(axis=1, dtype=np.uint64)
         some = kept.any(axis=1)
