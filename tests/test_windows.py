@@ -74,7 +74,7 @@ def test_win7_gap_boundary(spark):
 
 def test_global_row_number_any_partitioning(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
-    got = global_row_number(df, ["k"], "rn", n_parts=5).collect()
+    got = global_row_number(df, ["k"], "rn").collect()
     assert all(r.rn == r.k + 1 for r in got)
 
 
