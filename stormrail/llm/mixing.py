@@ -126,7 +126,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chance = F.greatest(F.lit(1e-12), F.least(F.col("chance"), F.lit(1 - 1e-12)))
     dealt = dealt.withColumn("rank", pareto_rank(draw, chance))
     units = dealt.filter("due > 0").select(F.col("source").alias("group"), "size", "rank")
-    chosen = pareto_sample(units, plan.filter("due > 0").select(F.col("s").alias("group"), "due"))
+    # written, so the planner knows the size of this table of one row for each source before it joins the documents
+    chosen = written(pareto_sample(units, plan.filter("due > 0").select(F.col("s").alias("group"), "due")), "chosen",
+                     slim=True)
     out = dealt.join(chosen, F.col("source").eqNullSafe(F.col("group")), "left")
     more = F.expr("due > 0 and (cut is null or rank < cut or coalesce(array_contains(extra, rank), false))")
     copies = F.col("whole") + F.when(more, 1).otherwise(0)
