@@ -19,8 +19,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are spread over many sources; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without lines that are spread over many sources, other than documents that hold no other lines;
+    ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs, most_removed=1.0)
     changed = F.when(F.col("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(*docs.columns)
 

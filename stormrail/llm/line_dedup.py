@@ -3,8 +3,9 @@
 Every line is a hash. A HyperLogLog sketch of the sites of each line hash merges by partial aggregation, so a line that
 half of the corpus has costs no more than any other. Lines whose estimate is near the threshold get an exact count of
 distinct sites; the others are clear either way. Lines spread over ``SITES`` sites or more are boilerplate and go from
-every document, other than documents made up mostly of such lines: those are copies of each other rather than pages
-with boilerplate, and belong to near-duplicate detection.
+every document in which they are at most a given share of the characters. The SQL of ``op5_line_spread`` sets that share
+to a half; the pipeline sets it to one, so a document keeps its boilerplate only if nothing else would remain of it:
+such documents are copies of each other, and belong to near-duplicate detection.
 """
 
 from __future__ import annotations
@@ -46,11 +47,12 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                sites: int = SITES) -> DataFrame:
+                sites: int = SITES, most_removed: float = MOST_REMOVED) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, and columns ``lines`` and ``removed`` (how many lines
     the text had and lost). All rows and other columns stay; columns named ``lines`` or ``removed`` are replaced.
 
-    Blank lines are never boilerplate. A null text stays null (no lines), an empty one stays empty (one blank line).
+    A document loses its boilerplate if that is at most ``most_removed`` of the characters of its lines (1: always) and
+    an inked line of its own remains. Blank lines are never boilerplate. A null text stays null (no lines), an empty one stays empty (one blank line).
     Rows that repeat are treated alike. Lines are equal if they are equal byte by byte.
     """
     docs = docs.drop("lines", "removed")
@@ -65,7 +67,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = slim.join(found.withColumn("hit", F.lit(True)), "key", "left")
     own = (hit.groupBy("doc").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("hit"), F.col("n"))).alias("gone"),
                                   F.collect_set(F.when(F.col("hit"), F.col("key"))).alias("keys"))
-           .filter(F.col("gone") <= MOST_REMOVED * F.col("all")).select(F.col("doc").alias("__doc"), "keys"))
+           .filter((F.col("gone") <= most_removed * F.col("all")) & (F.col("gone") < F.col("all"))).select(F.col("doc").alias("__doc"), "keys"))
     # a sort-merge join at every size: the table of removals grows with the corpus, so it is never sent to all tasks
     joined = docs.withColumn("__mark", mark).join(
         written(own, "removals").withColumnRenamed("keys", "__keys").hint("merge"),

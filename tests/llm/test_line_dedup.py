@@ -54,3 +54,14 @@ def test_edges(make_docs):
 def test_no_python_in_the_plan(spark, make_docs):
     plan = line_dedup.dedup_lines(make_docs([(1, "a\nb")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pipeline_leaves_boilerplate_only_where_nothing_else_is(make_docs):
+    from corpus_pipeline import without_boilerplate
+    head, foot = "h" * 80, "f" * 80
+    rows = [(i, f"{head}\nown {i}\n\n{foot}", f"s{i % 12}") for i in range(24)]
+    rows += [(100 + i, f"{head}\n\n{foot}", f"s{i}") for i in range(12)]
+    df = make_docs(rows).withColumnRenamed("n", "n_chars")
+    got = {r.doc_id: (r.text, r.n_chars) for r in without_boilerplate(df.sparkSession, df, "").collect()}
+    assert all(got[i] == (f"own {i}\n", len(f"own {i}\n")) for i in range(24))
+    assert all(got[100 + i] == (f"{head}\n\n{foot}", 7) for i in range(12))
