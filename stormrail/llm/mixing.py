@@ -19,8 +19,6 @@ from stormrail.llm.common import WORD, numbered, uniform, written
 WEIGHTS = (5, 2, 1)
 #: A source, and so a document, is taken this many times at most.
 MOST = 3
-#: Documents of each class of sizes (powers of two) that may fill the words left at the cut.
-FILL = 8
 #: Bins of the rank at each of two levels.
 BINS = 1 << 10
 
@@ -73,37 +71,58 @@ def _cut(rows: DataFrame, bins: Column, budget: DataFrame, kind: str) -> DataFra
     return written(over.select("group", F.col("m.due").alias("due"), F.col("m.bin").alias("cut")), kind)
 
 
-def pareto_sample(rows: DataFrame, budget: DataFrame) -> DataFrame:
-    """(group, cut, extra): documents to take from each group of ``rows`` (group, size, rank): those with a rank below
-    ``cut`` (all if null) and those whose rank is in ``extra``.
-
-    ``budget`` (group, due) says how many words are due. Documents are taken in rank order while they fit. The words
-    that are left, less than the next document has, are filled with ``FILL`` documents at most of each class of
-    sizes (the first in rank of as many parts of it), large ones first, each if it still fits.
-    """
-    def of(frame: DataFrame, cuts: DataFrame) -> DataFrame:
+def _next_cut(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """(group, due, cut): for each group of ``rows`` the rank up to which the sizes exceed what is ``due``, and what is
+    still due before it. Groups that never exceed it are left out."""
+    def inside(frame: DataFrame, bins: Column, cuts: DataFrame) -> DataFrame:
         c = cuts.select(F.col("group").alias("g"), F.col("cut").alias("at"))
-        return frame.join(c, F.col("group").eqNullSafe(F.col("g"))).drop("g")
+        return frame.join(c, F.col("group").eqNullSafe(F.col("g"))).filter(bins == F.col("at")).drop("g", "at")
 
     coarse, fine = F.floor(F.col("rank") * BINS), F.floor(F.col("rank") * (BINS * BINS))
     one = _cut(rows, coarse, budget, "cut1")
-    inside = of(rows, one).filter(coarse == F.col("at")).drop("at")
-    two = _cut(inside, fine, one.drop("cut"), "cut2")
-    inside = of(inside, two).filter(fine == F.col("at")).drop("at")
-    cut = _cut(inside, F.col("rank"), two.drop("cut"), "cut3")
-    after = of(rows, cut).filter("rank >= at and size > 0")
-    best = after.groupBy("group", F.floor(F.log2("size")).alias("class"),
-                         F.pmod(F.xxhash64("rank"), F.lit(FILL)).alias("part")).agg(
-        F.min(F.struct("rank", "size")).alias("first"))
-    lists = best.groupBy("group").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("first.size")).alias("order"), F.col("first.rank").alias("rank")))).alias("list"))
-    joined = cut.join(lists.withColumnRenamed("group", "g"), F.col("group").eqNullSafe(F.col("g")), "left")
-    fill = F.expr("""aggregate(coalesce(list, array()), named_struct('due', due, 'ranks', cast(array() as array<double>)),
-        (a, x) -> if(-x.order <= a.due, named_struct('due', a.due + x.order, 'ranks', a.ranks || array(x.rank)), a)).ranks""")
-    out = joined.select("group", "cut", fill.alias("extra")).withColumnRenamed("group", "g")
+    rows = inside(rows, coarse, one)
+    two = _cut(rows, fine, one.drop("cut"), "cut2")
+    return _cut(inside(rows, fine, two), F.col("rank"), two.drop("cut"), "cut3")
+
+
+def _behind(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Those of ``rows`` behind the cut of their group that are no larger than what is still due there."""
+    c = cuts.select(F.col("group").alias("g"), "due", "cut")
+    return rows.join(c, F.col("group").eqNullSafe(F.col("g"))).filter(
+        "rank > cut and size > 0 and size <= due").select("group", "size", "rank")
+
+
+def pareto_sample(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """(group, cut, extra): documents to take from each group of ``rows`` (group, size, rank): those with a rank below
+    ``cut`` (all if null), and those that ``taken_behind`` finds in ``extra``, an array of (after, before, most).
+
+    ``budget`` (group, due) says how many words are due. Documents are taken in rank order, each if it still fits: up to
+    the cut, where the next one is larger than what is left; then, of those behind it that are no larger than that, up to
+    their own cut, and so on until nothing that is left fits. Only whether a cut was found comes to the driver.
+    """
+    cuts = [_next_cut(rows, budget)]
+    rest = written(_behind(rows, cuts[0]), "behind")
+    while not cuts[-1].isEmpty():
+        cuts.append(_next_cut(_behind(rest, cuts[-1]), cuts[-1].drop("cut")))
+    first = cuts[0].select(F.col("group").alias("g"), "cut")
+    every = cuts[0].withColumn("nth", F.lit(0))
+    for k, c in enumerate(cuts[1:-1], 1):
+        every = every.union(c.withColumn("nth", F.lit(k)))
+    steps = every.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("nth", "cut", "due"))).alias("s"))
+    extra = F.transform("s", lambda x, i: F.struct(x["cut"].alias("after"), F.get("s", i + 1)["cut"].alias("before"),
+                                                   x["due"].alias("most")))
+    out = steps.select("group", extra.alias("extra")).join(first, F.col("group").eqNullSafe(F.col("g"))).select(
+        F.col("group").alias("g"), "cut", "extra")
     return budget.join(out, F.col("group").eqNullSafe(F.col("g")), "left").select("group", "cut", "extra")
 
 
+def taken_behind(extra: Column, rank: Column, size: Column) -> Column:
+    """Whether a document is taken behind the first cut: between two cuts (to the end if there is no other), and no larger
+    than what was still due at the former."""
+    return F.coalesce(F.exists(extra, lambda x: (rank > x["after"]) & (x["before"].isNull() | (rank < x["before"]))
+                               & (size > 0) & (size <= x["most"])), F.lit(False))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple = WEIGHTS, share: float = 1.0, most: float = MOST, seed: int = 1) -> DataFrame:
     """(doc, source, size, source_size, target, copies, taken) for each row of ``docs``.
@@ -130,7 +149,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = written(pareto_sample(units, plan.filter("due > 0").select(F.col("s").alias("group"), "due")), "chosen",
                      slim=True)
     out = dealt.join(chosen, F.col("source").eqNullSafe(F.col("group")), "left")
-    more = F.expr("due > 0 and (cut is null or rank < cut or coalesce(array_contains(extra, rank), false))")
+    more = F.expr("due > 0 and (cut is null or rank < cut)") | taken_behind(F.col("extra"), F.col("rank"), F.col("size"))
     copies = F.col("whole") + F.when(more, 1).otherwise(0)
     return out.select("doc", "source", "size", "source_size", "target", copies.alias("copies"),
                       (copies * F.col("size")).alias("taken"))

@@ -80,3 +80,30 @@ def test_edges(make_docs):
 def test_one_source_takes_all(make_docs):
     got = mixing.mix(make_docs([(i, "a b c", "only") for i in range(50)])).collect()
     assert sum(r.taken for r in got) == 150
+
+
+def test_a_long_document_at_the_cut_leaves_no_words_due(make_docs):
+    """What is taken is what a walk in rank order would take, each document if it still fits."""
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.randint(200, 600), "a") for i in range(300)] + [(300, "w " * 60_000, "a")]
+    rows += [(1000 + i, "w " * rng.randint(1, 9), "b") for i in range(300)]
+    size = {i: words(t) for i, t, _ in rows}
+    for seed in range(4):
+        got = mixing.mix(make_docs(rows), weights=(1,), share=0.3, seed=seed).collect()
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            short = mine[0].target - sum(r.taken for r in mine)
+            left = [r.size for r in mine if r.copies < mine[0].target // mine[0].source_size + 1]
+            assert 0 <= short < min(left, default=1e9), (seed, s)
+    groups = [(g, size[i], rng.random(), i) for i, _, g in rows]
+    due = {"a": 50_000.0, "b": 700.0}
+    spark = make_docs([]).sparkSession
+    cut = {r.group: r for r in mixing.pareto_sample(
+        spark.createDataFrame([x[:3] for x in groups], "group string, size long, rank double"),
+        spark.createDataFrame(list(due.items()), "group string, due double")).collect()}
+    for g, n, rank, _ in sorted(groups, key=lambda x: x[2]):
+        fits = n <= due[g]
+        due[g] -= n if fits else 0
+        c = cut[g]
+        behind = any(x.after < rank and (x.before is None or rank < x.before) and n <= x.most for x in c.extra)
+        assert (rank < c.cut or behind) == fits
