@@ -3,8 +3,9 @@
 Fixed patterns give the base spans: assignments to telling names, access keys, long hexadecimal runs. Beyond them every
 run of ``LEAST`` or more token characters is scored by two first-order Markov models of its characters, one of random
 strings and one of ordinary identifiers; the log-likelihood ratio for each character says which it is. The models are
-trained from labelled samples: runs inside base spans are random, runs in the rest of the text ordinary. The threshold
-is calibrated on labelled runs that training did not see.
+trained from labelled samples: runs inside base spans are random, runs in the rest of the text ordinary. The latter hold
+the very secrets that no pattern finds, so they count as unlabelled: the threshold is set where held-out random runs score,
+and the models are fitted once more without the ordinary runs above it.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{" + str(LEAST) + ",}+"
 #: Labelled runs that the models learn from at most, of each class: those with the smallest hashes.
 TRAINING_RUNS = 20000
-#: Share of held-out ordinary runs that may lie above the threshold, and what is added to be sure.
-FALSE_RATE, MARGIN = 0.0001, 0.15
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -65,16 +64,9 @@ class Ratio:
         return total / (F.length(run) - 1)
 
 
-def train(runs: DataFrame) -> Ratio | None:
-    """Fit the two models from rows (run, random). None if either class is missing. Only the counts of character
-    pairs and the scores' histogram come to the driver."""
-    runs = runs.filter("run is not null").distinct()
-    parts = [runs.filter("random" if c else "not random").orderBy(F.xxhash64("run"), "run").limit(TRAINING_RUNS)
-             for c in (True, False)]
-    sample = written(parts[0].union(parts[1]).withColumn("test", F.pmod(F.xxhash64("run", F.lit(1)), F.lit(4)) == 0),
-                     "runs")
-    pairs = sample.filter("not test").select("random", F.explode(_pairs(F.col("run"))).alias("p")).select(
-        "random", "p.a", "p.b")
+def _fit(sample: DataFrame) -> list[float] | None:
+    """Log-likelihood ratios from rows (run, random). None if either class is missing."""
+    pairs = sample.select("random", F.explode(_pairs(F.col("run"))).alias("p")).select("random", "p.a", "p.b")
     counts = {(r.random, r.a, r.b): r["count"] for r in pairs.groupBy("random", "a", "b").count().collect()}
     if len({c for c, _, _ in counts}) < 2:
         return None
@@ -84,16 +76,50 @@ def train(runs: DataFrame) -> Ratio | None:
         sums = {c: sum(x) for c, x in row.items()}
         table += [math.log(row[True][k] / sums[True]) - math.log(row[False][k] / sums[False])
                   for k in range(len(ALPHABET))]
-    ratio = Ratio(table, 0.0)
-    scored = sample.filter("test and not random").select(F.ceil(ratio.score(F.col("run")) * 100).alias("s"))
-    steps = sorted((r.s, r["count"]) for r in scored.groupBy("s").count().collect())
-    above, total, threshold = 0, sum(n for _, n in steps), 0.0
-    for s, n in reversed(steps):
-        above += n
-        if above > FALSE_RATE * total:
-            threshold = max(0.0, s / 100)
+    return table
+
+
+def _threshold(steps: list[tuple[bool, int, int]]) -> float:
+    """Least score of a random run, from (random, score in hundredths, runs) of held-out runs.
+
+    The score above which the share of random runs exceeds that of ordinary ones most is the same whether or not either
+    class holds runs of the other, so secrets among the ordinary runs do not lift it (Menon et al., 2015). The threshold
+    lies halfway between it and the next lower score of any run, and never below 0.
+    """
+    total = {c: sum(n for r, _, n in steps if r == c) for c in (True, False)}
+    share, best, split, below = {True: 0.0, False: 0.0}, 0.0, None, None
+    for s in sorted({s for _, s, _ in steps}, reverse=True):
+        if below is None and split is not None:
+            below = s
+        for r, at, n in steps:
+            share[r] += n / total[r] if at == s else 0
+        if share[True] - share[False] > best + 1e-9:
+            best, split, below = share[True] - share[False], s, None
+    if split is None:
+        return math.inf
+    return max(0.0, (split + (split if below is None else below)) / 200)
+
+
+def train(runs: DataFrame) -> Ratio | None:
+    """Fit the two models from rows (run, random). None if either class is missing. Only the counts of character
+    pairs and the scores' histogram come to the driver."""
+    runs = runs.filter("run is not null").distinct()
+    parts = [runs.filter("random" if c else "not random").orderBy(F.xxhash64("run"), "run").limit(TRAINING_RUNS)
+             for c in (True, False)]
+    sample = written(parts[0].union(parts[1]).withColumn("test", F.pmod(F.xxhash64("run", F.lit(1)), F.lit(4)) == 0),
+                     "runs")
+    ratio, learn = None, sample.filter("not test")
+    for _ in range(2):
+        table = _fit(learn)
+        if table is None:
             break
-    return Ratio(table, threshold + MARGIN)
+        ratio = Ratio(table, 0.0)
+        # means over few characters vary most, so what LEAST characters reach holds for longer runs too
+        short = F.left(F.col("run"), F.lit(LEAST))
+        scored = sample.filter("test").select("random", F.floor(ratio.score(short) * 100).alias("s"))
+        ratio.threshold = _threshold([(r.random, r.s, r["count"]) for r in scored.groupBy("random", "s").count().collect()])
+        learn = sample.filter("not test").filter(F.col("random") | (ratio.score(F.col("run")) < ratio.threshold))
+    return ratio
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,5 +138,5 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .alias("random")))).alias("x")).select("x.*")
     ratio = train(labelled)
     rest = apart(F.col("runs"), F.col("base"))
-    rest = F.filter(rest, lambda m: ratio.score(m["match"]) > ratio.threshold) if ratio else F.slice(rest, 1, 0)
+    rest = F.filter(rest, lambda m: ratio.score(m["match"]) >= ratio.threshold) if ratio else F.slice(rest, 1, 0)
     return found.select("doc", *KINDS, as_spans(rest, ADDED, len(KINDS)).alias("added"))

@@ -111,6 +111,21 @@ def test_models_add_random_strings_and_leave_identifiers(make_docs):
     assert sum(len(got[i]) for i in [*range(150), 501]) <= 1
 
 
+def test_models_add_random_strings_where_they_are_many(make_docs):
+    """One run in twenty outside the base spans is a secret that no pattern finds."""
+    rng = random.Random(9)
+    words = ["Verantwortung", "internationalisation", "get_user_name_from_id", "Geschwindigkeit", "thoroughly", "readable"]
+    rows, at = [], {}
+    for i in range(200):
+        runs = ["".join(rng.choice(words) for _ in range(3)) for _ in range(19)]
+        head = " ".join(runs) + " "
+        at[i] = (len(head), len(head) + 24)
+        rows.append((i, head + rng.randbytes(12).hex() + f" token = {rng.randbytes(20).hex()}"))
+    got = {r.doc: [(s.start, s.end) for s in r.added] for r in secrets.secrets(make_docs(rows)).collect()}
+    assert sum(at[i] in got[i] for i in at) >= 180
+    assert sum(x != at[i] for i in at for x in got[i]) <= 4
+
+
 def test_boosted_candidates_leave_plain_numbers(make_docs):
     rng = random.Random(4)
 
