@@ -17,8 +17,10 @@ from stormrail.llm.common import written
 
 #: Sites from which on a line is boilerplate.
 SITES = 10
-#: Estimates within this factor of the threshold are counted exactly; the sketch's error is a tenth.
-BAND = 1.6
+#: Estimates from the threshold divided by LOW to the threshold times BAND are counted exactly; the sketch's error is a
+#: tenth. Sites that share a register lower an estimate: 10 sites fall into 6 of the 128 registers or fewer in one set of
+#: about 13000, into 3 or fewer in one of about 6 * 10**10.
+LOW, BAND = 2.5, 1.6
 ERROR = 0.1
 #: A document loses its boilerplate if that is at most this share of the characters of its lines.
 MOST_REMOVED = 0.5
@@ -39,7 +41,7 @@ def _blank(line: Column) -> Column:
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(key) of the lines spread over ``sites`` distinct sites or more, from rows (key, site). A null site is none."""
     spread = written(lines.groupBy("key").agg(F.approx_count_distinct("site", ERROR).alias("about"))
-                     .filter(F.col("about") >= sites / BAND), "spread")
+                     .filter(F.col("about") >= sites / LOW), "spread")
     near = spread.filter(F.col("about") <= sites * BAND).select("key")
     exact = (lines.join(near, "key").filter("site is not null").distinct().groupBy("key").agg(F.count("*").alias("n"))
              .filter(F.col("n") >= sites).select("key"))

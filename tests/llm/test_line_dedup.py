@@ -65,3 +65,9 @@ def test_pipeline_leaves_boilerplate_only_where_nothing_else_is(make_docs):
     got = {r.doc_id: (r.text, r.n_chars) for r in without_boilerplate(df.sparkSession, df, "").collect()}
     assert all(got[i] == (f"own {i}\n", len(f"own {i}\n")) for i in range(24))
     assert all(got[100 + i] == (f"{head}\n\n{foot}", 7) for i in range(12))
+
+
+def test_sites_that_share_registers_are_counted(spark):
+    n = 60_000
+    lines = spark.range(n).selectExpr("id as key", "explode(sequence(0, 9)) as j").selectExpr("key", "key || '-' || j as site")
+    assert line_dedup.boilerplate(lines, 10).distinct().count() == n
