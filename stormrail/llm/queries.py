@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormrail.llm import (
-    decontaminate, fingerprint, line_dedup, main_text, mixing, near_dup, pii, quality, secrets, spans, warc,
+    decontaminate, fingerprint, line_dedup, main_text, mixing, near_dup, pii, prefix_trie, quality,
+    quality_rules, secrets, spans, warc,
 )
 from stormrail.llm.common import shared_folder, table
 
@@ -109,3 +110,53 @@ def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secrets")
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.report(secrets.secrets(table(spark, sf_dir, "documents")), secrets.KINDS).withColumnRenamed("doc", "doc_id")
+
+# A byte's eight steps of crc32 are a fold over eight zeros that starts with the running value.
+_OP12 = """
+with turn as (
+  select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as t,
+         row_number() over (partition by conv_id order by turn nulls first,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as at
+  from conversations where conv_id is not null),
+conv as (
+  select c, c - c % 20 as donor, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda ch: ascii(ch)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::bigint)),
+      lambda v, i: xor(v >> 1, case when v & 1 = 1 then 3988292384::bigint else 0::bigint end)))) % 4 as h
+  from (select distinct c from turn)),
+made as (
+  select v.c, 0 as part, t.at, t.r, t.t from conv v join turn t on t.c = v.donor and t.at <= v.h
+  union all
+  select v.c, 1, t.at, t.r, t.t from conv v join turn t on t.c = v.c and t.at > v.h),
+seq as (
+  select v.c, coalesce(list({'r': m.r, 't': m.t} order by m.part, m.at) filter (where m.at is not null), []) as s
+  from conv v left join made m on m.c = v.c group by v.c),
+member as (select c, s[1:d] as p, d, len(s) as size from (select c, s, unnest(range(0, len(s) + 1)) as d from seq)),
+node as (
+  select p, d, min(c) as c, count(*) as n,
+         sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where d = size), '')) as ends
+  from member group by p, d),
+child as (select p[1:d - 1] as p, d - 1 as d, count(*) as k from node where d > 0 group by all),
+own as (
+  select node.*, coalesce(k, 0) as k,
+         case when node.d = 0 then 0
+              else (n - 1) * len(regexp_extract_all(node.p[node.d].t, '[^\\x20\\x09-\\x0D]+')) end as saved
+  from node left join child on node.p = child.p and node.d = child.d),
+up as (select p[1:j] as p, j as d, saved, (k = 0)::int as leaf from (select *, unnest(range(0, d + 1)) as j from own)),
+total as (select p, d, sum(saved)::bigint as saved, sum(leaf)::bigint as leaves from up group by p, d)
+select o.c as conv_id, o.d as depth, q.c as parent_conv_id, o.n as n_convs, o.k as n_children, t.leaves as n_leaves,
+       t.saved as saved_tokens, o.ends as ends_sha256
+from own o join total t on o.p = t.p and o.d = t.d
+left join node q on o.d > 0 and q.d = o.d - 1 and q.p = o.p[1:o.d - 1]"""
+
+
+@query("op12_prefix_trie", _OP12)
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_quality_rules")
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept", "level", "rules")
