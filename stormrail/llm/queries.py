@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stormrail.llm import (
     decontaminate, fingerprint, line_dedup, main_text, mixing, near_dup, pii, prefix_trie, quality,
-    quality_rules, secrets, spans, warc,
+    quality_rules, secrets, spans, warc, whitening,
 )
 from stormrail.llm.common import shared_folder, table
 
@@ -160,3 +160,8 @@ def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                         "n_repeat_words", "base_failed", "kept", "level", "rules")
+
+
+@query("op13_whitening")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
