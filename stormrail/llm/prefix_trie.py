@@ -70,7 +70,8 @@ def turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
         F.sha2(said.cast("binary"), 256).alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
     order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("digest"), F.col("words")]
     rows = numbered(rows, order, "place", "turns")
-    first = rows.groupBy("conv").agg(F.min("place").alias("first"))
+    # written, so that the join can split a conversation that holds many of the rows
+    first = written(rows.groupBy("conv").agg(F.min("place").alias("first")), "firsts", slim=True)
     return rows.join(first, "conv").select("conv", (F.col("place") - F.col("first") + 1).alias("at"), "digest", "words")
 
 
@@ -129,15 +130,16 @@ def _nodes(groups: DataFrame) -> DataFrame:
     path: the names of the node's ancestors inside its block, and its own."""
     path = F.transform(F.col("turns"), lambda t, j: _xor(F.col("before"), _name(
         F.col("k"), F.transform(F.slice("turns", F.lit(1), j + 1), lambda s: s.digest))))
-    siblings = groups.groupBy("before").agg(F.count("*").alias("n_siblings"))
-    spread = groups.join(siblings, "before").withColumn("path", path).select(
-        "before", "k", "n", "conv", "n_siblings", "turns", "path", F.explode(F.sequence(
+    forks = written(groups.groupBy("before").agg(F.count("*").alias("n")).filter("n > 1").select(
+        "before", F.lit(True).alias("fork")), "forks", slim=True)
+    spread = groups.join(forks, "before", "left").withColumn("path", path).select(
+        "before", "k", "n", "conv", "fork", "turns", "path", F.explode(F.sequence(
             F.lit(1), F.size("turns"))).alias("j")).select(
         F.expr("path[j - 1]").alias("name"), F.expr("if(j = 1, before, path[j - 2])").alias("parent"),
         F.col("before").alias("above"), F.expr(f"(k - 1) * {BLOCK} + j").cast("long").alias("depth"), "n", "conv",
-        F.expr("turns[j - 1].words").alias("words"), F.expr("slice(path, 1, j)").alias("path"), "n_siblings")
-    alone = spread.filter("n_siblings = 1").drop("n_siblings")
-    merged = spread.filter("n_siblings > 1").groupBy("name").agg(
+        F.expr("turns[j - 1].words").alias("words"), F.expr("slice(path, 1, j)").alias("path"), "fork")
+    alone = spread.filter("fork is null").drop("fork")
+    merged = spread.filter("fork").groupBy("name").agg(
         *[F.min(c).alias(c) for c in ("parent", "above", "depth")], F.sum("n").alias("n"), F.min("conv").alias("conv"),
         F.min("words").alias("words"), F.min("path").alias("path"))
     return alone.union(merged.select(alone.columns))
