@@ -18,10 +18,13 @@ as well. Nodes made up mostly of hot values (large groups of copies, pages that
 their whole sets instead, of which the rarest quarter and one more generate candidates: of two sets with a likeness
 of 0.75 or more each holds at least one of those of the other. Boilerplate then generates nothing in documents of
 which it is less than three quarters, and stars collapse the groups of copies. Two such nodes meet at a value only if
-enough of both sets is left from there on, which keeps copies edited too much from meeting all others.
+enough of both sets is left from there on, which keeps copies edited too much from meeting all others. Each whole
+set also has a row of bits, the parity of its members by their hash; two sets differ in at least as many members as their
+rows differ in bits, so pairs whose rows are too different are proved apart without either set and never leave the list.
 
-The estimate is the only place where chance enters: with 64 values a true pair falls under ``LEAST_ESTIMATE`` about
-once in ten million times.
+Chance enters in two places: the estimate (with 64 values a true pair falls under ``LEAST_ESTIMATE`` about once in ten
+million times), and the ``GENERATE`` values of nodes that are not made up mostly of hot ones (a true pair shares none of
+them about once in 10**14 times). Parity and prefixes are exact.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormrail.llm.common import slices, written
+from stormrail.llm.common import WORD, slices, written
 from stormrail.llm.components import components
 from stormrail.llm.words import mix, shingle_sets, words_of
 
@@ -48,6 +51,9 @@ ROUNDS = 6
 FEW = 100
 #: A value is hot when more nodes than this retain it.
 HOT = 50
+#: Bits of parity of a set of up to 128 members; they double with each doubling of the set, DOUBLINGS times at most.
+BITS = 512
+DOUBLINGS = 6
 #: A pair whose union sketch estimates less than this is dropped before the exact comparison.
 LEAST_ESTIMATE = 0.45
 
@@ -63,6 +69,14 @@ def _set_hash(s: np.ndarray) -> int:
         return int(mix(x[:1] + (x[1:2] << np.uint64(1)) + x[2:3]).view(np.int64)[0])
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """One bit for each value of the low bits of a hash: whether an odd number of members has it."""
+    doublings = min(DOUBLINGS, max(0, int(len(s) - 1).bit_length() - 7))
+    size = BITS << doublings
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64) ^ np.uint64(1 << 63)
+
+
 def _arrays(sets: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(sets) + 1, dtype=np.int32)
     np.cumsum([len(s) for s in sets], out=offsets[1:])
@@ -89,8 +103,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, members): whole shingle sets of the nodes in ``wanted`` (columns rep, node), from the texts of their
-    representative documents."""
+    """(node, members, bits): whole shingle sets of the nodes in ``wanted`` (columns rep, node) and their parities, from
+    the texts of their representative documents."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -99,13 +113,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             ok = np.array(found, dtype=np.int64) == batch.column("node").to_numpy()
             keep = np.flatnonzero(ok)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([found[i] for i in keep], pa.int64()), _arrays([sets[i] for i in keep])],
-                names=["node", "members"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+                [pa.array([found[i] for i in keep], pa.int64()), _arrays([sets[i] for i in keep]),
+                 _arrays([_parity(sets[i]) for i in keep])],
+                names=["node", "members", "bits"])
+
+    # texts without an id are found by a hash of the text, each text once
+    text = F.col(text_col).alias("text")
+    named = docs.filter(F.col(id_col).isNotNull()).select(
+        F.struct(F.col(id_col).cast("long").alias("doc"), F.lit(None).cast("long").alias("mark")).alias("rep"), text)
+    nameless = docs.filter(F.col(id_col).isNull()).groupBy(F.xxhash64(text_col).alias("mark")).agg(
+        F.first(text_col).alias("text")).select(F.struct(F.lit(None).cast("long").alias("doc"), "mark").alias("rep"),
+                                                "text")
     # a sort-merge join at every size: the wanted nodes grow with the corpus
-    return rows.join(wanted.hint("merge"), "rep").select("node", "text").mapInArrow(
-        run, "node long, members array<long>")
+    rows = named.union(nameless)
+    return rows.join(wanted.hint("merge"), rows.rep.eqNullSafe(wanted.rep)).select("node", "text").mapInArrow(
+        run, "node long, members array<long>, bits array<long>")
 
 
 class _Confirm:
@@ -116,7 +138,7 @@ class _Confirm:
         self.nodes, self.docs, self.id_col, self.text_col, self.sets = nodes, docs, id_col, text_col, None
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """(node, members) of the wanted nodes at least."""
+        """(node, members, bits) of the wanted nodes at least."""
         if self.sets is not None:
             wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
         wanted = written(wanted.join(self.nodes.select("node", "rep"), "node"), "wanted", slim=True)
@@ -140,9 +162,9 @@ class _Confirm:
 
 
 def _lists(nodes: DataFrame, confirm: _Confirm) -> DataFrame:
-    """(value, node, n, heat, rest): the values that generate candidates. heat: over 50 for nodes made up mostly of
-    hot values, else 0. rest: null for values of the sketch; for those of the rarest-first order of a whole set, how
-    many members come from there on."""
+    """(value, node, n, heat, rest, bits): the values that generate candidates. heat: over 50 for nodes made up mostly
+    of hot values, else 0. rest: null for values of the sketch; for those of the rarest-first order of a whole set, how
+    many members come from there on, and bits then is the parity of the set."""
     values = nodes.select("node", "n", F.size("sketch").alias("size"), F.posexplode("sketch").alias("pos", "value"))
     count = values.groupBy("value").agg(F.count("*").alias("count")).filter("count > 1")
     shared = values.join(count, "value").withColumn("hot", F.expr(f"count > {HOT}"))
@@ -157,16 +179,27 @@ def _lists(nodes: DataFrame, confirm: _Confirm) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("count", "value"))).alias("ranked"))
     prefix = F.expr(f"slice(ranked, 1, int(n - ceil({PERCENT} * n / 100) + 1))")
     first = ranked.select("node", "n", "heat", F.posexplode(prefix).alias("pos", "e")).filter("e.count > 1")
-    return rare.withColumn("rest", F.lit(None).cast("long")).union(
-        first.select("e.value", "node", "n", "heat", F.expr("n - pos")))
+    first = first.join(whole.select("node", "bits"), "node")
+    return rare.withColumns({"rest": F.lit(None).cast("long"), "bits": F.lit(None).cast("array<long>")}).union(
+        first.select("e.value", "node", "n", "heat", F.expr("n - pos"), "bits"))
+
+
+def _differing(a: str, b: str) -> str:
+    """SQL for a lower bound of the members that two sets do not share, from their parities; the longer is folded."""
+    fold = lambda x: f"transform(slice({x}, 1, size({x}) div 2), (v, i) -> v ^ {x}[i + size({x}) div 2])"
+    bits = lambda x, y: f"aggregate(zip_with({x}, {y}, (v, w) -> bit_count(v ^ w)), 0, (s, c) -> s + c)"
+    return (f"case when size({a}) = size({b}) then {bits(a, b)} when size({a}) = 2 * size({b}) then {bits(fold(a), b)} "
+            f"when size({b}) = 2 * size({a}) then {bits(a, fold(b))} else 0 end")
 
 
 def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs of nodes near in size from rows (value, node, n, root) of two clusters each."""
     r = right.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("n").alias("nb"),
-                     F.col("root").alias("rb"), F.col("heat").alias("hb"), F.col("rest").alias("eb"))
+                     F.col("root").alias("rb"), F.col("heat").alias("hb"), F.col("rest").alias("eb"),
+                     F.col("bits").alias("bb"))
     near = F.expr(f"100 * least(n, nb) >= {PERCENT} * greatest(n, nb)")
     whole = F.expr(f"{100 + PERCENT} * rest >= {PERCENT} * (n + nb) and {100 + PERCENT} * eb >= {PERCENT} * (n + nb)")
+    whole = whole & F.expr(f"{100 + PERCENT} * {_differing('bits', 'bb')} <= {200 - 2 * PERCENT} * (n + nb) / 2")
     meet = F.when(F.expr("heat > 50 and hb > 50"), F.coalesce(whole, F.lit(False))).otherwise(
         F.expr("rest is null and eb is null"))
     pairs = left.join(r, (F.col("value") == F.col("v")) & (F.col("root") != F.col("rb")) & near & meet)
@@ -180,7 +213,7 @@ def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _leaders(lists: DataFrame, turn: int) -> DataFrame:
     """For each value its leaders of this round, as rows like those of ``lists``. One partial aggregate."""
-    row = F.struct("node", "n", "heat", "rest", "root")
+    row = F.struct("node", "n", "heat", "rest", "bits", "root")
     draws = [F.max(F.struct("heat", F.xxhash64("node", F.lit(turn)).alias("draw"), row.alias("row")))]
     draws += [F.min(F.struct(F.xxhash64("node", F.lit(1000 * turn + j)).alias("draw"), row.alias("row")))
               for j in range(1, LEADERS)]
@@ -210,11 +243,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component`` is the smallest id among the documents that a chain of links reaches, the document itself included;
     ``kept`` is true for that document. Texts that are null, empty or blank have no shingles (n = 0) and stand alone.
     Rows that repeat an id belong to the components of their own texts. A row whose id is null takes part by its
-    text; alone in its component it has a null ``component`` and is kept. Other columns are not read.
+    text: a component of such rows only has a null ``component``, and its rows with the smallest mark are kept. Other
+    columns are not read.
     """
     rows = written(sketches(docs, id_col, text_col), "sketches")
+    rep = F.struct("doc", F.when(F.col("doc").isNull(), F.col("mark")).alias("mark"))
+    order = F.struct(F.col("doc").isNull(), rep)
     nodes = written(rows.filter("n > 0").groupBy("node", "n").agg(
-        F.min("doc").alias("rep"), F.min_by("sketch", "doc").alias("sketch")).filter("rep is not null"), "nodes")
+        F.min_by(rep, order).alias("rep"), F.min_by("sketch", order).alias("sketch")), "nodes")
     confirm = _Confirm(nodes, docs, id_col, text_col)
     lists = written(_lists(nodes, confirm).withColumn("root", F.col("node")), "lists", slim=True)
     links, roots, left = None, None, float("inf")
@@ -230,20 +266,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last:
             break
     reps = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = reps.groupBy("root").agg(F.min("rep").alias("component"))
-    label = reps.join(best, "root").select("node", "component")
+    best = reps.groupBy("root").agg(F.min("rep.doc").alias("component"), F.min("rep.mark").alias("least"))
+    label = reps.join(best, "root").select("node", "component", "least")
     blank = F.col("n") == 0
-    component = F.when(blank, F.col("doc")).otherwise(F.coalesce("component", "doc"))
+    component = F.when(blank, F.col("doc")).otherwise(F.col("component"))
     out = rows.select("doc", "mark", "n", "node").join(label, "node", "left")
+    nameless = component.isNull() & F.coalesce(blank | (F.col("mark") == F.col("least")), F.lit(True))
     return out.select("doc", "mark", "n", component.alias("component"),
-                      F.coalesce(F.col("doc") == component, F.col("doc").isNull() & component.isNull())
-                      .alias("kept"))
+                      F.coalesce(F.col("doc") == component, nameless).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`near_duplicates` does not keep; all columns as they are. Rows that repeat
-    both id and text are one document, and stay or go together."""
-    gone = written(near_duplicates(docs, id_col, text_col).filter("not kept").select(
-        F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct(), "gone")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__mark"))
-    return docs.join(gone, same, "left_anti")
+    both id and text are one document, and stay or go together; of rows without an id that repeat a text with words, one
+    stays. Columns of ``docs`` may have any names."""
+    gone = written(near_duplicates(docs, id_col, text_col).filter("not kept").select("doc", "mark").distinct(), "gone")
+    id_of, mark_of = docs[id_col].cast("long"), F.xxhash64(docs[text_col])
+    left = docs.join(gone, id_of.eqNullSafe(gone.doc) & (mark_of == gone.mark), "left_anti")
+    worded = F.col(id_col).isNull() & F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    return left.filter(~worded).union(left.filter(worded).dropDuplicates([text_col]))

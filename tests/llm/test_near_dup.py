@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stormrail.llm import near_dup
@@ -95,6 +96,50 @@ def test_edges(make_docs):
     assert kept.columns == make_docs(rows).columns
 
 
+def test_rows_without_ids(make_docs):
+    """They are linked by their texts, and one row of a component of such rows stays."""
+    base = [f"t{i}" for i in range(60)]
+    near, other = " ".join(base[:-2] + ["x", "y"]), [f"u{i}" for i in range(50)]
+    rows = [(None, " ".join(base))] * 3 + [(None, near), (9, " ".join(other)), (None, " ".join(other + ["z"])),
+                                           (None, None), (None, ""), (None, "")]
+    assert ours(make_docs(rows)) == brute(rows)
+    kept = sorted(str(r.text) for r in near_dup.without_near_duplicates(make_docs(rows)).collect())
+    assert len(kept) == 5 and kept[:2] == ["", ""] and " ".join(other) in kept
+    assert (" ".join(base) in kept) + (near in kept) == 1
+
+
+def test_parity_never_says_more_than_the_difference(spark):
+    rng = random.Random(3)
+    for n in (1, 5, 100, 128, 129, 300, 900, 20_000):
+        universe = [rng.getrandbits(64) for _ in range(int(1.5 * n) + 2)]
+        for _ in range(4):
+            a = set(rng.sample(universe, n))
+            b = set(rng.sample(universe, max(1, int(n * rng.uniform(0.76, 1.0)))))
+            pa_, pb = (near_dup._parity(np.array(sorted(s), dtype=np.uint64)) for s in (a, b))
+            df = spark.createDataFrame([([int(x) for x in pa_.view(np.int64)], [int(x) for x in pb.view(np.int64)])],
+                                       "x array<long>, y array<long>")
+            least = df.selectExpr(near_dup._differing("x", "y") + " as d").first().d
+            assert 0 <= least <= len(a ^ b) and (least > 0 or len(a ^ b) < 0.05 * n + 1)
+
+
+def test_candidates_of_a_group_of_heavily_edited_copies(spark, make_docs, monkeypatch):
+    """Copies of one text, many of them edited past the limit: links as by brute force, and no squares of pairs."""
+    made, was = [], near_dup._candidates
+
+    def counted(left, right):
+        pairs = was(left, right)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dup, "_candidates", counted)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = [(i, " ".join(edited(base, rng.uniform(0, 0.1), rng, vocabulary))) for i in range(500)]
+    assert ours(make_docs(rows)) == brute(rows)
+    assert sum(made) < 20 * len(rows)
+
+
 def test_empty_table(make_docs):
     assert near_dup.near_duplicates(make_docs([])).count() == 0
     assert near_dup.near_duplicates(make_docs([(1, None)])).count() == 1
