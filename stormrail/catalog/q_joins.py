@@ -182,9 +182,5 @@ select a.station, a.time, cast(count(*) as bigint) as n_links from r_obs a
 join (select src, dst from r_edges union select dst, src from r_edges) e on e.src = a.station
 join r_obs b on b.station = e.dst and b.time = a.time group by all"""))
 def join16_row_links(spark, sf):
-    rows = R.observations(spark, sf).select(F.concat_ws("|", "station", F.col("time").cast("string")).alias("row_id"),
-                                            "station", "time")
-    links = J.row_links(rows, R.edges(spark, sf))
-    parts = F.split("row_a", "\\|")
-    return links.groupBy("row_a").agg(F.count(F.lit(1)).cast("long").alias("n_links")).select(
-        parts[0].alias("station"), parts[1].cast("timestamp_ntz").alias("time"), "n_links")
+    rows = R.observations(spark, sf).select("station", "time")
+    return J.link_counts(rows, R.edges(spark, sf)).select("station", "time", "n_links")

@@ -124,3 +124,31 @@ select class, count(*) as count, {sql_r6('count(*) * 100.0 / sum(count(*)) over
 def bal1_class_dist(spark, sf):
     _, dist = balance_dataset(R.delays(spark, sf), ["K", "L"])
     return dist.select("class", "count", r6("share").alias("share"))
+
+
+_SMOTE_H = "md5(concat_ws('|', '42', station, cast(time as varchar), train_type, cast(turn as varchar)))"
+
+
+def _digits(first):
+    return f"('0x' || substr({_SMOTE_H}, {first}, 8))::bigint"
+
+
+@query("smp4_smote", with_roles(f"""
+with b as (select *, cast(delay > 50 as integer) as label, cast(train_count as double) as cnt,
+  concat_ws('|', station, cast(time as varchar), train_type) as id from r_delays),
+m as (select *, row_number() over (order by {_H}, station, time, train_type) as rk, count(*) over () as n from b where label = 1),
+want as (select cast(floor((select count(*) from b where label = 0) * 0.2) as bigint) - (select count(*) from m) as new),
+near as (select p.id, q.delay, q.total_delay, q.cnt, row_number() over (partition by p.id order by
+    (p.delay - q.delay) * (p.delay - q.delay) + (p.total_delay - q.total_delay) * (p.total_delay - q.total_delay)
+    + (p.cnt - q.cnt) * (p.cnt - q.cnt), q.id) as rank from m p join m q on p.id <> q.id qualify rank <= 5),
+turns as (select m.*, unnest(range(0, cast(new // n + cast(rk <= new % n as bigint) as bigint))) as turn from m, want),
+drawn as (select t.*, 1 + {_digits(1)} % 5 as pick, {_digits(9)} / 4294967296.0 as at from turns t)
+select station, time, train_type, label, {sql_r6('delay')} as delay, {sql_r6('total_delay')} as total_delay, {sql_r6('cnt')} as train_count from b
+union all
+select null, null, null, 1, {sql_r6('d.delay + d.at * (q.delay - d.delay)')}, {sql_r6('d.total_delay + d.at * (q.total_delay - d.total_delay)')},
+  {sql_r6('d.cnt + d.at * (q.cnt - d.cnt)')} from drawn d join near q on q.id = d.id and q.rank = d.pick"""))
+def smp4_smote(spark, sf):
+    d = R.delays(spark, sf).withColumn("label", (F.col("delay") > 50).cast("int"))
+    cols = ["delay", "total_delay", "train_count"]
+    out = SM.smote(d.select(*_DKEYS, "label", *cols), _DKEYS, cols, "label", ratio=0.2)
+    return out.select(*_DKEYS, "label", *[r6(c).alias(c) for c in cols])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormrail.functions.constants import NEAREST_OBS_MAX_KM, NEAREST_OBS_STATIONS
+from stormrail.functions.constants import EARTH_RADIUS_KM, NEAREST_OBS_MAX_KM, NEAREST_OBS_STATIONS
 from stormrail.functions.scalar import haversine_km
 
 
@@ -172,39 +173,59 @@ def join_back(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFra
 def nearest_within(points: DataFrame, sites: DataFrame, n: int = NEAREST_OBS_STATIONS,
                    max_km: float = NEAREST_OBS_MAX_KM, pid: str = "station", sid: str = "site",
                    lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """The ``n`` nearest sites within ``max_km`` of each point.
+    """The ``n`` nearest sites within ``max_km`` of each point (ties broken by site id).
 
-    Distance join without a cross product: both sides are put on a grid of
-    cells at least ``max_km`` wide; a point only meets sites of its own and
-    the 8 neighbouring cells (sites are copied into those 9 cells), then the
-    exact haversine distance filters and ``row_number`` keeps the n nearest
-    (ties broken by site id).
+    Both sides become points of the unit sphere, where the straight distance orders as the great circle does and
+    neither the 180th meridian nor the poles are special. ``neighbours.k_nearest`` finds the n nearest exactly,
+    cell by cell; the great-circle distance then ranks them and whatever is as near as the n-th but for rounding.
     """
-    cell_lat = max_km / 111.0  # degrees of latitude per max_km
-    # longitude degrees shrink with latitude; size the cell for the highest latitude in use (85 deg)
-    cell_lon = max_km / (111.0 * 0.0872)
-    p = points.select(F.col(pid).alias("_pid"), F.col(lat).alias("_plat"), F.col(lon).alias("_plon")) \
-              .withColumn("_cy", F.floor(F.col("_plat") / cell_lat)) \
-              .withColumn("_cx", F.floor(F.col("_plon") / cell_lon))
-    offs = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    s = sites.select(F.col(sid).alias("_sid"), F.col(lat).alias("_slat"), F.col(lon).alias("_slon"),
-                     F.explode(offs).alias("_dy")).select("*", F.explode(offs).alias("_dx"))
-    s = s.withColumn("_cy", F.floor(F.col("_slat") / cell_lat) + F.col("_dy")) \
-         .withColumn("_cx", F.floor(F.col("_slon") / cell_lon) + F.col("_dx")).drop("_dy", "_dx")
-    j = p.join(s, ["_cy", "_cx"]).withColumn("dist_km", haversine_km("_plat", "_plon", "_slat", "_slon")) \
-         .where(F.col("dist_km") <= max_km)
-    w = Window.partitionBy("_pid").orderBy("dist_km", "_sid")
+    from stormrail.operators.neighbours import k_nearest
+
+    def on_sphere(df, key, name):
+        a, o = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+        return df.select(F.col(key).alias(name), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"),
+                         (F.cos(a) * F.cos(o)).alias("_x"), (F.cos(a) * F.sin(o)).alias("_y"), F.sin(a).alias("_z"))
+
+    p, s = on_sphere(points, pid, "_pid"), on_sphere(sites, sid, "_sid")
+    chord = 2.0 * math.sin(min(max_km / EARTH_RADIUS_KM / 2.0, math.pi / 2.0)) * (1 + 1e-9)
+    near = k_nearest(p, s, n, ["_x", "_y", "_z"], "_pid", "_sid", radius=chord, slack=1e-9)
+    both = near.join(p.select(F.col("_pid").alias("qid"), F.col("_lat").alias("_plat"), F.col("_lon").alias("_plon")),
+                     "qid").join(s.select(F.col("_sid").alias("sid"), "_lat", "_lon"), "sid")
+    j = both.withColumn("dist_km", haversine_km("_plat", "_plon", "_lat", "_lon")).where(F.col("dist_km") <= max_km)
+    w = Window.partitionBy("qid").orderBy("dist_km", "sid")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
-            .select(F.col("_pid").alias(pid), F.col("_sid").alias(sid), "dist_km", "rank")
+            .select(F.col("qid").alias(pid), F.col("sid").alias(sid), "dist_km", "rank")
 
 
 # JOIN16 ------------------------------------------------------------------------
+def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Distinct (_a, _b), each edge in both directions."""
+    e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b"))
+    return e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
+
+
+def link_counts(rows: DataFrame, edges: DataFrame, station: str = "station", src: str = "src", dst: str = "dst",
+                same_time: str | None = "time", out: str = "n_links") -> DataFrame:
+    """``rows`` with the number of rows that each is linked to: rows of stations that an edge joins with its own (of
+    the same time step if ``same_time`` is given). Rows without links are left out, as from the pairs.
+
+    Pairs are never made. Rows are counted by (station, time) first; a count goes along each edge of its station and
+    the counts that meet at a station are summed, so the largest table has a row for each edge and time step, whatever
+    the number of rows.
+    """
+    by = [station] + ([same_time] if same_time else [])
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    e = _both_ways(edges, src, dst)
+    arrived = counts.join(e, F.col(station) == F.col("_b")).groupBy(
+        F.col("_a").alias(station), *by[1:]).agg(F.sum("_n").cast("long").alias(out))
+    return rows.join(arrived, by)
+
+
 def row_links(rows: DataFrame, edges: DataFrame, row_id: str = "row_id", station: str = "station",
               src: str = "src", dst: str = "dst", same_time: str | None = "time") -> DataFrame:
-    """Pairs of rows whose stations are linked (edges made symmetric).
-    Restricting to the same time step keeps the pair count linear in rows."""
-    e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b"))
-    e = e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
+    """The pairs of rows whose stations are linked, for callers that need each of them: as many as ``link_counts``
+    adds up to, so they grow with the product of the rows at the two ends of an edge."""
+    e = _both_ways(edges, src, dst)
     keep = [row_id, station] + ([same_time] if same_time else [])
     left = rows.select(*[F.col(k).alias(f"l_{k}") for k in keep])
     right = rows.select(*[F.col(k).alias(f"r_{k}") for k in keep])

@@ -124,3 +124,19 @@ def test_exact_quantiles_large_group_path(spark):
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], exp)), (g, got[g], exp)
     whole = SM.exact_quantiles(df, "v", [0.5]).first()[0]
     assert abs(whole - float(np.quantile([v for _, v in rows], 0.5))) < 1e-12
+
+
+def test_pca_reconstruction_over_many_columns(spark):
+    """x_hat = mean + P P'(x - mean), in a plan of components x columns terms."""
+    import numpy as np
+
+    from stormrail.operators import models as MD
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(80, 4)) @ rng.normal(size=(4, 64)) + 0.01 * rng.normal(size=(80, 64))
+    cols = [f"f{i}" for i in range(64)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols))
+    model, means, _ = MD.fit_pca(df, cols, 3)
+    out = MD.reconstruct_pca(df, model, means, cols).toPandas()
+    p, m = model.pc.toArray(), x.mean(axis=0)
+    given, got = np.array(out.x.tolist()), np.array(out.x_hat.tolist())
+    assert np.abs(got - (m + (given - m) @ p @ p.T)).max() < 1e-9
