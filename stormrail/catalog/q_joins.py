@@ -148,8 +148,9 @@ join (select time, cast(case when lat > 63.41 then 3 when lat > 61.55 then 2 whe
         quantile_cont(y_pred, 0.1) as lo from r_reg group by all) q using (time, band)"""))
 def join13_join_back_quantiles(spark, sf):
     from stormrail.functions.scalar import lat_band
+    from stormrail.operators.quantiles import exact_quantiles
     r = R.regression_eval(spark, sf).withColumn("band", lat_band("lat"))
-    q = r.groupBy("time", "band").agg(F.percentile("y_pred", 0.1).alias("lo"))
+    q = exact_quantiles(r, "y_pred", [0.1], ["time", "band"], prefix="_q").withColumnRenamed("_q_0_1", "lo")
     return J.join_back(r, q, ["time", "band"]).select("station", "time", "train_type", r6("lo").alias("pred_low"))
 
 

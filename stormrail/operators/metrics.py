@@ -51,7 +51,8 @@ def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "y_pred", groups
     """n, RMSE, MAE, R^2 (1 - SSE / (n * var_pop(y))), the skill score against a constant climatology forecast and,
     with ``median``, the median absolute error: a distributed exact quantile (``exact_quantiles``), so a group's
     errors are never held in one task."""
-    from stormrail.operators.sampling import exact_quantiles, null_safe_join
+    from stormrail.operators.quantiles import exact_quantiles
+    from stormrail.operators.sampling import null_safe_join
     groups = list(groups)
     aggs = regression_aggs(y, yhat, climatology)
     out = df.groupBy(*groups).agg(*aggs) if groups else df.agg(*aggs)

@@ -145,7 +145,8 @@ def time_step_batches(df: DataFrame, features: Sequence[str], label: str, strate
         elif strategy == "sample":
             batch_size = sizes.agg(F.min("_sr_size")).scalar()
         else:
-            batch_size = F.floor(sizes.agg(F.percentile("_sr_size", F.lit(quantile))).scalar())
+            from stormrail.operators.quantiles import exact_quantiles
+            batch_size = F.floor(exact_quantiles(sizes, "_sr_size", [quantile]).scalar())
     bs = batch_size if isinstance(batch_size, Column) else F.lit(int(batch_size))
     rows = df.join(sizes, time)
     if strategy == "drop":

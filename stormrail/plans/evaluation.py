@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from stormrail.functions.constants import CLIMATOLOGY_RMSE_SUM, PERIOD_GAP_SECONDS
 from stormrail.functions.scalar import lat_band
 from stormrail.operators.metrics import binary_metrics, regression_aggs, regression_metrics
+from stormrail.operators.quantiles import exact_quantiles
 from stormrail.operators.sequences import gap_periods
+from stormrail.session import stored
 
 
 def station_evaluation(pred: DataFrame, station: str = "station", time: str = "time", y: str = "y",
@@ -26,15 +28,12 @@ def station_evaluation(pred: DataFrame, station: str = "station", time: str = "t
     gap), per station, per period and overall: n, RMSE, MAE, R^2, median AE,
     skill. ``station``/``period`` are 'all' / -1 on the summary rows.
 
-    The moment-type metrics come from one ``GROUPING SETS`` aggregation; the
-    medians from a distributed exact quantile over the rows tagged with each
-    of their four grouping-set keys (no group's errors held in one task)."""
-    from stormrail.operators.sampling import exact_quantiles
-    from stormrail.session import cut_lineage
+    The moment-type metrics come from one ``GROUPING SETS`` aggregation. For
+    the medians equal errors of a (station, period) are counted once, and the
+    counts, not the rows, are rolled up to the other sets."""
     p = gap_periods(pred, station, time, gap_seconds, tiebreak=tiebreak)
-    # three passes read the periods (moments, group sizes, medians): cut the
-    # lineage once, keeping only the four columns they need
-    p = cut_lineage(p.select(station, "period", y, yhat))
+    # two passes read the periods (moments, error counts): written once, with the four columns they need
+    p = stored(p.select(station, "period", y, yhat), "periods")
     g = p.groupingSets([[station, "period"], [station], ["period"], []], station, "period") \
          .agg(*regression_aggs(y, yhat, climatology))
     g = g.select(F.coalesce(F.col(station), F.lit("all")).alias(station),
@@ -44,9 +43,10 @@ def station_evaluation(pred: DataFrame, station: str = "station", time: str = "t
     keys = F.array(F.struct(st.alias("s"), pe.alias("p")), F.struct(st.alias("s"), F.lit(-1).cast("long").alias("p")),
                    F.struct(F.lit("all").alias("s"), pe.alias("p")),
                    F.struct(F.lit("all").alias("s"), F.lit(-1).cast("long").alias("p")))
-    tagged = p.select(F.explode(keys).alias("k"), F.abs(F.col(yhat) - F.col(y)).alias("_ae")) \
-              .select(F.col("k.s").alias(station), F.col("k.p").alias("period"), "_ae")
-    med = exact_quantiles(tagged, "_ae", [0.5], [station, "period"], prefix="_m") \
+    errors = p.groupBy(station, "period", F.abs(F.col(yhat) - F.col(y)).alias("_ae")).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = errors.select(F.explode(keys).alias("k"), "_ae", "_n") \
+                   .select(F.col("k.s").alias(station), F.col("k.p").alias("period"), "_ae", "_n")
+    med = exact_quantiles(tagged, "_ae", [0.5], [station, "period"], prefix="_m", weight="_n") \
         .withColumnRenamed("_m_0_5", "median_ae")
     out = g.join(med, [station, "period"], "left")
     return out.select(station, "period", "n", "rmse", "mae", "r2", "median_ae", "skill")
@@ -63,14 +63,10 @@ def band_evaluation(pred: DataFrame, station: str = "station", time: str = "time
                     y: str = "y", yhat: str = "y_pred") -> DataFrame:
     """FRAC1: per station RMSE / median AE / R^2 of the prediction and of the
     band's 0.1 and 0.9 quantiles (joined back by time and latitude band),
-    plus the overall row. Band quantiles are per (time, band) groups (at
-    most one row per station and train type); the medians of the errors use
-    the distributed exact quantile."""
-    from stormrail.operators.sampling import exact_quantiles
+    plus the overall row. All quantiles are selected by radix."""
     b = pred.withColumn("band", lat_band(lat))
-    q = b.groupBy(time, "band").agg(F.percentile(yhat, F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
-    j = b.join(q, [time, "band"])
-    j = j.withColumn("q_low", F.col("_q")[0]).withColumn("q_high", F.col("_q")[1]).drop("_q")
+    q = exact_quantiles(b, yhat, [0.1, 0.9], [time, "band"], prefix="_q")
+    j = b.join(q, [time, "band"]).withColumnsRenamed({"_q_0_1": "q_low", "_q_0_9": "q_high"})
     aggs = []
     for col in (yhat, "q_low", "q_high"):
         e = F.col(col) - F.col(y)
