@@ -16,6 +16,17 @@ Two building blocks used by the time-series, split and curve operators:
     that pass is bounded by the number of buckets (time span), not by the
     data volume.
 
+``scan_window``
+    The same for ROWS frames without any assumption about time: rows are
+    numbered in (key, order), cut into blocks of equally many rows, and each
+    block also gets the last rows of the block before it (its halo), as many as
+    a frame reaches back. A series of any length is spread evenly, and the rows
+    sent twice are ``k`` for each block.
+
+``range_sums``
+    Sums over the last so many seconds of a series, from two levels: the rows
+    of the frame's two end buckets, and the sums of the whole buckets between.
+
 ``prefix_sums``
     Global running sums in a total order without a single-partition window:
     range-partition, sum locally, add the offsets of earlier partitions (one
@@ -193,3 +204,91 @@ def global_row_number(df: DataFrame, order: Sequence, name: str = "row_no") -> D
     rows = cut_lineage(_ranged(df, ocols, pid).withColumn(at, in_task))
     joined = rows.join(_offsets(rows, pid, {"n": F.count(F.lit(1))}), F.col(pid) == F.col("_ps_p"))
     return joined.select(*df.columns, (F.col(at) + F.col("_ps_o_n")).alias(name))
+
+
+#: Rows of a block of ``scan_window``.
+BLOCK_ROWS = 65536
+
+
+def scan_window(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                compute: Callable[[WindowSpec], dict[str, Column]], k_before: int = 0, k_after: int = 0,
+                block_rows: int = 0, keep: bool = False) -> DataFrame:
+    """Add the columns that ``compute`` makes from a window over each series of ``keys`` in ``order`` (total within a
+    series; NULLs first). NULL keys are a series. Without keys the whole table is one series.
+
+    Frames of ``compute`` must lie within ``k_before`` / ``k_after`` rows. Rows of a series stand side by side in the
+    numbering, so what a frame needs is in its row's block or in the halo that the neighbouring blocks send. ``keep``
+    leaves the row's block and number in ``_sw_block`` and ``_sw_no``; rows then are partitioned by block and key, and
+    sorted.
+    """
+    size = block_rows or BLOCK_ROWS
+    keys, names = list(keys), df.columns
+    at = F.col("_sw_no") - 1
+    rows = global_row_number(df, [*keys, *order], "_sw_no")
+    block = F.floor(at / size).cast("long")
+    if k_before or k_after:
+        first, final = F.floor((at - k_after) / size).cast("long"), F.floor((at + k_before) / size).cast("long")
+        rows = rows.withColumn("_sw_block", F.explode(F.sequence(first, final)))
+    else:
+        rows = rows.withColumn("_sw_block", block)
+    w = Window.partitionBy("_sw_block", *keys).orderBy("_sw_no")
+    made = compute(w)
+    out = rows.select(*rows.columns, *[v.alias(k) for k, v in made.items()]).where(F.col("_sw_block") == block)
+    return out if keep else out.select(*names, *made)
+
+
+def range_sums(df: DataFrame, key: str, time: str, span_s: int, sums: dict[str, Column],
+               bucket_s: int = DEFAULT_BUCKET_DAYS * 86400) -> DataFrame:
+    """Add the sums of ``sums`` (NULL where nothing is summed) over the rows of the same series whose time lies at most
+    ``span_s`` whole seconds back; rows of the same time and later ones within it count like in a RANGE frame.
+
+    A frame is the end of its first bucket, the whole buckets between, and the beginning of its last one. The last part
+    is a window inside (key, bucket). For the first part the frame's lower edge goes as a row of its own to the bucket
+    it falls into and picks up what lies behind it there. Whole buckets are summed from one row for each (key, bucket).
+    So no window ever holds more than the rows of one series in one bucket, and ``bucket_s`` may be shorter than the
+    span. NULL keys are a series; rows without a time have NULL sums.
+    """
+    from stormrail.operators.sampling import null_safe_join
+    names, cols = list(sums), df.columns
+    base = df.select("*", *[v.alias(f"_rs_v_{k}") for k, v in sums.items()], epoch_seconds_ntz(time).alias("_rs_sec"))
+    base = base.withColumn("_rs_b", F.floor(F.col("_rs_sec") / bucket_s).cast("long")).withColumn(
+        "_rs_b0", F.floor((F.col("_rs_sec") - span_s) / bucket_s).cast("long"))
+    inside = Window.partitionBy(key, "_rs_b").orderBy("_rs_sec").rangeBetween(-span_s, 0)
+    timed = F.col("_rs_sec").isNotNull()
+    right = base.select("*", *[F.when(timed, F.sum(f"_rs_v_{k}").over(inside)).alias(f"_rs_r_{k}") for k in names])
+    crosses = F.coalesce(F.col("_rs_b0") < F.col("_rs_b"), F.lit(False))
+    whole = right.where(~crosses).select(*cols, *[F.col(f"_rs_r_{k}").alias(k) for k in names])
+
+    values = [f"_rs_v_{k}" for k in names]
+    edges = base.where(crosses).select(key, F.col("_rs_b0").alias("_rs_b"), (F.col("_rs_sec") - span_s).alias("_rs_sec")) \
+                .distinct().select("*", *[F.lit(None).cast(base.schema[v].dataType).alias(v) for v in values],
+                                   F.lit(True).alias("_rs_edge"))
+    both = base.where(timed).select(key, "_rs_b", "_rs_sec", *values, F.lit(False).alias("_rs_edge")).union(edges)
+    behind = Window.partitionBy(key, "_rs_b").orderBy(F.col("_rs_sec").desc()).rangeBetween(
+        Window.unboundedPreceding, 0)
+    left = both.select("*", *[F.sum(f"_rs_v_{k}").over(behind).alias(f"_rs_l_{k}") for k in names]).where("_rs_edge") \
+               .select(key, (F.col("_rs_sec") + span_s).alias("_rs_sec"), *[f"_rs_l_{k}" for k in names])
+    ends = null_safe_join(right.where(crosses), left, [key, "_rs_sec"], "left")
+    parts = [["_rs_r_", "_rs_l_"]] * len(names)
+    if span_s >= bucket_s:
+        # whole buckets between: their number is one of two, as the frame's edges fall
+        m = span_s // bucket_s
+        buckets = base.where(timed).groupBy(key, "_rs_b").agg(*[F.sum(v).alias(v) for v in values])
+        along = Window.partitionBy(key).orderBy("_rs_b")
+        mids = buckets.select(key, "_rs_b", *[F.sum(f"_rs_v_{k}").over(along.rangeBetween(1 - n, -1)).alias(
+            f"_rs_m{n - m}_{k}") for k in names for n in (m, m + 1) if n > 1])
+        ends = null_safe_join(ends, mids, [key, "_rs_b"], "left")
+        n = F.col("_rs_b") - F.col("_rs_b0")
+        for k in names:
+            few = F.col(f"_rs_m0_{k}") if m > 1 else F.lit(None)
+            ends = ends.withColumn(f"_rs_m_{k}", F.when(n == m, few).otherwise(F.col(f"_rs_m1_{k}")))
+        parts = [["_rs_r_", "_rs_m_", "_rs_l_"]] * len(names)
+
+    def total(k, prefixes):
+        found = [F.col(p + k) for p in prefixes]
+        some = found[0].isNotNull()
+        for f in found[1:]:
+            some = some | f.isNotNull()
+        return F.when(some, sum((F.coalesce(f, F.lit(0)) for f in found[1:]), F.coalesce(found[0], F.lit(0)))).alias(k)
+
+    return whole.unionByName(ends.select(*cols, *[total(k, p) for k, p in zip(names, parts)]))

@@ -1,11 +1,10 @@
 """Series structure: gap periods (WIN7/WIN8), time-step and batch numbers
 (WIN9), sliding sequences (WIN10/WIN11) and per-time-step batches (SEQ1).
 
-Per-series running state (period ids) is a distributed prefix sum: a local
-running count inside each (series, time bucket) plus the totals of the
-earlier buckets of the same series (one row per bucket). Global ranks are
-computed on the distinct times only (bounded by the time span) and joined
-back.
+Series are scanned in blocks of equally many rows with halo rows from the
+neighbouring blocks (``ordered.scan_window``), so neither one long series nor
+rows crowded in time make a large task. Global ranks are computed on the
+distinct times only and joined back.
 """
 
 from __future__ import annotations
@@ -16,87 +15,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormrail.functions.constants import MISSING, PERIOD_GAP_SECONDS
-from stormrail.operators.ordered import bucketed_window, epoch_seconds_ntz, global_row_number
-
-_BUCKET_DAYS = 28
-
-
-def _step_seconds(df: DataFrame, key: str, time: str, tiebreak: Sequence[str]) -> DataFrame:
-    def compute(w):
-        return {"_sr_prev": F.lag(time).over(w)}
-    out = bucketed_window(df, [key], [time, *tiebreak], compute, k_before=1, bucket_days=_BUCKET_DAYS)
-    return out.withColumn("_sr_step", epoch_seconds_ntz(time) - epoch_seconds_ntz("_sr_prev")).drop("_sr_prev")
-
-
-def most_frequent_step(df: DataFrame, key: str = "station", time: str = "time",
-                       tiebreak: Sequence[str] = ()) -> DataFrame:
-    """WIN8: per series the most frequent step in seconds (ties -> smallest)."""
-    s = _step_seconds(df, key, time, tiebreak).where(F.col("_sr_step").isNotNull())
-    g = s.groupBy(key, "_sr_step").agg(F.count(F.lit(1)).alias("_n"))
-    return g.groupBy(key).agg(F.max_by("_sr_step", F.struct(F.col("_n"), -F.col("_sr_step"))).alias("gap"))
+from stormrail.operators.ordered import epoch_seconds_ntz, global_row_number, scan_window
+from stormrail.operators.sampling import null_safe_join
 
 
 def gap_periods(df: DataFrame, key: str = "station", time: str = "time",
                 gap_seconds: int | str = PERIOD_GAP_SECONDS, tiebreak: Sequence[str] = (),
-                out: str = "period") -> DataFrame:
+                out: str = "period", block_rows: int = 0) -> DataFrame:
     """WIN7: number the periods of each series; a new period starts where the
     step to the previous row exceeds the gap (a step equal to the gap stays
     in the period). ``gap_seconds='mode'`` uses each series' most frequent
-    step (WIN8).
-
-    Plan: rows are shuffled once by (series, time bucket). The previous row
-    of a bucket's first row is the last row of the previous non-empty bucket:
-    a table with one row per (series, bucket), joined in before the window.
-    The lag, the gap flags and the running count then run in that one
-    partitioning, and each bucket's count offset comes from the totals of
-    earlier buckets (again one row per bucket).
+    step (WIN8; ties -> the smallest).
+
+    Every row stays: rows without a key are one series, and rows without a
+    time come first in theirs and begin no period. A segmented scan: the step
+    to the previous row needs a halo of one row for each block, the running
+    count of new periods runs inside (block, series), and what a series has
+    counted in earlier blocks comes from a table with one row for each block
+    and series in it.
     """
-    bcol = F.floor(F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")) / _BUCKET_DAYS).cast("long")
-    base = df.withColumn("_sr_b", bcol)
-    last = base.groupBy(key, "_sr_b").agg(F.max(time).alias("_sr_last"))
-    w_b = Window.partitionBy(key).orderBy("_sr_b")
-    # one row per (series, bucket): bounded by the time span
-    prev_last = last.select(key, "_sr_b", F.lag("_sr_last").over(w_b).alias("_sr_prev_last"))
-    j = base.join(prev_last, [key, "_sr_b"])
-    w = Window.partitionBy(key, "_sr_b").orderBy(time, *tiebreak)
-    prev = F.coalesce(F.lag(time).over(w), F.col("_sr_prev_last"))
-    j = j.withColumn("_sr_step", epoch_seconds_ntz(time) - epoch_seconds_ntz(prev))
+    j = scan_window(df, [key], [time, *tiebreak], lambda w: {"_sr_prev": F.lag(time).over(w)}, k_before=1,
+                    block_rows=block_rows, keep=True)
+    j = j.withColumn("_sr_step", epoch_seconds_ntz(time) - epoch_seconds_ntz("_sr_prev")).drop("_sr_prev")
     if gap_seconds == "mode":
         steps = j.where(F.col("_sr_step").isNotNull()).groupBy(key, "_sr_step").agg(F.count(F.lit(1)).alias("_n"))
         # one row per series
         mode = steps.groupBy(key).agg(F.max_by("_sr_step", F.struct(F.col("_n"), -F.col("_sr_step"))).alias("_sr_gap"))
-        j = j.join(mode, key, "left")
+        j = null_safe_join(j, mode, [key], "left")
         gap = F.col("_sr_gap")
     else:
         gap = F.lit(int(gap_seconds))
     j = j.withColumn("_sr_flag", F.coalesce(F.col("_sr_step") > gap, F.lit(False)).cast("long"))
-    w_run = w.rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("_sr_local", F.sum("_sr_flag").over(w_run))
-    per_bucket = j.groupBy(key, "_sr_b").agg(F.sum("_sr_flag").alias("_sr_tot"))
-    w_off = Window.partitionBy(key).orderBy("_sr_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(key, "_sr_b", F.coalesce(F.sum("_sr_tot").over(w_off), F.lit(0)).alias("_sr_off"))
-    res = j.join(offsets, [key, "_sr_b"])
-    return res.withColumn(out, (F.col("_sr_local") + F.col("_sr_off")).cast("long")) \
-              .select(*df.columns, out)
+    w = Window.partitionBy("_sw_block", key).orderBy("_sw_no").rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("_sr_local", F.sum("_sr_flag").over(w))
+    per_block = j.groupBy("_sw_block", key).agg(F.sum("_sr_flag").alias("_sr_tot"))
+    earlier = Window.partitionBy(key).orderBy("_sw_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select("_sw_block", key, F.sum("_sr_tot").over(earlier).alias("_sr_off")).where("_sr_off > 0")
+    res = null_safe_join(j, offsets, ["_sw_block", key], "left")
+    total = F.col("_sr_local") + F.coalesce("_sr_off", F.lit(0))
+    return res.select(*[c for c in df.columns if c != out], total.cast("long").alias(out))
 
 
 def time_steps(df: DataFrame, time: str = "time", n_timesteps: int = 24) -> DataFrame:
     """WIN9: dense rank of the time (1-based) and batch number
-    floor((rank-1)/n_timesteps), ranked on the distinct times only."""
+    floor((rank-1)/n_timesteps), ranked on the distinct times only; rows
+    without a time share the first rank."""
     times = df.select(time).distinct()
     ranked = global_row_number(times, [time], "step")
     ranked = ranked.withColumn("batch", F.floor((F.col("step") - 1) / n_timesteps).cast("long"))
-    return df.join(ranked, time)
+    return null_safe_join(df, ranked, [time])
 
 
 def sliding_sequences(df: DataFrame, features: Sequence[str], target: str, length: int,
                       key: str | None = "station", time: str = "time", tiebreak: Sequence[str] = (),
-                      skip_missing_target: bool = False, drop_last: bool = False) -> DataFrame:
+                      skip_missing_target: bool = False, drop_last: bool = False, block_rows: int = 0) -> DataFrame:
     """WIN10 / WIN11: for each row, the feature vectors of the ``length``
     previous rows of its series (oldest first) and the row's target; rows
     without ``length`` predecessors are dropped. WIN11 also skips rows whose
     target is missing and the series' last row. ``key=None`` runs over the
-    whole table in time order (the global form), through a row number."""
+    whole table in time order (the global form). Both are segmented scans with
+    a halo of ``length`` rows; rows without a key are one series."""
     vec = F.array(*[F.col(f).cast("double") for f in features])
     base = df.withColumn("_sr_vec", vec)
 
@@ -104,16 +82,8 @@ def sliding_sequences(df: DataFrame, features: Sequence[str], target: str, lengt
         return {"_sr_seq": F.collect_list("_sr_vec").over(w.rowsBetween(-length, -1)),
                 "_sr_has_next": F.count(F.lit(1)).over(w.rowsBetween(1, 1)) > 0}
 
-    if key is None:
-        numbered = global_row_number(base, [time, *tiebreak], "_sr_rn")
-        numbered = numbered.withColumn("_sr_all", F.lit(0))
-        # blocks of consecutive row numbers play the role of time buckets
-        out = bucketed_window(numbered, ["_sr_all"], ["_sr_rn"], compute, k_before=length, k_after=1,
-                              bucket_expr=F.floor(F.col("_sr_rn") / 65536))
-        out = out.drop("_sr_rn", "_sr_all")
-    else:
-        out = bucketed_window(base, [key], [time, *tiebreak], compute, k_before=length, k_after=1,
-                              bucket_days=_BUCKET_DAYS)
+    out = scan_window(base, [key] if key else [], [time, *tiebreak], compute, k_before=length, k_after=1,
+                      block_rows=block_rows)
     out = out.where(F.size("_sr_seq") == length)
     if skip_missing_target:
         out = out.where(F.col(target).isNotNull())

@@ -1,18 +1,19 @@
 """Per-station time-series windows (WIN1-WIN6).
 
-All per-station ordered windows go through ``bucketed_window`` so a hot
-station is split over many tasks by time bucket (see ``ordered.py``).
+All per-station ordered windows go through ``bucketed_window`` or
+``range_sums``, so a hot station is split over many tasks by time bucket (see
+``ordered.py``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormrail.functions.constants import MISSING
-from stormrail.operators.ordered import bucketed_window
+from stormrail.operators.ordered import bucketed_window, range_sums
 
 
 def _order(time: str, tiebreak: Sequence[str]) -> list[str]:
@@ -35,10 +36,20 @@ def precip_sums(df: DataFrame, value: str = "prec", station: str = "station", ti
     names = list(names or [f"{value}_{n}h" for n in sizes])
     kmax = max(sizes) - 1
 
+    if by == "time":
+        for n, name in zip(sizes, names):
+            v = F.col(value)
+            df = range_sums(df, station, time, (n - 1) * 3600, {
+                name: F.when(~F.isnan(v), v), "_sr_bad": F.isnan(v).cast("long")}, bucket_days * 86400)
+            if nan_poisons:
+                df = df.withColumn(name, F.when(F.coalesce("_sr_bad", F.lit(0)) == 0, F.col(name)))
+            df = df.drop("_sr_bad")
+        return df
+
     def compute(w):
         out = {}
         for n, name in zip(sizes, names):
-            fr = w.rangeBetween(-(n - 1) * 3600, 0) if by == "time" else w.rowsBetween(-(n - 1), 0)
+            fr = w.rowsBetween(-(n - 1), 0)
             v = F.col(value)
             s = F.sum(F.when(~F.isnan(v), v)).over(fr)
             if nan_poisons:
@@ -47,9 +58,6 @@ def precip_sums(df: DataFrame, value: str = "prec", station: str = "station", ti
             out[name] = s
         return out
 
-    if by == "time":
-        return bucketed_window(df, [station], [time], compute, range_before_s=kmax * 3600,
-                               bucket_days=bucket_days)
     return bucketed_window(df, [station], _order(time, tiebreak), compute, k_before=kmax,
                            bucket_days=bucket_days)
 
@@ -98,13 +106,9 @@ def running_mean(df: DataFrame, value: str = "delay", hours: int = 6, station: s
     included) per station; missing hours are simply absent (min_periods=1).
     Expects one row per (station, time) — aggregate first otherwise."""
     out = out or f"{value}_mean{hours}h"
-    span = (hours - 1) * 3600
-
-    def compute(w):
-        return {out: F.avg(value).over(w.rangeBetween(-span, 0))}
-
-    return bucketed_window(df, [station], [time], compute, range_before_s=span,
-                           bucket_days=max(bucket_days, hours // 24 + 2))
+    summed = range_sums(df, station, time, (hours - 1) * 3600, {
+        "_sr_sum": F.col(value).cast("double"), "_sr_n": F.col(value).isNotNull().cast("long")}, bucket_days * 86400)
+    return summed.withColumn(out, F.col("_sr_sum") / F.nullif("_sr_n", F.lit(0))).select(*df.columns, out)
 
 
 def zero_below_step_mean(df: DataFrame, value: str = "delay", limit: float = 0.0,
@@ -116,16 +120,3 @@ def zero_below_step_mean(df: DataFrame, value: str = "delay", limit: float = 0.0
     j = df.join(means, time)
     return j.withColumn(value, F.when(F.col("_sr_step_mean") >= F.lit(float(limit)), F.col(value))
                         .otherwise(F.lit(0.0))).drop("_sr_step_mean")
-
-
-def rows_since_start(df: DataFrame, n: int, station: str = "station", time: str = "time",
-                     out: str = "rows_before", tiebreak: Sequence[str] = ()) -> DataFrame:
-    """How many rows (capped at ``n``) precede each row in its station series."""
-    def compute(w):
-        return {out: F.count(F.lit(1)).over(w.rowsBetween(-n, -1))}
-    return bucketed_window(df, [station], _order(time, tiebreak), compute, k_before=n)
-
-
-def per_station_window(station: str = "station", time: str = "time") -> Window:
-    """The plain (unbucketed) spec, for small inputs and tests."""
-    return Window.partitionBy(station).orderBy(time)
