@@ -185,12 +185,11 @@ def agg15_label_hist(spark, sf):
 
 @query("agg16_daily_count", """
 select cast(d.day as date)::varchar as day, cast(coalesce(c.n, 0) as bigint) as count
-from (select unnest(generate_series(min(cast(o_orderdate as date)), max(cast(o_orderdate as date)), interval 1 day)) as day from orders
-      where o_orderstatus = 'P') d
-left join (select cast(o_orderdate as date) as day, count(*) as n from orders where o_orderstatus = 'P' group by 1) c
+from (select unnest(generate_series(min(cast(o_orderdate as date)), max(cast(o_orderdate as date)), interval 1 day)) as day from orders) d
+left join (select cast(o_orderdate as date) as day, count(*) as n from orders group by 1) c
   on cast(d.day as date) = c.day""")
 def agg16_daily_count(spark, sf):
-    o = read_table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
+    o = read_table(spark, sf, "orders")
     return A.daily_counts(o, "o_orderdate").select(F.col("day").cast("string").alias("day"), "count")
 
 

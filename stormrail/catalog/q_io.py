@@ -108,12 +108,17 @@ def src8_renamed_csv(spark, sf):
     return RD.read_renamed_csv(spark, path, ["order_id", "priority"])
 
 
-@query("src12_list_files")
+@query("src12_list_files", """select o_orderstatus as status, 1::bigint as files,
+  cast(sum(length(cast(o_orderkey as varchar)) + 1) as bigint) as bytes from orders group by 1""")
 def src12_list_files(spark, sf):
     path = SK.scratch_path(spark, "listing")
-    read_table(spark, sf, "region").write.mode("overwrite").csv(path)
-    read_table(spark, sf, "region").write.mode("overwrite").json(path + "/json")
-    return RD.list_files(spark, path, "csv").select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "length")
+    # one folder for each status; the JSON copies beside them are not listed
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").repartition(1, "o_orderstatus")
+    o.write.partitionBy("o_orderstatus").csv(f"{path}/text")
+    o.write.json(f"{path}/json")
+    found = RD.list_files(spark, path, "csv")
+    return found.groupBy(F.regexp_extract("path", r"o_orderstatus=(\w+)/[^/]*[.]csv$", 1).alias("status")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").cast("long").alias("bytes"))
 
 
 @query("src14_adjacency_list", with_roles("select src, dst from r_edges"))
@@ -130,14 +135,8 @@ select distinct cast(substr(src, 2) as bigint) as i, cast(substr(dst, 2) as bigi
 def src15_adjacency_matrix(spark, sf):
     e = R.edges(spark, sf).select(F.substring("src", 2, 9).cast("int").alias("i"), F.substring("dst", 2, 9).cast("int").alias("j"))
     n = (e.agg(F.max(F.greatest("i", "j"))).first()[0] or 0) + 1  # stations are numbered from 0
-    rows = e.groupBy("i").agg(F.collect_set("j").alias("js"))
-    full = spark.range(n).select(F.col("id").cast("int").alias("i")).join(rows, "i", "left")
-    line = F.concat_ws(",", F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                                        lambda j: F.when(F.array_contains(F.coalesce("js", F.array().cast("array<int>")), j), "1")
-                                        .otherwise("0")))
     path = SK.scratch_path(spark, "matrix")
-    # a station x station matrix (bounded by the station dimension): one ordered file
-    full.select("i", line.alias("value")).coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    SK.write_adjacency_matrix(e, n, path)
     return RD.read_adjacency_matrix(spark, path)
 
 
@@ -215,14 +214,18 @@ def snk8_serving_files(spark, sf):
     return back.select(r6(F.col("X")[0]).alias("x0"), F.col("X")[1].alias("x1"), r6(F.col("X")[2]).alias("x2"))
 
 
-@query("snk12_append_counted")
+@query("snk12_append_counted", with_roles("""
+select station, time, train_type, train_count, case when train_type = 'K' then 'k' else 'rest' end as batch,
+  cast(count(*) over () as bigint) as counted from r_delays"""))
 def snk12_append_counted(spark, sf):
+    """Two batches, one appended twice: every row once, and the counts of the appends."""
     path = SK.scratch_path(spark, "labels")
     d = R.delays(spark, sf).select("station", "time", "train_type", "train_count")
-    n1 = SK.append_counted(d.where(F.col("train_type") == "K"), path)
-    n2 = SK.append_counted(d.where(F.col("train_type") != "K"), path)
-    back = spark.read.parquet(path)
-    return back.groupBy("train_type").agg(F.count(F.lit(1)).alias("rows")).withColumn("observed", F.lit(n1 + n2))
+    k = d.where(F.col("train_type") == "K")
+    n = SK.committed_append(k, path, "k")
+    SK.committed_append(k, path, "k")
+    n += SK.committed_append(d.where(F.col("train_type") != "K"), path, "rest")
+    return SK.read_committed(spark, path, "batch").withColumn("counted", F.lit(n).cast("long"))
 
 
 @query("snk13_overwrite_partition", with_roles(f"""
@@ -266,7 +269,9 @@ def snk11_insert_stations(spark, sf):
     return back.select("station", "station_name", F.col("location.lat").alias("lat"), F.col("location.lon").alias("lon"))
 
 
-@query("snk17_model_roundtrip")
+@query("snk17_model_roundtrip", with_roles(f"""
+select station, time, train_type, {sql_r6('a + b * (y_pred / 25)', 3)} as prediction, true as missing_model_is_none
+from r_reg, (select regr_intercept(y, y_pred / 25) as a, regr_slope(y, y_pred / 25) as b from r_reg)"""))
 def snk17_model_roundtrip(spark, sf):
     from stormrail.operators.models import fit_model
     d = R.regression_eval(spark, sf).withColumn("tc", F.col("y_pred") / 25)
@@ -275,7 +280,7 @@ def snk17_model_roundtrip(spark, sf):
     SK.save_model(m, path)
     loaded = SK.load_model(path)
     missing = SK.load_model(path + "-missing")
-    out = loaded.transform(d).select("station", "time", "train_type", "prediction")
+    out = loaded.transform(d).select("station", "time", "train_type", r6("prediction", 3).alias("prediction"))
     return out.withColumn("missing_model_is_none", F.lit(missing is None))
 
 
@@ -285,7 +290,7 @@ def str1_stream_hourly_count(spark, sf):
     from stormrail.streaming.strikes import run_hourly_counts
     s = R.strikes(spark, sf).select("station", "time")
     src = SK.scratch_path(spark, "strike-stream")
-    # land the strikes as files in time order: one file per 5-day slice
+    # land the strikes as files in time order: one file per 5-day slice, as a feed would
     day = F.datediff(F.to_date("time"), F.lit("1970-01-01").cast("date"))
     s = s.withColumn("_slice", F.floor(day / 5))
     slices = [r[0] for r in s.select("_slice").distinct().orderBy("_slice").collect()]  # one row per slice
@@ -293,8 +298,7 @@ def str1_stream_hourly_count(spark, sf):
         s.where(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(src)
     out = SK.scratch_path(spark, "strike-stream-out")
     ckpt = SK.scratch_path(spark, "strike-stream-ckpt")
-    schema = s.drop("_slice").schema
-    return run_hourly_counts(spark, src, schema, out, ckpt)
+    return run_hourly_counts(spark, src, s.drop("_slice").schema, out, ckpt)
 
 
 

@@ -75,14 +75,11 @@ def join4_labels_without(spark, sf):
 
 
 @query("join6_common_times", with_roles("""
-select 'obs' as side, station, time from r_obs where time in (select time from r_delays where delay > 150)
+select 'obs' as side, station, time from r_obs where time in (select time from r_delays)
 union all
-select 'labels' as side, station, time from r_delays where delay > 150 and time in (select time from r_obs where vis > 900)"""))
+select 'labels' as side, station, time from r_delays where time in (select time from r_obs)"""))
 def join6_common_times(spark, sf):
-    lab = R.delays(spark, sf).where(F.col("delay") > 150).select("station", "time")
-    obs = R.observations(spark, sf).select("station", "time", "vis")
-    o1, _ = J.common_times(obs, lab)
-    _, l2 = J.common_times(obs.where(F.col("vis") > 900), lab)
+    o1, l2 = J.common_times(R.observations(spark, sf).select("station", "time"), R.delays(spark, sf).select("station", "time"))
     return o1.select(F.lit("obs").alias("side"), "station", "time").unionByName(
         l2.select(F.lit("labels").alias("side"), "station", "time"))
 

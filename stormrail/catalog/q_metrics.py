@@ -144,6 +144,64 @@ def met10_ovr_auc(spark, sf):
     return a.select("cls", r6("auc").alias("auc"))
 
 
+@query("met8_points", with_roles(f"""
+with b as (select l_suppkey % 5 as grp, cast(l_returnflag = 'R' as bigint) as y, l_extendedprice as score from lineitem),
+s as (select grp, score, sum(y) as pos, sum(1 - y) as neg from b group by all),
+c as (select *, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over (partition by grp) as P, sum(neg) over (partition by grp) as N
+  from s window w as (partition by grp order by score desc rows unbounded preceding))
+select cast(grp as bigint) as grp, score, cast(tp as bigint) as tp, cast(fp as bigint) as fp, {sql_r6('tp / P')} as tpr, {sql_r6('fp / N')} as fpr, {sql_r6('tp / (tp + fp)')} as precision
+from c"""))
+def met8_points(spark, sf):
+    """Points of the ROC and precision-recall curves for a continuous score."""
+    li = R.read_table(spark, sf, "lineitem").select((F.col("l_suppkey") % 5).alias("grp"), (
+        F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_extendedprice").alias("proba"))
+    p = M.roc_points(li, "y", "proba", ["grp"])
+    return p.select(F.col("grp").cast("long").alias("grp"), "score", F.col("tp").cast("long").alias("tp"),
+                    F.col("fp").cast("long").alias("fp"), *[r6(c).alias(c) for c in ("tpr", "fpr", "precision")])
+
+
+_MACRO = f"""
+with e as (select cls - 1 as cls, [{', '.join(f'f{i}' for i in range(64))}][cls] as score, cast(label % 64 = cls - 1 as integer) as y
+           from r_vec, range(1, 65) t(cls)),
+s as (select cls, score, sum(cast(y = 1 as bigint)) as pos, sum(cast(y <> 1 as bigint)) as neg from e group by cls, score),
+c as (select *, sum(pos) over (partition by cls order by score desc rows unbounded preceding) as tp,
+        sum(neg) over (partition by cls order by score desc rows unbounded preceding) as fp,
+        sum(pos) over (partition by cls) as P, sum(neg) over (partition by cls) as N from s),
+p as (select cls, 0.0::double as fpr, 0.0::double as tpr from c where P > 0 and N > 0 group by cls
+      union all select cls, fp / N, tp / P from c where P > 0 and N > 0),
+v as (select cls, fpr, min(tpr) as lo, max(tpr) as hi from p group by all),
+n as (select *, lead(fpr) over w as nx, lead(lo) over w as nlo from v window w as (partition by cls order by fpr)),
+q as (select x, cls from (select distinct fpr as x from p), (select distinct cls from p)),
+i as (select q.x, case when n.nx is null or q.x = n.fpr then n.hi else n.hi + (q.x - n.fpr) / (n.nx - n.fpr) * (n.nlo - n.hi) end as f
+  from q asof join n on q.cls = n.cls and q.x >= n.fpr),
+m as (select x as fpr, avg(f) as tpr from i group by x)"""
+
+
+@query("met10_macro_curve", with_roles(_MACRO + f" select {sql_r6('fpr')} as fpr, {sql_r6('tpr', 5)} as tpr from m"))
+def met10_macro_curve(spark, sf):
+    m = M.macro_roc(_vec_classes(spark, sf), "y", "p")
+    return m.select(r6("fpr").alias("fpr"), r6("tpr", 5).alias("tpr"))
+
+
+@query("met10_macro_auc", with_roles(_MACRO + f""" select {sql_r6('sum((fpr - px) * (tpr + py) / 2)')} as auc from (
+  select *, lag(fpr) over (order by fpr) as px, lag(tpr) over (order by fpr) as py from m)"""))
+def met10_macro_auc(spark, sf):
+    return M.curve_area(M.macro_roc(_vec_classes(spark, sf), "y", "p")).select(r6("auc").alias("auc"))
+
+
+def _vec_classes(spark, sf):
+    return R.vectors(spark, sf).select((F.col("label") % 64).alias("y"), F.array(*[f"f{i}" for i in range(64)]).alias("p"))
+
+
+@query("met6_micro", with_roles(f"""
+with c as (select {_CLS.format(c='y')} as y, {_CLS.format(c='y_pred')} as pred from r_reg),
+t as (select count(*) filter (y = pred) as tp, count(*) as n from c)
+select {sql_r6('tp / n')} as precision, {sql_r6('tp / n')} as recall, {sql_r6('tp / n')} as f1 from t"""))
+def met6_micro(spark, sf):
+    m = M.micro_average(_classes(spark, sf))
+    return m.select(*[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("met12_line", with_roles(f"""
 select station, {sql_r6('regr_slope(y, y_pred)')} as slope, {sql_r6('regr_intercept(y, y_pred)')} as intercept
 from r_reg group by station"""))

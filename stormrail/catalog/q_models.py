@@ -6,7 +6,9 @@ from stormrail.catalog import query
 from stormrail.catalog.q_plans import features
 from stormrail.catalog.util import R, r6, sql_r6, with_roles
 from stormrail.operators import models as MD
+from stormrail.operators import search as SR
 from stormrail.operators.sampling import holdout, time_folds
+from stormrail.sources import sinks as SK
 
 KEYS = ["station", "time", "train_type"]
 FEATS = ["train_count", "prec", "gust", "vis", "n", "prec_3h", "prec_6h", "flashcount"]
@@ -130,16 +132,20 @@ def mod6_mixture(spark, sf):
     return m.transform(v).select("vec_id", "prediction")
 
 
-def _gnb_sql():
+def _gnb_sql(probability: bool = False):
     each = lambda form: "[" + ", ".join(form.format(f=f) for f in _VEC) + "]"
     eps = "select 1e-9 * greatest(" + ", ".join(f"var_pop({f})" for f in _VEC) + ") as eps from r_vec"
     stats = (f"select label, count(*) / (select count(*) from r_vec) as prior, {each('avg({f})')} as m, "
              f"{each('var_pop({f}) + any_value(eps)')} as v from r_vec, e group by label")
     ll = ("ln(s.prior) - list_sum(list_transform(range(1, 65), "
           "lambda i: 0.5 * ln(2 * pi() * s.v[i]) + pow(r.x[i] - s.m[i], 2) / (2 * s.v[i])))")
+    more = f", {sql_r6('1 / sum(exp(ll - top)) over (partition by vec_id)', 4)} as probability" if probability else ""
+    keep = "qualify" if probability else "where"
     return with_roles(f"""
-select vec_id, pred from (select r.vec_id, s.label as pred, row_number() over (partition by r.vec_id order by {ll} desc, s.label) as rn
-  from (select vec_id, {each('{f}')} as x from r_vec) r, st s) where rn = 1""", ("e", eps), ("st", stats))
+select vec_id, pred{more} from (select *, row_number() over (partition by vec_id order by ll desc, pred) as rn,
+    max(ll) over (partition by vec_id) as top
+  from (select r.vec_id, s.label as pred, {ll} as ll
+  from (select vec_id, {each('{f}')} as x from r_vec) r, st s)) {keep} rn = 1""", ("e", eps), ("st", stats))
 
 
 @query("mod4_gnb", _gnb_sql())
@@ -149,13 +155,75 @@ def mod4_gnb(spark, sf):
     return MD.gaussian_nb_predict(v, st, _VEC, "label", ["vec_id"]).select("vec_id", "pred")
 
 
+@query("mod4_probability", _gnb_sql(True))
+def mod4_probability(spark, sf):
+    v = R.vectors(spark, sf)
+    st = MD.gaussian_nb_fit(v, _VEC, "label")
+    p = MD.gaussian_nb_predict(v, st, _VEC, "label", ["vec_id"])
+    return p.select("vec_id", "pred", r6("probability", 4).alias("probability"))
+
+
+@query("mod4_merged", _gnb_sql())
+def mod4_merged(spark, sf):
+    """Three batches of moments, one of them stored twice, merged: the fit of all rows at once."""
+    v = R.vectors(spark, sf)
+    path = SK.scratch_path(spark, "moments")
+    for b in (0, 1, 2, 1):
+        part = v.where(F.pmod(F.col("vec_id"), F.lit(3)) == b)
+        SK.committed_append(MD.gaussian_nb_moments(part, _VEC, "label"), path, f"part-{b}")
+    st = MD.gaussian_nb_finish(SK.read_committed(spark, path), "label")
+    return MD.gaussian_nb_predict(v, st, _VEC, "label", ["vec_id"]).select("vec_id", "pred")
+
+
+_NB2 = ["train_count", "total_delay"]
+
+
+def _nb2_sql(group: str, source: str) -> str:
+    """Two-feature naive Bayes as CTEs: st (class table) of each ``group`` (an expression) of ``source``."""
+    return f"""
+e as (select {group} as g, 1e-9 * greatest(var_pop(train_count), var_pop(total_delay)) as eps, count(*) as n from {source} group by 1),
+st as (select {group} as g, label, count(*) / any_value(e.n) as prior, avg(train_count) as m1, avg(total_delay) as m2,
+  var_pop(train_count) + any_value(eps) as v1, var_pop(total_delay) + any_value(eps) as v2
+  from {source} join e on {group} = e.g group by 1, 2),
+sv as (select * replace (case when v1 > 0 then v1 else 1 end as v1, case when v2 > 0 then v2 else 1 end as v2) from st),
+sc as (select d.station, d.time, d.train_type, s.label as cls, ln(s.prior)
+  - (0.5 * ln(2 * pi() * s.v1) + pow(d.train_count - s.m1, 2) / (2 * s.v1))
+  - (0.5 * ln(2 * pi() * s.v2) + pow(d.total_delay - s.m2, 2) / (2 * s.v2)) as ll from {source} d join sv s on {group} = s.g)"""
+
+
+@query("mod8_station_nb", with_roles(f"""
+with b as (select *, cast(delay > 25 as integer) as label from r_delays),{_nb2_sql('station', 'b')}
+select station, time, train_type, cls as pred from sc qualify row_number() over (partition by station, time, train_type
+  order by ll desc, cls) = 1"""))
+def mod8_station_nb(spark, sf):
+    d = R.delays(spark, sf).withColumn("label", (F.col("delay") > 25).cast("int"))
+    moments = MD.gaussian_nb_moments(d, _NB2, "label", ["station"])
+    st = MD.gaussian_nb_finish(moments, "label", ["station"])
+    return MD.gaussian_nb_predict(d, st, _NB2, "label", KEYS, groups=["station"]).select(*KEYS, "pred")
+
+
+@query("mod3_partial_fit")
+def mod3_partial_fit(spark, sf):
+    """Three chunks, two rounds: coefficients beside those of the closed form."""
+    d = R.delays(spark, sf)
+    state = None
+    for chunk in (0, 1, 2) * 2:
+        state = MD.partial_fit_linear(d.where(F.pmod(F.xxhash64(*KEYS), F.lit(3)) == chunk), _NB2, "delay", state, steps=12)
+    exact = MD.per_group_linear(d.withColumn("_all", F.lit("all")), "_all", _NB2, "delay").first()["coef"]
+    rows = [(n, float(a), float(b), state.steps) for n, a, b in zip(["intercept", *_NB2], state.coefficients(), exact)]
+    return spark.createDataFrame(rows, "term string, weight double, closed_form double, steps int")
+
+
 @query("mod7_random_search")
 def mod7_random_search(spark, sf):
-    d = _data(spark, sf)
-    folds = time_folds(d, ["time", "station", "train_type"], 3)
-    res = MD.random_search(folds, FEATS, "delay", "rf_regressor",
-                           {"numTrees": [5, 10], "maxDepth": [3, 5]}, folds=folds, n_iter=2, seed=7)
-    return spark.createDataFrame(res)
+    """All four sets on five time folds; the best is refitted, saved and loaded again."""
+    folds = time_folds(_data(spark, sf), ["time", "station", "train_type"], 5)
+    res, model, _ = SR.random_search(folds, FEATS, "delay", "rf_regressor", {"numTrees": [5, 10], "maxDepth": [3, 5]}, seed=7)
+    path = SK.scratch_path(spark, "best")
+    SK.save_model(model, path)
+    best = SK.load_model(path).transform(folds)
+    n = best.where(F.col("prediction").isNotNull()).count()
+    return res.withColumn("refit_rows", F.when(F.col("rank") == 1, F.lit(n)))
 
 
 @query("ftr4_select_important")
@@ -170,28 +238,15 @@ def ftr4_select_important(spark, sf):
 
 @query("ftr5_feature_subsets")
 def ftr5_feature_subsets(spark, sf):
-    from pyspark.ml.evaluation import RegressionEvaluator
     train, test = _train_test(spark, sf)
-    ev = RegressionEvaluator(labelCol="delay", predictionCol="prediction", metricName="rmse")
-    rows = []
-    for name, cols in {"counts": ["train_count"], "weather": ["prec", "gust", "vis", "prec_3h"], "all": FEATS}.items():
-        m = MD.fit_model(train, cols, "delay", "linear", regParam=0.1)
-        rows.append((name, ",".join(cols), float(ev.evaluate(m.transform(test)))))
-    return spark.createDataFrame(rows, "subset string, features string, rmse double")
+    subsets = {"counts": ["train_count"], "weather": ["prec", "gust", "vis", "prec_3h"], "all": FEATS}
+    return SR.feature_subsets(train, test, subsets, "delay", "linear", regParam=0.1).withColumnRenamed("score", "rmse")
 
 
 @query("met16_learning_curve")
 def met16_learning_curve(spark, sf):
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from stormrail.operators.sampling import hash_percent
-    train, test = _train_test(spark, sf)
-    ev = RegressionEvaluator(labelCol="delay", predictionCol="prediction", metricName="rmse")
-    rows = []
-    for pct in (20, 40, 60, 80, 100):
-        part = train.where(hash_percent(KEYS, 11) < pct)
-        m = MD.fit_model(part, FEATS, "delay", "linear", regParam=0.1)
-        rows.append((pct, float(ev.evaluate(m.transform(part))), float(ev.evaluate(m.transform(test)))))
-    return spark.createDataFrame(rows, "train_percent int, train_rmse double, test_rmse double")
+    folds = time_folds(_data(spark, sf), ["time", "station", "train_type"], 5)
+    return SR.learning_curve(folds, FEATS, "delay", "linear", KEYS, regParam=0.1)
 
 
 @query("mod8_per_station_linear", with_roles(f"""
@@ -229,17 +284,28 @@ def mod9_flagged_regressor(spark, sf):
     return reg.transform(test).select(*KEYS, "prediction")
 
 
-@query("pred1_dual", with_roles(f"""
-select station, time, train_type, {sql_r6('case when least(1.0, y_pred / 1000.0) >= 0.1 then y_pred else 0.0 end')} as dual
-from r_reg"""))
+def _dual_sql(cols: str) -> str:
+    return with_roles(f"""
+with b as (select *, cast(delay > 50 as integer) as label from r_delays),{_nb2_sql("'all'", 'b')},
+p as (select station, time, train_type, coalesce(max(exp(ll - top)) filter (cls = 1), 0) / sum(exp(ll - top)) as proba
+  from (select *, max(ll) over (partition by station, time, train_type) as top from sc) group by all),
+r as (select regr_intercept(delay, train_count) as a, regr_slope(delay, train_count) as s from b)
+select b.station, b.time, b.train_type, {cols} from b join p using (station, time, train_type), r""")
+
+
+def _dual(spark, sf):
+    d = R.delays(spark, sf).withColumn("label", (F.col("delay") > 50).cast("int"))
+    classifier = MD.gaussian_nb_fit(d, _NB2, "label")
+    regressor = MD.per_group_linear(d.withColumn("_all", F.lit("all")), "_all", ["train_count"], "delay")
+    return MD.predict_dual(d, classifier, _NB2, "label", regressor, ["train_count"], KEYS, 0.3)
+
+
+@query("pred1_dual", _dual_sql(f"{sql_r6('case when proba >= 0.3 then r.a + r.s * train_count else 0.0 end', 3)} as dual"))
 def pred1_dual(spark, sf):
-    r = R.regression_eval(spark, sf).withColumn("p", F.least(F.lit(1.0), F.col("y_pred") / 1000.0))
-    return r.select(*KEYS, r6(MD.dual_prediction("p", "y_pred", 0.1)).alias("dual"))
+    return _dual(spark, sf).select(*KEYS, r6("dual", 3).alias("dual"))
 
 
-@query("pred2_dual_all", with_roles(f"""
-select station, time, train_type, {sql_r6('y_pred')} as y_pred, cast(least(1.0, y_pred / 1000.0) >= 0.1 as integer) as class
-from r_reg"""))
+@query("pred2_dual_all", _dual_sql(f"{sql_r6('r.a + r.s * train_count', 3)} as y_pred, "
+                                   f"cast(proba >= 0.3 as integer) as class, {sql_r6('proba', 4)} as proba"))
 def pred2_dual_all(spark, sf):
-    r = R.regression_eval(spark, sf).withColumn("p", F.least(F.lit(1.0), F.col("y_pred") / 1000.0))
-    return r.select(*KEYS, r6("y_pred").alias("y_pred"), (F.col("p") >= 0.1).cast("int").alias("class"))
+    return _dual(spark, sf).select(*KEYS, r6("y_pred", 3).alias("y_pred"), "class", r6("proba", 4).alias("proba"))

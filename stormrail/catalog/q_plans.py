@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stormrail.catalog import query
 from stormrail.catalog.util import R, r6, sql_r6, with_roles
 from stormrail.plans.ingest import build_features
+from stormrail.sources.sinks import committed_append, read_committed, scratch_path
 
 WEATHER = ["prec", "gust", "vis", "n", "prec_3h", "prec_6h"]
 
@@ -63,18 +64,17 @@ def heat1_passenger_hour(spark, sf):
                     F.col("order").cast("long").alias("order"))
 
 
-_WIDE_STATIONS = [f"S{k}" for k in range(20)]  # the station role's codes
-
-
 @query("heat1_wide", with_roles("""
-select dayofyear, """ + ", ".join(f'"{s}"' for s in _WIDE_STATIONS) + """ from (
-  pivot (select station, dayofyear, scaled from h) on station in (""" + ", ".join(f"'{s}'" for s in _WIDE_STATIONS) + """)
-  using first(scaled) group by dayofyear)""", ("h", _HEAT_SQL.format(where="", part="dayofyear", by="dayofyear")
-                                                .replace("with l1 as", "select * from (with l1 as") + ")")))
+select dayofyear, array_to_string(list(coalesce(cast(cast(floor(h.scaled * 1000 + 0.5) as bigint) as varchar), '') order by s.lat, s.station), ';') as "values"
+from (select dayofyear, station, lat from (select distinct dayofyear from h), r_stations) s left join h using (station, dayofyear)
+group by dayofyear""",
+                                 ("h", _HEAT_SQL.format(where="", part="dayofyear", by="dayofyear")
+                                  .replace("with l1 as", "select * from (with l1 as") + ")")))
 def heat1_wide(spark, sf):
     h = heatmap_long(R.regression_eval(spark, sf).withColumnRenamed("y", "delay"))
-    h = h.withColumn("scaled", r6("scaled"))
-    return heatmap_wide(h, _WIDE_STATIONS)
+    _, matrix = heatmap_wide(h.withColumn("scaled", r6("scaled")), R.stations(spark, sf))
+    cell = F.transform("values", lambda v: F.coalesce(F.floor(v * 1000 + 0.5).cast("string"), F.lit("")))
+    return matrix.select("dayofyear", F.array_join(cell, ";").alias("values"))
 
 
 @query("set1_union_by_name", with_roles("""
@@ -138,11 +138,14 @@ def _forecast_inputs(spark, sf):
 
 @query("pred3_forecast_scoring")
 def pred3_forecast_scoring(spark, sf):
-    from stormrail.plans.forecast import nest_predictions, score_forecasts
+    """Predicted values, inserted as one committed batch for each analysis (and once again, which changes nothing)."""
+    from stormrail.plans.forecast import insert_predictions, score_forecasts
     fc, coefs, places = _forecast_inputs(spark, sf)
-    scored = score_forecasts(fc, coefs, places, ["prec_3h", "gust"])
-    nested = nest_predictions(scored, places)
-    return nested.select("station_name", F.col("day").cast("string").alias("day"), F.size("predictions").alias("n"))
+    scored = score_forecasts(fc, coefs, places, ["prec_3h", "gust"]).select("place", "time", "value")
+    path = scratch_path(spark, "predictions")
+    for analysis in ("2024-01-01 00:00:00", "2024-01-01 06:00:00", "2024-01-01 00:00:00"):
+        insert_predictions(scored, path, analysis)
+    return read_committed(spark, path).select("place", "time", "value", "analysistime")
 
 
 @query("snk9_insert_new", with_roles("""
@@ -152,9 +155,12 @@ def snk9_insert_new(spark, sf):
     from stormrail.plans.forecast import rows_to_insert
     o = R.observations(spark, sf).select("station", "time",
                                          F.timestamp_add("HOUR", F.lit(6), F.col("time")).alias("analysistime"))
-    new = o.where(F.dayofmonth("time") >= 10)
-    stored = o.where(F.dayofmonth("time") < 20)
-    return rows_to_insert(new, stored, ["station", "time", "analysistime"])
+    path = scratch_path(spark, "forecasts")
+    committed_append(o.where(F.dayofmonth("time") < 20), path, "stored")
+    new = rows_to_insert(o.where(F.dayofmonth("time") >= 10), read_committed(spark, path), ["station", "time", "analysistime"])
+    for _ in range(2):  # the second time changes nothing
+        committed_append(new, path, "new")
+    return read_committed(spark, path, "batch").where("batch = 'new'").drop("batch")
 
 
 @query("snk10_retention", with_roles("""

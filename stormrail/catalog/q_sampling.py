@@ -97,11 +97,11 @@ def spl3_folds(spark, sf):
 
 @query("spl4_enough_rows", with_roles("""
 select station, time, train_type from r_delays where station in
-  (select station from r_delays where train_type = 'K' group by station having count(*) >= 560)"""))
+  (select station from r_delays group by station having count(*) >= (select count(*) / count(distinct station) from r_delays))"""))
 def spl4_enough_rows(spark, sf):
     d = R.delays(spark, sf).select(*_DKEYS)
-    k = SM.enough_rows(d.where(F.col("train_type") == "K"), 560)
-    return d.join(k.select("station").distinct(), "station", "left_semi")
+    n, stations = d.agg(F.count(F.lit(1)), F.count_distinct("station")).first()
+    return SM.enough_rows(d, n / max(stations, 1))
 
 
 _BAL_CLASS = "cast(case when a <= 10 then 0 when a <= 50 then 1 when a <= 100 then 2 else 3 end as integer)"

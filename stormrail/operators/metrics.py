@@ -201,13 +201,48 @@ def auc_ap(df: DataFrame, y: str = "y", score: str = "proba", groups: Sequence[s
 def one_vs_rest_auc(df: DataFrame, y: str, probas: str) -> DataFrame:
     """MET10: AUC per class of a multi-class probability array (class i =
     position i) and the macro mean as class -1."""
-    ex = df.select(F.posexplode(probas).alias("cls", "score"), F.col(y).alias("_y"))
-    ex = ex.withColumn("_bin", (F.col("_y") == F.col("cls")).cast("int"))
-    per = auc_ap(ex, "_bin", "score", ["cls"]).select(F.col("cls").cast("int").alias("cls"), "auc")
+    per = auc_ap(_one_vs_rest(df, y, probas), "_bin", "score", ["cls"]).select(F.col("cls").cast("int").alias("cls"), "auc")
     macro = per.agg(F.lit(-1).alias("cls"), F.avg("auc").alias("auc"))
     return per.unionByName(macro)
 
 
+def _one_vs_rest(df: DataFrame, y: str, probas: str) -> DataFrame:
+    ex = df.select(F.posexplode(probas).alias("cls", "score"), F.col(y).alias("_y"))
+    return ex.withColumn("_bin", (F.col("_y") == F.col("cls")).cast("int"))
+
+
+def macro_roc(df: DataFrame, y: str, probas: str) -> DataFrame:
+    """MET10's mean curve: (fpr, tpr) at every false-positive rate that any class's curve has, tpr being the mean over
+    the classes of their interpolated curves (at a vertical step its upper end).
+
+    Each class's curve is a sum of pieces: one for each distinct score, flat before it, a straight line across it, flat
+    behind it. A piece starts and ends a line a + b * fpr; so the sum of all curves at a rate is A + B * fpr, with A and
+    B the running sums of what has started and ended up to there. One running sum over the distinct rates of all classes
+    together; no class is interpolated at the rates of the others. Classes that lack one of the two kinds have no
+    curve and do not count.
+    """
+    pts = roc_points(_one_vs_rest(df, y, probas), "_bin", "score", ["cls"]).where("P > 0 and N > 0")
+    x0, x1 = (F.col("fp") - F.col("neg")) / F.col("N"), F.col("fpr")
+    rise = F.col("pos") / F.col("P")
+    slope = F.when((F.col("neg") > 0) & (F.col("pos") > 0), rise / (F.col("neg") / F.col("N"))).otherwise(F.lit(0.0))
+    zero = F.lit(0.0)
+    events = F.array(F.struct(zero.alias("x"), zero.alias("a"), zero.alias("b")),
+                     F.struct(x0.alias("x"), (-slope * x0).alias("a"), slope.alias("b")),
+                     F.struct(x1.alias("x"), (slope * x0 + rise).alias("a"), (-slope).alias("b")))
+    at = pts.select(F.explode(events).alias("e")).select("e.*").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    run = prefix_sums(at, ["x"], {"_a": F.col("a"), "_b": F.col("b")})
+    classes = pts.agg(F.count_distinct("cls")).scalar()
+    return run.select(F.col("x").alias("fpr"), ((F.col("_a") + F.col("_b") * F.col("x")) / classes).alias("tpr"))
+
+
+def curve_area(points: DataFrame, x: str = "fpr", y: str = "tpr", order: Sequence[str] = ()) -> DataFrame:
+    """(auc): the area under a curve of unique points by trapezoids; each point meets the one before it in a segmented
+    scan, so a curve of any length has no task of its own."""
+    from stormrail.operators.ordered import scan_window
+    out = scan_window(points, [], [x, *order], lambda w: {"_x": F.lag(x).over(w), "_y": F.lag(y).over(w)}, k_before=1)
+    return out.agg(F.sum((F.col(x) - F.col("_x")) * (F.col(y) + F.col("_y")) / 2).alias("auc"))
+
+
 # MET12 ------------------------------------------------------------------------
 def regression_line(df: DataFrame, y: str = "y", yhat: str = "y_pred", groups: Sequence = ()) -> DataFrame:
     aggs = [F.regr_slope(y, yhat).alias("slope"), F.regr_intercept(y, yhat).alias("intercept")]

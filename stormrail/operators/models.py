@@ -13,9 +13,8 @@
 from __future__ import annotations
 
 import functools
-import itertools
-import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -171,57 +170,93 @@ def gaussian_nb_fit(df: DataFrame, cols: Sequence[str], label: str, var_smoothin
                      (F.col("n_c") / F.lit(max(1, whole["n"]))).alias("prior"))
 
 
-def gaussian_nb_predict(df: DataFrame, stats: DataFrame, cols: Sequence[str], label: str,
-                        keys: Sequence[str], out: str = "pred") -> DataFrame:
-    """The class of the largest joint log-likelihood (ties -> smaller class),
-    that log-likelihood and the class's probability. The class table is one
-    array, a scalar subquery: scoring is a projection, no join and no
-    shuffle, for any number of classes."""
-    per = stats.groupBy(F.col(label).alias("cls")).agg(
-        F.first("prior").alias("prior"),
-        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "var")))).alias("f"))
-    table = per.agg(F.collect_list(F.struct("cls", "prior", F.array(*[F.col("f")[c] for c in cols]).alias("f")))).scalar()
-    x = F.array(*[F.col(c).cast("double") for c in cols])
-
+def gaussian_nb_moments(df: DataFrame, cols: Sequence[str], label: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Mergeable moments (groups..., label, feature, n, mean, m2): how many values a class has of a feature, their mean,
+    and the sum of squares about it. Batches merge with :func:`merge_moments`, in any order."""
+    long = df.select(*groups, label, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])).alias("kv"))
+    return long.groupBy(*groups, label, "kv.feature").agg(
+        F.count("kv.v").alias("n"), F.coalesce(F.avg("kv.v"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("kv.v") * F.count("kv.v"), F.lit(0.0)).alias("m2"))
+
+
+def merge_moments(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Moments of all rows with equal ``keys`` taken together. Squares are summed about the common mean, so means far
+    from 0 cost no precision."""
+    from stormrail.operators.sampling import null_safe_join
+    n = F.sum("n")
+    whole = moments.groupBy(*keys).agg(n.alias("_n"), F.coalesce(
+        F.sum(F.col("n") * F.col("mean")) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("_mean"))
+    off = F.col("mean") - F.col("_mean")
+    return null_safe_join(moments, whole, keys).groupBy(*keys).agg(
+        F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * off * off).alias("m2"))
+
+
+def gaussian_nb_finish(moments: DataFrame, label: str, groups: Sequence[str] = (),
+                       var_smoothing: float = 1e-9) -> DataFrame:
+    """Class statistics as of :func:`gaussian_nb_fit` (one model for each of ``groups``) from moments, which are merged
+    first."""
+    from stormrail.operators.sampling import null_safe_join
+    groups = list(groups)
+    m = merge_moments(moments, [*groups, label, "feature"])
+    every = merge_moments(m, [*groups, "feature"])
+    var = F.when(F.col("n") > 0, F.col("m2") / F.col("n"))
+    eps = F.lit(var_smoothing) * F.coalesce(F.max(var), F.lit(0.0))
+    sizes = m.groupBy(*groups, label).agg(F.max("n").alias("_n_c"))
+    both = sizes.groupBy(*groups).agg(F.sum("_n_c").alias("_n")) if groups else sizes.agg(F.sum("_n_c").alias("_n"))
+    wide = every.groupBy(*groups).agg(eps.alias("_eps")) if groups else every.agg(eps.alias("_eps"))
+    st = null_safe_join(m, sizes, [*groups, label])
+    if groups:
+        st = null_safe_join(null_safe_join(st, both, groups), wide, groups)
+    else:  # one row each
+        st = st.select("*", both.scalar().alias("_n"), wide.scalar().alias("_eps"))
+    spread = var + F.col("_eps")
+    return st.select(*groups, label, "feature", "mean", F.when(spread > 0, spread).otherwise(1.0).alias("var"),
+                     (F.col("_n_c") / F.col("_n")).alias("prior"))
+
+
+def _nb_scored(table: Column, x: Column, df: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """``_nb``, the joint log-likelihood of each class of ``table``, and ``_best``, the largest (ties -> smaller class)."""
     def score(c):
         terms = F.zip_with("_x", c["f"], lambda v, s: F.lit(0.5) * F.log(F.lit(2 * np.pi) * s["var"])
                            + F.pow(v - s["mean"], F.lit(2)) / (F.lit(2.0) * s["var"]))
         ll = F.aggregate(terms, F.log(c["prior"]), lambda acc, t: acc - t)
         return F.struct(ll.alias("ll"), (-c["cls"]).alias("neg_cls"), c["cls"].alias("cls"))
 
-    whole = df.select(*keys, x.alias("_x"), table.alias("_t"))
-    scored = whole.select(*keys, F.transform("_t", score).alias("_nb")).withColumn("_best", F.array_max("_nb"))
+    whole = df.select(*keys, *extra, x.alias("_x"), table.alias("_t"))
+    return whole.select(*keys, F.transform("_t", score).alias("_nb")).withColumn("_best", F.array_max("_nb"))
+
+
+def _class_table(stats: DataFrame, cols: Sequence[str], label: str, groups: Sequence[str] = ()) -> DataFrame:
+    """The classes of a model (of each of ``groups``) as one array: classes x features numbers, however many rows the
+    model was fitted on."""
+    per = stats.groupBy(*groups, F.col(label).alias("cls")).agg(
+        F.first("prior").alias("prior"),
+        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "var")))).alias("f"))
+    table = F.collect_list(F.struct("cls", "prior", F.array(*[F.col("f")[c] for c in cols]).alias("f"))).alias("_t")
+    return per.groupBy(*groups).agg(table) if groups else per.agg(table)
+
+
+def gaussian_nb_predict(df: DataFrame, stats: DataFrame, cols: Sequence[str], label: str,
+                        keys: Sequence[str], out: str = "pred", groups: Sequence[str] = ()) -> DataFrame:
+    """The class of the largest joint log-likelihood (ties -> smaller class),
+    that log-likelihood, the class's probability and those of all classes
+    (``probabilities``, a map). The class table is one array, a scalar
+    subquery: scoring is a projection, no join and no shuffle, for any number
+    of classes. With ``groups`` each row is scored by the model of its group
+    (NULLs where there is none), joined in as one array for each group."""
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    table = _class_table(stats, cols, label, groups)
+    if groups:
+        from stormrail.operators.sampling import null_safe_join
+        scored = _nb_scored(F.col("_t"), x, null_safe_join(df, table, groups, "left"), keys)
+    else:
+        scored = _nb_scored(table.scalar(), x, df, keys)
     total = F.aggregate("_nb", F.lit(0.0), lambda acc, s: acc + F.exp(s["ll"] - F.col("_best.ll")))
-    return scored.select(*keys, F.col("_best.cls").alias(out), F.col("_best.ll").alias("log_likelihood"),
-                         (F.lit(1.0) / total).alias("probability"))
-
-
-# MOD7 -------------------------------------------------------------------------
-def random_search(df: DataFrame, cols: Sequence[str], label: str, kind: str, grid: dict,
-                  folds: DataFrame, n_iter: int = 4, seed: int = 42, metric: str = "rmse") -> pd.DataFrame:
-    """Sample ``n_iter`` parameter sets from ``grid``; fit each on every
-    expanding time fold (train: ``first_train_fold <= k``, test:
-    ``test_fold == k``) and report the mean and std of the score (a tiny
-    results table, ranked: TOP1)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    combos = list(itertools.product(*grid.values()))
-    rnd = random.Random(seed)
-    picked = rnd.sample(combos, min(n_iter, len(combos)))
-    k_max = folds.agg(F.max("test_fold")).first()[0] or 0
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    rows = []
-    for combo in picked:
-        params = dict(zip(grid.keys(), combo))
-        scores = []
-        for k in range(1, int(k_max) + 1):
-            train = folds.where(F.col("first_train_fold") <= k)
-            test = folds.where(F.col("test_fold") == k)
-            m = fit_model(train, cols, label, kind, **params)
-            scores.append(ev.evaluate(m.transform(test)))
-        rows.append({"params": str(params), "mean_score": float(np.mean(scores)), "std_score": float(np.std(scores))})
-    res = pd.DataFrame(rows)
-    res["rank"] = res["mean_score"].rank(method="min").astype(int)
-    return res.sort_values("rank")
+    each = F.transform("_nb", lambda s: F.struct(s["cls"], F.exp(s["ll"] - F.col("_best.ll")) / F.col("_total")))
+    return scored.withColumn("_total", total).select(
+        *keys, F.col("_best.cls").alias(out), F.col("_best.ll").alias("log_likelihood"),
+        (F.lit(1.0) / F.col("_total")).alias("probability"), F.map_from_entries(each).alias("probabilities"))
 
 
 # MOD8 -------------------------------------------------------------------------
@@ -283,3 +318,64 @@ def dual_prediction(proba: Column | str, yhat: Column | str, limit: float = 0.5)
     p = F.col(proba) if isinstance(proba, str) else proba
     y = F.col(yhat) if isinstance(yhat, str) else yhat
     return F.when(p >= limit, y).otherwise(F.lit(0.0))
+
+
+def predict_dual(df: DataFrame, classifier: DataFrame, class_cols: Sequence[str], label: str, regressor: DataFrame,
+                 value_cols: Sequence[str], keys: Sequence[str], limit: float = 0.5) -> DataFrame:
+    """Both models on every row: the chance of class 1, the class it gives at ``limit``, the regression value (y_pred,
+    of all rows) and the dual prediction, which is 0 where the class is. ``classifier``: naive Bayes statistics;
+    ``regressor``: a one-row coefficient table."""
+    from stormrail.operators.sampling import null_safe_join
+    scored = gaussian_nb_predict(df, classifier, class_cols, label, keys)
+    chance = F.coalesce(F.col("probabilities")[1], F.lit(0.0))
+    scored = scored.select(*keys, chance.alias("proba"))
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in value_cols])
+    coef = regressor.select("coef").first()[0]  # one row, k + 1 numbers
+    y = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in coef]), lambda a, b: a * b), F.lit(0.0),
+                    lambda t, v: t + v)
+    both = null_safe_join(df.select(*keys, y.alias("y_pred")), scored, keys)
+    return both.select(*keys, "proba", (F.col("proba") >= limit).cast("int").alias("class"), "y_pred",
+                       dual_prediction("proba", "y_pred", limit).alias("dual"))
+
+
+# MOD3, chunk by chunk ---------------------------------------------------------------
+@dataclass
+class LinearState:
+    """A linear model while it is fitted: weights (the intercept first) on centred and scaled features, their velocity,
+    and the steps made."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    velocity: np.ndarray
+    steps: int = 0
+
+    def coefficients(self) -> np.ndarray:
+        """Intercept and slopes on the features as they come."""
+        slopes = self.weights[1:] / self.scale
+        return np.concatenate([[self.weights[0] - slopes @ self.mean], slopes])
+
+
+def partial_fit_linear(chunk: DataFrame, cols: Sequence[str], label: str, state: LinearState | None = None,
+                       steps: int = 40, rate: float = 0.3, momentum: float = 0.8, ridge: float = 0.0) -> LinearState:
+    """Go on fitting a linear model on ``chunk``: ``steps`` gradient steps, each one partial aggregate over the chunk
+    (columns + 1 sums come to the driver). The first chunk sets the scale of the features. Rows with a NULL feature or
+    label do not count; an empty chunk changes nothing."""
+    k, known = len(cols), chunk
+    for c in [*cols, label]:
+        known = known.where(F.col(c).isNotNull())
+    known = known.select(*[F.col(c).cast("double").alias(c) for c in [*cols, label]])
+    if state is None:
+        s = known.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
+        mean, scale = (np.array([v if v is not None else d for v in part]) for part, d in ((s[:k], 0.0), (s[k:], 1.0)))
+        state = LinearState(mean, np.where(scale > 0, scale, 1.0), np.zeros(k + 1), np.zeros(k + 1))
+    for _ in range(steps):
+        x = [F.lit(1.0)] + [(F.col(c) - float(m)) / float(d) for c, m, d in zip(cols, state.mean, state.scale)]
+        error = sum((F.lit(float(w)) * v for w, v in zip(state.weights[1:], x[1:])), F.lit(float(state.weights[0]))) - F.col(label)
+        sums = known.agg(F.count(F.lit(1)), *[F.sum(error * v) for v in x]).first()
+        if not sums[0]:
+            return state
+        gradient = np.array(sums[1:]) / sums[0] + ridge * np.concatenate([[0.0], state.weights[1:]])
+        velocity = momentum * state.velocity - rate * gradient
+        state = LinearState(state.mean, state.scale, state.weights + velocity, velocity, state.steps + 1)
+    return state

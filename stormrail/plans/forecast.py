@@ -46,3 +46,11 @@ def retention(stored: DataFrame, cutoff, analysistime: str = "analysistime", tim
     before the cutoff (the complement of the reference's DELETE)."""
     c = F.lit(str(cutoff)).cast("timestamp_ntz")
     return stored.where(~((F.col(analysistime) < c) & (F.col(timestamp) < c)))
+
+
+def insert_predictions(scored: DataFrame, path: str, analysistime: str) -> int:
+    """PRED3's last step: the scored rows of one analysis as one committed batch, named by the analysis. Running a job
+    again, or after it died half-way, leaves each row stored once. Returns the rows of the batch."""
+    from stormrail.sources.sinks import committed_append
+    rows = scored.withColumn("analysistime", F.lit(analysistime).cast("timestamp_ntz"))
+    return committed_append(rows, path, f"analysis {analysistime}")

@@ -3,8 +3,9 @@
 by their first appearance in (latitude, time) order.
 
 The long form (station, day, mean, scaled, order) is the stored form; the
-wide matrix is a ``pivot`` with the station list given explicitly (no extra
-distinct job; the list comes from the station dimension).
+wide matrix has one array for each day with a cell for every station of the
+station table, in the order of their latitudes. So the matrix has as many
+columns as there are stations without a schema that depends on them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,16 @@ def heatmap_long(df: DataFrame, value: str = "delay", station: str = "station",
     return lvl2.withColumn("scaled", scale_0_255("mean", lo, hi)).join(order, station)
 
 
-def heatmap_wide(long: DataFrame, stations: Sequence[str], station: str = "station", by: str = "dayofyear",
-                 value: str = "scaled") -> DataFrame:
-    """One row per day (or hour), one column per station (given order)."""
-    return long.groupBy(by).pivot(station, list(stations)).agg(F.first(value))
+def heatmap_wide(long: DataFrame, stations: DataFrame, station: str = "station", lat: str = "lat",
+                 by: str = "dayofyear", value: str = "scaled") -> tuple[DataFrame, DataFrame]:
+    """(columns, matrix): the stations with their column (from 0, by latitude and name), and for each day (or hour) the
+    array of their values, NULL where a station has none. A row holds one number for each station; stations that are
+    not in the table of stations have no column."""
+    from stormrail.operators.ordered import global_row_number
+    columns = global_row_number(stations.select(station, lat).distinct(), [lat, station], "_n") \
+        .select(station, lat, (F.col("_n") - 1).alias("column"))
+    cells = long.join(columns.select(station, "column"), station).groupBy(by).agg(
+        F.map_from_entries(F.collect_list(F.struct("column", value))).alias("_cells"))
+    width = columns.agg(F.count(F.lit(1))).scalar()
+    row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_width") - 1), lambda c: F.col("_cells")[c])
+    return columns, cells.withColumn("_width", width).select(by, row.alias("values"))

@@ -131,11 +131,13 @@ def read_adjacency_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_adjacency_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A square 0/1 matrix, one row per line -> edges (i, j) with value > 0.
-    Line numbers come from the file position (increasing ids) ranked with a
+    """A square 0/1 matrix, one row per line, in one file or in several that
+    follow each other by name -> edges (i, j) with value > 0. Line numbers come
+    from the place of a line (file, split, line in the split), ranked with a
     distributed row number."""
-    t = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    t = global_row_number(t, ["_id"], "_line")
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col(
+        "_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    t = global_row_number(t, ["_file", "_block", "_id"], "_line")
     cells = t.select((F.col("_line") - 1).alias("i"), F.posexplode(F.split("value", sep)).alias("j", "v"))
     return cells.where(F.trim("v").try_cast("double") > 0).select(F.col("i").cast("long").alias("i"),
                                                                   F.col("j").cast("long").alias("j"))

@@ -3,7 +3,6 @@ nothing is collected to the driver."""
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Sequence
 
@@ -101,6 +100,46 @@ def append_counted(df: DataFrame, path: str) -> int:
     return int(df.sparkSession.read.parquet(sub).count())
 
 
+def committed_append(df: DataFrame, path: str, batch: str) -> int:
+    """Append ``df`` as the batch named ``batch``; how many rows it has.
+
+    The rows go into a staged folder first. A row in the manifest then names the folder; that row is one small file,
+    which appears as a whole or not at all. Readers (:func:`read_committed`) see folders that the manifest names, so a
+    job that dies before leaves nothing behind that anybody reads. Of a batch that is appended again the first folder
+    counts and the later one is ignored: repeating a batch changes nothing. A batch without rows is a batch.
+    """
+    spark, base, staged = df.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    df.write.parquet(f"{base}/rows/staged={staged}")
+    n = spark.read.schema(df.schema).parquet(f"{base}/rows/staged={staged}").count()
+    _commit(spark, base, batch, staged, n)
+    return n
+
+
+_MANIFEST = "batch string, staged string, n_rows long, at timestamp"
+
+
+def _commit(spark: SparkSession, base: str, batch: str, staged: str, n: int) -> None:
+    row = spark.createDataFrame([(batch, staged, n)], "batch string, staged string, n_rows long")
+    row.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{base}/manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, staged, n_rows): the folder that counts of each committed batch."""
+    m = spark.read.schema(_MANIFEST).parquet(f"{path.rstrip('/')}/manifest")
+    first = F.min(F.struct("at", "staged", "n_rows")).alias("f")
+    return m.groupBy("batch").agg(first).select("batch", "f.staged", "f.n_rows")
+
+
+def read_committed(spark: SparkSession, path: str, batch_col: str | None = None) -> DataFrame:
+    """The rows of all committed batches, each batch once. Folders are a partition column, so the join with the
+    manifest (a row for each batch) prunes those that it does not name. ``batch_col``: keep the batch's name."""
+    rows = spark.read.option("basePath", f"{path.rstrip('/')}/rows").parquet(f"{path.rstrip('/')}/rows")
+    named = manifest(spark, path).select(F.col("staged").alias("_staged"), F.col("batch").alias("_batch"))
+    joined = rows.join(named, rows.staged.cast("string") == F.col("_staged"))
+    keep = [c for c in rows.columns if c != "staged"]
+    return joined.select(*keep, *([F.col("_batch").alias(batch_col)] if batch_col else []))
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions present in ``df`` (dynamic overwrite)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
@@ -137,9 +176,28 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
+# SRC15's counterpart --------------------------------------------------------------------
+def write_adjacency_matrix(edges: DataFrame, n: int, path: str, sep: str = ",", block: int = 256) -> None:
+    """Edges (i, j), numbered from 0, as an ``n`` x ``n`` 0/1 matrix: one line for each i, ``block`` lines for each task
+    and file, the files following each other by name. A line is made from the row's own edges only."""
+    import numpy as np
+    import pandas as pd
+
+    spark = edges.sparkSession
+    rows = edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).groupBy("i").agg(
+        F.collect_set("j").alias("js"))  # at most n of them
+    full = spark.range(n).select(F.col("id").alias("i")).join(rows, "i", "left")
+
+    def lines(batches):
+        for batch in batches:
+            out = []
+            for js in batch["js"]:
+                cells = np.full(n, "0")
+                if js is not None:
+                    cells[np.asarray(js, dtype=np.int64)] = "1"
+                out.append(sep.join(cells))
+            yield pd.DataFrame({"value": out})
+
+    blocks = max(1, -(-n // block))
+    full.repartitionByRange(blocks, "i").sortWithinPartitions("i").mapInPandas(lines, "value string").write.mode(
+        "overwrite").text(path)

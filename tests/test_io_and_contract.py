@@ -37,7 +37,7 @@ def test_serving_files_at_most_100_rows(spark):
     df = spark.range(250).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2).cast("double").alias("b"))
     path = SK.scratch_path(spark, "serving-test")
     SK.write_serving_files(df.repartition(1), ["a", "b"], path, rows_per_file=100)
-    local = SK.local_path(path)
+    local = path.removeprefix("file:")
     sizes = sorted(sum(1 for _ in open(os.path.join(local, f))) for f in os.listdir(local) if f.startswith("part-"))
     assert sizes == [50, 100, 100]
     first = spark.read.text(path).select(F.from_json("value", "X array<double>")["X"].alias("X")).first().X
@@ -56,3 +56,37 @@ def test_names_to_codes_raises_on_unknown(spark):
     dim = spark.createDataFrame([("Helsinki", "HKI")], "name string, code string")
     with pytest.raises(Exception):
         names_to_codes(df, dim, "name", "name", "code").collect()
+
+
+def test_committed_append_counts_a_batch_once(spark, monkeypatch):
+    """A batch repeated, a job that dies between rows and manifest and is run again, and a batch without rows."""
+    path = SK.scratch_path(spark, "commits")
+    one, two = spark.range(5), spark.range(5, 9)
+    assert SK.committed_append(one, path, "a") == 5
+    assert SK.committed_append(one, path, "a") == 5
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(SK, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            SK.committed_append(two, path, "b")
+    assert sorted(r.id for r in SK.read_committed(spark, path).collect()) == [0, 1, 2, 3, 4]
+    SK.committed_append(two, path, "b")
+    SK.committed_append(two.limit(0), path, "c")
+    got = SK.read_committed(spark, path, "batch").collect()
+    assert sorted((r.batch, r.id) for r in got) == [("a", i) for i in range(5)] + [("b", i) for i in range(5, 9)]
+    assert sorted((r.batch, r.n_rows) for r in SK.manifest(spark, path).collect()) == [("a", 5), ("b", 4), ("c", 0)]
+    # the first folder of a batch counts, whatever a later one holds
+    SK.committed_append(spark.range(100), path, "a")
+    assert SK.read_committed(spark, path).count() == 9
+
+
+def test_adjacency_matrix_in_several_files(spark):
+    from stormrail.sources import readers as RD
+    edges = [(0, 3), (0, 0), (7, 1), (9, 9), (4, 8), (4, 2)]
+    path = SK.scratch_path(spark, "matrix-test")
+    SK.write_adjacency_matrix(spark.createDataFrame(edges, "i int, j int"), 10, path, block=3)
+    assert spark.read.text(path).count() == 10
+    assert sorted(map(tuple, RD.read_adjacency_matrix(spark, path).collect())) == sorted(edges)
