@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test data missin
 def test_registered():
     names = entry.queries()
     assert names["pipeline"] is p.run
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
 
 
 def test_stages_in_turn(spark):
