@@ -8,6 +8,7 @@ from stormrail.catalog.util import R, r6, sql_r6, with_roles
 from stormrail.operators import models as MD
 from stormrail.operators import search as SR
 from stormrail.operators.sampling import holdout, time_folds
+from stormrail.session import stored
 from stormrail.sources import sinks as SK
 
 KEYS = ["station", "time", "train_type"]
@@ -204,11 +205,12 @@ def mod8_station_nb(spark, sf):
 
 @query("mod3_partial_fit")
 def mod3_partial_fit(spark, sf):
-    """Three chunks, two rounds: coefficients beside those of the closed form."""
+    """Three chunks in turn, a step on each, twelve rounds: coefficients beside those of the closed form."""
     d = R.delays(spark, sf)
     state = None
-    for chunk in (0, 1, 2) * 2:
-        state = MD.partial_fit_linear(d.where(F.pmod(F.xxhash64(*KEYS), F.lit(3)) == chunk), _NB2, "delay", state, steps=12)
+    rows = stored(d.select("delay", *_NB2, F.pmod(F.xxhash64(*KEYS), F.lit(3)).alias("chunk")), "chunks")
+    for chunk in (0, 1, 2) * 12:
+        state = MD.partial_fit_linear(rows.where(F.col("chunk") == chunk), _NB2, "delay", state)
     exact = MD.per_group_linear(d.withColumn("_all", F.lit("all")), "_all", _NB2, "delay").first()["coef"]
     rows = [(n, float(a), float(b), state.steps) for n, a, b in zip(["intercept", *_NB2], state.coefficients(), exact)]
     return spark.createDataFrame(rows, "term string, weight double, closed_form double, steps int")

@@ -341,41 +341,53 @@ def predict_dual(df: DataFrame, classifier: DataFrame, class_cols: Sequence[str]
 # MOD3, chunk by chunk ---------------------------------------------------------------
 @dataclass
 class LinearState:
-    """A linear model while it is fitted: weights (the intercept first) on centred and scaled features, their velocity,
-    and the steps made."""
+    """A linear model while it is fitted: weights (the intercept first) on features that ``mean`` and ``basis`` centre
+    and decorrelate, their velocity, and the steps made."""
 
     mean: np.ndarray
-    scale: np.ndarray
+    basis: np.ndarray
     weights: np.ndarray
     velocity: np.ndarray
     steps: int = 0
 
     def coefficients(self) -> np.ndarray:
         """Intercept and slopes on the features as they come."""
-        slopes = self.weights[1:] / self.scale
+        slopes = self.basis @ self.weights[1:]
         return np.concatenate([[self.weights[0] - slopes @ self.mean], slopes])
 
 
+def _decorrelating(known: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means, and a matrix that makes the centred columns uncorrelated with variance 1 (0 where they do not vary)."""
+    k = len(cols)
+    s = known.agg(*[F.avg(c) for c in cols], *[F.covar_pop(a, b) for a in cols for b in cols]).first()
+    mean = np.array([v or 0.0 for v in s[:k]])
+    values, vectors = np.linalg.eigh(np.array([v or 0.0 for v in s[k:]]).reshape(k, k))
+    fine = values > 1e-12 * values.max(initial=0.0)
+    return mean, vectors * np.where(fine, 1.0 / np.sqrt(np.where(fine, values, 1.0)), 0.0)
+
+
 def partial_fit_linear(chunk: DataFrame, cols: Sequence[str], label: str, state: LinearState | None = None,
-                       steps: int = 40, rate: float = 0.3, momentum: float = 0.8, ridge: float = 0.0) -> LinearState:
+                       steps: int = 1, rate: float = 0.6, momentum: float = 0.3, ridge: float = 0.0) -> LinearState:
     """Go on fitting a linear model on ``chunk``: ``steps`` gradient steps, each one partial aggregate over the chunk
-    (columns + 1 sums come to the driver). The first chunk sets the scale of the features. Rows with a NULL feature or
-    label do not count; an empty chunk changes nothing."""
+    (columns + 1 sums come to the driver). The first chunk decorrelates the features, so that few steps do; the rate
+    falls with the steps made, so that chunks that differ are averaged. Rows with a NULL feature or label do not count;
+    an empty chunk changes nothing."""
     k, known = len(cols), chunk
     for c in [*cols, label]:
         known = known.where(F.col(c).isNotNull())
     known = known.select(*[F.col(c).cast("double").alias(c) for c in [*cols, label]])
     if state is None:
-        s = known.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
-        mean, scale = (np.array([v if v is not None else d for v in part]) for part, d in ((s[:k], 0.0), (s[k:], 1.0)))
-        state = LinearState(mean, np.where(scale > 0, scale, 1.0), np.zeros(k + 1), np.zeros(k + 1))
+        mean, basis = _decorrelating(known, cols)
+        state = LinearState(mean, basis, np.zeros(k + 1), np.zeros(k + 1))
     for _ in range(steps):
-        x = [F.lit(1.0)] + [(F.col(c) - float(m)) / float(d) for c, m, d in zip(cols, state.mean, state.scale)]
-        error = sum((F.lit(float(w)) * v for w, v in zip(state.weights[1:], x[1:])), F.lit(float(state.weights[0]))) - F.col(label)
-        sums = known.agg(F.count(F.lit(1)), *[F.sum(error * v) for v in x]).first()
+        c = state.coefficients()
+        error = sum((F.lit(float(w)) * F.col(n) for w, n in zip(c[1:], cols)), F.lit(float(c[0]))) - F.col(label)
+        sums = known.agg(F.count(F.lit(1)), F.sum(error), *[
+            F.sum(error * (F.col(n) - float(m))) for n, m in zip(cols, state.mean)]).first()
         if not sums[0]:
             return state
-        gradient = np.array(sums[1:]) / sums[0] + ridge * np.concatenate([[0.0], state.weights[1:]])
-        velocity = momentum * state.velocity - rate * gradient
-        state = LinearState(state.mean, state.scale, state.weights + velocity, velocity, state.steps + 1)
+        raw = np.array(sums[1:]) / sums[0]
+        gradient = np.concatenate([raw[:1], state.basis.T @ raw[1:] + ridge * state.weights[1:]])
+        velocity = momentum * state.velocity - rate / (1 + state.steps / 10) * gradient
+        state = LinearState(state.mean, state.basis, state.weights + velocity, velocity, state.steps + 1)
     return state

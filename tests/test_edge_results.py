@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormrail.functions import scalar as S
+from stormrail.operators.quantiles import exact_quantiles
 from stormrail.operators import metrics as M
 from stormrail.operators import models as MD
 from stormrail.operators import ordered as O
@@ -86,7 +87,7 @@ def test_samples_are_the_first_in_hash_order(spark):
 
 def test_quantiles_keep_the_null_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), (None, 2.0), (None, 3.0), ("b", None)], "g string, v double")
-    got = {r.g: r.q_0_5 for r in SM.exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+    got = {r.g: r.q_0_5 for r in exact_quantiles(df, "v", [0.5], ["g"]).collect()}
     assert got == {"a": 1.0, None: 2.5}
 
 

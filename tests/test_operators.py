@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from stormrail.operators.quantiles import exact_quantiles
 from stormrail.operators import joins as J
 from stormrail.operators import metrics as M
 from stormrail.operators import sampling as SM
@@ -104,12 +105,12 @@ def test_exact_quantiles_match_numpy(spark):
     import numpy as np
     rows = [("a", v) for v in (5.0, 1.0, 1.0, 3.0, 10.0, 7.0)] + [("b", 4.0)] + [("c", v) for v in (2.0, 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: (r.q_0_1, r.q_0_5, r.q_0_9) for r in SM.exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"]).collect()}
+    got = {r.g: (r.q_0_1, r.q_0_5, r.q_0_9) for r in exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"]).collect()}
     for g in "abc":
         vals = [v for k, v in rows if k == g]
         exp = tuple(float(np.quantile(vals, p)) for p in (0.1, 0.5, 0.9))
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], exp)), (g, got[g], exp)
-    overall = SM.exact_quantiles(df, "v", [0.5]).first()[0]
+    overall = exact_quantiles(df, "v", [0.5]).first()[0]
     assert abs(overall - float(np.quantile([v for _, v in rows], 0.5))) < 1e-12
 
 
@@ -117,12 +118,12 @@ def test_exact_quantiles_large_group_path(spark):
     import numpy as np
     rows = [("hot", float(v % 97) / 7.0) for v in range(500)] + [("cold", v) for v in (1.0, 2.0, 4.0)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: (r.q_0_25, r.q_0_5) for r in SM.exact_quantiles(df, "v", [0.25, 0.5], ["g"]).collect()}
+    got = {r.g: (r.q_0_25, r.q_0_5) for r in exact_quantiles(df, "v", [0.25, 0.5], ["g"]).collect()}
     for g in ("hot", "cold"):
         vals = [v for k, v in rows if k == g]
         exp = (float(np.quantile(vals, 0.25)), float(np.quantile(vals, 0.5)))
         assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], exp)), (g, got[g], exp)
-    whole = SM.exact_quantiles(df, "v", [0.5]).first()[0]
+    whole = exact_quantiles(df, "v", [0.5]).first()[0]
     assert abs(whole - float(np.quantile([v for _, v in rows], 0.5))) < 1e-12
 
 
