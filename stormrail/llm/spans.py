@@ -6,6 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def folded(items: Column, zero: Column, after, emit) -> Column:
+    """The array of ``emit(state, item)`` as the state goes from ``zero`` to ``after(state, item)`` along the items.
+
+    Appending to an array copies it, so the items are folded in blocks of the square root of their number: of n items
+    about n * sqrt(n) / 2 are copied in all, not their square.
+    """
+    def walk(all_items: Column) -> Column:
+        block = F.ceil(F.sqrt(F.size(all_items))).cast("int")
+        last = F.greatest(F.lit(0), F.ceil(F.size(all_items) / F.greatest(F.lit(1), block)).cast("int") - 1)
+        none = F.slice(F.transform(F.slice(all_items, 1, 1), lambda x: emit(zero, x)), 1, 0)
+
+        def inner(state: Column, part: Column) -> Column:
+            return F.aggregate(part, F.struct(state.alias("state"), none.alias("out")), lambda a, x: F.struct(
+                after(a["state"], x).alias("state"), F.concat(a["out"], F.array(emit(a["state"], x))).alias("out")))
+
+        start = F.array(F.struct(zero.alias("state"), none.alias("out")))
+        every = F.aggregate(F.sequence(F.lit(0), last), start, lambda acc, k: F.concat(acc, F.array(inner(
+            F.element_at(acc, -1)["state"], F.slice(all_items, k * block + 1, block)))))
+        return F.flatten(F.transform(every, lambda b: b["out"]))
+
+    return bound(items, walk)
+
+
 def matches(text: Column, pattern: str, context: int = 0) -> Column:
     """All leftmost non-overlapping matches of ``pattern`` in ``text`` (null: none), in order, as an array of
     (start, end, match, before, after); positions count code points from 0, ``end`` is exclusive. ``before`` and
@@ -21,16 +49,15 @@ def matches(text: Column, pattern: str, context: int = 0) -> Column:
     parts = F.arrays_zip(found.alias("match"), F.slice(gaps, 1, F.size(found)).alias("gap"),
                          F.slice(gaps, 2, F.size(found)).alias("next"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"),
+    def end(at, x):
+        return at + F.length(x["gap"]) + F.length(x["match"])
+
+    def span(at, x):
+        return F.struct((at + F.length(x["gap"])).alias("start"), end(at, x).alias("end"), x["match"].alias("match"),
                         F.right(x["gap"], F.lit(context)).alias("before"),
                         F.left(x["next"], F.lit(context)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(parts, first, step)["out"]).otherwise(none)
+    return F.when(F.size(found) > 0, folded(parts, F.lit(0), end, span)).otherwise(none)
 
 
 def as_spans(found: Column, kind: str, order: int) -> Column:
@@ -46,8 +73,25 @@ def listed(spans: Column) -> Column:
 
 
 def apart(spans: Column, others: Column) -> Column:
-    """Those of ``spans`` that overlap none of ``others``."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+    """Those of ``spans`` that overlap none of ``others``, by start: one walk over both along the text, which knows how
+    far the others have reached, and one against it, which knows where the next of them begins."""
+    def marks(found, other):
+        return F.transform(found, lambda s: F.struct(s["start"].alias("at"), F.lit(0 if other else 1).alias("turn"),
+                                                     s["end"].alias("end"), F.when(F.lit(not other), s).alias("span")))
+
+    shape = F.transform(F.slice(spans, 1, 1), lambda s: s)[0]
+    both = F.array_sort(F.concat(F.transform(others, lambda o: F.struct(
+        o["start"].alias("at"), F.lit(0).alias("turn"), o["end"].alias("end"), F.when(F.lit(False), shape).alias("span"))),
+        marks(spans, False)))
+    along = folded(both, F.lit(0), lambda reach, x: F.when(x["turn"] == 0, F.greatest(reach, x["end"])).otherwise(reach),
+                   lambda reach, x: F.struct(*[x[k].alias(k) for k in ("at", "turn", "end", "span")],
+                                             (reach <= x["at"]).alias("free")))
+    far = F.lit((1 << 31) - 1)
+    against = folded(F.reverse(along), far, lambda first, x: F.when(x["turn"] == 0, x["at"]).otherwise(first),
+                     lambda first, x: F.struct(x["span"].alias("span"), ((x["turn"] == 1) & x["free"] & (
+                         first >= x["end"])).alias("free")))
+    alone = F.transform(F.filter(F.reverse(against), lambda x: x["free"]), lambda x: x["span"])
+    return F.when(F.size(spans) == 0, spans).when(F.size(others) == 0, F.array_sort(spans)).otherwise(alone)
 
 
 def report(found: DataFrame, kinds: tuple) -> DataFrame:

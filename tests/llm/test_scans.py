@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from stormrail.llm import pii, secrets, spans
 
@@ -141,6 +143,63 @@ def test_boosted_candidates_leave_plain_numbers(make_docs):
     assert sum(len(r.added) for r in got) <= 4
 
 
+def test_respelled_items_are_added(make_docs):
+    """Items written another way than the base patterns have them, among plain ones and numbers that are neither."""
+    rng = random.Random(6)
+
+    def number(n):
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(ok=True):
+        while True:
+            s = number(16)
+            if luhn(s) == ok:
+                return s
+
+    fours = lambda s, sep: sep.join(s[i:i + 4] for i in range(0, 16, 4))
+    ip = lambda sep: sep.join(str(rng.randint(1, 255)) for _ in range(4))
+    rows, planted = [], {}
+    for i in range(400):
+        rows.append((i, rng.choice([
+            f"mail to user{i}@example.com or call +49 30 {number(7)} today", f"host {ip('.')} and card {fours(card(), ' ')} here",
+            f"card {card()} or not {fours(card(False), '.')} as said", f"see version 7.{i} of {number(6)} parts, a@b{i} too",
+            f"not an address {ip('.')}.999 nor 300.1.2.{i + 256}, ref {number(9)}"])))
+    hidden = [lambda: f"user{number(3)} (at) example.com", lambda: f"j.doe{number(2)}(at)mail.example.org",
+              lambda: f"john.doe[at]example.com", lambda: ip("[.]"), lambda: ip(" . "), lambda: fours(card(), "."),
+              lambda: fours(card(), " - "), lambda: f"0049 30 {number(7)}", lambda: f"(49) 30 {number(7)}"]
+    for i in range(1000, 1180):
+        item = hidden[i % len(hidden)]()
+        planted[i] = (len("some words "), len("some words ") + len(item))
+        rows.append((i, f"some words {item} and more"))
+    got = {r.doc: [(s.start, s.end) for s in r.added] for r in pii.personal_data(make_docs(rows)).collect()}
+    missed = [dict(rows)[i] for i in planted if planted[i] not in got[i]]
+    assert len(missed) <= 0.1 * len(planted), missed
+    assert sum(x != planted.get(i) for i in got for x in got[i]) <= 10
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_apart_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    some = lambda: [(a, 0, a + rng.randint(1, 5), "x") for a in (rng.randint(0, 60) for _ in range(rng.randint(0, 7)))]
+    rows = [(some(), some()) for _ in range(200)]
+    kind = "array<struct<start:int,order:int,end:int,kind:string>>"
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}").select(spans.apart(F.col("a"), F.col("b")).alias("r"))
+    for (a, b), r in zip(rows, df.collect()):
+        assert sorted(map(tuple, r.r)) == sorted(s for s in a if not any(s[0] < o[2] and o[0] < s[2] for o in b))
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Ten times the matches take well under a hundred times the time."""
+    took = []
+    for n in (4_000, 40_000):
+        df = spark.createDataFrame([("ab 12 " * n,)], "t string")
+        began = time.time()
+        last = df.select(F.element_at(spans.matches(F.col("t"), "[0-9]+", 3), -1).alias("m")).first().m
+        took.append(time.time() - began)
+        assert (last.start, last.end, last.before, last.after) == (6 * n - 3, 6 * n - 1, "ab ", " ")
+    assert took[1] < max(20.0, 50 * took[0])
+
+
 def test_no_python_in_the_plans(make_docs):
     docs = make_docs([(1, "a@b.c token=abcdefgh")])
     for df in (pii.personal_data(docs), secrets.secrets(docs)):
