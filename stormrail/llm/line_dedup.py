@@ -3,9 +3,8 @@
 Every line is a hash. A HyperLogLog sketch of the sites of each line hash merges by partial aggregation, so a line that
 half of the corpus has costs no more than any other. Lines whose estimate is near the threshold get an exact count of
 distinct sites; the others are clear either way. Lines spread over ``SITES`` sites or more are boilerplate and go from
-every document in which they are at most a given share of the characters. The SQL of ``op5_line_spread`` sets that share
-to a half; the pipeline sets it to one, so a document keeps its boilerplate only if nothing else would remain of it:
-such documents are copies of each other, and belong to near-duplicate detection.
+every document that has an inked line of its own. A document keeps its boilerplate only if nothing else would remain of
+it: such documents are copies of each other, and belong to near-duplicate detection.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ SITES = 10
 #: about 13000, into 3 or fewer in one of about 6 * 10**10.
 LOW, BAND = 2.5, 1.6
 ERROR = 0.1
-#: A document loses its boilerplate if that is at most this share of the characters of its lines.
-MOST_REMOVED = 0.5
 
 
 def _lines(text: Column) -> Column:
@@ -49,13 +46,13 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                sites: int = SITES, most_removed: float = MOST_REMOVED) -> DataFrame:
+                sites: int = SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, and columns ``lines`` and ``removed`` (how many lines
     the text had and lost). All rows and other columns stay; columns named ``lines`` or ``removed`` are replaced.
 
-    A document loses its boilerplate if that is at most ``most_removed`` of the characters of its lines (1: always) and
-    an inked line of its own remains. Blank lines are never boilerplate. A null text stays null (no lines), an empty one stays empty (one blank line).
-    Rows that repeat are treated alike. Lines are equal if they are equal byte by byte.
+    A document loses its boilerplate if an inked line of its own remains. Blank lines are never boilerplate. A null text
+    stays null (no lines), an empty one stays empty (one blank line). Rows that repeat are treated alike. Lines are
+    equal if they are equal byte by byte. Other columns may have any names.
     """
     docs = docs.drop("lines", "removed")
     mark = F.xxhash64(id_col, text_col)
@@ -69,17 +66,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = slim.join(found.withColumn("hit", F.lit(True)), "key", "left")
     own = (hit.groupBy("doc").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("hit"), F.col("n"))).alias("gone"),
                                   F.collect_set(F.when(F.col("hit"), F.col("key"))).alias("keys"))
-           .filter((F.col("gone") <= most_removed * F.col("all")) & (F.col("gone") < F.col("all"))).select(F.col("doc").alias("__doc"), "keys"))
+           .filter(F.col("gone") < F.col("all")).select("doc", "keys"))
     # a sort-merge join at every size: the table of removals grows with the corpus, so it is never sent to all tasks
-    joined = docs.withColumn("__mark", mark).join(
-        written(own, "removals").withColumnRenamed("keys", "__keys").hint("merge"),
-        F.col("__mark") == F.col("__doc"), "left")
-    every = _lines(F.col(text_col))
-    kept = F.filter(every, lambda x: _blank(x) | ~F.array_contains(F.col("__keys"), _hash(x)))
-    joined = joined.withColumn("__kept", F.when(F.col("__keys").isNotNull(), kept))
-    n = F.coalesce(F.size(every), F.lit(0))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long")
+    # the documents' own columns travel in one struct, so no name of theirs meets a name of ours
+    whole = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"))
+    joined = whole.join(written(own, "removals").hint("merge"), F.col("mark") == F.col("doc"), "left")
+    text = F.col("row")[text_col]
+    every = _lines(text)
+    kept = F.filter(every, lambda x: _blank(x) | ~F.array_contains(F.col("keys"), _hash(x)))
+    joined = joined.withColumn("kept", F.when(F.col("keys").isNotNull(), kept))
+    n = F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(every), F.lit(0))).cast("long")
     return joined.select(
-        *[F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(c)).alias(c)
-          if c == text_col else F.col(c) for c in docs.columns],
-        n.alias("lines"), F.coalesce(n - F.size("__kept"), F.lit(0)).cast("long").alias("removed"))
+        *[F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(text).alias(c)
+          if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
+        n.alias("lines"), F.coalesce(n - F.size("kept"), F.lit(0)).cast("long").alias("removed"))

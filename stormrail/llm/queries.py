@@ -53,7 +53,7 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.report(found, pii.KINDS).withColumnRenamed("doc", "doc_id")
 
 
-# Lines over ten distinct sources or more, removed where they are at most half of a document's characters.
+# Lines over ten distinct sources or more, removed from every document with an inked line of its own.
 _OP5 = """
 with line as (
   select doc_id, text, source, unnest(string_split(text, chr(10))) as line from documents where text is not null),
@@ -67,7 +67,7 @@ judged as (
   from part p left join spread s on p.line = s.line),
 doc as (
   select doc_id, text, count(*) as n_lines,
-         coalesce(sum(length(line)) filter (hit), 0) <= 0.5 * coalesce(sum(length(line)) filter (inked), 0) as clear,
+         count(*) filter (inked and not hit) > 0 as clear,
          count(*) filter (hit) as n_hit, string_agg(line, chr(10) order by nth) filter (not hit) as kept
   from judged group by doc_id, text)
 select doc_id, n_lines, case when clear then n_hit else 0 end as n_removed,

@@ -15,9 +15,8 @@ def brute(rows, sites):
     out = []
     for i, t, s in rows:
         lines = t.split("\n") if t is not None else []
-        gone = sum(len(x) for x in lines if x in bad)
         kept = [x for x in lines if x not in bad]
-        if gone and gone <= 0.5 * sum(len(x) for x in lines if x.strip(" ")):
+        if len(kept) < len(lines) and any(x.strip(" ") for x in kept):
             out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
         else:
             out.append((i, t, len(lines), 0))
