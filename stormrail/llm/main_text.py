@@ -1,9 +1,14 @@
 """Main text of web pages: the maximum-scoring contiguous run of tokens.
 
-A page is a sequence of tags and words. Words score positive and tags negative; words inside elements that are no part of
-an article (menus, footers, adverts, comments and so on) count by a class of their own and come out negative. Weights are
-log-likelihood ratios of the token classes inside and outside the content, learned from labelled pages. One scan over the
-tokens finds the run with the largest sum. Scripts, styles and comments are no tokens at all.
+A page is a sequence of tags and words. Tags score negative. A word scores by what its place says: each element it lies
+in has a name and words in its class, id and role, and each of those has a weight, the log-likelihood ratio of words inside
+and outside the content, learned from pages that mark their article. The innermost telling element decides, outer ones
+count for a quarter. One linear scan finds the run of tokens with the largest sum; the text is the run's words that score
+positive. So a box in the middle of an article is left out by its score, as a menu beside it is.
+
+Names that no labelled page has get a weight from fixed lists of HTML's own words. An element that holds most of a page's
+words, and content by its name among them, is a frame around the page, whatever it is called, and speaks against none. Scripts, styles and comments are
+no tokens at all.
 """
 
 from __future__ import annotations
@@ -22,11 +27,19 @@ from stormrail.llm.common import slices
 
 #: Labelled pages that the weights are learned from at most: those with the smallest hashes of their addresses.
 LABELLED_PAGES = 2000
-#: Least gain of a word of content, and the gain of one in a place that no labelled page has.
-WORD_GAIN, NEW_WORD_GAIN = 0.2, 1.0
-#: Least and largest loss of a tag, of a word of an element that is no content. The largest keeps a box in the middle of
-#: an article from parting it.
-TAG_LOSS, ASIDE_LOSS = (0.05, 1.0), (0.5, 1.0)
+#: Least and largest gain of a word, least and largest loss. The largest loss keeps a box in the middle of an article from
+#: parting it.
+GAIN, LOSS = (0.2, 1.0), (0.5, 1.0)
+#: Least and largest loss of a tag.
+TAG_LOSS = (0.05, 0.3)
+#: Weights are cut at the first, tell from the second on, and the fixed lists give the third.
+CUT, TELLING, LISTED = 3.0, 1.0, 2.0
+#: Parts of an element's weight that count: of the elements around a telling one, of one that tells nothing by itself.
+OUTER, FAINT = 0.25, 0.3
+#: Words of labelled pages that a name needs for a weight of its own.
+LEAST_WORDS = 20
+#: An element with more than this share of a page's words may be a frame.
+FRAME = 0.5
 
 # Fixed lists of HTML: elements whose text is no text, elements without an end, elements that begin a new block,
 # elements that hold no article text.
@@ -44,6 +57,11 @@ MARKS = frozenset(
     "sidebar widget related recommended share sharing social comment comments reply replies discussion disqus form "
     "search login signup subscribe newsletter contentinfo complementary toolbar pagination pager".split())
 
+#: Elements whose class and id say nothing against them.
+WHOLE = ("html", "body", "article", "main")
+#: Parts of names that mark the head of an article as well as that of a page.
+HEADS = frozenset("header title banner".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
@@ -53,41 +71,59 @@ _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+@dataclass
+class Element:
+    parent: int  # -1: none
+    name: str
+    marks: tuple  # words in class, id and role
+    content: bool  # inside an element that the page itself marks as its article
+    listed: bool  # in an element that the lists hold for no content
+    article: bool  # inside an article or main element
+    block: int  # index in the stack of the nearest element that is a block, itself included; -1: none
+    words: int = 0
+
+
 @dataclass
 class Token:
-    kind: str  # class of the token
+    element: int  # the innermost element, -1: none
     words: int  # 0 for a tag
     text: str  # decoded text of a run of words
-    aside: bool  # inside an element that is no content
-    content: bool  # inside an element that the page itself marks as its article
+    tag: str  # class of a tag
     breaks: bool  # a tag that ends a block
 
 
-def _is_aside(name: str, attributes: str, inside_article: bool) -> bool:
-    if name in ASIDE or name == "header" and not inside_article:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
+def _marks(attributes: str) -> tuple:
+    found = {part for m in _MARKED.finditer(attributes) for part in _NAME.findall((m[1] or m[2] or m[3] or "").lower())}
+    return tuple(sorted(found | ({"hidden"} if _HIDDEN.search(attributes) else set())))
+
+
+def _listed(name: str, marks: tuple, article: bool) -> bool:
+    """Whether the fixed lists hold an element for no content. The head of an article is one of its parts."""
+    if name in ASIDE or name == "header" and not article:
         return True
-    return any(part in MARKS for m in _MARKED.finditer(attributes)
-               for part in _NAME.findall((m[1] or m[2] or m[3] or "").lower()))
+    return name not in WHOLE and any(
+        m == "hidden" or m in MARKS and not (article and m in HEADS) for m in marks)
 
 
-def tokens(page: str) -> list[Token]:
-    """Tags and runs of words of a whole page. Broken markup never fails: a stray < is text, an end tag without a
-    beginning is skipped, a new block ends an open paragraph."""
+def parse(page: str) -> tuple[list[Token], list[Element]]:
+    """Tags and runs of words of a whole page and its elements, in time proportional to the page. Broken markup never
+    fails: a stray < is text, an end tag without a beginning is skipped, a new block ends an open paragraph."""
     out: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, aside, content
+    elements: list[Element] = []
+    stack: list[int] = []
+    places: dict[str, list[int]] = {}  # name -> its places in the stack
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[elements[stack.pop()].name].pop()
 
     def text(raw: str) -> None:
         if raw:
             plain = html.unescape(raw)
-            _, aside, content = stack[-1] if stack else ("", False, False)
-            block = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "body")
-            link = any(s[0] == "a" for s in stack[-4:])
-            kind = "word:aside" if aside else f"word:{block}" + (":a" if link else "")
-            out.append(Token(kind, len(plain.split()), plain, aside, content, False))
+            n = len(plain.split())
+            out.append(Token(stack[-1] if stack else -1, n, plain, "", False))
+            if stack:
+                elements[stack[-1]].words += n
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -97,39 +133,88 @@ def tokens(page: str) -> list[Token]:
         if not name:
             continue
         closing, attributes = (m[2] or m[5]) == "/", m[4] or m[7] or ""
-        breaks = name in BLOCK
-        aside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        here = stack[-1] if stack else -1
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if k >= 0:
-                aside = stack[k][1]
-                del stack[k:]
+            if places.get(name):
+                here = stack[places[name][-1]]
+                cut(places[name][-1])
         else:
-            if breaks and name != "br" and stack:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
-                if k >= 0 and stack[k][0] == "p":
-                    del stack[k:]
-                    aside = stack[-1][1] if stack else False
-            inside = any(s[0] in ("article", "main") for s in stack)
-            aside = aside or _is_aside(name, attributes, inside)
+            if name in BLOCK and name != "br" and stack:
+                k = elements[stack[-1]].block
+                if k >= 0 and elements[stack[k]].name == "p":
+                    cut(k)
+            above = elements[stack[-1]] if stack else Element(-1, "", (), False, False, False, -1)
+            marks = _marks(attributes)
+            elements.append(Element(
+                stack[-1] if stack else -1, name, marks, above.content or name == "article",
+                above.listed or _listed(name, marks, above.article), above.article or name in ("article", "main"),
+                len(stack) if name in BLOCK else above.block))
+            here = len(elements) - 1
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, aside, content or name == "article"))
-        # tags of elements that are no content count together, so a list in a menu says nothing of lists elsewhere
-        kind = "tag:aside" if aside else f"tag:{'/' if closing else ''}{name}"
-        out.append(Token(kind, 0, "", aside, content and name != "article", breaks))
+                places.setdefault(name, []).append(len(stack))
+                stack.append(here)
+        out.append(Token(here, 0, "", f"{'/' if closing else ''}{name}", name in BLOCK))
     text(page[at:])
+    for e in reversed(elements):
+        if e.parent >= 0:
+            elements[e.parent].words += e.words
+    return out, elements
+
+
+def _weight(e: Element, learned: dict[str, float], lists: bool) -> float:
+    """The weight that says most among those of an element's name and marks: what was learned, else the lists'."""
+    best = 0.0
+    for key in (e.name, *("." + m for m in e.marks)):
+        w = learned.get(key)
+        if w is None and lists:
+            if key in ("article", "main"):
+                w = LISTED
+            elif key[0] != "." or e.name not in WHOLE:
+                mark = key[1:] in MARKS and key[0] == "." and not (e.article and key[1:] in HEADS)
+                if mark or key in ASIDE or key == "header" and not e.article or key == ".hidden":
+                    w = -LISTED
+        if w is not None and abs(w) > abs(best):
+            best = max(-CUT, min(CUT, w))
+    if e.article and best < 0 and any(m in HEADS for m in e.marks + (e.name,)):
+        return 0.0  # the head of an article is one of its parts
+    return best
+
+
+def evidence(elements: list[Element], total: int, learned: dict[str, float], lists: bool = True) -> list[float]:
+    """For each element what its place says of its words."""
+    weights = [_weight(e, learned, lists) for e in elements]
+    holds = [False] * len(elements)  # whether there is content by its name in an element
+    known = any(w >= TELLING for w in weights)
+    for i in range(len(elements) - 1, -1, -1):
+        # on a page where no name tells of content, paragraphs do
+        if elements[i].parent >= 0 and (holds[i] or weights[i] >= TELLING or not known and elements[i].name == "p"):
+            holds[elements[i].parent] = True
+    out: list[float] = []
+    for i, (e, own) in enumerate(zip(elements, weights)):
+        around = out[e.parent] if e.parent >= 0 else 0.0
+        if own < 0 and holds[i] and e.words > FRAME * total:
+            own = 0.0
+        out.append(own + OUTER * around if abs(own) >= TELLING else around + FAINT * own)
     return out
 
 
-def weight_of(kind: str, learned: dict[str, float]) -> float:
-    """Weight of a token of class ``kind``: what was learned, within the bounds of its sort."""
-    w = learned.get(kind)
-    if kind.startswith("tag:") or kind == "word:aside":
-        least, most = TAG_LOSS if kind.startswith("tag:") else ASIDE_LOSS
-        return -min(most, max(least, -w)) if w is not None else -least
-    if kind.endswith(":a"):
-        return w if w is not None else WORD_GAIN
-    return max(WORD_GAIN, w) if w is not None else NEW_WORD_GAIN
+def _within(x: float, bounds: tuple[float, float]) -> float:
+    return min(bounds[1], max(bounds[0], x))
+
+
+def scores(found: list[Token], elements: list[Element], learned: dict[str, float], lists: bool = True) -> list[float]:
+    """The score of each token."""
+    total = sum(t.words for t in found)
+    says = evidence(elements, total, learned, lists)
+    out = []
+    for t in found:
+        e = says[t.element] if t.element >= 0 else 0.0
+        if t.tag:
+            out.append(-_within(-learned.get("tag " + t.tag, 0.0), TAG_LOSS))
+        else:
+            # a place of which nothing is known counts in full
+            out.append(t.words * (_within(e or GAIN[1], GAIN) if e >= 0 else -_within(-e / (2 * LISTED), LOSS)))
+    return out
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -144,32 +229,45 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return lo, hi
 
 
-def main_text(page: str | None, learned: dict[str, float]) -> str:
+def main_text(page: str | None, learned: dict[str, float], lists: bool = True) -> str:
     """Text of the best run: blocks in page order joined by one space, white space within a block made one space."""
-    found = tokens(page or "")
-    cache: dict[str, float] = {}
-    scores = []
-    for t in found:
-        w = cache.get(t.kind)
-        if w is None:
-            w = cache[t.kind] = weight_of(t.kind, learned)
-        scores.append(w * (t.words if t.kind.startswith("word:") else 1))
-    lo, hi = best_run(scores)
-    parts = [" " if t.breaks else t.text for t in found[lo:hi] if t.breaks or not t.aside]
+    found, elements = parse(page or "")
+    gains = scores(found, elements, learned, lists)
+    lo, hi = best_run(gains)
+    # blanks between words have no score of their own and stay with the words around them
+    kept = [i for i in range(lo, hi) if found[i].breaks or not found[i].tag and (gains[i] > 0 or not found[i].words)]
+    parts = [" " if found[i].breaks else found[i].text for i in kept]
     return " ".join("".join(parts).split())
 
 
 def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> dict[str, float]:
-    """Log-likelihood ratios of the token classes from pages that mark their content themselves by one article
-    element. Only a count for each class comes to the driver; without such pages it is empty and the least weights
-    hold."""
+    """Log-likelihood ratios of names, marks and tags from pages that mark their content themselves by an article
+    element. Words of boxes inside it that the lists hold for no content have no label. Only a count for each name comes
+    to the driver, of those with ``LEAST_WORDS`` words at least; without such pages it is empty and the lists hold."""
 
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
             for page in batch.column("html").to_pylist():
-                for t in tokens(page):
-                    counts[t.kind, t.content and not t.aside] += max(1, t.words) if t.kind.startswith("word:") else 1
+                found, elements = parse(page)
+                label: list[bool | None] = [False] + [None if e.content and e.listed else e.content for e in elements]
+                own: Counter = Counter()
+                for t in found:
+                    if t.tag:
+                        if label[t.element + 1] is not None and t.tag.lstrip("/") != "article":
+                            counts["tag " + t.tag, label[t.element + 1]] += 1
+                    elif t.words and label[t.element + 1] is not None:
+                        own[t.element, label[t.element + 1]] += t.words
+                        counts["", label[t.element + 1]] += t.words
+                # words under each element, from the innermost outwards
+                for i in range(len(elements) - 1, -1, -1):
+                    e = elements[i]
+                    for c in (True, False):
+                        n = own.pop((i, c), 0)
+                        if n:
+                            for key in (e.name, *("." + m for m in e.marks)):
+                                counts[key, c] += n
+                            own[e.parent, c] += n
         rows = sorted(counts.items())
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for (k, _), _ in rows], pa.string()), pa.array([c for (_, c), _ in rows], pa.bool_()),
@@ -181,12 +279,17 @@ def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> dic
     last = marked.select("h").orderBy("h").limit(LABELLED_PAGES).agg(F.max("h")).first()[0]
     if last is None:
         return {}
-    counted = (marked.filter(F.col("h") <= last).select("html").mapInArrow(run, "kind string, content boolean, n long")
-               .groupBy("kind", "content").agg(F.sum("n").alias("n")))
-    counts = {(r.kind, r.content): r.n for r in counted.collect()}
-    total = {c: sum(n for (_, x), n in counts.items() if x == c) + 1 for c in (True, False)}
-    return {k: math.log((counts.get((k, True), 0) + 0.5) / total[True])
-            - math.log((counts.get((k, False), 0) + 0.5) / total[False]) for k in {k for k, _ in counts}}
+    counted = marked.filter(F.col("h") <= last).select("html").mapInArrow(run, "kind string, content boolean, n long")
+    sums = counted.groupBy("kind").agg(F.sum(F.when(F.col("content"), F.col("n")).otherwise(0)).alias("inside"),
+                                       F.sum(F.when(F.col("content"), 0).otherwise(F.col("n"))).alias("outside"))
+    counts = {r.kind: (r.inside, r.outside) for r in sums.filter(F.col("inside") + F.col("outside") >= LEAST_WORDS).collect()}
+    words = counts.pop("", (0, 0))
+    tags = [sum(n[j] for k, n in counts.items() if k.startswith("tag ")) for j in (0, 1)]
+
+    def ratio(n, all_of):
+        return math.log((n[0] + 0.5) / (all_of[0] + 1)) - math.log((n[1] + 0.5) / (all_of[1] + 1))
+
+    return {k: ratio(n, tags if k.startswith("tag ") else words) for k, n in counts.items()}
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -48,6 +48,55 @@ def test_given_pages(spark, tables):
         assert got[p["page_id"]] == " ".join(blocks.split())
 
 
+ARTICLE = "<p>" + "good words of an article come here. " * 8 + "</p>"
+
+
+def learned(spark):
+    page = ("<html><body><header class='top-bar'><a href='/'>Site</a></header><div class='zone-left'><ul><li>some thing</li>"
+            "</ul></div><article><h1>A title</h1>" + ARTICLE + "</article><div class='zone-bottom'>end of page</div></body></html>")
+    df = spark.createDataFrame([(i, f"u{i}", page) for i in range(30)], "page_id long, url string, html string")
+    return m.learn(df), page
+
+
+def test_weights_come_from_labelled_pages(spark):
+    """Names that no list has are told apart by what labelled pages say, with the lists switched off."""
+    weights, page = learned(spark)
+    assert weights[".zone"] < -1 and weights[".bottom"] < -1 and weights["p"] > 1
+    want = ("A title " + "good words of an article come here. " * 8).strip()
+    assert m.main_text(page, weights, lists=False) == want
+    assert m.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>"), weights, lists=False) == want
+    assert m.main_text(page, {}, lists=False) != want
+
+
+def test_the_run_leaves_out_what_scores_positive_elsewhere(spark):
+    weights, _ = learned(spark)
+    page = "<body><p>stray words</p>" + "<div class='zone-left'>many more words of no use at all here</div>" * 3 + ARTICLE + "</body>"
+    assert m.main_text(page, weights) == ("good words of an article come here. " * 8).strip()
+
+
+def test_frames_and_heads_are_no_boxes(spark):
+    body = ("good words of an article come here. " * 16).strip()
+    for weights in ({}, learned(spark)[0]):
+        two = ARTICLE + ARTICLE
+        assert m.main_text(f"<body><form id='aspnetForm'><div>{two}</div></form></body>", weights) == body
+        assert m.main_text("<body><nav>menu</nav><div class='content-sidebar-wrap'><article>" + two
+                           + "</article><div class='sidebar'>other</div></div></body>", weights) == body
+        assert m.main_text(f"<article><div class='post-header'><h1>Head</h1></div>{two}</article>", weights) == "Head " + body
+        assert m.main_text("<body><article><p>Few.</p></article><footer>" + "many words of a footer " * 9 + "</footer></body>",
+                           weights) == "Few."
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+    took = []
+    for n in (5_000, 50_000):
+        began = time.time()
+        assert m.main_text("<span>x " * n, {}) == ("x " * n).strip()
+        m.main_text("<div>x</b></i> " * n, {})
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
 def test_best_run_is_the_largest_sum():
     import random
     rng = random.Random(1)
