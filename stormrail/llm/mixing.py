@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target number of words from its weight. A document is expected to be taken target / size of its
-source times: the whole part of that number is certain copies, the fraction is the chance of one copy more. Which
-documents get the extra copy is drawn by Pareto order sampling: with a uniform draw u and a chance p, documents rank by
-(u / (1 - u)) / (p / (1 - p)), and those first in rank are taken until the words due are reached (Rosén, 1997).
+Each source gets a target number of words from its weight. The whole part of target / size of the source is certain
+copies of all its documents. The words still due after those go to one copy more of some documents, each with a chance of
+its own: in proportion to the root of its size, 1 at most, so that the chances times the sizes add up to what is due. Long
+documents are likelier, and many short ones are left to fill the words that remain at the end. Who gets the copy is drawn by
+Pareto order sampling: with a uniform draw u and a chance p, documents rank by (u / (1 - u)) / (p / (1 - p)), and those first
+in rank are taken until the words due are reached (Rosén, 1997). What is left at the end goes to the next ones that fit, so
+the shortest documents are taken a little more often than their chance says.
 The cut in the ranking is found from sums over bins of the rank, finer ones within the bin that holds the cut; no
 source's documents are ever sorted or gathered in one task.
 """
@@ -59,6 +62,29 @@ def pareto_rank(draw: Column, chance: Column) -> Column:
     return odds / (1 + odds)
 
 
+def inclusion(rows: DataFrame, budget: DataFrame) -> DataFrame:
+    """(group, level): documents of ``rows`` (group, size) are to be taken with the chance level * sqrt(size), 1 at most, so
+    that chances times sizes add up to what is ``due`` in ``budget`` (group, due). Groups with no more words than that
+    have an infinite level.
+
+    Chances rise with the size, so those that reach 1 are the sizes above some size. Words above each size, and sizes
+    times roots up to it, are running sums over the distinct sizes of a group; the largest size whose chance stays below
+    1 gives the level.
+    """
+    sizes = rows.filter("size > 0").groupBy("group", "size").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("group").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("group").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    root = F.sqrt("size")
+    run = sizes.select("group", "size", F.coalesce(F.sum(F.col("n") * F.col("size")).over(above), F.lit(0)).alias("above"),
+                       F.sum(F.col("n") * F.col("size") * root).over(upto).alias("open"))
+    b = budget.select(F.col("group").alias("g"), "due")
+    level = (F.col("due") - F.col("above")) / F.col("open")
+    below = level * root < 1
+    found = run.join(b, F.col("group").eqNullSafe(F.col("g"))).withColumn("level", level).groupBy("group").agg(
+        F.max_by(F.when(below, level), F.when(below, F.col("size"))).alias("level"))
+    return found.select("group", F.coalesce("level", F.lit(float("inf"))).alias("level"))
+
+
 def _cut(rows: DataFrame, bins: Column, budget: DataFrame, kind: str) -> DataFrame:
     """(group, due, cut): for each group the first bin up to which the sizes exceed what is ``due``, and what is
     still due within it. Groups that never exceed it are left out."""
@@ -138,11 +164,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumnRenamed("size", "source_size").withColumn("whole", F.floor(times + 1e-9).cast("long"))
     plan = plan.withColumn("due", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = plan.withColumn("chance", F.when(F.col("source_size") > 0, F.col("due") / F.col("source_size")))
     plan = plan.withColumnRenamed("source", "s")
+    open_ = rows.join(plan.filter("due > 0").select("s"), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("source").alias("group"), "size")
+    levels = inclusion(open_, plan.filter("due > 0").select(F.col("s").alias("group"), "due"))
+    plan = written(plan.join(levels, F.col("s").eqNullSafe(F.col("group")), "left").drop("group"), "levels", slim=True)
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     draw = uniform(F.lit(seed), "doc", "size")
-    chance = F.greatest(F.lit(1e-12), F.least(F.col("chance"), F.lit(1 - 1e-12)))
+    chance = F.col("level") * F.sqrt(F.greatest(F.col("size"), F.lit(1)))
+    chance = F.greatest(F.lit(1e-12), F.least(chance, F.lit(1 - 1e-12)))
     dealt = dealt.withColumn("rank", pareto_rank(draw, chance))
     units = dealt.filter("due > 0").select(F.col("source").alias("group"), "size", "rank")
     # written, so the planner knows the size of this table of one row for each source before it joins the documents

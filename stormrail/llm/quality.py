@@ -23,6 +23,9 @@ from stormrail.llm.words import Words, words_of
 PASSAGE = 64
 #: Labelled documents that a model is fitted on at most: those with the smallest hashes of their ids.
 TRAINING_DOCUMENTS = 6000
+#: Passages of a document that the fit sees at most, spread evenly over the whole text; scores use all of them. With the
+#: number of documents this bounds what comes to the driver to some 50 MB, however long the texts are.
+TRAINING_PASSAGES = 64
 #: Sizes of the passage representation and of the attention layer, passes over the sample, documents of a step.
 HIDDEN, ATTENTION, EPOCHS, STEP = 16, 8, 40, 128
 #: Kinds of bytes that are counted apart: a-z, A-Z, 0-9, blanks other than newlines, newlines, parts of characters
@@ -170,13 +173,19 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Attention:
     """Fit on at most ``TRAINING_DOCUMENTS`` labelled rows that are not held out. Ids without a label, with a null
-    label or with contradicting ones are left out. The passages of the sample, some thousand short vectors, are all
-    that comes to the driver."""
+    label or with contradicting ones are left out. The passages of the sample, ``TRAINING_PASSAGES`` short
+    vectors of each document at most, are all that comes to the driver."""
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        if len(x) <= TRAINING_PASSAGES:
+            return x
+        return x[np.arange(TRAINING_PASSAGES) * len(x) // TRAINING_PASSAGES]
+
 
     def run(batches):
         for batch in slices(batches, "text"):
             x, first = passages(words_of(batch.column("text")))
-            rows = pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
+            rows = pa.array([spread(x[a:b]).astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("label"), rows],
                                              names=["doc", "label", "bag"])
 

@@ -68,6 +68,36 @@ def test_unequal_chances_follow_the_pareto_order(spark):
     assert 0.5 < share < 0.7
 
 
+def test_chances_differ_by_size_and_shares_follow_them(make_docs):
+    """Over many seeds documents of each size are taken as often as their chance says, and the sum of what is taken
+    over the chances estimates the number of all documents (Horvitz and Thompson). The words left at the end go to
+    whatever fits, which adds a little to the shortest."""
+    sizes = [20, 30, 45, 70, 100] * 60
+    docs = make_docs([(i, "w " * n, "a") for i, n in enumerate(sizes)])
+    spark, due = docs.sparkSession, 0.3 * sum(sizes)
+    rows = spark.createDataFrame([("a", n) for n in sizes], "group string, size long")
+    level = mixing.inclusion(rows, spark.createDataFrame([("a", due)], "group string, due double")).first().level
+    chance = {n: min(1.0, level * n ** 0.5) for n in set(sizes)}
+    assert sum(n * chance[n] for n in sizes) == pytest.approx(due) and len(set(chance.values())) >= 4
+    taken, seeds = dict.fromkeys(chance, 0), range(6)
+    for seed in seeds:
+        for r in mixing.mix(docs, weights=(1,), share=0.3, seed=seed).collect():
+            taken[r.size] += r.copies
+    share = {n: taken[n] / (60 * len(seeds)) for n in chance}
+    assert all(abs(share[n] - chance[n]) < 0.07 for n in chance), (share, chance)
+    assert sum(taken[n] / chance[n] for n in chance) / len(seeds) == pytest.approx(len(sizes), rel=0.08)
+
+
+def test_inclusion_levels_of_edge_cases(spark):
+    rows = spark.createDataFrame([("a", 9), ("a", 9), ("b", 0), (None, 4), (None, 100)], "group string, size long")
+    due = spark.createDataFrame([("a", 18.0), ("b", 0.0), (None, 54.0)], "group string, due double")
+    got = {r.group: r.level for r in mixing.inclusion(rows, due).collect()}
+    assert got == {"a": float("inf"), None: pytest.approx(54 / (4 * 2 + 100 * 10))}
+    more = spark.createDataFrame([(None, 102.0)], "group string, due double")  # the long one is certain
+    assert [r.level for r in mixing.inclusion(rows, more).collect()] == [pytest.approx(2 / (4 * 2))]
+    assert mixing.inclusion(rows.limit(0), due).count() == 0
+
+
 def test_edges(make_docs):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x y", "a"), (3, "x y", "a"), (None, "p q r", None), (4, "z " * 50_000, "b")]
     got = {(r.doc, r.source): (r.size, r.taken) for r in mixing.mix(make_docs(rows)).collect()}

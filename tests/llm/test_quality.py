@@ -77,3 +77,16 @@ def test_edges(spark, make_docs):
     ones = q.train(make_docs(rows), marks.filter("quality = 1"))
     assert all(r.score > 0.9 for r in q.scored(make_docs(rows), ones).collect())
     assert q.scored(make_docs([]), none).count() == 0
+
+
+def test_the_fit_sees_a_bounded_number_of_passages_of_a_long_text(spark, monkeypatch):
+    """Passages spread over the whole of each text come to the driver, and no more than the bound."""
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda bags, labels: seen.extend(bags))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(n))) for i, n in ((3, 64 * 1000), (4, 100), (6, 0))],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (4, 0), (6, 0)], "doc_id long, quality int")
+    q.train(docs, labels)
+    trained = [i for i in (3, 4, 6) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = {3: q.TRAINING_PASSAGES, 4: 2, 6: 1}
+    assert sorted(len(b) for b in seen) == sorted(want[i] for i in trained)
