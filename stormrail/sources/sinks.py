@@ -48,8 +48,13 @@ def glue_blocks(blocks: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
 
 # SNK6 -------------------------------------------------------------------------
 def write_station_csv(df: DataFrame, path: str, station: str = "station", mode: str = "overwrite") -> None:
-    """';'-separated CSV with a quoted header, one folder per station."""
-    df.write.mode(mode).partitionBy(station).option("sep", ";").option("header", True) \
+    """';'-separated CSV with a quoted header, one folder per station.
+
+    Rows are dealt out by ranges of station, and of a hash of the row inside one, before they are written: a station's
+    rows lie in one file, those of a large one in a few, and the number of files is that of stations and tasks. Written
+    as they come, each task would open a file for nearly every station."""
+    rows = df.repartitionByRange(station, F.xxhash64(*df.columns))
+    rows.write.mode(mode).partitionBy(station).option("sep", ";").option("header", True) \
         .option("quoteAll", True).csv(path)
 
 
