@@ -42,7 +42,13 @@ def heatmap_wide(long: DataFrame, stations: DataFrame, station: str = "station",
     columns = global_row_number(stations.select(station, lat).distinct(), [lat, station], "_n") \
         .select(station, lat, (F.col("_n") - 1).alias("column"))
     cells = long.join(columns.select(station, "column"), station).groupBy(by).agg(
-        F.map_from_entries(F.collect_list(F.struct("column", value))).alias("_cells"))
+        F.collect_list(F.struct("column", F.col(value).alias("value"))).alias("_cells"))
     width = columns.agg(F.count(F.lit(1))).scalar()
-    row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_width") - 1), lambda c: F.col("_cells")[c])
+    # columns without a cell are found as a set and all are sorted once: looking each column up in a map would take
+    # the square of the number of stations for each day
+    every = F.sequence(F.lit(0).cast("long"), F.col("_width") - 1)
+    none = F.lit(None).cast(long.schema[value].dataType)
+    blank = F.transform(F.array_except(every, F.transform("_cells", lambda c: c["column"])),
+                        lambda c: F.struct(c.alias("column"), none.alias("value")))
+    row = F.transform(F.array_sort(F.concat("_cells", blank)), lambda c: c["value"])
     return columns, cells.withColumn("_width", width).select(by, row.alias("values"))

@@ -20,3 +20,13 @@ def test_station_csv_files_do_not_multiply_with_tasks(spark, tmp_path):
     assert files <= 50 + 16
     back = spark.read.option("sep", ";").option("header", True).csv(path).agg(F.count("v"), F.count_distinct("v")).first()
     assert tuple(back) == (4000, 4000)
+
+
+def test_heat_map_row_is_sorted_not_looked_up(spark):
+    from stormrail.plans.heatmap import heatmap_wide
+    stations = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 2.0)], "station string, lat double")
+    long = spark.createDataFrame([("a", 1, 5.0), ("b", 1, None), ("c", 2, 7.0), ("x", 2, 9.0)],
+                                 "station string, dayofyear int, scaled double")
+    _, m = heatmap_wide(long, stations)
+    assert {r["dayofyear"]: r["values"] for r in m.collect()} == {1: [None, None, 5.0], 2: [None, 7.0, None]}
+    assert "map_from_entries" not in _plan(m)
