@@ -30,3 +30,21 @@ def test_heat_map_row_is_sorted_not_looked_up(spark):
     _, m = heatmap_wide(long, stations)
     assert {r["dayofyear"]: r["values"] for r in m.collect()} == {1: [None, None, 5.0], 2: [None, 7.0, None]}
     assert "map_from_entries" not in _plan(m)
+
+
+@pytest.fixture()
+def no_auto_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_downsampling_does_not_shuffle_rows_by_class(spark, no_auto_broadcast):
+    from stormrail.operators.sampling import downsample_to_smallest, ratio_downsample
+    d = spark.range(1000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, 1).when(F.col("id") < 900, 0)
+                                 .alias("class"))
+    for out in (downsample_to_smallest(d, ["k"], "class"), ratio_downsample(d, ["k"], 2.0, "class")):
+        assert "BroadcastHashJoin" in _plan(out)
+    got = {r["class"]: r["count"] for r in downsample_to_smallest(d, ["k"], "class").groupBy("class").count().collect()}
+    assert got == {0: 90, 1: 90, None: 90}
