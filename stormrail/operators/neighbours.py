@@ -134,6 +134,13 @@ def _met(visits: DataFrame, sites: DataFrame, k: int, d: int, slack: float, own:
     return dealt.groupBy("leaf", "chunk").cogroup(copies.groupBy("leaf", "chunk")).applyInPandas(meet, kinds)
 
 
+def _low(sites: DataFrame, n: int, m: int) -> DataFrame:
+    """About ``m`` of the ``n`` sites, those with the smallest hashes. Sorted with a limit, each task sends as many rows
+    as the limit to the driver; out of these few all tasks together send no more than there are."""
+    top = -(1 << 63) + (1 << 64) * m // max(n, 1)
+    return sites if m >= n else sites.where(F.xxhash64("sid") < top)
+
+
 def k_nearest(queries: DataFrame, sites: DataFrame, k: int, coords: Sequence[str], qid: str = "qid", sid: str = "sid",
               radius: float | None = None, slack: float = 0.0, own: bool = False) -> DataFrame:
     """(qid, sid, d2, rank): the ``k`` nearest sites of each query by Euclidean distance, ties by id.
@@ -155,7 +162,8 @@ def k_nearest(queries: DataFrame, sites: DataFrame, k: int, coords: Sequence[str
 
     n = s.count()
     leaves = min(MOST_LEAVES, max(1, -(-n // LEAF_SITES)))
-    sample = s.orderBy(F.xxhash64("sid"), "sid").limit(leaves * SAMPLE_PER_LEAF).select("x").toPandas()
+    wanted = leaves * SAMPLE_PER_LEAF
+    sample = _low(s, n, 2 * wanted).orderBy(F.xxhash64("sid"), "sid").limit(wanted).select("x").toPandas()
     tree = build_tree(_matrix(sample["x"], d), leaves)
 
     @F.pandas_udf("int")

@@ -48,3 +48,10 @@ def test_downsampling_does_not_shuffle_rows_by_class(spark, no_auto_broadcast):
         assert "BroadcastHashJoin" in _plan(out)
     got = {r["class"]: r["count"] for r in downsample_to_smallest(d, ["k"], "class").groupBy("class").count().collect()}
     assert got == {0: 90, 1: 90, None: 90}
+
+
+def test_sample_of_sites_is_drawn_before_it_is_sorted(spark):
+    from stormrail.operators.neighbours import _low
+    s = spark.range(100_000).select(F.col("id").alias("sid"))
+    assert 1000 <= _low(s, 100_000, 2000).count() <= 3000
+    assert _low(s, 100_000, 100_000).count() == 100_000
