@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,21 +206,92 @@ def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
 
 
+#: Links and (station, time) entries of a block of ``link_counts`` aimed at, and terms that are summed at once in it.
+BLOCK_LINKS = 4_000_000
+BLOCK_ENTRIES = 4_000_000
+STEP = 4_000_000
+
+
+def _met_counts(links: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """(s, t, n) of one block: for each of its wanted (s, t), the counts at t of the stations that a link joins with s.
+    ``links``: (a, b); ``entries``: (s, t, n, wanted), the counts of the b side and the places asked for on the a side."""
+    none = pd.DataFrame({"s": [], "t": [], "n": []}).astype("int64")
+    given, asked = entries[~entries["wanted"]], entries[entries["wanted"]]
+    if not len(links) or not len(given) or not len(asked):
+        return none
+    times, t = np.unique(given["t"].to_numpy(), return_inverse=True)
+    order = np.argsort(given["s"].to_numpy(), kind="stable")
+    s, t, n = given["s"].to_numpy()[order], t[order], given["n"].to_numpy()[order].astype(np.float64)
+    at = np.searchsorted(times, asked["t"].to_numpy())
+    known = times[np.minimum(at, len(times) - 1)] == asked["t"].to_numpy()
+    want = np.sort(asked["s"].to_numpy()[known] * len(times) + at[known])
+    base = int(links["b"].max()) + 1
+    pair = np.unique(links["a"].to_numpy() * base + links["b"].to_numpy())
+    a, b = pair // base, pair % base
+    first = np.searchsorted(s, b, "left")
+    size = np.searchsorted(s, b, "right") - first
+    a, first, size = a[size > 0], first[size > 0], size[size > 0]
+    upto, out, i = np.cumsum(size), [], 0
+    while i < len(a):
+        done = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, done + STEP, "right")))
+        terms = int(upto[j - 1] - done)
+        of = np.repeat(first[i:j] - (upto[i:j] - size[i:j] - done), size[i:j]) + np.arange(terms)
+        low = a[i] * len(times)
+        key = np.repeat(a[i:j] * len(times), size[i:j]) + t[of] - low
+        mine = want[np.searchsorted(want, low):np.searchsorted(want, (a[j - 1] + 1) * len(times))]
+        if key.max() < 4 * STEP:
+            sums = np.bincount(key, n[of], minlength=int(key.max()) + 1)
+            hit = mine[mine - low < len(sums)]
+            found = sums[hit - low]
+        else:  # few terms for each station and many times
+            keys, inverse = np.unique(key, return_inverse=True)
+            sums = np.bincount(inverse, n[of])
+            place = np.minimum(np.searchsorted(keys, mine - low), len(keys) - 1)
+            hit = mine[keys[place] == mine - low]
+            found = sums[place[keys[place] == mine - low]]
+        hit, found = hit[found > 0], found[found > 0]
+        out.append(pd.DataFrame({"s": hit // len(times), "t": times[hit % len(times)], "n": found.astype(np.int64)}))
+        i = j
+    return pd.concat(out) if out else none
+
+
 def link_counts(rows: DataFrame, edges: DataFrame, station: str = "station", src: str = "src", dst: str = "dst",
                 same_time: str | None = "time", out: str = "n_links") -> DataFrame:
     """``rows`` with the number of rows that each is linked to: rows of stations that an edge joins with its own (of
     the same time step if ``same_time`` is given). Rows without links are left out, as from the pairs.
 
-    Pairs are never made. Rows are counted by (station, time) first; a count goes along each edge of its station and
-    the counts that meet at a station are summed, so the largest table has a row for each edge and time step, whatever
-    the number of rows.
+    Neither pairs of rows nor a row for each edge and time step are made. Rows are counted by (station, time) first.
+    Stations are numbered and dealt into k parts; each of the k x k blocks of links meets the counts of one part and
+    the (station, time) of the other, and gives the sums of the latter, which are added up over the blocks. So counts
+    and sums are shuffled k times and links once; k grows with the root of the number of links.
     """
+    from stormrail.operators.ordered import global_row_number
+    from stormrail.session import stored
     by = [station] + ([same_time] if same_time else [])
-    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    e = _both_ways(edges, src, dst)
-    arrived = counts.join(e, F.col(station) == F.col("_b")).groupBy(
-        F.col("_a").alias(station), *by[1:]).agg(F.sum("_n").cast("long").alias(out))
-    return rows.join(arrived, by)
+    there = rows.where(" and ".join(f"`{c}` is not null" for c in by))
+    counts = stored(there.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    names = stored(global_row_number(counts.select(station).distinct(), [station], "_s"), "stations")
+    coded = counts.join(names, station)
+    if same_time:
+        coded = coded.join(global_row_number(counts.select(same_time).distinct(), [same_time], "_t"), same_time)
+    else:
+        coded = coded.withColumn("_t", F.lit(0).cast("long"))
+    coded = stored(coded, "coded")
+    ends = [names.select(F.col(station).alias(c), F.col("_s").alias(i)) for c, i in (("_a", "a"), ("_b", "b"))]
+    e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).join(ends[0], "_a").join(ends[1], "_b")
+    e = stored(e.select("a", "b"), "links")
+    k = max(1, math.ceil(math.sqrt(2 * e.count() / BLOCK_LINKS)), math.ceil(coded.count() / BLOCK_ENTRIES))
+    part = lambda c: F.pmod(F.col(c), F.lit(k)).cast("int")
+    links = e.union(e.select("b", "a")).select(part("a").alias("i"), part("b").alias("j"), "a", "b")
+    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    entry = coded.select(F.col("_s").alias("s"), F.col("_t").alias("t"), F.col("_n").alias("n"))
+    entries = entry.select(every.alias("i"), part("s").alias("j"), "*", F.lit(False).alias("wanted")).union(
+        entry.select(part("s").alias("i"), every.alias("j"), "*", F.lit(True).alias("wanted")))
+    met = links.groupBy("i", "j").cogroup(entries.groupBy("i", "j")).applyInPandas(
+        lambda x, y: _met_counts(x, y), "s long, t long, n long")
+    sums = met.groupBy(F.col("s").alias("_s"), F.col("t").alias("_t")).agg(F.sum("n").cast("long").alias(out))
+    return rows.join(coded.join(sums, ["_s", "_t"]).select(*by, out), by)
 
 
 def row_links(rows: DataFrame, edges: DataFrame, row_id: str = "row_id", station: str = "station",

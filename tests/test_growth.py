@@ -55,3 +55,19 @@ def test_sample_of_sites_is_drawn_before_it_is_sorted(spark):
     s = spark.range(100_000).select(F.col("id").alias("sid"))
     assert 1000 <= _low(s, 100_000, 2000).count() <= 3000
     assert _low(s, 100_000, 100_000).count() == 100_000
+
+
+def test_link_counts_in_blocks(spark, monkeypatch):
+    from stormrail.operators import joins as J
+    rows = spark.range(600).select(F.when(F.col("id") % 97 > 0, F.concat(F.lit("S"), (F.col("id") % 13).cast("string"))).alias("station"),
+                                   F.when(F.col("id") % 89 > 0, F.col("id") % 7).alias("time"), F.col("id").alias("row_id"))
+    edges = spark.range(40).select(F.concat(F.lit("S"), (F.col("id") % 11).cast("string")).alias("src"),
+                                   F.concat(F.lit("S"), (F.col("id") * 3 % 17).cast("string")).alias("dst"))
+    for time in ("time", None):
+        want = {r[0]: r[1] for r in J.row_links(rows, edges, same_time=time).groupBy("row_a").count().collect()}
+        for links, step in ((4_000_000, 4_000_000), (8, 50), (8, 1)):
+            monkeypatch.setattr(J, "BLOCK_LINKS", links)
+            monkeypatch.setattr(J, "STEP", step)
+            got = J.link_counts(rows, edges, same_time=time)
+            assert {r["row_id"]: r["n_links"] for r in got.collect()} == want
+            assert len(want) == got.count()
