@@ -137,7 +137,9 @@ def read_adjacency_matrix(spark: SparkSession, path: str, sep: str = ",") -> Dat
     distributed row number."""
     t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col(
         "_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # lines are ranked with the places of their edges, not with their cells
+    found = F.transform(F.split("value", sep), lambda v, j: F.when(F.trim(v).try_cast("double") > 0, j))
+    t = t.select("_file", "_block", "_id", F.array_compact(found).alias("_js"))
     t = global_row_number(t, ["_file", "_block", "_id"], "_line")
-    cells = t.select((F.col("_line") - 1).alias("i"), F.posexplode(F.split("value", sep)).alias("j", "v"))
-    return cells.where(F.trim("v").try_cast("double") > 0).select(F.col("i").cast("long").alias("i"),
-                                                                  F.col("j").cast("long").alias("j"))
+    cells = t.select((F.col("_line") - 1).cast("long").alias("i"), F.explode("_js").alias("j"))
+    return cells.select("i", F.col("j").cast("long").alias("j"))

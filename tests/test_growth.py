@@ -71,3 +71,15 @@ def test_link_counts_in_blocks(spark, monkeypatch):
             got = J.link_counts(rows, edges, same_time=time)
             assert {r["row_id"]: r["n_links"] for r in got.collect()} == want
             assert len(want) == got.count()
+
+
+def test_adjacency_matrix_files_are_small(spark, tmp_path):
+    from stormrail.sources import readers as RD
+    from stormrail.sources import sinks as SK
+    path, n = str(tmp_path / "matrix"), 1500
+    edges = [(0, 0), (3, 1499), (1499, 2), (700, 700), (3, 4)]
+    SK.write_adjacency_matrix(spark.createDataFrame(edges, "i int, j int"), n, path, block=500)
+    assert sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path)) < n * n / 20
+    lines = [r["value"] for r in spark.read.text(path).where("value like '%1%'").collect()]
+    assert len(lines) == 4 and all(len(x) == 2 * n - 1 for x in lines)
+    assert sorted(map(tuple, RD.read_adjacency_matrix(spark, path).collect())) == sorted(edges)
