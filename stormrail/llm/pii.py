@@ -57,8 +57,6 @@ RESPELLED = {
 }
 #: An item as its base pattern has it.
 PLAIN = {"email": "@", "ip": r"^[0-9]+(?:\.[0-9]+){3}$", "card": r"^[0-9](?:[\x20-]?[0-9])+$", "phone": r"^\+"}
-#: Candidates that the trees learn from at most: those with the smallest hashes.
-TRAINING_CANDIDATES = 20000
 TREES, DEPTH = 16, 4
 #: Share of the accepted held-out candidates that must be right.
 PRECISION = 0.99
@@ -180,19 +178,22 @@ class Trees:
 
 
 def train(found: DataFrame) -> Trees | None:
-    """Fit on rows (c, label) of candidates (order, x). None without both labels. Only the trees and a histogram of
-    scores come to the driver."""
-    sample = written(found.orderBy(F.xxhash64("c", "label"), "c", "label")
-                     .limit(TRAINING_CANDIDATES).withColumn("test", F.pmod(F.xxhash64("c"), F.lit(4)) == 0), "sample")
+    """Fit on all rows (c, label) of candidates (order, x). None without both labels. Equal rows are one of their
+    number's weight, so the trees see each format and context once. Only the trees and a histogram of scores come to
+    the driver."""
+    sample = written(found.groupBy("c", "label").agg(F.count(F.lit(1)).alias("n"))
+                     .withColumn("test", F.pmod(F.xxhash64("c"), F.lit(4)) == 0), "sample")
     if sample.filter("not test").select("label").distinct().count() < 2:
         return None
-    flat = sample.select("test", "label", "c", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES])
+    flat = sample.select("test", "label", "c", "n", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat)
-    gbt = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=5, stepSize=0.3)
-    trees = Trees(gbt.fit(rows.filter("not test").select("features", F.col("label").cast("double"))), {})
-    scored = sample.filter("test").select(F.col("c.order").alias("kind"), "label",
+    gbt = GBTClassifier(labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, seed=5, stepSize=0.3)
+    trees = Trees(gbt.fit(rows.filter("not test").select("features", F.col("label").cast("double"),
+                                                         F.col("n").cast("double"))), {})
+    scored = sample.filter("test").select(F.col("c.order").alias("kind"), "label", "n",
                                           F.floor(trees.score(F.col("c.x")) * 1000).alias("s"))
-    steps = scored.groupBy("kind", "s").agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()
+    steps = scored.groupBy("kind", "s").agg(F.sum(F.col("label") * F.col("n")).alias("right"),
+                                            F.sum("n").alias("all")).collect()
     for kind in range(len(KINDS)):
         right = total = 0
         for r in sorted((r for r in steps if r.kind == kind), key=lambda r: -r.s):
