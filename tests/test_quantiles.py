@@ -98,3 +98,34 @@ def test_named_median_among_other_aggregates(spark):
     assert [tuple(r) for r in out] == [("s", 1, 4.0, 5.0), ("t", None, 2.0, None)]
     only = A.aggregate_by_names(df, ["station"], ["median_x"]).orderBy("station").collect()
     assert [tuple(r) for r in only] == [("s", 4.0), ("t", 2.0)]
+
+
+@pytest.mark.parametrize("cells", [1, 64, 2000])
+def test_rounds_of_few_bins_and_the_last_by_value(spark, monkeypatch, cells):
+    monkeypatch.setattr(Q, "CELLS", cells)
+    rng = random.Random(5)
+    draw = [lambda: rng.gauss(0, 1e6), lambda: float(rng.randint(0, 3)), lambda: rng.choice([0.0, -0.0, 1e300, -1e-300])]
+    rows = [(g, draw[i]()) for i, g in enumerate(["a", "b", None]) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    assert flat(ours(df)) == pytest.approx(flat(numpy_quantiles(rows)), abs=0.0)
+
+
+def test_higher_quantiles_equal_numpy(spark):
+    rng = random.Random(6)
+    v = [rng.gauss(0, 1) for _ in range(777)]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    got = Q.exact_quantiles(df, "v", [0.5, 0.3, 0.99], higher=[0.3, 0.99]).first()
+    assert tuple(got) == (np.median(v), *np.quantile(v, [0.3, 0.99], method="higher"))
+
+
+def test_values_are_written_as_they_come(spark, monkeypatch):
+    """No task hashes the exploded values of its part: nearly all of them differ, so that table is as large as they are."""
+    plans, stored = {}, Q.stored
+    monkeypatch.setattr(Q, "stored", lambda d, name: plans.setdefault(
+        name, d._jdf.queryExecution().optimizedPlan().toString()) and stored(d, name))
+    df = spark.range(300).selectExpr("id % 7 as time", "case when id % 3 = 0 then 'K' else 'T' end as train_type",
+                                     "id / 3.0D as delay", "id * 1.0D as total_delay")
+    out = A.mean_median_by_group(df).collect()
+    assert len(out) == 7 * 4 and "Aggregate" not in plans["values"] and "Range" not in plans["values"]
+    assert {r.time: r.median_total_delay for r in out if r.group == "all"} == {
+        t: float(np.median([i for i in range(300) if i % 7 == t])) for t in range(7)}
