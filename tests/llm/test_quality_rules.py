@@ -127,3 +127,34 @@ def test_levels_only_tighten_and_few_labels_reject_nothing():
     assert (np.diff(c.levels[1:], axis=0) <= 0).all() and np.isinf(c.levels[0]).all()
     assert c.chosen == {None: 0, "a": 0}
     assert q.fit(x[:0], np.zeros(0, bool), np.zeros(0, bool), []).chosen == {}
+
+
+def test_fit_counts_every_labelled_document(spark):
+    """More labelled documents than the fit once saw at most: levels and tests are those of all of them."""
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    draw = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))
+    bad = draw(0, 10) < 2
+    counts = [(draw(k, 40) + (100 if c == "n_words" else 0) + F.when(bad & (draw(20, 2) == 0), 60).otherwise(0)).alias(c)
+              for k, c in enumerate(q.COUNTS, 1)]
+    stratum = F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("stratum")
+    rows = spark.range(0, n, 1, 4).select(F.col("id").alias("doc"), stratum, draw(30, 2).cast("int").alias("half"),
+                                          F.lit(False).alias("base_failed"), *counts)
+    labels = spark.range(0, n, 1, 4).select(F.col("id").alias("doc_id"), (~bad).cast("int").alias("quality"))
+    levels, chosen = q.train(rows, labels)
+    t = rows.join(labels, F.col("doc") == F.col("doc_id")).toPandas()
+    want = q.fit(q.measures({c: t[c].to_numpy() for c in q.COUNTS}), t["quality"].to_numpy() == 1,
+                 t["half"].to_numpy() == 1, [None if s != s else s for s in t["stratum"]])
+    got = chosen.collect()
+    assert levels == pytest.approx(want.levels)
+    assert {r.stratum: r.level for r in got} == want.chosen and max(want.chosen.values()) > 0
+    assert sorted(((r.stratum or "", x.level, x.good, x.rejected) for r in got for x in r.tests)) == sorted(
+        (s or "", *x) for s, *x, _ in want.tests)
+    assert sum(r.tests[0].good for r in got) == ((t["half"] == 1) & (t["quality"] == 1)).sum()
+
+
+def test_tail_of_many_draws_is_quick_and_right():
+    assert q.tail(500_000, 10 ** 6, 0.5) == pytest.approx(0.5, abs=1e-3)
+    assert q.tail(30_000_000, 10 ** 9, 0.03) == pytest.approx(0.5, abs=1e-3)
+    assert 0.03 < q.upper_bound(3_000_000, 10 ** 8, 0.01) < 0.0301
