@@ -63,8 +63,9 @@ def band_evaluation(pred: DataFrame, station: str = "station", time: str = "time
                     y: str = "y", yhat: str = "y_pred") -> DataFrame:
     """FRAC1: per station RMSE / median AE / R^2 of the prediction and of the
     band's 0.1 and 0.9 quantiles (joined back by time and latitude band),
-    plus the overall row. All quantiles are selected by radix."""
-    b = pred.withColumn("band", lat_band(lat))
+    plus the overall row. All quantiles are selected by radix, and all passes
+    (bands, moments, errors) read the columns they need from one written table."""
+    b = stored(pred.select(station, time, y, yhat, lat_band(lat).alias("band")), "bands")
     q = exact_quantiles(b, yhat, [0.1, 0.9], [time, "band"], prefix="_q")
     j = b.join(q, [time, "band"]).withColumnsRenamed({"_q_0_1": "q_low", "_q_0_9": "q_high"})
     aggs = []
