@@ -16,8 +16,9 @@ FEATS = ["train_count", "prec", "gust", "vis", "n", "prec_3h", "prec_6h", "flash
 
 
 def _data(spark, sf):
+    """The rows that models are fitted on and scored, written once: each pass of a fit would build the features anew."""
     f = features(spark, sf).withColumn("label", (F.col("delay") > 50).cast("int"))
-    return holdout(f, KEYS, 30)
+    return stored(holdout(f, KEYS, 30).select(*KEYS, *FEATS, "delay", "label", "split"), "features")
 
 
 def _train_test(spark, sf):

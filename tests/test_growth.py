@@ -83,3 +83,31 @@ def test_adjacency_matrix_files_are_small(spark, tmp_path):
     lines = [r["value"] for r in spark.read.text(path).where("value like '%1%'").collect()]
     assert len(lines) == 4 and all(len(x) == 2 * n - 1 for x in lines)
     assert sorted(map(tuple, RD.read_adjacency_matrix(spark, path).collect())) == sorted(edges)
+
+
+def _source(spark, n=300):
+    """Rows whose plan shows where they are built again: it has a Range."""
+    return spark.range(n).select(
+        F.concat(F.lit("S"), (F.col("id") % 5).cast("string")).alias("station"),
+        F.timestamp_add("HOUR", F.col("id") % 11, F.lit("2024-01-01").cast("timestamp_ntz")).alias("time"),
+        F.col("id").cast("string").alias("train_type"), (F.lit(59.5) + F.col("id") % 5).alias("lat"),
+        (F.col("id") % 100).cast("double").alias("delay"), (F.col("id") % 100).cast("double").alias("y"),
+        F.pmod(F.xxhash64("id"), F.lit(90)).cast("double").alias("y_pred"),
+        *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(9)).cast("double").alias(c) for c in
+          ("train_count", "prec", "gust", "vis", "n", "prec_3h", "prec_6h", "flashcount")])
+
+
+def test_band_evaluation_reads_its_input_once(spark):
+    from stormrail.plans.evaluation import band_evaluation
+    out = band_evaluation(_source(spark))
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.station: r.n for r in out.collect()} == {"all": 300, **{f"S{i}": 60 for i in range(5)}}
+
+
+@pytest.mark.parametrize("name", ["mod1_rf_classifier", "mod3_linear_elastic", "mod5_linear_svc"])
+def test_models_do_not_build_the_features_again(spark, monkeypatch, name):
+    from stormrail.catalog import q_models
+    monkeypatch.setattr(q_models, "features", lambda *_: _source(spark))
+    out = getattr(q_models, name)(spark, None)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < out.count() < 300
