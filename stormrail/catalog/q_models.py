@@ -220,7 +220,7 @@ def mod3_partial_fit(spark, sf):
 @query("mod7_random_search")
 def mod7_random_search(spark, sf):
     """All four sets on five time folds; the best is refitted, saved and loaded again."""
-    folds = time_folds(_data(spark, sf), ["time", "station", "train_type"], 5)
+    folds = stored(time_folds(_data(spark, sf), ["time", "station", "train_type"], 5), "folded")
     res, model, _ = SR.random_search(folds, FEATS, "delay", "rf_regressor", {"numTrees": [5, 10], "maxDepth": [3, 5]}, seed=7)
     path = SK.scratch_path(spark, "best")
     SK.save_model(model, path)

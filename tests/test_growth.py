@@ -111,3 +111,14 @@ def test_models_do_not_build_the_features_again(spark, monkeypatch, name):
     out = getattr(q_models, name)(spark, None)
     assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < out.count() < 300
+
+
+def test_search_does_not_build_the_folds_again(spark, monkeypatch):
+    from stormrail.catalog import q_models
+    seen, search = [], q_models.SR.random_search
+    monkeypatch.setattr(q_models, "features", lambda *_: _source(spark))
+    monkeypatch.setattr(q_models.SR, "random_search", lambda folds, *a, **k: seen.append(folds) or search(folds, *a, **k))
+    out = q_models.mod7_random_search(spark, None).collect()
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Range (" not in plan
+    assert len(out) == 4 and [r.refit_rows for r in out if r["rank"] == 1][0] == 300
