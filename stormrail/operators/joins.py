@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,54 +206,103 @@ def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return e.unionByName(e.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
 
 
-#: Links and (station, time) entries of a block of ``link_counts`` aimed at, and terms that are summed at once in it.
-BLOCK_LINKS = 4_000_000
-BLOCK_ENTRIES = 4_000_000
-STEP = 4_000_000
-
-
-def _met_counts(links: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    """(s, t, n) of one block: for each of its wanted (s, t), the counts at t of the stations that a link joins with s.
-    ``links``: (a, b); ``entries``: (s, t, n, wanted), the counts of the b side and the places asked for on the a side."""
-    none = pd.DataFrame({"s": [], "t": [], "n": []}).astype("int64")
-    given, asked = entries[~entries["wanted"]], entries[entries["wanted"]]
-    if not len(links) or not len(given) or not len(asked):
-        return none
-    times, t = np.unique(given["t"].to_numpy(), return_inverse=True)
-    order = np.argsort(given["s"].to_numpy(), kind="stable")
-    s, t, n = given["s"].to_numpy()[order], t[order], given["n"].to_numpy()[order].astype(np.float64)
-    at = np.searchsorted(times, asked["t"].to_numpy())
-    known = times[np.minimum(at, len(times) - 1)] == asked["t"].to_numpy()
-    want = np.sort(asked["s"].to_numpy()[known] * len(times) + at[known])
-    base = int(links["b"].max()) + 1
-    pair = np.unique(links["a"].to_numpy() * base + links["b"].to_numpy())
-    a, b = pair // base, pair % base
-    first = np.searchsorted(s, b, "left")
-    size = np.searchsorted(s, b, "right") - first
-    a, first, size = a[size > 0], first[size > 0], size[size > 0]
-    upto, out, i = np.cumsum(size), [], 0
+#: Links and (station, time) entries of a block of ``link_counts`` aimed at, terms that are summed at once in it, and
+#: rows that are packed together on their way to it.
+BLOCK_LINKS = 6_000_000
+BLOCK_ENTRIES = 8_000_000
+STEP = 1_000_000
+PACK = 1 << 18
+
+
+def _packs(batches, deal, names):
+    """Rows in packs: one row for each block of up to ``PACK`` rows, their columns as lists. ``deal`` gives the number
+    of each row's block and the columns that go there."""
+    def pack(held):
+        at, columns = deal(*[np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(held[0].num_columns)])
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        ends = pa.array(np.append(first, len(at)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(at[first]), *lists], names=names)
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = held + [batch], n + batch.num_rows
+        if n >= PACK:
+            yield pack(held)
+            held, n = [], 0
+    if n:
+        yield pack(held)
+
+
+def _met_counts(a: np.ndarray, b: np.ndarray, given: Sequence[np.ndarray], asked: Sequence[np.ndarray], n_times: int,
+                step: int):
+    """Pieces (s, t, n): for each asked (s, t), the counts at t of the stations that a link joins with s. Links a -> b,
+    ascending; ``given`` (s, t, n) by s, the counts of the b side; ``asked`` (s, t) ascending, the places of the a side."""
+    s, t, n = given
+    first, last = np.searchsorted(s, b, "left"), np.searchsorted(s, b, "right")
+    some = last > first
+    a, first, size = a[some], first[some], (last - first)[some]
+    want = asked[0].astype(np.int64) * n_times + asked[1]
+    upto, i = np.cumsum(size), 0
     while i < len(a):
         done = upto[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(upto, done + STEP, "right")))
+        j = max(i + 1, int(np.searchsorted(upto, done + step, "right")))
         terms = int(upto[j - 1] - done)
         of = np.repeat(first[i:j] - (upto[i:j] - size[i:j] - done), size[i:j]) + np.arange(terms)
-        low = a[i] * len(times)
-        key = np.repeat(a[i:j] * len(times), size[i:j]) + t[of] - low
-        mine = want[np.searchsorted(want, low):np.searchsorted(want, (a[j - 1] + 1) * len(times))]
-        if key.max() < 4 * STEP:
+        low = int(a[i]) * n_times
+        key = np.repeat(a[i:j].astype(np.int64) * n_times - low, size[i:j]) + t[of]
+        mine = want[np.searchsorted(want, low):np.searchsorted(want, (int(a[j - 1]) + 1) * n_times)] - low
+        if key.max() < 4 * max(step, terms):
             sums = np.bincount(key, n[of], minlength=int(key.max()) + 1)
-            hit = mine[mine - low < len(sums)]
-            found = sums[hit - low]
+            hit = mine[mine < len(sums)]
+            found = sums[hit]
         else:  # few terms for each station and many times
             keys, inverse = np.unique(key, return_inverse=True)
             sums = np.bincount(inverse, n[of])
-            place = np.minimum(np.searchsorted(keys, mine - low), len(keys) - 1)
-            hit = mine[keys[place] == mine - low]
-            found = sums[place[keys[place] == mine - low]]
-        hit, found = hit[found > 0], found[found > 0]
-        out.append(pd.DataFrame({"s": hit // len(times), "t": times[hit % len(times)], "n": found.astype(np.int64)}))
+            place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            hit = mine[keys[place] == mine]
+            found = sums[place[keys[place] == mine]]
+        hit, found = hit[found > 0] + low, found[found > 0]
+        yield hit // n_times, hit % n_times, found.astype(np.int64)
         i = j
-    return pd.concat(out) if out else none
+
+
+def _block_sums(i: int, j: int, batches, k: int, step: int):
+    """Batches (s, t, n) of the block of parts i and j: the sums that its links bring to the places of both."""
+    def flat(batch, name):
+        return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
+
+    pairs, entries, seen = [], {i: [], j: []}, np.empty(0, np.int64)
+    for batch in batches:
+        pairs.append((flat(batch, "a"), flat(batch, "b")))
+        parts = batch.column(batch.schema.get_field_index("part"))
+        for p in entries:
+            mine = batch.filter(pa.array(np.equal(parts.fill_null(-1), p)))
+            st, tt, nn = (flat(mine, c) for c in ("s", "t", "n"))
+            if len(st):
+                seen = np.union1d(seen, tt)
+                entries[p].append((st, tt, nn.astype(np.min_scalar_type(nn.max()))))
+    for p, found in entries.items():
+        if not found:
+            entries[p] = (np.empty(0, np.int32),) * 3
+            continue
+        s, n = np.concatenate([x[0] for x in found]), np.concatenate([x[2] for x in found])
+        t = np.concatenate([np.searchsorted(seen, x[1]).astype(np.int32) for x in found])
+        found.clear()
+        order = np.lexsort((t, s))
+        entries[p] = s[order], t[order], n[order]
+    a, b = (np.concatenate([x[c] for x in pairs]).astype(np.int64) for c in (0, 1))
+    pairs.clear()
+    base = max(int(a.max(initial=0)), int(b.max(initial=0))) + 1
+    ways = [(i, j, a * base + b), (j, i, b * base + a)] if i != j else [(i, i, np.r_[a * base + b, b * base + a])]
+    del a, b
+    for to, of, pair in ways:
+        pair = np.unique(pair)
+        for s, t, n in _met_counts(*(x.astype(np.int32) for x in np.divmod(pair, base)), entries[of], entries[to][:2],
+                                   len(seen), step):
+            yield pa.RecordBatch.from_arrays([pa.array(s * k + to), pa.array(seen[t]), pa.array(n)], names=["s", "t", "n"])
 
 
 def link_counts(rows: DataFrame, edges: DataFrame, station: str = "station", src: str = "src", dst: str = "dst",
@@ -262,9 +311,10 @@ def link_counts(rows: DataFrame, edges: DataFrame, station: str = "station", src
     the same time step if ``same_time`` is given). Rows without links are left out, as from the pairs.
 
     Neither pairs of rows nor a row for each edge and time step are made. Rows are counted by (station, time) first.
-    Stations are numbered and dealt into k parts; each of the k x k blocks of links meets the counts of one part and
-    the (station, time) of the other, and gives the sums of the latter, which are added up over the blocks. So counts
-    and sums are shuffled k times and links once; k grows with the root of the number of links.
+    Stations are numbered and dealt into k parts; a block for each pair of parts meets the links between them and the
+    (station, time) counts of both, and gives the sums for both, which are added up over the blocks. So counts and
+    sums are shuffled k times and links once; k grows with the root of the number of links, and with the number of
+    counts. Links and counts travel in packs, and a task holds those of one block as plain numbers.
     """
     from stormrail.operators.ordered import global_row_number
     from stormrail.session import stored
@@ -281,16 +331,31 @@ def link_counts(rows: DataFrame, edges: DataFrame, station: str = "station", src
     ends = [names.select(F.col(station).alias(c), F.col("_s").alias(i)) for c, i in (("_a", "a"), ("_b", "b"))]
     e = edges.select(F.col(src).alias("_a"), F.col(dst).alias("_b")).join(ends[0], "_a").join(ends[1], "_b")
     e = stored(e.select("a", "b"), "links")
-    k = max(1, math.ceil(math.sqrt(2 * e.count() / BLOCK_LINKS)), math.ceil(coded.count() / BLOCK_ENTRIES))
-    part = lambda c: F.pmod(F.col(c), F.lit(k)).cast("int")
-    links = e.union(e.select("b", "a")).select(part("a").alias("i"), part("b").alias("j"), "a", "b")
-    every = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    entry = coded.select(F.col("_s").alias("s"), F.col("_t").alias("t"), F.col("_n").alias("n"))
-    entries = entry.select(every.alias("i"), part("s").alias("j"), "*", F.lit(False).alias("wanted")).union(
-        entry.select(part("s").alias("i"), every.alias("j"), "*", F.lit(True).alias("wanted")))
-    met = links.groupBy("i", "j").cogroup(entries.groupBy("i", "j")).applyInPandas(
-        lambda x, y: _met_counts(x, y), "s long, t long, n long")
-    sums = met.groupBy(F.col("s").alias("_s"), F.col("t").alias("_t")).agg(F.sum("n").cast("long").alias(out))
+    k = max(1, math.ceil(math.sqrt(2 * e.count() / BLOCK_LINKS)), math.ceil(2 * coded.count() / BLOCK_ENTRIES))
+    step = STEP
+
+    def of_link(a, b):
+        x, y = np.where(a % k <= b % k, a, b), np.where(a % k <= b % k, b, a)
+        return x % k * k + y % k, [(x // k).astype(np.int32), (y // k).astype(np.int32)]
+
+    def of_entry(s, t, n):
+        return s % k, [(s // k).astype(np.int32), t, n]
+
+    def block_sums(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _block_sums(key[0].as_py(), key[1].as_py(), batches, k, step)
+
+    links = e.mapInArrow(lambda x: _packs(x, of_link, ["at", "a", "b"]), "at long, a array<int>, b array<int>")
+    links = links.select(F.expr(f"cast(at div {k} as int)").alias("i"), F.expr(f"cast(at % {k} as int)").alias("j"), "a", "b")
+    entries = coded.select("_s", "_t", "_n").mapInArrow(lambda x: _packs(x, of_entry, ["part", "s", "t", "n"]),
+                                                        "part long, s array<int>, t array<long>, n array<long>")
+    entries = entries.withColumn("part", F.col("part").cast("int")).withColumn(
+        "_o", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(
+        F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "part", "s", "t", "n")
+    met = links.unionByName(entries, allowMissingColumns=True).groupBy("i", "j").applyInArrow(
+        block_sums, "s long, t long, n long")
+    # sums of different blocks meet after the shuffle: within a block no (s, t) comes twice but for its two directions
+    sums = met.select(F.col("s").alias("_s"), F.col("t").alias("_t"), "n").repartition("_s", "_t").groupBy(
+        "_s", "_t").agg(F.sum("n").cast("long").alias(out))
     return rows.join(coded.join(sums, ["_s", "_t"]).select(*by, out), by)
 
 

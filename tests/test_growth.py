@@ -73,6 +73,22 @@ def test_link_counts_in_blocks(spark, monkeypatch):
             assert len(want) == got.count()
 
 
+def test_link_counts_travel_in_packs(spark, monkeypatch):
+    from stormrail.operators import joins as J
+    rows = spark.range(3000).select(F.concat(F.lit("S"), (F.col("id") % 50).cast("string")).alias("station"),
+                                    (F.col("id") % 61).alias("time"), F.col("id").alias("row_id"))
+    edges = spark.range(400).select(F.concat(F.lit("S"), (F.col("id") % 50).cast("string")).alias("src"),
+                                    F.concat(F.lit("S"), (F.col("id") * 7 % 53).cast("string")).alias("dst"))
+    want = {r[0]: r[1] for r in J.row_links(rows, edges).groupBy("row_a").count().collect()}
+    monkeypatch.setattr(J, "BLOCK_ENTRIES", 3000)
+    monkeypatch.setattr(J, "STEP", 100)
+    got = J.link_counts(rows, edges)
+    assert {r["row_id"]: r["n_links"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # a block's rows come as lists and batch by batch, not as a table of one row for each link and count
+    assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan
+
+
 def test_adjacency_matrix_files_are_small(spark, tmp_path):
     from stormrail.sources import readers as RD
     from stormrail.sources import sinks as SK
