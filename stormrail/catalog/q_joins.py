@@ -127,11 +127,9 @@ select station_name, cast(cast(time as date) as varchar) as day,
   string_agg(strftime(time, '%H') || '@' || cast(cast(y_pred as bigint) as varchar), ';' order by time, train_type) as predictions
 from r_reg join r_stations using (station) group by all"""))
 def join12_nested_by_station(spark, sf):
-    r = R.regression_eval(spark, sf).select(F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("place"),
-                                            "time", "train_type", "y_pred")
-    places = R.stations(spark, sf).select(F.concat_ws(",", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("place"),
-                                          "station_name")
-    nested = J.predictions_by_station(r, places, "place", "station_name",
+    # a place is named by its station: with many stations, several lie at the same latitude and longitude
+    r = R.regression_eval(spark, sf).select("station", "time", "train_type", "y_pred")
+    nested = J.predictions_by_station(r, R.stations(spark, sf), "station", "station_name",
                                       fields=("time", "train_type", "y_pred"), day="time")
     item = lambda x: F.concat(F.date_format(x["time"], "HH"), F.lit("@"), x["y_pred"].cast("long").cast("string"))
     return nested.select("station_name", F.col("day").cast("string").alias("day"),

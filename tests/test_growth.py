@@ -89,6 +89,18 @@ def test_link_counts_travel_in_packs(spark, monkeypatch):
     assert "FlatMapGroupsInArrow" in plan and "CoGroups" not in plan
 
 
+def test_nested_predictions_stay_with_their_station(spark, tmp_path):
+    """Suppliers 7 and 10247 lie at the same latitude and longitude."""
+    from stormrail.catalog import QUERIES, load_all
+    load_all()
+    spark.createDataFrame([(7,), (10247,), (8,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(7, 1, "R"), (10247, 2, "N"), (10247, 2, "N"), (8, 3, "A")], "l_suppkey long, l_orderkey long, l_returnflag string") \
+        .withColumns({"l_quantity": F.lit(1.0), "l_extendedprice": F.lit(1.0)}).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["join12_nested_by_station"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("Station 10247", "2024-01-01", "02@50"), ("Station 7", "2024-01-01", "01@25"),
+                                       ("Station 8", "2024-01-01", "03@25")]
+
+
 def test_adjacency_matrix_files_are_small(spark, tmp_path):
     from stormrail.sources import readers as RD
     from stormrail.sources import sinks as SK
