@@ -130,16 +130,48 @@ def read_adjacency_list(spark: SparkSession, path: str) -> DataFrame:
             .select("src", F.trim("dst").alias("dst")).where(F.col("dst") != "")
 
 
+def _columns(batches):
+    """(i, j) of each place of a line, from rows (_line, _gaps, _pos, _x) in order: _x is the place itself or, with _gaps,
+    the number of zeros in front of it."""
+    import numpy as np
+    import pyarrow as pa
+    upto, base = 0, 0  # what the rows so far sum up to, and what those of earlier lines do
+    for batch in batches:
+        line, gaps, pos, x = (np.asarray(batch.column(c)) for c in range(4))
+        sums = np.cumsum(x.astype(np.int64) + 1) + upto
+        bases = np.maximum.accumulate(np.where(pos == 0, sums - x - 1, base))
+        yield pa.RecordBatch.from_arrays([pa.array(line - 1), pa.array(np.where(gaps, sums - bases - 1, x).astype(np.int64))],
+                                         names=["i", "j"])
+        if len(x):
+            upto, base = sums[-1], bases[-1]
+
+
 def read_adjacency_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """A square 0/1 matrix, one row per line, in one file or in several that
     follow each other by name -> edges (i, j) with value > 0. Line numbers come
     from the place of a line (file, split, line in the split), ranked with a
-    distributed row number."""
+    distributed row number.
+
+    A line of single 0 and 1 is cut at its ones, and what lies between them says
+    how many zeros there are: it is such a line if the same text can be made from
+    these numbers. Any other line is cut into its cells."""
+    from stormrail.session import stored
+    from stormrail.sources.sinks import matrix_line
     t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col(
         "_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    # lines are ranked with the places of their edges, not with their cells
-    found = F.transform(F.split("value", sep), lambda v, j: F.when(F.trim(v).try_cast("double") > 0, j))
-    t = t.select("_file", "_block", "_id", F.array_compact(found).alias("_js"))
+    found = F.array_compact(F.transform(F.split("value", sep), lambda v, j: F.when(F.trim(v).try_cast("double") > 0, j)))
+    if sep in (",", ";", " ", "\t"):
+        between = F.transform(F.split("value", "1"), lambda x: F.octet_length(x))
+        t = t.withColumn("_between", between)
+        zeros = F.when(F.size("_between") > 1, F.transform("_between", lambda x: (x / 2).cast("int"))).otherwise(
+            F.transform("_between", lambda x: ((x + 1) / 2).cast("int")))
+        t = t.withColumn("_zeros", zeros)
+        t = t.withColumn("_gaps", matrix_line(F.col("_zeros"), sep) == F.col("value"))
+        t = t.withColumn("_xs", F.when(F.col("_gaps"), F.slice("_zeros", 1, F.size("_zeros") - 1)).otherwise(found))
+    else:
+        t = t.withColumn("_gaps", F.lit(False)).withColumn("_xs", found)
+    # the text is read once: lines are ranked with the places of their edges, not with their cells
+    t = stored(t.select("_file", "_block", "_id", "_gaps", "_xs"), "matrix-lines")
     t = global_row_number(t, ["_file", "_block", "_id"], "_line")
-    cells = t.select((F.col("_line") - 1).cast("long").alias("i"), F.explode("_js").alias("j"))
-    return cells.select("i", F.col("j").cast("long").alias("j"))
+    places = t.select("_line", "_gaps", F.posexplode("_xs").alias("_pos", "_x"))
+    return places.mapInArrow(_columns, "i long, j long")

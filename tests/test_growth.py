@@ -113,6 +113,24 @@ def test_adjacency_matrix_files_are_small(spark, tmp_path):
     assert sorted(map(tuple, RD.read_adjacency_matrix(spark, path).collect())) == sorted(edges)
 
 
+def test_adjacency_matrix_is_cut_at_its_ones(spark, tmp_path):
+    """Lines of single 0 and 1 are not cut into cells; any other is, with the same places."""
+    from stormrail.sources import readers as RD
+    from stormrail.sources import sinks as SK
+    lines = ["0,1,1,0", "1,0,0,1", "0,0,0,0", "1,1,1,1", "0, 1,0,0.5", "00,1,-1,1", "0;1,1,1", "01,x,,NaN", "", "1", "0,0,0,1 "]
+    (tmp_path / "m.txt").write_text("\n".join(lines) + "\n")
+    got = sorted(map(tuple, RD.read_adjacency_matrix(spark, str(tmp_path / "m.txt")).collect()))
+    places = [(1, 2), (0, 3), (), (0, 1, 2, 3), (1, 3), (1, 3), (1, 2), (0, 3), (), (0,), (3,)]
+    assert got == [(i, j) for i, js in enumerate(places) for j in js]
+    n, path = 40_000, str(tmp_path / "matrix")
+    lines = spark.createDataFrame([([n],), ([0, n - 1],), ([n - 1, 0],), ([2, 0, n - 4],)], "gaps array<long>").select(
+        SK.matrix_line(F.col("gaps"), ",").alias("value"))
+    assert all(len(r["value"]) == 2 * n - 1 for r in lines.collect())
+    lines.write.text(path)
+    back = RD.read_adjacency_matrix(spark, path)
+    assert sorted(r["j"] for r in back.collect()) == [0, 2, 3, n - 1]
+
+
 def _source(spark, n=300):
     """Rows whose plan shows where they are built again: it has a Range."""
     return spark.range(n).select(
