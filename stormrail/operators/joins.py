@@ -209,7 +209,7 @@ def _both_ways(edges: DataFrame, src: str, dst: str) -> DataFrame:
 #: Links and (station, time) entries of a block of ``link_counts`` aimed at, terms that are summed at once in it, and
 #: rows that are packed together on their way to it.
 BLOCK_LINKS = 6_000_000
-BLOCK_ENTRIES = 8_000_000
+BLOCK_ENTRIES = 4_000_000
 STEP = 1_000_000
 PACK = 1 << 18
 
@@ -271,19 +271,20 @@ def _met_counts(a: np.ndarray, b: np.ndarray, given: Sequence[np.ndarray], asked
 
 def _block_sums(i: int, j: int, batches, k: int, step: int):
     """Batches (s, t, n) of the block of parts i and j: the sums that its links bring to the places of both."""
-    def flat(batch, name):
-        return batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
+    def flat(batch, name):  # a copy, so that nothing keeps the batch
+        return np.array(batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False))
 
     pairs, entries, seen = [], {i: [], j: []}, np.empty(0, np.int64)
     for batch in batches:
         pairs.append((flat(batch, "a"), flat(batch, "b")))
-        parts = batch.column(batch.schema.get_field_index("part"))
+        parts = batch.column(batch.schema.get_field_index("part")).fill_null(-1)
         for p in entries:
-            mine = batch.filter(pa.array(np.equal(parts.fill_null(-1), p)))
+            mine = batch.select(["s", "t", "n"]).filter(pa.array(np.equal(parts, p)))
             st, tt, nn = (flat(mine, c) for c in ("s", "t", "n"))
             if len(st):
                 seen = np.union1d(seen, tt)
                 entries[p].append((st, tt, nn.astype(np.min_scalar_type(nn.max()))))
+        batch = parts = mine = st = tt = nn = None
     for p, found in entries.items():
         if not found:
             entries[p] = (np.empty(0, np.int32),) * 3
